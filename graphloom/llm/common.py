@@ -69,6 +69,29 @@ class WordIndex(dict):
         return i
 
 
+class Recent(dict):
+    """Values computed for keys in bulk, of which the recently used are kept: when `limit` keys are
+    held, those not asked for since half as many were are let go.  Forgetting only costs time."""
+
+    def __init__(self, limit: int, compute):
+        super().__init__()
+        self.limit, self.compute, self.older = limit, compute, {}
+
+    def need(self, keys: set) -> None:
+        """Hold all of keys from now until the next call."""
+        if len(self) > self.limit // 2:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        if self.older:
+            again = new.intersection(self.older)
+            self.update(zip(again, map(self.older.__getitem__, again)))
+            new -= again
+        if new:
+            new = list(new)
+            self.update(zip(new, self.compute(new)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node reachable.
 

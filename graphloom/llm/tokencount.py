@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Recent, ship
 
-#: Pieces kept with their counts in a Python worker; emptied when full, which only costs time.
-KEPT = 300_000
-#: Bytes of new pieces given to the tokenizer at once.
-BATCH_BYTES = 1 << 20
+#: Pieces kept with their counts in a Python worker; some are let go when full, which only costs time.
+KEPT = 600_000
+#: Characters of texts, or of new pieces, that are taken at once.
+BATCH_CHARS = 1 << 20
 #: A space that starts a new piece.  In the vocabulary a word mark is only first in a piece or
 #: in runs of marks, and nothing is done across words; so what stands before such a space and
 #: what follows it are encoded apart with the same result.
@@ -27,32 +27,25 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kept: dict[str, int] = {}
+        self.pieces = Recent(KEPT, self._compute)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        start = size = 0
+    def _compute(self, pieces: list[str]) -> list[int]:
+        out, start, size = [], 0, 0
         for i, piece in enumerate(pieces, 1):
-            size += 4 * len(piece)
-            if size >= BATCH_BYTES or i == len(pieces):
-                part = pieces[start:i]
-                self.kept.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
+            size += len(piece)
+            if size >= BATCH_CHARS or i == len(pieces):
+                out += map(len, self.model.encode(pieces[start:i], num_threads=1))
                 start, size = i, 0
+        return out
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        split = [CUT.split(t) if t else [] for t in texts]
+        self.pieces.need(set().union(*split))
+        get = self.pieces.__getitem__
+        return [sum(map(get, s)) for s in split]
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        pieces = CUT.split(text)
-        kept = self.kept
-        try:
-            return sum(map(kept.__getitem__, pieces))
-        except KeyError:
-            one = set(pieces)
-            known = {p: kept[p] for p in one if p in kept}
-            self.learn([p for p in one if p not in known])
-            known |= {p: kept[p] for p in one if p not in known}
-            return sum(map(known.__getitem__, pieces))
+        return self.count_all([text])[0]
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -74,8 +67,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        count = counter(path).count
-        return pd.Series([0 if t is None else count(t) for t in texts], dtype="int64")
+        out: list[int] = []
+        part, size = [], 0
+        for t in texts:
+            part.append(t or "")
+            size += len(t or "")
+            if size >= BATCH_CHARS:
+                out += counter(path).count_all(part)
+                part, size = [], 0
+        return pd.Series(out + counter(path).count_all(part), dtype="int64")
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), tokens("text").alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
