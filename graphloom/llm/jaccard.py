@@ -122,10 +122,13 @@ def shingle_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _alike(left: str, right: str, percent: int):
-    """What two entries of a shingle's list must meet: the length and positional filters."""
+    """What two entries of a shingle's list must meet: the length and positional filters.
+
+    A pair that links meets them at its first common shingle, before which nothing matches,
+    so shared shingles can only be this one and those after it in both sets."""
     a, b = {k: F.col(f"{left}.{k}") for k in ("n", "pos")}, {k: F.col(f"{right}.{k}") for k in ("n", "pos")}
     need = percent * (a["n"] + b["n"])  # (100 + percent) * overlap must reach it
-    room = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
+    room = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
     return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * room >= need)
 
 
@@ -139,13 +142,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
     wanted = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("__id"), "sig")
 
-    @F.pandas_udf("binary")
-    def signature(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh128_digest(np.unique(shingle_hashes(t, width)).tobytes()) for t in texts])
+    @F.pandas_udf("boolean")
+    def same(texts: pd.Series, sigs: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh128_digest(np.unique(shingle_hashes(t, width)).tobytes()) == s for t, s in zip(texts, sigs)], dtype=bool)
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")))
     # a doc_id that stands on different texts is told apart by its signature
-    texts = texts.withColumn("own", signature("text")).filter(F.col("own") == F.col("sig")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts.filter(same("text", "sig")).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts)
 
     @F.pandas_udf("boolean")
