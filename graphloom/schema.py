@@ -14,5 +14,5 @@ MAX_COST, MAX_RESULTS, MAX_DEPTH = (10_000, 50_000), (50, 500), (8, 20)
 
 LOCATION = T.StructType([T.StructField("path", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("startLine", "startColumn", "endLine", "endColumn")])
 EVIDENCE = T.StructType(LOCATION.fields + [T.StructField("excerptHash", T.StringType()), T.StructField("description", T.StringType())])
-MANIFEST = T.StructType.fromDDL("snapshot_id STRING, path STRING, kind STRING, mode STRING, gitObjectSha STRING, size BIGINT, eligibleForAnalysis BOOLEAN, exclusionReason STRING, contentKey STRING, contentSha256 STRING")
-DIAGNOSTIC = T.StructType.fromDDL("snapshot_id STRING, code STRING, severity STRING, message STRING, nodeId STRING, edgeId STRING").add("location", LOCATION)
+MANIFEST = ("snapshot_id STRING, path STRING, kind STRING, mode STRING, gitObjectSha STRING, size BIGINT, eligibleForAnalysis BOOLEAN, exclusionReason STRING, contentKey STRING, contentSha256 STRING")
+DIAGNOSTIC = ("snapshot_id STRING, code STRING, severity STRING, message STRING, nodeId STRING, edgeId STRING, location STRUCT<path: STRING, startLine: INT, startColumn: INT, endLine: INT, endColumn: INT>")
