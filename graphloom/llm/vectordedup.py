@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,12 @@ from .common import connected_components, materialise, ship
 #: Vectors that cluster centres are fit on at most (expected): the sample's bound.
 SAMPLE = 20_000
 #: Vectors a shard should hold before overlap, centres at most, and vectors a graph is built over at most.
-SHARD, CENTRES, CAP = 800, 4_096, 6_000
+SHARD, CENTRES, CAP = 800, 4_096, 3_000
 #: Shards that a vector belongs to at most, and how much further than the nearest centre they may be (radians).
 OVERLAP, REACH = 4, 0.35
-#: Candidates and edges of a node, and how eagerly an edge rules out others.
-POOL, DEGREE, ALPHA = 32, 16, 1.2
+#: Candidates and edges of a node, how eagerly an edge rules out others, and edges with those of others
+#: towards the node.
+POOL, DEGREE, ALPHA, FULL_DEGREE = 32, 16, 1.2, 48
 #: Width of the greedy search, and how far below the threshold the range search still expands.
 BEAM, SLACK = 24, 0.05
 #: Queries of the recall audit, and the recall below which shards overlap more.
@@ -78,25 +80,29 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     edges = robust_prune(x, pool, near)
     i, j = np.nonzero(edges >= 0)
     one = np.unique(np.r_[i * n + edges[i, j], edges[i, j] * n + i])
-    return np.split(one % n, np.searchsorted(one // n, np.arange(1, n)))
+    a, b = one // n, one % n
+    order = np.lexsort((-np.einsum("kd,kd->k", x[a], x[b]), a))  # nearest first, so that hubs keep those
+    lists = np.split(b[order], np.searchsorted(a, np.arange(1, n)))
+    return [l[:FULL_DEGREE] for l in lists]
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) found with cosine near the threshold or above, every row being a query.
+def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) found with cosine near the threshold or above, every row being a query; in
+    parts of a bounded number of queries.
 
     Greedy search from the medoid with a beam; then every node found within SLACK of the
     threshold is expanded in turn until no new one turns up."""
     n = len(x)
     width = max(map(len, lists), default=0)
     if n < 2 or not width:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return
     table = np.full((n, width), -1, dtype=np.int64)
     for i, l in enumerate(lists):
         table[i, : len(l)] = l
     medoid = int((x @ x.mean(axis=0)).argmax())
-    out_q, out_v = [], []
-    for start in range(0, n, 2048):
-        q = np.arange(start, min(n, start + 2048))
+    for start in range(0, n, 512):
+        out_q, out_v = [], []
+        q = np.arange(start, min(n, start + 512))
         m = len(q)
         seen = np.zeros((m, n), dtype=bool)
         rows = np.arange(m)
@@ -134,23 +140,23 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> tu
             out_q.append(q[qi[hit]])
             out_v.append(vi[hit])
             grown_q, grown_v = [], []
-            for s in range(0, len(qi), 200_000):
-                nexts = table[vi[s : s + 200_000]]
+            for s in range(0, len(qi), 20_000):
+                nexts = table[vi[s : s + 20_000]]
                 a, b = np.nonzero(nexts >= 0)
-                key = np.unique(qi[s : s + 200_000][a] * n + nexts[a, b])
+                key = np.unique(qi[s : s + 20_000][a] * n + nexts[a, b])
                 gq, gv = key // n, key % n
                 new = ~visited[gq, gv]
                 gq, gv = gq[new], gv[new]
                 visited[gq, gv] = True
-                for t in range(0, len(gq), 200_000):
-                    cq, cv = gq[t : t + 200_000], gv[t : t + 200_000]
+                for t in range(0, len(gq), 50_000):
+                    cq, cv = gq[t : t + 50_000], gv[t : t + 50_000]
                     close = np.einsum("kd,kd->k", x[q[cq]], x[cv]) >= threshold - SLACK
                     grown_q.append(cq[close])
                     grown_v.append(cv[close])
             qi, vi = (np.concatenate(g) if g else np.zeros(0, dtype=np.int64) for g in (grown_q, grown_v))
-    qs, vs = np.concatenate(out_q), np.concatenate(out_v)
-    keep = qs != vs
-    return qs[keep], vs[keep]
+        qs, vs = np.concatenate(out_q or [q]), np.concatenate(out_v or [q])
+        keep = qs != vs
+        yield qs[keep], vs[keep]
 
 
 def _unit(raw: list) -> np.ndarray:
@@ -161,27 +167,34 @@ def _unit(raw: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _summary(node, times, homes, here, x, qs, vs, threshold) -> pd.DataFrame:
-    """Links of a shard's nodes, verified in double precision; each pair counts in the first shard
-    that both share.  Per node the sum of linked copies and one node of its component here."""
-    exact = np.concatenate([np.einsum("kd,kd->k", x[qs[s : s + 200_000]], x[vs[s : s + 200_000]]) >= threshold for s in range(0, len(qs), 200_000)] or [np.zeros(0, bool)])
-    qs, vs = qs[exact], vs[exact]
-    first = np.full(len(qs), np.iinfo(np.int64).max)
-    for i in range(homes.shape[1]):
-        h = homes[qs, i]
-        shared = (homes[vs] == h[:, None]).any(axis=1) & (h >= 0)
-        first = np.where(shared, np.minimum(first, h), first)
-    mine = first == here
-    links = np.bincount(qs[mine], weights=times[vs[mine]], minlength=len(node)).astype(np.int64)
+def _summary(node, times, homes, here, x, parts, threshold) -> pd.DataFrame:
+    """Links of a shard's nodes from parts of pairs, verified in double precision; each pair counts in
+    the first shard that both share.  Per node the sum of linked copies and one node of its component here."""
+    links = np.zeros(len(node), dtype=np.int64)
+    at = np.argsort(node)
     low = node.copy()  # smallest node reachable within these rows
-    where = {int(v): i for i, v in enumerate(node.tolist())}
-    while len(qs):
-        new = low.copy()
-        np.minimum.at(new, qs, low[vs])
-        new = np.minimum(new, new[[where[v] for v in new.tolist()]])
-        if (new == low).all():
-            break
-        low = new
+    own = np.arange(len(node))
+    for qs, vs in parts:
+        exact = np.concatenate([np.einsum("kd,kd->k", x[qs[s : s + 50_000]], x[vs[s : s + 50_000]]) >= threshold for s in range(0, len(qs), 50_000)] or [np.zeros(0, bool)])
+        qs, vs = qs[exact], vs[exact]
+        first = np.full(len(qs), np.iinfo(np.int64).max)
+        for i in range(homes.shape[1]):
+            h = homes[qs, i]
+            shared = (homes[vs] == h[:, None]).any(axis=1) & (h >= 0)
+            first = np.where(shared, np.minimum(first, h), first)
+        mine = first == here
+        links += np.bincount(qs[mine], weights=times[vs[mine]], minlength=len(node)).astype(np.int64)
+        # this part's pairs and what the parts before joined, as a star around each component
+        star = at[np.searchsorted(node[at], low)]
+        a, b = np.r_[qs, own], np.r_[vs, star]
+        while True:
+            new = low.copy()
+            np.minimum.at(new, a, low[b])
+            np.minimum.at(new, b, low[a])
+            new = np.minimum(new, new[at[np.searchsorted(node[at], new)]])
+            if (new == low).all():
+                break
+            low = new
     return pd.DataFrame({"node": node, "links": links, "root": low})
 
 
@@ -232,8 +245,8 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: fl
             near = np.asarray(near if near is not None else [], dtype=np.int64)
             at = np.minimum(np.searchsorted(node[order], near), len(node) - 1)
             lists.append(order[at[node[order][at] == near]] if len(near) else near)
-        qs, vs = range_search(x.astype(np.float32), lists, threshold)
-        return _summary(node, rows["times"].to_numpy(), _homes(rows["homes"]), key[0], x, qs, vs, threshold)
+        parts = range_search(x.astype(np.float32), lists, threshold)
+        return _summary(node, rows["times"].to_numpy(), _homes(rows["homes"]), key[0], x, parts, threshold)
 
     found = usual.join(graph, "node", "left").groupBy("shard").applyInPandas(search, RESULT)
 
@@ -259,7 +272,7 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: fl
         qs, vs = qs[keep], vs[keep]
         if i != j:
             qs, vs = np.r_[qs, vs], np.r_[vs, qs]
-        return _summary(rows["node"].to_numpy(), rows["times"].to_numpy(), _homes(rows["homes"]), shard, x, qs, vs, threshold)
+        return _summary(rows["node"].to_numpy(), rows["times"].to_numpy(), _homes(rows["homes"]), shard, x, [(qs, vs)], threshold)
 
     exact = large.groupBy("shard", "i", "j").applyInPandas(compare, RESULT)
     return materialise(found.unionByName(exact))
