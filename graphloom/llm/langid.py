@@ -14,7 +14,7 @@ from .common import WordIndex, ship
 #: Length of the longest n-grams.
 ORDER = 4
 #: Expected training rows a language at most: the bound of the sample that models are fit on.
-TRAIN_ROWS = 1_500
+TRAIN_ROWS = 800
 #: Characters that a word's model reads; longer words count in parts of this length.
 WORD_PART = 40
 #: Words kept with their scores in a Python worker; emptied when full, which only costs time.
