@@ -21,7 +21,7 @@ WORD_PART = 40
 KEPT = 200_000
 #: A text is rejected if its cross-entropy lies further above its language's training mean than this
 #: many standard deviations, those of texts of its length; and than any training text did.
-REJECT_SD = 6.0
+REJECT_SD = 20.0
 LETTER = r"\p{L}"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
