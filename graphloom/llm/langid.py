@@ -22,6 +22,9 @@ KEPT = 200_000
 #: A text is rejected if its cross-entropy lies further above its language's training mean than this
 #: many standard deviations, those of texts of its length; and than any training text did.
 REJECT_SD = 20.0
+#: Characters at which a text's own variance equals that between texts; large, so that one odd word,
+#: such as a key or an address, doesn't reject a short text.
+SHORT = 800.0
 LETTER = r"\p{L}"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,7 +174,7 @@ class Scorer:
         odds = np.exp2(-(entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, 40)[:, None])
         low = entropy[np.arange(len(best)), best]
         mean, spread, worst = (np.array([getattr(m, k) for m in self.models])[best] for k in ("mean", "spread", "worst"))
-        z = (low - mean) / (spread * np.sqrt(1 + 200.0 / n))
+        z = (low - mean) / (spread * np.sqrt(1 + SHORT / n))
         return pd.DataFrame({"lang": [self.names[i] for i in best], "score": 1 / odds.sum(axis=1), "entropy": low, "rejected": (z > REJECT_SD) & (z > worst)})
 
 
@@ -205,7 +208,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER) -> dict[s
                 own, n = bits[ok, scorer.names.index(lang)] / chars[ok], chars[ok]
                 m = models[lang]
                 m.mean, m.spread = float(np.median(own)), float(max(1.4826 * np.median(np.abs(own - np.median(own))), 0.02))
-                m.worst = float(((own - m.mean) / (m.spread * np.sqrt(1 + 200.0 / n))).max())
+                m.worst = float(((own - m.mean) / (m.spread * np.sqrt(1 + SHORT / n))).max())
     sample.unpersist()
     return models
 
