@@ -15,8 +15,8 @@ from .common import connected_components, materialise, ship
 
 #: Cells of the table of shingle frequencies: a fixed size, 4 bytes each while counting and 2 when sent out.
 CELLS = 1 << 20
-#: Parts of that table in transit.
-CHUNKS = 16
+#: Parts of that table in transit, and how many tasks' counts of a part are summed at once.
+CHUNKS, FAN_IN = 16, 64
 #: Hash ranges by which the suffix filter compares two sets.
 RANGES = 32
 #: Words kept with their hashes in a Python worker; emptied when full, which only costs time.
@@ -58,7 +58,7 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     """Rank (0 rarest to 65535) of every cell of shingle hashes, counted over all documents.
 
     Each task counts its texts into a table of fixed size; tables are summed part by part in
-    two steps, so what reaches the driver has one fixed size."""
+    steps of FAN_IN, so neither a summing task nor the driver holds more with more tasks."""
 
     def count(batches):
         part, table, waiting, held = TaskContext.get().partitionId(), np.zeros(CELLS, dtype=np.uint32), [], 0
@@ -73,18 +73,20 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
         if waiting:
             table += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
         cells = table.reshape(CHUNKS, -1)
-        yield pd.DataFrame({"chunk": range(CHUNKS), "salt": part % 16, "cells": [zlib.compress(c.tobytes(), 1) for c in cells]})
+        yield pd.DataFrame({"chunk": range(CHUNKS), "part": part, "cells": [zlib.compress(c.tobytes(), 1) for c in cells]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // CHUNKS, dtype=np.uint64)
         for c in rows["cells"]:
             raw = zlib.decompress(c)
             total += np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * len(total) else np.uint64)
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "salt": 0, "cells": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": rows["part"].iloc[:1] // FAN_IN, "cells": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "chunk int, salt int, cells binary"
-    tables = docs.select("text").mapInPandas(count, schema)
-    parts = tables.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
+    schema = "chunk int, part int, cells binary"
+    parts = docs.select("text").mapInPandas(count, schema)
+    for _ in range(2):
+        parts = parts.groupBy("chunk", F.floor(F.col("part") / FAN_IN)).applyInPandas(add, schema)
+    parts = parts.groupBy("chunk").applyInPandas(add, schema)
     counts = np.zeros((CHUNKS, CELLS // CHUNKS), dtype=np.uint64)
     for r in parts.collect():
         counts[r["chunk"]] = np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs without all but one document of each class: the one whose doc_id names it, once.
-    Rows without a doc_id can't be told apart and stay."""
+    Rows without a doc_id can't be told apart and stay; so do different texts of one kept doc_id."""
     kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.md5("text")).dropDuplicates(["doc_id", "__text"])
     return once.select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
