@@ -145,6 +145,7 @@ class Scorer:
     """Cross-entropy of texts under every language, with words' scores kept."""
 
     def __init__(self, models: dict[str, Model]):
+        self.source = models  # held, so that its id stands for it alone
         self.names = sorted(models)
         self.models = [models[k] for k in self.names]
         self.reset()
