@@ -49,16 +49,44 @@ RULES = (
 #: Every known sentence holds one of these, so texts without any are settled at once.
 ANCHORS = ("licen", "permi", "copyright", "warrant", "redistribut")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where a sentence ends: marks before white space or the end, or a line break.
-SENTENCE_END = r"[.!?;:]+(?:[ \t\r\n]+|\z)|[\r\n]+"
+#: Other forms of a sentence in the usual notices, and the sentence's identifier.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license": 1,
+    "this work is licensed under cc by nc 4 0": 4,
+    "this work is licensed under cc by 4 0": 5,
+    "this work is licensed under cc by sa 4 0": 6,
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": 18,
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": 18,
+}
+#: Marks put where a sentence ends (HARD) and where it may end or go on (SOFT).
+HARD, SOFT = "\x01", "\x02"
+#: What becomes which mark, in this order: ; or : before white space or the end; the same with . ! or ?
+#: among the signs; lines without letters and digits; other line breaks.
+ENDS = (
+    (r"(?<![.!?;:])[;:]++(?=[ \t\r\n]|\z)", SOFT),
+    (r"(?<![.!?;:])[.!?;:]++(?=[ \t\r\n]|\z)", HARD),
+    (r"(?>\r\n|\r|\n)[^a-z0-9\x01]*[\r\n]", HARD),
+    (r"[\r\n]+", SOFT),
+)
+
 
+def sentence_ids(text: Column, sentences=SENTENCES, variants=VARIANTS) -> Column:
+    """Identifiers of a text's known sentences in their order; empty for null.
 
-def sentence_ids(text: Column, sentences=SENTENCES) -> Column:
-    """Identifiers of a text's known sentences in their order; empty for null."""
-    plain = F.translate(text, UPPER, LOWER)
-    known = F.create_map(*[x for i, s in enumerate(sentences, 1) for x in (F.lit(s), F.lit(i))])
-    normal = F.transform(F.split(plain, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    A sentence reads from one mark to another, over any soft marks between: wrapped lines and the
+    ; and : within a sentence join, and a line or a part before ; or : counts alone as well.  Of
+    the sentences that begin at one mark the longest is taken."""
+    ids = {**variants, **{s: i for i, s in enumerate(sentences, 1)}}
+    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    plain = F.translate(text, UPPER + HARD + SOFT, LOWER + "  ")
+    marked = plain
+    for pattern, mark in ENDS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    marked = F.regexp_replace(marked, r"[^a-z0-9\x01\x02]+", " ")
+    longest = sorted(ids, key=len, reverse=True)
+    pattern = r"(?:\A|[\x01\x02]) *(" + "|".join(s.replace(" ", r"[ \x02]+") for s in longest) + r")(?= *(?:[\x01\x02]|\z))"
+    hits = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
+    found = F.transform(hits, lambda s: F.try_element_at(known, F.regexp_replace(s, r"[ \x02]+", " ")))
     anchored = F.lit(False)
     for word in ANCHORS:
         anchored = anchored | plain.contains(word)
