@@ -9,8 +9,8 @@ from graphloom.functions import text as X
 
 #: Patterns of the line scans.  \z rather than $, which also matches before a last line break.
 IMPORT = r"""(?:from\s+|require\(\s*)["']([^"']+)["']"""
-SYMBOL = r"\b(function|class|interface|type|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
-ROUTE = r"""\b(?:app|router)\.(get|post|put|patch|delete)\(\s*["']([^"']+)["']"""
+SYMBOL = r"\b(?:const\s+(?=enum\s))?(function|class|interface|type|enum|const|let)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+ROUTE = r"""(?i)(?:app|router)\.(get|post|put|patch|delete)\s*\(\s*["'`]([^"'`]+)"""
 CREDENTIAL = r"""(?i)(?:password|secret|token|api_?key)["']?\s*[:=]\s*["']?[A-Za-z0-9_\-/+=]{8,}"""
 HARMLESS = r"(?i)process\.env|import\.meta\.env|example|placeholder|test"
 DYNAMIC = r"\beval\s*\(|new\s+Function\s*\("

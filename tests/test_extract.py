@@ -35,3 +35,15 @@ def test_credential_scan_by_line_in_sql(spark):
         [E.CREDENTIAL, E.HARMLESS],
     ).fetchall()
     assert found and {r["doc_id"] for r in catalogue.QUERIES["credential_scan"](spark, SF).collect()} == {i for (i,) in found}
+
+
+def test_symbols_of_all_keywords(spark):
+    code = "const a = 1\n  let $b = 2\nexport async function run$1() {\nexport const enum Color {\nenum E {\ntype _T = string\nexport class C {\ninterface I {\nconstant x\noutlet y"
+    got = E.symbols(spark.createDataFrame([("f.ts", code)], "path string, content string")).orderBy("line").collect()
+    assert [(r["line"], r["kind"], r["name"]) for r in got] == [(1, "const", "a"), (2, "let", "$b"), (3, "function", "run$1"), (4, "enum", "Color"), (5, "enum", "E"), (6, "type", "_T"), (7, "class", "C"), (8, "interface", "I")]
+
+
+def test_routes_of_all_forms(spark):
+    code = "app.GET('/a', f)\nRouter.post (\n  app.put ( \"/b\", f)\nrouter.delete(`/c/${id}`, f)\nsubrouter.patch('/d')\napp.use('/e')\napp.get(x)"
+    got = E.routes(spark.createDataFrame([("f.ts", code)], "path string, content string")).orderBy("line").collect()
+    assert [(r["line"], r["method"], r["route"]) for r in got] == [(1, "GET", "/a"), (3, "PUT", "/b"), (4, "DELETE", "/c/${id}"), (5, "PATCH", "/d")]
