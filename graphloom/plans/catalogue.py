@@ -1,6 +1,6 @@
 """All registered queries of the code-graph library."""
 
-from graphloom.plans import export_queries, graph_queries, text_queries  # noqa: F401
+from graphloom.plans import export_queries, graph_queries, repository_queries, text_queries  # noqa: F401
 from graphloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -66,11 +66,6 @@ def path_neighbors(spark, d):
     return M.path_neighbors(paths(spark, d), "orders/1995.ts")
 
 
-@query("matching_tests", PATHS + " SELECT path FROM p WHERE contains(path, '/1') AND contains(split_part(path, '/', -1), '99')")
-def matching_tests(spark, d):
-    return paths(spark, d).filter(F.col("path").contains("/1") & X.basename(F.col("path")).contains("99"))
-
-
 @query("normalize_path", "SELECT p_partkey, './' || p_brand || '//' || replace(p_name, ' ', chr(92)) AS raw, p_brand || '/' || replace(p_name, ' ', '/') AS path FROM part")
 def normalize_path(spark, d):
     raw = F.concat(F.lit("./"), "p_brand", F.lit("//"), F.replace("p_name", F.lit(" "), F.lit("\\")))
@@ -91,67 +86,6 @@ def safe_path_violations(spark, d):
     return table(spark, d, "part").filter(~X.safe_path(raw)).select("p_partkey")
 
 
-CATEGORY = """CASE WHEN regexp_matches(path, '(?i)(^|/)(tests?|__tests__)/|\\.(test|spec)\\.') THEN 'Test' WHEN regexp_matches(path, '(?i)(^|/)(package\\.json|tsconfig\\.json)$|\\.(ya?ml|toml)$') THEN 'Configuration'
-WHEN regexp_matches(path, '(?i)\\.(md|mdx|txt)$') THEN 'Documentation' WHEN regexp_matches(path, '(?i)\\.(ts|tsx|js|jsx|py|go|rs|java|sql)$') THEN 'Source' ELSE 'Asset' END""".replace("\\\\", "\\")
-RAW = "SELECT p_partkey, p_brand || CASE p_size % 6 WHEN 0 THEN '/test/' WHEN 1 THEN '/docs/' ELSE '/' END || p_partkey || CASE p_size % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.md' WHEN 2 THEN '.yaml' ELSE '.png' END AS path, p_size FROM part"
-
-
-def named_files(spark, d):
-    middle = F.when(F.col("p_size") % 6 == 0, "/test/").when(F.col("p_size") % 6 == 1, "/docs/").otherwise("/")
-    end = F.when(F.col("p_size") % 4 == 0, ".ts").when(F.col("p_size") % 4 == 1, ".md").when(F.col("p_size") % 4 == 2, ".yaml").otherwise(".png")
-    return table(spark, d, "part").select("p_partkey", F.concat("p_brand", middle, F.col("p_partkey").cast("string"), end).alias("path"), "p_size")
-
-
-def category(path):
-    return (
-        F.when(path.rlike(r"(?i)(^|/)(tests?|__tests__)/|\.(test|spec)\."), "Test")
-        .when(path.rlike(r"(?i)(^|/)(package\.json|tsconfig\.json)$|\.(ya?ml|toml)$"), "Configuration")
-        .when(path.rlike(r"(?i)\.(md|mdx|txt)$"), "Documentation")
-        .when(path.rlike(r"(?i)\.(ts|tsx|js|jsx|py|go|rs|java|sql)$"), "Source")
-        .otherwise("Asset")
-    )
-
-
-@query("file_classification", f"SELECT p_partkey, {CATEGORY} AS class FROM ({RAW})")
-def file_classification(spark, d):
-    return named_files(spark, d).select("p_partkey", category(F.col("path")).alias("class"))
-
-
-@query("path_categories", f"SELECT {CATEGORY} AS category, count(*) AS files, sum(p_size)::BIGINT AS bytes FROM ({RAW}) GROUP BY 1")
-def path_categories(spark, d):
-    return named_files(spark, d).groupBy(category(F.col("path")).alias("category")).agg(F.count(F.lit(1)).alias("files"), F.sum("p_size").alias("bytes"))
-
-
-@query("path_risks", f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER ({CATEGORY} = 'Test') AS tests, count(*) FILTER ({CATEGORY} = 'Source') AS sources FROM ({RAW}))
-SELECT CASE WHEN tests = 0 THEN 81 WHEN sources > 200 AND tests < 0.05 * sources THEN 68 ELSE 22 END::INTEGER AS score, n, tests, sources FROM c""")
-def path_risks(spark, d):
-    k = category(F.col("path"))
-    c = named_files(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(k == "Test").alias("tests"), F.count_if(k == "Source").alias("sources"))
-    return c.select(F.when(F.col("tests") == 0, 81).when((F.col("sources") > 200) & (F.col("tests") < 0.05 * F.col("sources")), 68).otherwise(22).alias("score"), "n", "tests", "sources")
-
-
-@query("path_security", f"""WITH f AS (SELECT path FROM ({RAW})), a AS (SELECT bool_or(regexp_matches(path, '(^|/)\\.env')) AS env, bool_or(lower(path) = 'security.md') AS sec, bool_or(regexp_matches(path, '(package-lock\\.json|yarn\\.lock)$')) AS lock, bool_or(contains(path, '.github/workflows/')) AS ci FROM f)
-SELECT unnest(list_filter([CASE WHEN env THEN 'High' END, CASE WHEN NOT sec THEN 'Medium' END, CASE WHEN NOT lock THEN 'Medium-lock' END, CASE WHEN NOT ci THEN 'Low' END], lambda x: x IS NOT NULL)) AS severity FROM a""".replace("\\\\", "\\"))
-def path_security(spark, d):
-    p = F.col("path")
-    a = named_files(spark, d).agg(F.bool_or(p.rlike(r"(^|/)\.env")).alias("env"), F.bool_or(F.lower(p) == "security.md").alias("sec"), F.bool_or(p.rlike(r"(package-lock\.json|yarn\.lock)$")).alias("lock"), F.bool_or(p.contains(".github/workflows/")).alias("ci"))
-    found = F.array(F.when(F.col("env"), "High"), F.when(~F.col("sec"), "Medium"), F.when(~F.col("lock"), "Medium-lock"), F.when(~F.col("ci"), "Low"))
-    return a.select(F.explode(F.array_compact(found)).alias("severity"))
-
-
-@query("recommendations", f"""WITH c AS (SELECT count(*) FILTER ({CATEGORY} = 'Test') AS tests, count(*) FILTER ({CATEGORY} = 'Configuration') AS configs FROM ({RAW}))
-SELECT unnest(list_filter([CASE WHEN tests = 0 THEN 'P0' END, CASE WHEN configs < 1000 THEN 'P1' END, 'P2'], lambda x: x IS NOT NULL)) AS priority FROM c""")
-def recommendations(spark, d):
-    k = category(F.col("path"))
-    c = named_files(spark, d).agg(F.count_if(k == "Test").alias("tests"), F.count_if(k == "Configuration").alias("configs"))
-    return c.select(F.explode(F.array_compact(F.array(F.when(F.col("tests") == 0, "P0"), F.when(F.col("configs") < 1000, "P1"), F.lit("P2")))).alias("priority"))
-
-
-@query("onboarding_path", f"SELECT class, arg_min(path, p_partkey) AS path FROM (SELECT p_partkey, path, {CATEGORY} AS class FROM ({RAW})) GROUP BY class")
-def onboarding_path(spark, d):
-    return named_files(spark, d).groupBy(category(F.col("path")).alias("class")).agg(F.min_by("path", "p_partkey").alias("path"))
-
-
 @query("human_bytes", """SELECT p_partkey, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(b * 10 / 1048576.0 + 0.5) / 10) END AS size
 FROM (SELECT p_partkey, p_partkey * p_size AS b FROM part)""")
 def human_bytes(spark, d):
