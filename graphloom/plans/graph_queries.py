@@ -224,15 +224,6 @@ def remap_diagnostics(spark, d):
     return ev.filter(F.col("event_type").isin("error", "view")).join(keep, ["event_type", "user_id"]).select(F.col("event_type").alias("code"), "edge_id").distinct()
 
 
-@query("enrich_union", FX + """, extra AS (SELECT 'file:nation/' || s_nationkey AS id, 'document' AS kind FROM supplier UNION ALL SELECT 'doc:' || s_suppkey, 'document' FROM supplier)
-SELECT id, kind FROM fx_nodes WHERE kind = 'file' UNION ALL SELECT DISTINCT id, kind FROM extra WHERE id NOT IN (SELECT id FROM fx_nodes)""")
-def enrich_union(spark, d):
-    """Extracted nodes join a graph's own; an id that is there already wins."""
-    s, n = table(spark, d, "supplier"), nodes(spark, d)
-    extra = s.select(ident("file:nation/", "s_nationkey").alias("id")).unionByName(s.select(ident("doc:", "s_suppkey").alias("id"))).distinct()
-    return n.filter("kind = 'file'").select("id", "kind").unionByName(extra.join(n.select("id"), "id", "left_anti").select("id", F.lit("document").alias("kind")))
-
-
 QUESTION = "Where is the nation_1 route of supplier handled?"
 
 

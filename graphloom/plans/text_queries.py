@@ -10,7 +10,8 @@ from graphloom.operators import reports as R
 from graphloom.operators import resolve as M
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
-from graphloom.sources.fixture import nodes, table
+from graphloom.sources.fixture import edges, nodes, table
+from graphloom.sources.records import BLOBS, CODE, FILES, KNOWLEDGE
 from graphloom.streaming import jobs as J
 
 PATHS = FX + ", p AS (SELECT DISTINCT path FROM fx_nodes WHERE path IS NOT NULL)"
@@ -105,73 +106,147 @@ def job_identity(spark, d):
 
 # --- file text -------------------------------------------------------------------------------
 
+LINES = f"l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, length(content) - length(replace(content, chr(10), '')) + 2)) AS line FROM ({CODE.sql}))"
+IMPORTS = LINES + """, i AS (SELECT path, line, CASE WHEN contains(text, 'require') THEN 'require' ELSE 'import' END AS kind, unnest(regexp_extract_all(text, '(?:from\\s+|require\\s*\\(\\s*)["'']([^"'']+)', 1)) AS specifier FROM l),
+im AS (SELECT path, line, kind, specifier, CASE WHEN NOT starts_with(specifier, '.') AND NOT starts_with(specifier, '/') THEN CASE WHEN starts_with(specifier, '@') THEN array_to_string(string_split(specifier, '/')[1:2], '/') ELSE split_part(specifier, '/', 1) END END AS package FROM i)"""
+SYMBOLS = LINES + """, sy AS (SELECT path, line, regexp_extract(text, 'function|class|interface|type|const|let') AS kind, regexp_extract(text, '(?:export\\s+)?(?:async\\s+)?(?:function|class|interface|type|const|let)\\s+([A-Za-z_$][\\w$]*)', 1) AS name FROM l WHERE regexp_matches(text, '(function|class|interface|type|const|let)\\s+[A-Za-z_$]'))"""
+ROUTES = LINES + """, ro AS (SELECT path, line, upper(regexp_extract(text, '(?i)(?:app|router)\\.(get|post|put|patch|delete)\\s*\\(\\s*["''`]([^"''`]+)', 1)) AS method, regexp_extract(text, '(?i)(?:app|router)\\.(get|post|put|patch|delete)\\s*\\(\\s*["''`]([^"''`]+)', 2) AS route FROM l
+WHERE regexp_matches(text, '(?i)(?:app|router)\\.(get|post|put|patch|delete)\\s*\\(\\s*["''`][^"''`]'))"""
+FOUND = """SELECT {key}, line, 'Possible hard-coded credential' AS title FROM l WHERE regexp_matches(text, '(?i)(?:password|token|secret|api[_-]?key)\\s*[:=]\\s*["''][^"'']{{8,}}["'']') AND NOT regexp_matches(text, '(?i)(process\\.env|import\\.meta\\.env|example|placeholder|test)')
+UNION ALL SELECT {key}, line, 'Dynamic code execution' FROM l WHERE regexp_matches(text, '\\beval\\s*\\(|new Function\\s*\\(')"""
+
 
 def code(spark, d):
-    """Files of source text: a few lines for each part, all from its columns."""
-    p = table(spark, d, "part")
-    name = F.initcap(F.col("p_name"))
-    line = [
-        F.concat(F.lit("import x from '"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("@"), F.lower("p_type"), F.lit("/core/x"))).otherwise(F.concat(F.lit("./"), F.lower("p_type"))), F.lit("'")),
-        F.concat(F.lit("export class "), F.replace(name, F.lit(" "), F.lit("")), F.lit(" {")),
-        F.concat(F.lit("app.get('/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit("', f)")),
-        F.concat(F.lit("# "), name),
-        F.concat(F.lit("// NOTE: "), F.col("p_brand")),
-        F.concat(F.lit("CREATE TABLE t_"), F.lower("p_type"), F.lit(" (id int, "), F.lower(F.substring_index("p_name", " ", 1)), F.lit(" text, PRIMARY KEY (id"), F.lit("))")),
-    ]
-    return p.select(F.col("p_partkey").cast("string").alias("path"), F.concat_ws("\n", *line).alias("content"), "p_size", "p_type", "p_name", "p_brand")
-
-
-@query("import_edges", """SELECT p_partkey::VARCHAR AS path, 1 AS line, 'import' AS kind, CASE WHEN p_size % 2 = 0 THEN '@' || lower(p_type) || '/core/x' ELSE './' || lower(p_type) END AS specifier,
-CASE WHEN p_size % 2 = 0 THEN '@' || lower(p_type) || '/core' END AS package FROM part""")
+    return CODE.read(spark, d)
+
+
+@query("import_edges", f"WITH {IMPORTS} SELECT path, line::INTEGER AS line, kind, specifier, package FROM im")
 def import_edges(spark, d):
     return E.imports(code(spark, d))
 
 
-@query("dependencies", "SELECT '@' || lower(p_type) || '/core' AS package, count(*) AS uses FROM part WHERE p_size % 2 = 0 GROUP BY 1")
+@query("dependencies", f"WITH {IMPORTS} SELECT package, count(*) AS uses FROM im WHERE package IS NOT NULL GROUP BY 1")
 def dependencies(spark, d):
     return E.imports(code(spark, d)).filter("package IS NOT NULL").groupBy("package").agg(F.count(F.lit(1)).alias("uses"))
 
 
-@query("symbol_scan", "SELECT p_partkey::VARCHAR AS path, 2 AS line, 'class' AS kind, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS name FROM part")
+@query("symbol_scan", f"WITH {SYMBOLS} SELECT path, line::INTEGER AS line, kind, name FROM sy")
 def symbol_scan(spark, d):
     return E.symbols(code(spark, d))
 
 
-@query("glossary_terms", "SELECT DISTINCT upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS term FROM part ORDER BY term LIMIT 30")
+@query("glossary_terms", f"WITH {SYMBOLS} SELECT name, kind, path, line::INTEGER AS line FROM sy WHERE regexp_matches(name, '^[A-Z][A-Za-z]+$') ORDER BY path, line LIMIT 30")
 def glossary_terms(spark, d):
-    return E.symbols(code(spark, d)).filter(F.col("name").rlike(r"\A[A-Z][A-Za-z]+\z")).select(F.col("name").alias("term")).distinct().orderBy("term").limit(30)
+    return E.terms(code(spark, d))
 
 
-@query("route_scan", "SELECT p_partkey::VARCHAR AS path, 3 AS line, 'GET' AS method, '/' || lower(p_type) || '/' || p_partkey AS route FROM part")
+@query("route_scan", f"WITH {ROUTES} SELECT path, line::INTEGER AS line, method, route FROM ro")
 def route_scan(spark, d):
     return E.routes(code(spark, d))
 
 
-@query("markdown_headings", "SELECT p_partkey::VARCHAR AS path, 4 AS line, 1 AS level, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title FROM part")
+@query("content_model", f"""WITH {IMPORTS}, {SYMBOLS.removeprefix(LINES + ", ")}, {ROUTES.removeprefix(LINES + ", ")}, se AS (SELECT DISTINCT title, path FROM ({FOUND.format(key="path")})),
+x AS (SELECT 'edges' AS list, path || ':' || line || ':' || specifier AS item FROM (SELECT * FROM im ORDER BY path, line, specifier LIMIT 800)
+UNION ALL SELECT 'symbols', path || ':' || line || ':' || name FROM (SELECT * FROM sy ORDER BY path, line LIMIT 1500) UNION ALL SELECT 'routes', path || ':' || line || ':' || route FROM (SELECT * FROM ro ORDER BY path, line LIMIT 300)
+UNION ALL SELECT DISTINCT 'dependencies', package FROM im WHERE package IS NOT NULL UNION ALL SELECT 'terms', path || ':' || line || ':' || name FROM (SELECT * FROM sy WHERE regexp_matches(name, '^[A-Z][A-Za-z]+$') ORDER BY path, line LIMIT 30)
+UNION ALL SELECT 'security', title || ':' || path FROM se) SELECT list, count(*) AS n, sha256(string_agg(item, chr(10) ORDER BY item)) AS digest FROM x GROUP BY list""")
+def content_model(spark, d):
+    """Every list of the content model: its length and a digest of its items."""
+    lists = E.content_model(code(spark, d))
+    place = lambda last: F.concat_ws(":", "path", F.col("line").cast("string"), last)
+    items = {"edges": place("specifier"), "symbols": place("name"), "routes": place("route"), "dependencies": F.col("package"), "terms": place("name"), "security": F.concat_ws(":", "title", "path")}
+    out = None
+    for name, item in items.items():
+        part = lists[name].select(F.lit(name).alias("list"), item.alias("item"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), "\n"), 256).alias("digest"))  # lists have largest lengths
+
+
+KNOWN = f"""k AS ({KNOWLEDGE.sql}), l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, length(content) - length(replace(content, chr(10), '')) + 2)) AS line FROM k),
+h AS (SELECT path, line, length(regexp_extract(text, '^(#{{1,3}})\\s+([^\\r\\n]+)$', 1)) AS level, trim(regexp_extract(text, '^(#{{1,3}})\\s+([^\\r\\n]+)$', 2)) AS title FROM l WHERE regexp_matches(text, '^#{{1,3}}\\s+[^\\r\\n]+$')),
+n AS (SELECT path, line, upper(regexp_extract(text, '(?i)//\\s*(NOTE|WHY|HACK|ADR|TODO):\\s*([^\\r\\n]+)$', 1)) AS tag, trim(regexp_extract(text, '(?i)//\\s*(NOTE|WHY|HACK|ADR|TODO):\\s*([^\\r\\n]+)$', 2)) AS note FROM l WHERE regexp_matches(text, '(?i)//\\s*(NOTE|WHY|HACK|ADR|TODO):\\s*[^\\r\\n]+$')),
+q AS (SELECT path, string_split(content, ';') AS parts FROM k), q2 AS (SELECT path, parts, unnest(range(1, len(parts) + 1)) AS i FROM q),
+q3 AS (SELECT path, array_to_string(parts[1:i - 1], ';') || CASE WHEN i > 1 THEN ';' ELSE '' END AS upto, parts[i] AS part, regexp_extract(parts[i], '(?is)^(.*?)CREATE\\s+TABLE\\s+(?:IF\\s+NOT\\s+EXISTS\\s+)?[`"'']?([a-zA-Z0-9_]+)[`"'']?\\s*\\((.+)\\)', ['head', 'name', 'body']) AS m FROM q2),
+t AS (SELECT path, length(upto || m.head) - length(replace(upto || m.head, chr(10), '')) + 1 AS line, m.name AS name,
+  list_filter(list_transform(string_split(m.body, ','), lambda c: regexp_replace(regexp_extract(trim(regexp_replace(c, '\\s', ' ', 'g')), '^\\S*'), '[`"'']', '', 'g')), lambda c: c <> '' AND NOT regexp_matches(c, '(?i)^(PRIMARY|FOREIGN|KEY|CONSTRAINT|INDEX|UNIQUE)')) AS fields FROM q3 WHERE m.name <> '')"""
+
+
+@query("markdown_headings", f"WITH {KNOWN} SELECT path, line::INTEGER AS line, level::INTEGER AS level, title FROM h")
 def markdown_headings(spark, d):
-    return E.headings(code(spark, d))
+    return E.headings(KNOWLEDGE.read(spark, d))
 
 
-@query("rationale_comments", "SELECT p_partkey::VARCHAR AS path, 5 AS line, 'NOTE' AS tag, p_brand AS note FROM part")
+@query("rationale_comments", f"WITH {KNOWN} SELECT path, line::INTEGER AS line, tag, note FROM n")
 def rationale_comments(spark, d):
-    return E.rationale(code(spark, d))
+    return E.rationale(KNOWLEDGE.read(spark, d))
 
 
-@query("sql_tables", "SELECT p_partkey::VARCHAR AS path, 't_' || lower(p_type) AS name, 'id,' || lower(split_part(p_name, ' ', 1)) AS fields FROM part")
+@query("sql_tables", f"WITH {KNOWN} SELECT path, line::INTEGER AS line, name, array_to_string(fields, ',') AS fields FROM t")
 def sql_tables(spark, d):
-    return E.sql_tables(code(spark, d))
+    return E.sql_tables(KNOWLEDGE.read(spark, d)).select("path", "line", "name", F.array_join("fields", ",").alias("fields"))
+
+
+KNOWN_IDS = KNOWN + """, kn AS (SELECT 'document:' || path AS id, 'file' AS kind, split_part(path, '/', -1) AS name, path FROM k WHERE ends_with(path, '.md')
+UNION SELECT 'document:' || path || '#line-' || line, 'symbol', title, path FROM h WHERE ends_with(path, '.md') UNION SELECT 'file:' || path, 'file', split_part(path, '/', -1), path FROM k WHERE ends_with(path, '.sql')
+UNION SELECT 'schema:' || path || ':' || name, 'schema', name, path FROM t WHERE ends_with(path, '.sql') UNION SELECT 'symbol:' || path || ':rationale-' || line, 'symbol', tag || ': ' || note[1:30], path FROM n),
+ke AS (SELECT 'document:' || path AS src, 'document:' || path || '#line-' || line AS dst, 'contains' AS kind FROM h WHERE ends_with(path, '.md') UNION SELECT 'file:' || path, 'schema:' || path || ':' || name, 'declares' FROM t WHERE ends_with(path, '.sql')
+UNION SELECT 'file:' || path, 'symbol:' || path || ':rationale-' || line, 'contains' FROM n)"""
+
+
+@query("knowledge_nodes", f"WITH {KNOWN_IDS} SELECT id, kind, name, path FROM kn")
+def knowledge_nodes(spark, d):
+    return E.knowledge(KNOWLEDGE.read(spark, d))[0].select("id", "kind", "name", "path")
+
+
+@query("knowledge_edges", f"WITH {KNOWN_IDS} SELECT 'edge:' || src || '->' || dst || ':' || kind AS id, src, dst, kind FROM ke")
+def knowledge_edges(spark, d):
+    return E.knowledge(KNOWLEDGE.read(spark, d))[1].select("id", "src", "dst", "kind")
 
 
-@query("credential_scan", r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:password|secret|token|api_?key)["'']?\s*[:=]\s*["'']?[A-Za-z0-9_\-/+=]{8,}') AND NOT regexp_matches(text, '(?i)process\.env|import\.meta\.env|example|placeholder|test')""")
+@query("enrich_union", FX + f""", {KNOWN_IDS}, own AS (SELECT id FROM fx_nodes UNION SELECT 'symbol:src/' || p_partkey || '.ts:rationale-1' FROM part WHERE p_size > 25)
+SELECT 'node' AS what, kind, count(*) AS n FROM (SELECT kind FROM fx_nodes UNION ALL SELECT 'package' FROM part WHERE p_size > 25 UNION ALL SELECT kind FROM kn WHERE id NOT IN (SELECT id FROM own)) GROUP BY ALL
+UNION ALL SELECT 'edge', kind, count(*) FROM (SELECT kind FROM fx_edges UNION ALL SELECT kind FROM ke) GROUP BY ALL""")
+def enrich_union(spark, d):
+    """The projected graph with what texts give; some ids stand in both, and there the graph's own wins."""
+    p = table(spark, d, "part").filter("p_size > 25")
+    own = nodes(spark, d).select("id", "kind", "name", "path").unionByName(p.select(F.concat(F.lit("symbol:src/"), F.col("p_partkey").cast("string"), F.lit(".ts:rationale-1")).alias("id"), F.lit("package").alias("kind"), F.lit("own").alias("name"), F.lit(None).cast("string").alias("path")))
+    edge_id = F.concat_ws("|", "src", "dst", "kind")
+    n, e = E.enrich(own, edges(spark, d), edge_id, KNOWLEDGE.read(spark, d))
+    return n.select(F.lit("node").alias("what"), "kind").unionByName(e.select(F.lit("edge").alias("what"), "kind")).groupBy("what", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("unsupported_files", f"SELECT 'SOURCE_FILE_UNSUPPORTED' AS code, 'warning' AS severity, 'No TypeScript extractor support for analyzed source file ' || path AS message, path FROM ({FILES.sql}) WHERE NOT regexp_matches(path, '(?i)\\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs)$') AND NOT regexp_matches(path, '(?:^|/)(?:tsconfig|package)\\.json$')")
+def unsupported_files(spark, d):
+    return E.unsupported(FILES.read(spark, d))
+
+
+@query("credential_scan", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, length(text) - length(replace(text, chr(10), '')) + 2)) AS line FROM documents) SELECT doc_id, line::INTEGER AS line, title FROM ({FOUND.format(key="doc_id")})""")
 def credential_scan(spark, d):
-    return table(spark, d, "documents").filter(E.credentials(F.col("text"))).select("doc_id")
+    """Lines of documents that hold a credential or run text as code."""
+    return E.findings(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).withColumnRenamed("path", "doc_id")
+
 
+@query("code_findings", f"WITH {LINES} SELECT path, line::INTEGER AS line, title FROM ({FOUND.format(key="path")})")
+def code_findings(spark, d):
+    return E.findings(code(spark, d))
 
-@query("dynamic_exec_scan", r"SELECT page_id, regexp_matches(html, '\beval\s*\(|new\s+Function\s*\(') AS dynamic FROM pages")
+
+@query("dynamic_exec_scan", r"SELECT page_id, regexp_matches(html, '\beval\s*\(|new Function\s*\(') AS dynamic FROM pages")
 def dynamic_exec_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.col("html").rlike(E.DYNAMIC).alias("dynamic"))
 
 
+@query("blob_decode", f"""SELECT p_partkey, CASE WHEN encoding = 'utf-8' THEN sha256(content) WHEN encoding = 'base64' AND regexp_matches(regexp_replace(content, '\\s', '', 'g'), '^(?:[A-Za-z0-9+/]{{4}})*(?:[A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=)?$') THEN sha256(from_base64(regexp_replace(content, '\\s', '', 'g'))) END AS digest FROM ({BLOBS.sql})""")
+def blob_decode(spark, d):
+    return BLOBS.read(spark, d).select("p_partkey", F.sha2(E.decode_blob(F.col("content"), F.col("encoding")), 256).alias("digest"))
+
+
+@query("blob_admission", f"""SELECT p_partkey, encoding = 'utf-8' OR (encoding = 'base64' AND p_partkey % 6 IN (0, 1, 5)) AS admitted FROM ({BLOBS.sql})""")
+def blob_admission(spark, d):
+    """Which decoded blobs are text; those that hold a NUL byte or don't decode are not."""
+    return BLOBS.read(spark, d).select("p_partkey", E.admissible_bytes(E.decode_blob(F.col("content"), F.col("encoding"))).alias("admitted"))
+
+
 @query("page_links", """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) GROUP BY ALL""")
 def page_links(spark, d):
     found = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("link"))

@@ -96,3 +96,34 @@ INPUTS = Records(
     code="CASE event_id % 8 WHEN 0 THEN 'not_found' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'aborted' WHEN 3 THEN 'network' WHEN 4 THEN 'server_error' WHEN 5 THEN 'invalid_response' WHEN 6 THEN 'invalid_path' END",
     diagnostic="CASE event_id % 8 WHEN 0 THEN 'TS_SYNTAX' WHEN 1 THEN 'parse_error' WHEN 2 THEN 'MODULE_UNRESOLVED' WHEN 3 THEN 'IMPORT_AMBIGUOUS' WHEN 4 THEN 'SOURCE_FILE_UNSUPPORTED' WHEN 5 THEN 'UNSUPPORTED_SYNTAX' WHEN 6 THEN 'GRAPH_TRUNCATED' ELSE 'FILE_TYPE' END",
 )
+
+_T1 = "lower(p_type)"
+_NAME = "upper(substr(p_name, 1, 1)) || replace(substr(p_name, 2), ' ', '')"
+
+#: Source files of a few lines, some of which look like what the scans take and aren't.
+CODE = Records(
+    "part",
+    path=f"'src/' || {_P} || CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' ELSE '.ts' END",
+    content=f"""CASE p_size % 4 WHEN 0 THEN 'import x from ''@' || {_T1} || '/core/x''; import y from "' || {_T1} || '"' WHEN 1 THEN 'import y from ''./' || {_T1} || '''' WHEN 2 THEN 'const z = require( "lib-' || {_T1} || '/sub")' ELSE 'imported from x' END || chr(10)
+    || CASE p_partkey % 6 WHEN 0 THEN 'export class ' || {_NAME} || ' {{' WHEN 1 THEN 'let $b = 2' WHEN 2 THEN '  export async function run' || {_P} || '(' WHEN 3 THEN 'outlet y = class' WHEN 4 THEN 'interface ' || {_NAME} || ' extends type' ELSE 'constant x' END || chr(10)
+    || CASE p_size % 3 WHEN 0 THEN 'app.get(''/' || {_T1} || '/' || {_P} || ''', f)' WHEN 1 THEN 'ROUTER.Post ( `/x/' || {_P} || '`' ELSE 'app.use(''/y'')' END || chr(10)
+    || CASE p_partkey % 7 WHEN 0 THEN 'password = "abcdefgh"' WHEN 1 THEN 'token: ''short''' WHEN 2 THEN 'api-key: "abcdefghij" // example' WHEN 3 THEN 'secret = process.env.X' WHEN 4 THEN 'eval (x) + new Function(y); Token="0123456789"' WHEN 5 THEN 'evaluate(x); new  Function(y)' ELSE 'a test line' END || chr(10)
+    || CASE p_size % 5 WHEN 0 THEN '// note: ' || p_brand WHEN 1 THEN '# NOTE: no' WHEN 2 THEN 'x // HACK:  cut' || chr(13) WHEN 3 THEN 'y //TODO:' || {_P} || ' ' ELSE '-- TODO: y' END""",
+)
+
+#: Documents, schemas and code whose texts hold knowledge.
+KNOWLEDGE = Records(
+    "part",
+    path=f"CASE p_partkey % 3 WHEN 0 THEN 'docs/' || {_P} || '.md' WHEN 1 THEN 'db/' || {_P} || '.sql' ELSE 'src/' || {_P} || '.ts' END",
+    content=f"""CASE p_partkey % 3 WHEN 0 THEN '# ' || p_name || chr(10) || '#### deep' || chr(10) || '##' || p_type || chr(10) || '### ' || p_brand || ' ' || chr(10) || '## crlf' || chr(13) || chr(10) || ' # indented' || chr(10) || '// ADR: ' || p_name
+    WHEN 1 THEN '-- first' || chr(10) || 'CREATE TABLE IF NOT EXISTS `t_' || {_P} || '` (id INT, "price" DECIMAL(10,2),' || chr(10) || ' PRIMARY KEY (id));' || chr(10) || 'create table ' || {_T1} || chr(10) || '(a int, unique (a), b' || CAST(p_size AS STRING) || ' text );' || CASE WHEN p_size % 2 = 0 THEN ' CREATE TABLE ' || {_T1} || ' (again int);' ELSE 'create view v (x)' END
+    ELSE 'let a = 1 // why: ' || p_name || ' and so on for a long while' || chr(10) || '// TODO: ' || p_brand || chr(10) || '// NOTE :no' END""",
+)
+
+#: Blobs as a provider sends them.
+BLOBS = Records(
+    "part",
+    p_partkey="p_partkey",
+    encoding="CASE p_size % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'base64' ELSE CASE WHEN p_size % 2 = 0 THEN 'base64' ELSE 'latin' END END",
+    content="CASE p_partkey % 6 WHEN 0 THEN 'aGVsbG8=' WHEN 1 THEN 'aGVs' || chr(10) || 'bG8 =' WHEN 2 THEN 'aGVsbG8' WHEN 3 THEN 'aG=sbG8=' WHEN 4 THEN 'AAECAwQFBgc=' ELSE '' END",
+)
