@@ -56,40 +56,87 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes, about, that a Python worker keeps of what it computed for words or pieces.
+KEEP_BYTES = 40 << 20
+#: What an entry of such a dictionary takes besides the characters of its key.
+ENTRY_BYTES = 160
+
+_held: dict = {}
+
+
+def held(key, make):
+    """The object of this key that a Python worker keeps between batches and tasks.  It keeps one
+    alone: workers outlive a stage, so another stage's object is let go first."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Known(dict):
+    """key -> value computed when first asked for; emptied when KEEP_BYTES are held, which only
+    costs time."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.room = compute, KEEP_BYTES
+
+    def __missing__(self, key):
+        self.room -= len(key) + ENTRY_BYTES
+        if self.room < 0:
+            self.clear()
+            self.room = KEEP_BYTES
+        value = self[key] = self.compute(key)
+        return value
+
+
 class WordIndex(dict):
     """word -> running number; words seen for the first time wait in .new."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.bytes = 0
 
     def __missing__(self, word):
         i = self[word] = len(self)
         self.new.append(word)
+        self.bytes += len(word) + ENTRY_BYTES
         return i
 
 
 class Recent(dict):
-    """Values computed for keys in bulk, of which the recently used are kept: when `limit` keys are
-    held, those not asked for since half as many were are let go.  Forgetting only costs time."""
+    """Values computed for keys in bulk, of which the recently used are kept: when KEEP_BYTES are held,
+    those not asked for since half as many were are let go.  Forgetting only costs time."""
 
-    def __init__(self, limit: int, compute):
+    def __init__(self, compute):
         super().__init__()
-        self.limit, self.compute, self.older = limit, compute, {}
+        self.compute, self.older, self.bytes = compute, {}, 0
 
     def need(self, keys: set) -> None:
         """Hold all of keys from now until the next call."""
-        if len(self) > self.limit // 2:
-            self.older = dict(self)
+        if self.bytes > KEEP_BYTES // 2:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         new = keys.difference(self)
+        if not new:
+            return
+        self.bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
         if self.older:
             again = new.intersection(self.older)
             self.update(zip(again, map(self.older.__getitem__, again)))
             new -= again
-        if new:
-            new = list(new)
-            self.update(zip(new, self.compute(new)))
+        new = list(new)
+        self.update(zip(new, self.compute(new)))
+
+
+def keyed(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a column that tells its rows apart: doc_id itself if no row lacks or shares it, else
+    numbers that are written with the rows, so that they stay as they are."""
+    odd = docs.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, ship
+from .common import Known, connected_components, held, keyed, materialise, ship
 
 #: Cells of the table of shingle frequencies: a fixed size, 4 bytes each while counting and 2 when sent out.
 CELLS = 1 << 20
@@ -19,27 +19,17 @@ CELLS = 1 << 20
 CHUNKS, FAN_IN = 16, 64
 #: Hash ranges by which the suffix filter compares two sets.
 RANGES = 32
-#: Words kept with their hashes in a Python worker; emptied when full, which only costs time.
-KEPT = 500_000
+#: Entries of a list of one shingle that one part of its self-join takes, about.
+LIST_PART = 2048
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        if len(self) > KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """64-bit hashes of a text's shingles in order, repeats included.  ASCII letters are
     lowered and words split at ASCII white space; fewer words than `width` make one shingle."""
     words = text.encode().lower().split() if text else []
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = held("shingles", lambda: Known(xxhash.xxh64_intdigest))
+    w = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(width, len(words))
     n = len(words) - size + 1 if words else 0
     h = np.full(n, size, dtype=np.uint64)
@@ -49,11 +39,6 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return h
 
 
-def least_overlap(total, percent: int):
-    """Smallest intersection i with 100 i >= percent (total - i); ints or columns."""
-    return -(-(percent * total) // (100 + percent))
-
-
 def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     """Rank (0 rarest to 65535) of every cell of shingle hashes, counted over all documents.
 
@@ -135,64 +120,54 @@ def _alike(left: str, right: str, percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that do link: suffix filter, then one exact comparison of each pair."""
+    """Pairs (a, b) of nodes that do link: suffix filter, then one exact comparison of each pair.
+
+    Only the nodes of the pairs left have their whole sets written, once each, as sorted hashes; a pair
+    is then two such arrays that the JVM intersects, row by row, so no batch of texts is ever held."""
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("ranges").alias(f"r_{k}"))
     apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     # sets that link differ in n_a + n_b - 2 i shingles at most, and in as many as their ranges at least
     most = F.col("n_a") + F.col("n_b") - 2 * F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     pairs = materialise(pairs.join(of("a"), "a").join(of("b"), "b").filter(apart <= most).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("__id"), "sig")
 
-    @F.pandas_udf("boolean")
-    def same(texts: pd.Series, sigs: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh128_digest(np.unique(shingle_hashes(t, width)).tobytes()) == s for t, s in zip(texts, sigs)], dtype=bool)
+    @F.pandas_udf("array<long>")
+    def whole_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")))
-    # a doc_id that stands on different texts is told apart by its signature
-    texts = texts.filter(same("text", "sig")).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts)
-
-    @F.pandas_udf("boolean")
-    def links(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, sets = [], {}
-
-        def of(text):
-            if text not in sets:
-                if len(sets) > 200:
-                    sets.clear()
-                sets[text] = np.unique(shingle_hashes(text, width))
-            return sets[text]
-
-        for x, y in zip(left, right):
-            a, b = of(x), of(y)
-            i = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * i >= percent * (len(a) + len(b) - i))
-        return pd.Series(out, dtype=bool)
-
-    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t_{k}")) for k in "ab")
-    return materialise(pairs.join(left, "a").join(right, "b").filter(links("t_a", "t_b")).select("a", "b"))
+    texts = docs.select(F.col("__row").alias("node"), "text").join(wanted, "node")
+    sets = materialise(texts.select("node", whole_set("text").alias("h")))
+    left, right = (sets.select(F.col("node").alias(k), F.col("h").alias(f"h_{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("h_a", "h_b"))
+    return materialise(both.filter((100 + percent) * common >= percent * (F.size("h_a") + F.size("h_b"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents by links between their shingle sets: one row per row of docs(doc_id, text).
 
-    Returns doc_id, n_shingles, sig, component_id (the smallest doc_id reachable by links).  Two
-    sets link when 100 * intersection >= percent * union.  Rows with equal sets are one node.
+    Returns doc_id, n_shingles, sig (of the set), component_id (the smallest doc_id reachable by links).
+    Two sets link when 100 * intersection >= percent * union.  Rows with equal sets are one node.
 
     Nodes meet in the lists of their prefix shingles.  First every node is compared with one
     leader: of the entries with the fewest rarer shingles in its lists, the one it meets most.  Then, in
     lists that still hold several components, all pairs across components are compared that pass the
-    filters and were not compared before.  Pairs inside one component need no comparison, so a
-    group of thousands of near copies costs about one comparison a member, and no link between
-    components is lost.
+    filters and were not compared before; a long list is dealt out in parts.  Pairs inside one component
+    need no comparison, so a group of thousands of near copies costs about one comparison a member, and
+    no link between components is lost.
+
+    Null, empty and blank texts: no shingles, linked with nothing, sig null.  Equal rows: equal results.
+    A null doc_id takes part but is no component_id unless it is alone.  Further columns are left aside;
+    an empty table gives an empty result."""
+    return _classes(keyed(docs.select("doc_id", "text")), width, percent).drop("__row", "__first")
+
 
-    Null, empty and blank texts: no shingles, linked with nothing, sig null.  Equal rows: equal
-    results.  A null doc_id takes part but is no component_id unless it is alone."""
-    rows = materialise(shingle_sets(docs.select("doc_id", "text"), width, percent).select("doc_id", "__set.*"))
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates of docs(__row, doc_id, text) with __row and whether the row is its class's first."""
+    rows = materialise(shingle_sets(docs.select("__row", "doc_id", "text"), width, percent).select("__row", "doc_id", "__set.*"))
     some = rows.filter("n > 0")
-    nodes = some.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = some.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("__row").alias("node"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("first_row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
+    nodes = materialise(nodes)
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "node", "n")).alias("lead")).filter("size > 1")
     shared = materialise(entries.join(lists, "token"))
@@ -202,24 +177,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     edges = _verified(first, nodes, docs, width, percent)
     labels = connected_components(edges)
     place = shared.select("token", "node", "n", "pos").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = place.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    place = materialise(place.join(open_lists, "token"))
-    x, y = place.alias("x"), place.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y", percent))
+    open_lists = place.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / LIST_PART).alias("parts")).filter("low < high")
+    place = materialise(place.join(open_lists.select("token", "parts"), "token"))
+    x = place.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = place.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y", percent))
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, width, percent)
     labels = connected_components(edges.union(more))
-    named = nodes.select("node", "sig", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "root").select(F.col("sig").alias("__sig"), "component_id")
-    out = rows.select("doc_id", "n", "sig").join(named, F.col("sig") == F.col("__sig"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs without all but one document of each class: the one whose doc_id names it, once.
-    Rows without a doc_id can't be told apart and stay; so do different texts of one kept doc_id."""
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.md5("text")).dropDuplicates(["doc_id", "__text"])
-    return once.select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    named = nodes.select("node", "sig", "doc_id", "first_row").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # one node stands for its class: that with the smallest doc_id, and its first row with it
+    best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).getField("node").alias("best"))
+    named = named.join(best, "root").select(F.col("sig").alias("__sig"), "component_id", F.when(F.col("node") == F.col("best"), F.col("first_row")).alias("first_row"))
+    out = rows.select("__row", "doc_id", "n", "sig").join(named, F.col("sig") == F.col("__sig"), "left")
+    is_first = F.col("sig").isNull() | F.coalesce(F.col("__row") == F.col("first_row"), F.lit(False))
+    return out.select("__row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"), is_first.alias("__first"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each class of near_duplicates: a row with the class's smallest
+    doc_id, one without a doc_id only where no row of the class has one.
+
+    Rows are told apart by a key of their own, so null and repeated ids, and one id on different texts,
+    keep one row a class as well.  Null, empty and blank texts link with nothing and all stay.  An empty
+    table gives an empty result; columns of any name pass through."""
+    rows = keyed(docs)
+    kept = _classes(rows, width, percent).filter("__first").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIndex, ship
+from .common import KEEP_BYTES, WordIndex, held, ship
 
 #: Length of the longest n-grams.
 ORDER = 4
@@ -17,8 +17,6 @@ ORDER = 4
 TRAIN_ROWS = 800
 #: Characters that a word's model reads; longer words count in parts of this length.
 WORD_PART = 40
-#: Words kept with their scores in a Python worker; emptied when full, which only costs time.
-KEPT = 200_000
 #: A text is rejected if its cross-entropy lies further above its language's training mean than this
 #: many standard deviations, those of texts of its length; and than any training text did.
 REJECT_SD = 20.0
@@ -155,7 +153,7 @@ class Scorer:
 
     def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits by text and language, and characters by text."""
-        if len(self.index) > KEPT:
+        if self.index.bytes + self.bits.nbytes > KEEP_BYTES:
             self.reset()
         lookup = self.index.__getitem__
         rows = [np.fromiter(map(lookup, split_words(t)), dtype=np.int64) for t in texts]
@@ -214,9 +212,6 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER) -> dict[s
     return models
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(docs: DataFrame, models: dict[str, Model], column: str = "__language") -> DataFrame:
     """docs with a struct column (lang, score, entropy, rejected) from its column text.
 
@@ -234,10 +229,8 @@ def identify(docs: DataFrame, models: dict[str, Model], column: str = "__languag
 
         if not shared.value:
             return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "entropy": None, "rejected": True})
-        if id(shared.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(shared.value)] = Scorer(shared.value)
-        scorer = _scorers[id(shared.value)]
+        loaded = shared.value
+        scorer = held(("language", id(loaded)), lambda: Scorer(loaded))
         some = regex.compile(LETTER).search
         out = pd.DataFrame({"lang": "und", "score": 0.0, "entropy": np.nan, "rejected": True}, index=range(len(texts)))
         values = texts.tolist()

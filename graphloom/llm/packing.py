@@ -15,10 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, materialise, ship
+from .common import Recent, held, materialise, ship
 
-#: Pieces kept with their ids in a Python worker; some are let go when full, which only costs time.
-KEPT = 600_000
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of Latin letters and common marks: both libraries cut these alike.
@@ -41,7 +39,7 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():  # one character of a byte-level token is one byte
             self.width[i] = len(token)
-        self.pieces = Recent(KEPT, self._compute)
+        self.pieces = Recent(self._compute)
         self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -89,14 +87,9 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def in_bytes(rows, limit: int = BATCH_CHARS):

@@ -8,10 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, ship
+from .common import Recent, held, ship
 
-#: Pieces kept with their counts in a Python worker; some are let go when full, which only costs time.
-KEPT = 600_000
 #: Characters of texts, or of new pieces, that are taken at once.
 BATCH_CHARS = 1 << 20
 #: A space that starts a new piece.  In the vocabulary a word mark is only first in a piece or
@@ -27,7 +25,7 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = Recent(KEPT, self._compute)
+        self.pieces = Recent(self._compute)
 
     def _compute(self, pieces: list[str]) -> list[int]:
         out, start, size = [], 0, 0
@@ -48,13 +46,8 @@ class PieceCounter:
         return self.count_all([text])[0]
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter(path: str) -> PieceCounter:
-    if path not in _counters:
-        _counters[path] = PieceCounter(path)
-    return _counters[path]
+    return held(("counter", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIndex, ship
+from .common import KEEP_BYTES, WordIndex, held, ship
 
 #: Labelled rows of each class that the model is fit on at most (expected): the sample's bound.
 TRAIN_ROWS = 6_000
@@ -30,8 +30,6 @@ STEM_Z = 6.0
 LEAST_Z = 4.0
 #: A passage counts as significant at this expected number of chance passages in a text of its length.
 LEAST_E = 0.05
-#: Words kept with their scores in a Python worker; emptied when full, which only costs time.
-KEPT = 300_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -89,7 +87,7 @@ class ToxicScorer:
             new, self.index.new = self.index.new, []
             self.values = np.r_[self.values, [self.model.token(w) for w in new]]
         out = self.values[rows]
-        if len(self.index) > KEPT:
+        if self.index.bytes > KEEP_BYTES:
             self.reset()
         return out
 
@@ -190,9 +188,6 @@ def _calibrate(model: ToxicModel, held: pd.DataFrame, sizes: dict[int, int]) ->
     model.slope, model.level = best[1:]
 
 
-_scorers: dict[int, ToxicScorer] = {}
-
-
 def score_toxicity(docs: DataFrame, model: ToxicModel, column: str = "__toxicity") -> DataFrame:
     """docs with a struct column (score, passages) from its column text.
 
@@ -204,10 +199,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, column: str = "__toxicity
 
     @F.pandas_udf("score double, passages array<struct<first:int,last:int,score:double>>")
     def rate(texts: pd.Series) -> pd.DataFrame:
-        if id(shared.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(shared.value)] = ToxicScorer(shared.value)
-        scorer = _scorers[id(shared.value)]
+        model = shared.value  # a scorer holds its model, so that the model's id stands for it alone
+        scorer = held(("toxicity", id(model)), lambda: ToxicScorer(model))
         score, found = [], []
         for t in texts:
             strong, evidence = scorer.passages(t or "")

@@ -78,23 +78,28 @@ def test_plan_uses_every_slot_once():
 def test_token_counts(spark, rows):
     path = vocabulary("piece_bpe_32k.model")
     got = {r["doc_id"]: r for r in tokencount.count_tokens(docs_of(spark, rows), path).collect()}
-    model = tokencount.counter(path).model
+    counter = tokencount.counter(path)
+    model, enc = counter.model, packing.encoder(vocabulary("byte_bpe_50k.json"))
     for i, text, *_ in rows:
         assert got[i]["n_tokens"] == (len(model.encode(text)) if text else 0)
         assert got[i]["n_bytes"] == len((text or "").encode())
     rnd = random.Random(3)
     for _ in range(500):
         t = "".join(rnd.choice("ab ▁\n<>s|é. ") for _ in range(rnd.randint(0, 12)))
-        assert tokencount.counter(path).count(t) == len(model.encode(t))
-        enc = packing.encoder(vocabulary("byte_bpe_50k.json"))
+        assert counter.count(t) == len(model.encode(t))
         assert enc.encode(t) == np.array(enc.model.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def brute_classes(rows, width, percent):
+def brute_sets(rows, width):
     sets = []
     for i, text, *_ in rows:
         w = (text or "").encode().lower().split()
         sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    return sets
+
+
+def brute_labels(rows, width, percent):
+    sets = brute_sets(rows, width)
     label = list(range(len(rows)))
     changed = True
     while changed:
@@ -106,6 +111,11 @@ def brute_classes(rows, width, percent):
                     low, high = sorted((label[a], label[b]))
                     label = [low if v == high else v for v in label]
                     changed = True
+    return label
+
+
+def brute_classes(rows, width, percent):
+    sets, label = brute_sets(rows, width), brute_labels(rows, width, percent)
     ids = {}
     for (i, *_), v in zip(rows, label):
         if i is not None:
@@ -129,6 +139,28 @@ def test_jaccard(spark, rows, width, percent):
     assert jaccard.near_duplicates(docs_of(spark, []), width, percent).count() == 0
 
 
+def test_one_of_each(spark, rows):
+    """One row a class, also with null ids, repeated rows and one id on different texts."""
+    base = " ".join(f"w{i}" for i in range(60))
+    more = [*rows, (None, base, "aa", "x"), (None, base, "aa", "y"), (None, base + " end", "aa", "x"), (500, "other text of its own", "aa", "x"), (500, base + " tail", "aa", "x"), (501, base, "aa", "x"), (None, None, "aa", "x"), (None, "", "aa", "x")]
+    docs = docs_of(spark, more)
+    got = jaccard.one_of_each(docs, 5, 80)
+    assert got.columns == docs.columns
+    sets, label = brute_sets(more, 5), brute_labels(more, 5, 80)
+    where = {}
+    for (i, text, *_), s, v in zip(more, sets, label):
+        where.setdefault((i, text), []).append(v if s else None)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    per = {}
+    for k in kept:
+        if (v := where[k][0]) is not None:
+            per[v] = per.get(v, 0) + 1
+            assert k[0] == min((i for (i, *_), w in zip(more, label) if w == v and i is not None), default=None)
+    assert per == {v: 1 for s, v in zip(sets, label) if s}
+    assert len([k for k in kept if where[k][0] is None]) == sum(not s for s in sets)
+    assert jaccard.one_of_each(docs_of(spark, [])).count() == 0
+
+
 def test_mixing(spark, rows):
     docs = docs_of(spark, rows)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
