@@ -73,11 +73,12 @@ def package_name(specifier: Column) -> Column:
 
 
 def diagram_id(value: Column) -> Column:
-    return F.regexp_replace(value, "[^A-Za-z0-9_]", "_")
+    return F.concat(F.lit("n_"), F.regexp_replace(value, "[^a-zA-Z0-9_]", "_"))
 
 
 def diagram_text(value: Column) -> Column:
-    return F.replace(F.replace(value, F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    """Text in quotes: a backslash before quotes and backslashes, spaces for line breaks."""
+    return F.replace(F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit("\n"), F.lit(" "))
 
 
 def human_bytes(value: Column) -> Column:
@@ -88,8 +89,3 @@ def human_bytes(value: Column) -> Column:
 
     small = F.concat(value.cast("long").cast("string"), F.lit(" B"))
     return F.when(value < 1024, small).when(value < 1024**2, scaled(1, "KB")).when(value < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
-
-
-def order_key(value: Column, mode: str = "codeunit") -> Column:
-    """Binary order by default; 'unicode' for language-aware order."""
-    return value if mode == "codeunit" else F.collate(value, "UNICODE")

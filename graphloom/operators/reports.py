@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators.graph import levels
 from graphloom.schema import IMPACT_KINDS, STRUCTURE_KINDS
+from graphloom.sources.shared import written
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,18 +51,19 @@ def file_relationships(nodes: DataFrame, edges: DataFrame, path: str) -> DataFra
     return out.unionByName(into).join(far, "other").select("direction", "kind", "other", "other_name", "other_path").distinct()
 
 
-def impacted_files(nodes: DataFrame, edges: DataFrame, path: str, max_depth: int = 3) -> DataFrame:
-    """Files that reach a file over impact edges: path, depth and the kinds of the level that found it."""
+def impacted_files(nodes: DataFrame, edges: DataFrame, path: str, max_depth: int = 3, max_results: int | None = 50) -> DataFrame:
+    """Files that reach a file over impact edges: path, depth and the kinds of the edges into the level before;
+    the first max_results by depth and path."""
     at = nodes.filter(F.col("path").isNotNull()).select("id", "path")
     e = edges.filter(F.col("kind").isin(*IMPACT_KINDS))
     e = e.join(at.select(F.col("id").alias("src"), F.col("path").alias("f")), "src").join(at.select(F.col("id").alias("dst"), F.col("path").alias("t")), "dst")
-    between = e.filter("f <> t").select(F.col("f").alias("src"), F.col("t").alias("dst"), "kind").distinct()
+    between = written(e.filter("f <> t").select(F.col("f").alias("src"), F.col("t").alias("dst"), "kind").distinct())
     start = nodes.sparkSession.createDataFrame([(path,)], "id string")
     seen = levels(between, start, "incoming", None, max_depth).select(F.col("id").alias("path"), "depth")
     near = seen.select(F.col("path").alias("dst"), (F.col("depth") + 1).alias("depth"))
     kinds = between.join(near, "dst").select(F.col("src").alias("path"), "depth", "kind")
     kinds = seen.filter("depth > 0").join(kinds, ["path", "depth"]).groupBy("path", "depth").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    return kinds
+    return kinds if max_results is None else kinds.orderBy("depth", "path").limit(max_results)
 
 
 def change_impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -105,9 +109,75 @@ def diff_edges(base: DataFrame, target: DataFrame) -> DataFrame:
     return added.unionByName(base.join(target, key, "left_anti").select(F.lit("removed").alias("change"), *key))
 
 
+def diff_summary(base_nodes: DataFrame, target_nodes: DataFrame, base_edges: DataFrame, target_edges: DataFrame) -> DataFrame:
+    """One row of nine counters: files, symbols, routes and edges added and removed, and files in both.
+
+    Nodes meet by kind, path and name, each key once; edges by ends and kind, every row counting."""
+    key = lambda g, mark: g.select("kind", F.coalesce("path", F.lit("")).alias("path"), "name").distinct().withColumn(mark, F.lit(True))
+    both = key(base_nodes, "b").join(key(target_nodes, "t"), ["kind", "path", "name"], "full_outer")
+    added, removed, kept = F.col("b").isNull(), F.col("t").isNull(), F.col("b").isNotNull() & F.col("t").isNotNull()
+    per = [F.count_if((F.col("kind") == k) & hit).alias(f"{name}_{k}s") for k in ("file", "symbol", "route") for name, hit in (("added", added), ("removed", removed))]
+    n = both.agg(*per, F.count_if((F.col("kind") == "file") & kept).alias("modified_files"))
+    e = diff_edges(base_edges, target_edges).agg(F.count_if(F.col("change") == "added").alias("added_edges"), F.count_if(F.col("change") == "removed").alias("removed_edges"))
+    return n.crossJoin(e)  # one row each
+
+
+def breaking_warnings(base: DataFrame, target: DataFrame) -> DataFrame:
+    """Warnings of exported symbols and routes that the target lacks, one for each key."""
+    key = ["kind", "place", "name"]
+    at = lambda g: g.withColumn("place", F.coalesce("path", F.lit("")))
+    gone = at(base).filter(F.col("kind").isin("symbol", "route")).join(at(target).select(*key), key, "left_anti")
+    gone = gone.groupBy(*key).agg(F.max_by("exported", "id").alias("exported"))  # of nodes with one key the last counts
+    symbol = F.format_string("Exported symbol `%s` in `%s` was removed.", "name", F.when(F.col("place") == "", "unknown").otherwise(F.col("place")))
+    text = F.when(F.col("kind") == "route", F.format_string("Route endpoint `%s` was removed.", "name")).when(F.col("exported"), symbol)
+    return gone.select("kind", "name", text.alias("warning")).filter("warning IS NOT NULL")
+
+
+def affected(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """what, id, name, path of a change set's affected routes, tests, schemas and public exports, from
+    reached(id, depth).  A symbol whose name says test is a test wherever it lies."""
+    n = nodes.join(reached.select("id", "depth"), "id", "left")
+    seen, path = F.col("depth").isNotNull(), F.coalesce("path", F.lit(""))
+    marks = F.array_compact(
+        F.array(
+            F.when(seen & (F.col("kind") == "route"), "route"),
+            F.when(((F.col("kind") == "symbol") & F.lower("name").contains("test")) | (path.contains("test") & seen), "test"),
+            F.when(seen & (F.col("kind") == "schema"), "schema"),
+            F.when((F.col("depth") == 0) & (F.col("kind") == "symbol") & F.coalesce("exported", F.lit(False)), "export"),
+        )
+    )
+    return n.select(F.explode(marks).alias("what"), "id", "name", "path")
+
+
+def change_summary(nodes: DataFrame, changes: DataFrame, reached: DataFrame) -> DataFrame:
+    """One row: the sentence that sums a change set up."""
+    direct = reached.agg(F.count_if(F.col("depth") == 0).alias("direct"))
+    risk = change_risk(nodes, changes, reached).crossJoin(direct)  # one row each
+    text = "PR touches %d file(s) impacting %d direct node(s) and %d transitive node(s). %d route(s) and %d public export(s) affected. Risk score: %d/100 (%s)."
+    return risk.select(F.format_string(text, "files", "direct", "transitive", "routes", "exports", "score", F.upper("level")).alias("summary"))
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """Equal edges (src, dst, kind) become one: the smallest id, the sorted union of evidence."""
-    return edges.groupBy("src", "dst", "kind").agg(F.min("id").alias("id"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    """Equal edges (src, dst, kind, provenance, confidence) become one: the smallest id, the sorted union of
+    evidence.  Evidence is made distinct before it is gathered, so a hot edge's repeats don't add up."""
+    key = ["src", "dst", "kind", "provenance", "confidence"]
+    ids = edges.groupBy(*key).agg(F.min("id").alias("id"))
+    rows = edges.select(*key, F.explode_outer("evidence").alias("evidence"))
+    seen = rows.groupBy(*key).agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
+    same = [ids[c].eqNullSafe(seen[c]) for c in key]
+    return ids.join(seen, same).select(*[ids[c] for c in key], "id", "evidence")
+
+
+#: Codes of diagnostics by class; a code may be in several.
+SYNTAX = r"(?i)SYNTAX|PARSE|PARSE_ERROR|UNSUPPORTED_SYNTAX"
+UNRESOLVED = r"(?i)IMPORT|UNRESOLVED|MISSING_MODULE|MODULE_NOT_FOUND"
+UNSUPPORTED = r"(?i)UNSUPPORTED|UNSUPPORTED_FILE|FILE_TYPE"
+
+
+def diagnostic_counts(diagnostics: DataFrame, *by: str) -> DataFrame:
+    """Diagnostics of each class, by the given columns."""
+    code = F.col("code")
+    return diagnostics.groupBy(*by).agg(F.count_if(code.rlike(SYNTAX)).alias("syntax"), F.count_if(code.rlike(UNRESOLVED)).alias("unresolved"), F.count_if(code.rlike(UNSUPPORTED)).alias("unsupported"))
 
 
 def health(total_files: Column, syntax: Column, unresolved: Column, skipped: Column, truncated: Column) -> Column:
@@ -117,7 +187,10 @@ def health(total_files: Column, syntax: Column, unresolved: Column, skipped: Col
 
 
 #: Words of questions that don't count.
-STOP_WORDS = ("the", "and", "for", "where", "what", "which", "how", "does", "this", "that", "with", "from")
+STOP_WORDS = ("and", "are", "does", "from", "how", "repository", "the", "this", "what", "where", "which", "with")
+ABOUT_ROUTES = r"(?i)\b(api|endpoint|request|route)\b"
+#: Questions that a local answer knows, and the words it ignores.
+ABOUT_LOGIN, ABOUT_API = r"auth|login|session", r"route|api|request|endpoint"
 
 
 def question_tokens(question: Column) -> Column:
@@ -126,24 +199,109 @@ def question_tokens(question: Column) -> Column:
     return F.slice(F.filter(F.array_distinct(found), lambda t: ~t.isin(*STOP_WORDS)), 1, 12)
 
 
+def fact(name: Column, kind: Column, path: Column, method: Column) -> Column:
+    """What a node's fact says."""
+    what = F.when(kind == "route", F.concat_ws(" ", method, name)).otherwise(F.concat_ws(" ", kind, name))
+    return F.concat(what, F.lit(" is declared in "), path, F.lit("."))
+
+
 def answer(nodes: DataFrame, question: str, k: int = 10) -> DataFrame:
-    """Nodes that answer a question: by tokens held, routes first where the question is about them."""
+    """Facts that answer a question, best first: place, citation, id, score, path, text.
+
+    A located node scores 1 for each token it holds, and 100 if it is a route and the question is about
+    them; ties by path, then name."""
     tokens = question_tokens(F.lit(question))
     hay = F.lower(F.concat_ws(" ", "name", "kind", "path", "symbol_kind", "method"))
     score = F.size(F.filter(tokens, lambda t: F.contains(hay, t)))
-    routes = F.lit(question).rlike(r"(?i)\b(route|api|endpoint|request)s?\b") & (F.col("kind") == "route")
-    ranked = nodes.withColumn("score", (score + F.when(routes, 100).otherwise(0)).cast("long")).filter("score > 0")
-    return ranked.orderBy(F.desc("score"), F.coalesce("path", F.lit("")), "name").limit(k).select("id", "score")
+    routes = F.lit(question).rlike(ABOUT_ROUTES) & (F.col("kind") == "route")
+    scored = nodes.filter("path IS NOT NULL").withColumn("score", (score + F.when(routes, 100).otherwise(0)).cast("long")).filter("score > 0")
+    order = [F.desc("score"), "path", "name", "id"]
+    best = scored.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    text = fact(F.col("name"), F.col("kind"), F.col("path"), F.col("method"))
+    return best.select("place", F.concat(F.lit("citation-"), F.col("place").cast("string")).alias("citation"), "id", "score", "path", text.alias("text"))
+
+
+def answer_confidence(facts: DataFrame) -> DataFrame:
+    """One row: how sure an answer is, and what it doesn't know."""
+    n = F.count(F.lit(1))
+    sure = F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("insufficient")
+    return facts.agg(n.alias("facts"), sure.alias("confidence"), F.when(n == 0, "Indexed graph contains insufficient evidence to answer this question.").alias("unknown"))
+
+
+def local_answer(question: str, symbols: DataFrame, routes: DataFrame) -> DataFrame:
+    """place, title, evidence: what a model's symbols(name, path, line) and routes(method, route, path, line) say to
+    a question, from the first match in file and line order; one row without evidence if nothing does."""
+    asked = question.lower()
+    at = lambda *parts: F.concat_ws(":", *parts)
+    if re.search(ABOUT_LOGIN, asked):
+        hit = symbols.filter(F.concat("name", "path").rlike(f"(?i){ABOUT_LOGIN}"))
+        rows, k, evidence = hit, 8, at("path", F.col("line").cast("string"))
+        titles = F.lit("Authentication-related code found"), F.lit("No authentication implementation verified")
+    elif re.search(ABOUT_API, asked):
+        rows, k, evidence = routes, 10, F.concat(F.concat_ws(" ", "method", "route"), F.lit(" — "), "path")
+        titles = F.lit(None), F.lit("0 route definitions detected")
+    else:
+        tokens = [t for t in re.split(r"\W+", asked, flags=re.ASCII) if len(t) > 2]
+        hay = F.lower(F.concat("name", "path"))
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | hay.contains(t)
+        rows, k, evidence = symbols.filter(hit), 10, F.concat("name", F.lit(" — "), at("path", F.col("line").cast("string")))
+        titles = F.lit(None), F.lit("No supported answer found")
+    order = ["path", "line", evidence]
+    first = rows.orderBy(*order).limit(k).select(F.row_number().over(Window.orderBy(*order)).alias("place"), evidence.alias("evidence"))
+    # routes are counted as a whole, definitions as shown
+    n = rows.agg(F.count(F.lit(1)).alias("n")) if re.search(ABOUT_API, asked) and not re.search(ABOUT_LOGIN, asked) else first.agg(F.count(F.lit(1)).alias("n"))
+    shown = n.join(first, F.lit(True), "left")  # one row, and at most ten
+    counted = F.concat(F.col("n").cast("string"), F.lit(" route definitions detected" if re.search(ABOUT_API, asked) else " relevant definitions found"))
+    title = F.when(F.col("n") == 0, titles[1]).otherwise(F.coalesce(titles[0].cast("string"), counted))
+    return shown.select(F.coalesce("place", F.lit(0)).alias("place"), title.alias("title"), "evidence")
+
+
+#: Longest lists of the compatibility model.
+LEGACY_EDGES, LEGACY_SYMBOLS, LEGACY_ROUTES = 800, 1_500, 300
+
+
+def legacy_lists(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Lists of the compatibility model by name, one item a row: imports between a file and what it names,
+    symbols by file, line, name and kind, routes by method, packages that edges lead to, and files."""
+    files = nodes.filter((F.col("kind") == "file") & F.col("path").isNotNull())
+    line = F.col("line") if "line" in nodes.columns else F.lit(None)
+    e = edges.filter(F.col("kind").isin("imports", "requires")).join(files.select(F.col("id").alias("src"), "path"), "src")
+    kind = F.when(F.col("kind") == "requires", "require").otherwise("import").alias("kind")
+    e = e.select("path", "dst", kind).distinct().orderBy("path", "dst", "kind").limit(LEGACY_EDGES)
+    symbols = nodes.filter((F.col("kind") == "symbol") & F.col("path").isNotNull()).withColumn("at", F.lpad(F.coalesce(line, F.lit(1)).cast("string"), 10, "0"))
+    symbols = symbols.orderBy("path", "at", "name", "symbol_kind").limit(LEGACY_SYMBOLS)
+    routes = nodes.filter((F.col("kind") == "route") & F.col("path").isNotNull()).withColumn("one", F.explode(F.split("method", ",")))
+    routes = routes.orderBy("path", "name", "one").limit(LEGACY_ROUTES)
+    packages = nodes.filter("kind = 'package'").join(edges.select(F.col("dst").alias("id")), "id", "left_semi")
+    item = lambda *c: F.concat_ws(":", *c).alias("item")
+    return {
+        "edges": e.select(item("path", "dst", "kind")),
+        "symbols": symbols.select(item("path", "at", "name", "symbol_kind")),
+        "routes": routes.select(item("path", "name", "one")),
+        "dependencies": packages.select(F.col("name").alias("item")).distinct(),
+        "sources": files.select(F.col("path").alias("item")),
+    }
 
 
 def diagram_lines(nodes: DataFrame, edges: DataFrame, k: int = 50) -> DataFrame:
-    """Lines of a flow diagram: the first k non-structure edges in order, with an arrow by kind."""
+    """place, line of a flow diagram: of the first k edges other than structure, sorted by their ends and kind, each
+    node where it is first met and each edge with an arrow by kind.  Edges without an end are left out."""
     e = edges.filter(~F.col("kind").isin(*STRUCTURE_KINDS)).orderBy("src", "dst", "kind").limit(k)
-    names = nodes.select("id", X.diagram_text(F.col("name")).alias("label"))
+    e = e.withColumn("n", F.row_number().over(Window.orderBy(F.concat("src", "dst", "kind"))))  # k rows
+    label = F.concat(F.lit('["'), X.diagram_text(F.col("name")), F.lit(" ("), F.col("kind"), F.lit(')"]'))
+    names = nodes.select("id", label.alias("label"))
+    both = e.join(names.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    both = written(both)
+    ends = both.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("a").alias("label"), (3 * F.col("n")).alias("at")), F.struct(F.col("dst").alias("id"), F.col("b").alias("label"), (3 * F.col("n") + 1).alias("at")))).alias("x")).select("x.*")
+    boxes = ends.groupBy("id", "label").agg(F.min("at").alias("at")).select("at", F.concat(F.lit("  "), X.diagram_id(F.col("id")), "label").alias("line"))
     arrow = F.when(F.col("kind") == "calls", "-->").when(F.col("kind") == "imports", "-.->").otherwise("==>")
-    e = e.join(names.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
-    box = lambda i, l: F.concat(X.diagram_id(F.col(i)), F.lit('["'), F.col(l), F.lit('"]'))
-    return e.select(F.concat(box("src", "a"), F.lit(" "), arrow, F.lit("|"), F.col("kind"), F.lit("| "), box("dst", "b")).alias("line"))
+    flows = both.select((3 * F.col("n") + 2).alias("at"), F.concat(F.lit("  "), X.diagram_id(F.col("src")), F.lit(" "), arrow, F.lit('|"'), "kind", F.lit('"| '), X.diagram_id(F.col("dst"))).alias("line"))
+    head = nodes.sparkSession.createDataFrame([(0, "graph TD")], "at int, line string")
+    lines = head.unionByName(boxes).unionByName(flows)
+    empty = lines.agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.lit(1).alias("at"), F.lit("  no_edges[No structural relationships found]").alias("line"))
+    return lines.unionByName(empty).select((F.row_number().over(Window.orderBy("at")) - 1).alias("place"), "line")  # at most 3 k + 1 rows
 
 
 def admission(entries: DataFrame, max_files: int, max_bytes: int, by=None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators import contracts as C
 from graphloom.operators import graph as G
 from graphloom.operators import reports as R
 from graphloom.plans.registry import query
@@ -63,10 +64,60 @@ def graph_shortest_path(spark, d):
     return G.shortest_path(e, START, far or START, "outgoing", None, 4)
 
 
-@query("graph_impact_budget")
+RANKED = FX + """, re AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) - 1 AS pos FROM fx_edges), rn AS (SELECT *, row_number() OVER (ORDER BY id || '"') - 1 AS pos FROM fx_nodes),
+tot AS (SELECT (SELECT count(*) FROM fx_edges) AS e, (SELECT count(*) FROM fx_nodes) AS n),
+near AS (SELECT next, pos, row_number() OVER (ORDER BY pos) AS r FROM (SELECT CASE WHEN src = 'file:nation/3' THEN dst ELSE src END AS next, min(pos) AS pos FROM re WHERE pos < 10000 AND src <> dst AND (src = 'file:nation/3' OR dst = 'file:nation/3') GROUP BY 1))"""
+
+
+@query("graph_impact_budget", RANKED + " SELECT 'file:nation/3' AS id, 0 AS depth UNION ALL SELECT next, 1 FROM near WHERE r < 50")
 def graph_impact_budget(spark, d):
-    small = edges(spark, d).filter(F.col("kind").isin("depends-on", "contains"))
-    return G.sequential_bfs(small, FAR, "both", None, 4, 10_000, 50)[0]
+    """The budget of 10,000 scans is spent at the first node, as there are more edges."""
+    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4, 10_000, 50)[0].select("id", "depth")
+
+
+@query("impact_tree", RANKED + " SELECT src, dst, kind FROM near JOIN re USING (pos) WHERE r < 50")
+def impact_tree(spark, d):
+    """Edges by which a bounded impact met its nodes."""
+    return G.answer_impact(nodes(spark, d), edges(spark, d), FAR, "both", None, 4)[1]
+
+
+NEAR = """hit AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM re WHERE pos < 10000 AND (src = 'file:nation/3' OR dst = 'file:nation/3') AND kind IN ('contains', 'declares')),
+page AS (SELECT * FROM hit WHERE r > 1 AND r <= 8), ends AS (SELECT src AS id FROM page UNION SELECT dst FROM page UNION SELECT 'file:nation/3')"""
+
+
+@query("neighbor_nodes", RANKED + f", {NEAR} SELECT id, kind, name FROM fx_nodes WHERE id IN (SELECT id FROM ends)")
+def neighbor_nodes(spark, d):
+    """Nodes of a page of neighbours, the node itself among them."""
+    return G.answer_neighbors(nodes(spark, d), edges(spark, d), FAR, "both", ("contains", "declares"), 1, max_results=7)[0].select("id", "kind", "name")
+
+
+@query("query_envelope", RANKED + f""", {NEAR},
+sm AS (SELECT pos, row_number() OVER (ORDER BY pos) AS r FROM rn WHERE pos < 10000 AND kind IN ('file', 'symbol') AND contains(lower(concat_ws(chr(0), id, name, kind, path, symbol_kind, method)), 'nation_1')),
+so AS (SELECT min(pos) FILTER (r = 8) AS over, count(*) FILTER (r > 2 AND r <= 7) AS n FROM sm), no AS (SELECT min(pos) FILTER (r = 9) AS over FROM hit),
+xm AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM re WHERE pos < 10000 AND (src = 'file:part/1' OR dst = 'file:part/1')), xo AS (SELECT min(pos) FILTER (r = 51) AS over, count(*) FILTER (r <= 50) AS n FROM xm),
+xe AS (SELECT src AS id FROM xm WHERE r <= 50 UNION SELECT dst FROM xm WHERE r <= 50 UNION SELECT 'file:part/1'), io AS (SELECT count(*) FILTER (r < 50) AS n, min(pos) FILTER (r = 50) AS over FROM near), pt AS (SELECT min_by(dst, pos) AS t, min(pos) AS pos FROM re WHERE src = 'file:part/1' AND dst = (SELECT min(dst) FROM fx_edges WHERE src = 'file:part/1'))
+SELECT 'search' AS query, n AS nodes, 0::BIGINT AS edges, NULL::VARCHAR AS path, coalesce(over + 1, least((SELECT n FROM tot), 10000)) AS cost, over IS NOT NULL OR (SELECT n FROM tot) > 10000 AS truncated, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT n FROM tot) > 10000 THEN 'cost' END AS truncation_reason, CASE WHEN over IS NOT NULL THEN 7 END::BIGINT AS next_cursor FROM so
+UNION ALL SELECT 'node', 1, 0, NULL, 1, false, NULL, NULL
+UNION ALL SELECT 'neighbors', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM ends)), (SELECT count(*) FROM page), NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 8 END FROM no
+UNION ALL SELECT 'explain', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM xe)), n, NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 50 END FROM xo
+UNION ALL SELECT 'impact', n + 1, n, NULL, coalesce(over + 1, 10000), true, CASE WHEN over IS NOT NULL THEN 'results' ELSE 'cost' END, NULL FROM io
+UNION ALL SELECT 'shortestPath', 2, 1, 'file:part/1 > ' || t, pos + 1, false, NULL, NULL FROM pt""")
+def query_envelope(spark, d):
+    """Envelopes of every kind of query under its budget: counts, path, cost, truncation and next cursor."""
+    n, e = nodes(spark, d), edges(spark, d)
+    far = e.filter(F.col("src") == START).agg(F.min("dst")).first()[0]
+    out = [
+        G.answer_search(n, "Nation_1", ("file", "symbol"), 2, max_results=5)[-1],
+        G.answer_node(n, FAR)[-1],
+        G.answer_neighbors(n, e, FAR, "both", ("contains", "declares"), 1, max_results=7)[-1],
+        G.answer_explain(n, e, START)[-1],
+        G.answer_impact(n, e, FAR, "both", None, 4)[-1],
+        G.answer_path(n, e, START, far, "outgoing", None, 4)[-1],
+    ]
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionByName(part)
+    return rows.withColumn("path", F.when(F.col("path").isNotNull(), F.array_join("path", " > ")))
 
 
 @query("hub_modules", FILES + """, f AS (SELECT from_path AS path, 0 AS i, 1 AS o FROM fe UNION ALL SELECT to_path, 1, 0 FROM fe)
@@ -105,7 +156,7 @@ b AS (SELECT DISTINCT x.path AS f, y.path AS t, e.kind FROM fx_edges e JOIN fx_n
 walk(path, depth) AS (SELECT 'geo/EUROPE/NATION_3.ts', 0 UNION SELECT b.f, depth + 1 FROM walk JOIN b ON b.t = walk.path WHERE depth < 3),
 m AS (SELECT path, min(depth) AS depth FROM walk GROUP BY path)
 SELECT m.path, m.depth::INTEGER AS depth, string_agg(DISTINCT b.kind, ',' ORDER BY b.kind) AS kinds FROM m JOIN b ON b.f = m.path JOIN m AS n ON n.path = b.t AND n.depth = m.depth - 1
-WHERE m.depth > 0 GROUP BY 1, 2""")
+WHERE m.depth > 0 GROUP BY 1, 2 ORDER BY 2, 1 LIMIT 50""")
 def impacted_files(spark, d):
     return R.impacted_files(nodes(spark, d), edges(spark, d), "geo/EUROPE/NATION_3.ts")
 
@@ -120,7 +171,7 @@ def changes(spark, d):
 
 CHANGES = FX + """,
 ch AS (SELECT 'catalog/' || p_brand || '/' || p_type || '/' || p_partkey || '.js' AS path, CASE WHEN toxic = 1 THEN 'deleted' WHEN quality = 1 THEN 'modified' ELSE 'added' END AS status
-       FROM labels JOIN part ON doc_id = p_partkey WHERE doc_id % 10 = 0),
+       FROM labels JOIN part ON doc_id = p_partkey),
 near AS (SELECT src, dst FROM fx_edges WHERE kind NOT IN ('contains', 'declares')),
 walk(id, depth) AS (SELECT id, 0 FROM fx_nodes WHERE path IN (SELECT path FROM ch) UNION SELECT near.src, depth + 1 FROM walk JOIN near ON near.dst = walk.id WHERE depth < 4),
 reached AS (SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id)"""
@@ -136,17 +187,27 @@ def pr_transitive(spark, d):
     return R.change_impact(nodes(spark, d), edges(spark, d), changes(spark, d)).filter("depth > 0")
 
 
-@query("pr_affected", CHANGES + " SELECT kind, count(*) AS affected FROM reached JOIN fx_nodes USING (id) WHERE depth > 0 OR coalesce(exported, false) GROUP BY kind")
+@query("pr_affected", CHANGES + """ SELECT 'route' AS what, id, name, path FROM fx_nodes JOIN reached USING (id) WHERE kind = 'route' UNION ALL SELECT 'schema', id, name, path FROM fx_nodes JOIN reached USING (id) WHERE kind = 'schema'
+UNION ALL SELECT 'test', id, name, path FROM fx_nodes WHERE (kind = 'symbol' AND contains(lower(name), 'test')) OR (contains(path, 'test') AND id IN (SELECT id FROM reached))
+UNION ALL SELECT 'export', id, name, path FROM fx_nodes JOIN reached USING (id) WHERE depth = 0 AND kind = 'symbol' AND exported""")
 def pr_affected(spark, d):
-    hit = nodes(spark, d).join(R.change_impact(nodes(spark, d), edges(spark, d), changes(spark, d)), "id")
-    return hit.filter("depth > 0 OR coalesce(exported, false)").groupBy("kind").agg(F.count(F.lit(1)).alias("affected"))
+    return R.affected(nodes(spark, d), R.change_impact(nodes(spark, d), edges(spark, d), changes(spark, d)))
 
 
-@query("pr_risk", CHANGES + """,
+RISK = CHANGES + """,
 a AS (SELECT count(*) FILTER (depth = 0 AND kind = 'symbol' AND coalesce(exported, false)) AS exports, count(*) FILTER (kind = 'route') AS routes, count(*) FILTER (depth > 0) AS transitive FROM reached JOIN fx_nodes USING (id)),
 f AS (SELECT count(*) AS files, count(*) FILTER (status = 'deleted') AS deletions FROM ch),
-s AS (SELECT exports, routes, transitive, files, deletions, least(100, CASE WHEN files > 15 THEN 25 WHEN files > 5 THEN 15 ELSE 0 END + least(10 * deletions, 30) + least(10 * exports, 30) + least(15 * routes, 30) + CASE WHEN transitive > 20 THEN 20 WHEN transitive > 5 THEN 10 ELSE 0 END)::BIGINT AS score FROM a, f)
-SELECT *, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level FROM s""")
+s AS (SELECT exports, routes, transitive, files, deletions, least(100, CASE WHEN files > 15 THEN 25 WHEN files > 5 THEN 15 ELSE 0 END + least(10 * deletions, 30) + least(10 * exports, 30) + least(15 * routes, 30) + CASE WHEN transitive > 20 THEN 20 WHEN transitive > 5 THEN 10 ELSE 0 END)::BIGINT AS score FROM a, f),
+rs AS (SELECT *, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level FROM s)"""
+
+
+@query("pr_summary", RISK + """ SELECT printf('PR touches %d file(s) impacting %d direct node(s) and %d transitive node(s). %d route(s) and %d public export(s) affected. Risk score: %d/100 (%s).', files, (SELECT count(*) FROM reached WHERE depth = 0), transitive, routes, exports, score, upper(level)) AS summary FROM rs""")
+def pr_summary(spark, d):
+    n, c = nodes(spark, d), changes(spark, d)
+    return R.change_summary(n, c, R.change_impact(n, edges(spark, d), c))
+
+
+@query("pr_risk", RISK + " SELECT * FROM rs")
 def pr_risk(spark, d):
     c = changes(spark, d)
     return R.change_risk(nodes(spark, d), c, R.change_impact(nodes(spark, d), edges(spark, d), c))
@@ -176,11 +237,19 @@ def diff_edges(spark, d):
     return R.diff_edges(*versions(edges(spark, d), "src"))
 
 
-@query("diff_summary", BOTH + " SELECT 'node' AS what, change, kind, count(*) AS n FROM dn GROUP BY ALL UNION ALL SELECT 'edge', change, kind, count(*) FROM de GROUP BY ALL")
+@query("diff_summary", BOTH + """, m AS (SELECT count(*) AS n FROM (SELECT * FROM kb WHERE kind = 'file' INTERSECT SELECT * FROM kt)),
+eb2 AS (SELECT count(*) AS n FROM et WHERE (src, dst, kind) NOT IN (SELECT src, dst, kind FROM eb)), et2 AS (SELECT count(*) AS n FROM eb WHERE (src, dst, kind) NOT IN (SELECT src, dst, kind FROM et))
+SELECT count(*) FILTER (kind = 'file' AND change = 'added') AS added_files, count(*) FILTER (kind = 'file' AND change = 'removed') AS removed_files, (SELECT n FROM m) AS modified_files, count(*) FILTER (kind = 'symbol' AND change = 'added') AS added_symbols, count(*) FILTER (kind = 'symbol' AND change = 'removed') AS removed_symbols,
+count(*) FILTER (kind = 'route' AND change = 'added') AS added_routes, count(*) FILTER (kind = 'route' AND change = 'removed') AS removed_routes, (SELECT n FROM eb2) AS added_edges, (SELECT n FROM et2) AS removed_edges FROM dn""")
 def diff_summary(spark, d):
-    n = diff_nodes(spark, d).select(F.lit("node").alias("what"), "change", "kind")
-    e = diff_edges(spark, d).select(F.lit("edge").alias("what"), "change", "kind")
-    return n.unionByName(e).groupBy("what", "change", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """The nine counters of a diff."""
+    return R.diff_summary(*versions(nodes(spark, d), "id"), *versions(edges(spark, d), "src"))
+
+
+@query("diff_warnings", BOTH + """, gone AS (SELECT kind, coalesce(path, '') AS path, name, max_by(coalesce(exported, false), id) AS exported FROM base WHERE kind IN ('symbol', 'route') AND (kind, coalesce(path, ''), name) NOT IN (SELECT kind, path, name FROM kt) GROUP BY 1, 2, 3)
+SELECT kind, name, CASE WHEN kind = 'route' THEN 'Route endpoint `' || name || '` was removed.' ELSE 'Exported symbol `' || name || '` in `' || CASE WHEN path = '' THEN 'unknown' ELSE path END || '` was removed.' END AS warning FROM gone WHERE kind = 'route' OR exported""")
+def diff_warnings(spark, d):
+    return R.breaking_warnings(*versions(nodes(spark, d), "id"))
 
 
 @query("external_dependencies", FX + " SELECT DISTINCT n.path AS file, p.name AS package FROM fx_edges e JOIN fx_nodes n ON e.src = n.id JOIN fx_nodes p ON e.dst = p.id WHERE n.kind = 'file' AND p.kind = 'package'")
@@ -201,18 +270,28 @@ def dangling_edges(spark, d):
     return no_src.unionByName(no_dst).select("src", "dst", "kind")
 
 
-@query("duplicate_ids", "SELECT name AS id, n FROM (SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1) WHERE n > 1")
+@query("duplicate_ids", FX + " SELECT id, count(*) AS n FROM (SELECT id FROM fx_nodes UNION ALL SELECT 'file:part/' || p_partkey FROM part WHERE p_size > 45 UNION ALL SELECT 'file:nation/' || s_nationkey FROM supplier) GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Ids that two extractors gave, of the projected graph and one that repeats some of its files."""
+    more = table(spark, d, "part").filter("p_size > 45").select(ident("file:part/", "p_partkey").alias("id")).unionByName(table(spark, d, "supplier").select(ident("file:nation/", "s_nationkey").alias("id")))
+    return C.duplicates(nodes(spark, d).select("id").unionByName(more), "id")
 
 
-@query("merge_edges", """SELECT 'route:order/' || l_orderkey AS src, 'file:part/' || l_partkey AS dst, 'references' AS kind, min('edge:' || l_orderkey || ':' || l_linenumber) AS id,
-string_agg(DISTINCT l_shipdate::DATE::VARCHAR, ',' ORDER BY l_shipdate::DATE::VARCHAR) AS evidence FROM lineitem GROUP BY 1, 2""")
-def merge_edges(spark, d):
+LINE_EDGES = """SELECT 'route:order/' || l_orderkey AS src, 'file:part/' || l_partkey AS dst, 'references' AS kind, CASE WHEN l_returnflag = 'R' THEN 'INFERRED' ELSE 'EXTRACTED' END AS provenance, CASE WHEN l_returnflag = 'R' THEN round(1 - l_discount, 2) END AS confidence,
+'edge:' || l_orderkey || ':' || l_linenumber AS id, l_shipdate::DATE::VARCHAR AS evidence FROM lineitem"""
+
+
+def line_edges(spark, d):
+    """An edge for each order line, with what it was found by; some say the same."""
     l = table(spark, d, "lineitem")
     ids = F.concat(F.lit("edge:"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"))
-    raw = l.select(ident("route:order/", "l_orderkey").alias("src"), ident("file:part/", "l_partkey").alias("dst"), F.lit("references").alias("kind"), ids.alias("id"), F.array(F.col("l_shipdate").cast("date").cast("string")).alias("evidence"))
-    return R.merge_edges(raw).withColumn("evidence", F.array_join("evidence", ","))
+    inferred = F.col("l_returnflag") == "R"
+    return l.select(ident("route:order/", "l_orderkey").alias("src"), ident("file:part/", "l_partkey").alias("dst"), F.lit("references").alias("kind"), F.when(inferred, "INFERRED").otherwise("EXTRACTED").alias("provenance"), F.when(inferred, F.round(1 - F.col("l_discount"), 2)).alias("confidence"), ids.alias("id"), F.array(F.col("l_shipdate").cast("date").cast("string")).alias("evidence"))
+
+
+@query("merge_edges", f"SELECT src, dst, kind, provenance, confidence, min(id) AS id, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence FROM ({LINE_EDGES}) GROUP BY ALL")
+def merge_edges(spark, d):
+    return R.merge_edges(line_edges(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query("remap_diagnostics", """WITH e AS (SELECT event_type || ':' || user_id AS k, min(event_id) AS keep FROM events GROUP BY 1)
@@ -225,52 +304,73 @@ def remap_diagnostics(spark, d):
 
 
 QUESTION = "Where is the nation_1 route of supplier handled?"
+FACTS = FX + """, t AS (SELECT unnest(['nation_1', 'route', 'supplier', 'handled']) AS w),
+h AS (SELECT id, kind, name, path, method, lower(concat_ws(' ', name, kind, path, symbol_kind, method)) AS hay FROM fx_nodes WHERE path IS NOT NULL),
+s AS (SELECT id, kind, name, path, method, (SELECT count(*) FROM t WHERE contains(hay, w)) + CASE WHEN kind = 'route' THEN 100 ELSE 0 END AS score FROM h),
+best AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, name, id) AS place FROM s WHERE score > 0)"""
 
 
-@query("qa_rank", FX + """, t AS (SELECT unnest(['nation_1', 'route', 'supplier', 'handled']) AS w),
-h AS (SELECT id, kind, name, path, lower(concat_ws(' ', name, kind, path, symbol_kind, method)) AS hay FROM fx_nodes),
-s AS (SELECT id, kind, name, path, (SELECT count(*) FROM t WHERE contains(hay, w)) + CASE WHEN kind = 'route' THEN 100 ELSE 0 END AS score FROM h)
-SELECT id, score::BIGINT AS score FROM s WHERE score > 0 ORDER BY score DESC, coalesce(path, ''), name LIMIT 10""")
+@query("qa_rank", FACTS + """ SELECT place::INTEGER AS place, 'citation-' || place AS citation, id, score::BIGINT AS score, path, CASE WHEN kind = 'route' THEN method ELSE kind END || ' ' || name || ' is declared in ' || path || '.' AS text FROM best WHERE place <= 10""")
 def qa_rank(spark, d):
     return R.answer(nodes(spark, d), QUESTION)
 
 
-@query("question_tokens", r"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_@./-]{3,}')) AS w FROM conversations WHERE role = 'user'),
-k AS (SELECT conv_id, turn, len(list_filter(w, lambda x: x NOT IN ('the', 'and', 'for', 'where', 'what', 'which', 'how', 'does', 'this', 'that', 'with', 'from'))) AS n FROM w)
-SELECT conv_id, turn, least(n, 12)::INTEGER AS n FROM k""")
+@query("qa_confidence", FACTS + """ SELECT least(count(*), 10) AS facts, CASE WHEN count(*) >= 3 THEN 'high' WHEN count(*) > 0 THEN 'medium' ELSE 'insufficient' END AS confidence, CASE WHEN count(*) = 0 THEN 'Indexed graph contains insufficient evidence to answer this question.' END AS unknown FROM best
+UNION ALL SELECT 0, 'insufficient', 'Indexed graph contains insufficient evidence to answer this question.' WHERE NOT EXISTS (SELECT 1 FROM h WHERE contains(hay, 'unknowable'))""")
+def qa_confidence(spark, d):
+    """Confidence of an answer with facts and of one without."""
+    n = nodes(spark, d)
+    return R.answer_confidence(R.answer(n, QUESTION)).unionByName(R.answer_confidence(R.answer(n, "What is unknowable?")))
+
+
+@query("question_tokens", r"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_@./-]{3,}')) AS w, regexp_extract_all(lower(text), '[a-z0-9_@./-]{3,}') AS a FROM conversations WHERE role = 'user'),
+k AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(a[1:], lambda x, i: x NOT IN ('and', 'are', 'does', 'from', 'how', 'repository', 'the', 'this', 'what', 'where', 'which', 'with') AND NOT list_contains(a[1:i - 1], x))[1:12])) AS t FROM w)
+SELECT conv_id, turn, array_to_string(t, ' ') AS tokens FROM k""")
 def question_tokens(spark, d):
     c = table(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.size(R.question_tokens(F.col("text"))).alias("n"))
+    return c.select("conv_id", "turn", F.array_join(F.sort_array(R.question_tokens(F.col("text"))), " ").alias("tokens"))
 
 
-@query("local_answer", FX + """ (SELECT 'auth' AS topic, id FROM fx_nodes WHERE kind = 'symbol' AND contains(lower(name), '#00000000') ORDER BY id LIMIT 8)
-UNION ALL (SELECT 'route', id FROM fx_nodes WHERE kind = 'route' ORDER BY id LIMIT 10)""")
-def local_answer(spark, d):
-    n = nodes(spark, d)
-    auth = n.filter((F.col("kind") == "symbol") & F.contains(F.lower("name"), F.lit("#00000000"))).orderBy("id").limit(8)
-    return auth.select(F.lit("auth").alias("topic"), "id").unionByName(n.filter("kind = 'route'").orderBy("id").limit(10).select(F.lit("route").alias("topic"), "id"))
+LISTS = FX + """, el AS (SELECT DISTINCT a.path || ':' || e.dst || ':' || CASE e.kind WHEN 'requires' THEN 'require' ELSE 'import' END AS item, a.path AS p, e.dst AS t FROM fx_edges e JOIN fx_nodes a ON a.id = e.src WHERE e.kind IN ('imports', 'requires') AND a.kind = 'file' AND a.path IS NOT NULL),
+x AS (SELECT 'edges' AS list, item FROM (SELECT item FROM el ORDER BY p, t LIMIT 800)
+UNION ALL SELECT 'symbols', path || ':0000000001:' || name || ':' || symbol_kind FROM (SELECT * FROM fx_nodes WHERE kind = 'symbol' AND path IS NOT NULL ORDER BY path, name, symbol_kind LIMIT 1500)
+UNION ALL SELECT 'routes', path || ':' || name || ':' || method FROM (SELECT * FROM fx_nodes WHERE kind = 'route' AND path IS NOT NULL ORDER BY path, name, method LIMIT 300)
+UNION ALL SELECT DISTINCT 'dependencies', p.name FROM fx_edges e JOIN fx_nodes p ON p.id = e.dst WHERE p.kind = 'package' UNION ALL SELECT 'sources', path FROM fx_nodes WHERE kind = 'file' AND path IS NOT NULL)"""
 
 
-@query("legacy_model", FX + " SELECT path AS file, name, symbol_kind FROM fx_nodes WHERE kind = 'symbol' ORDER BY path, name, symbol_kind LIMIT 1500")
+@query("legacy_model", LISTS + " SELECT list, count(*) AS n, sha256(string_agg(item, chr(10) ORDER BY item)) AS digest FROM x WHERE list <> 'sources' GROUP BY list UNION ALL SELECT list, count(*), NULL FROM x WHERE list = 'sources' GROUP BY list")
 def legacy_model(spark, d):
-    return nodes(spark, d).filter("kind = 'symbol'").orderBy("path", "name", "symbol_kind").limit(1500).select(F.col("path").alias("file"), "name", "symbol_kind")
-
-
-@query("mermaid_lines", FX + r""", e AS (SELECT * FROM fx_edges WHERE kind NOT IN ('contains', 'declares') ORDER BY src, dst, kind LIMIT 50)
-SELECT regexp_replace(src, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(a.name, '"', ''''), chr(10), ' ') || '"] ' || CASE e.kind WHEN 'calls' THEN '-->' WHEN 'imports' THEN '-.->' ELSE '==>' END || '|' || e.kind || '| '
-|| regexp_replace(dst, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(b.name, '"', ''''), chr(10), ' ') || '"]' AS line FROM e JOIN fx_nodes a ON a.id = src JOIN fx_nodes b ON b.id = dst""")
+    """Every list of the compatibility model: its length, and a digest of its items where it has a largest length."""
+    lists = R.legacy_lists(nodes(spark, d), edges(spark, d))
+    out = None
+    for name, items in lists.items():
+        part = items.select(F.lit(name).alias("list"), "item")
+        out = part if out is None else out.unionByName(part)
+    bounded = F.when(F.col("list") != "sources", F.col("item"))
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list(bounded)), "\n"), 256)
+    return out.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.when(F.col("list") != "sources", digest).alias("digest"))
+
+
+@query("mermaid_lines", FX + r""", e AS (SELECT *, row_number() OVER (ORDER BY src || dst || kind) AS n FROM (SELECT * FROM fx_edges WHERE kind NOT IN ('contains', 'declares') ORDER BY src, dst, kind LIMIT 50)),
+b AS (SELECT src, dst, e.kind AS kind, n, a.name AS an, a.kind AS ak, z.name AS zn, z.kind AS zk FROM e JOIN fx_nodes a ON a.id = src JOIN fx_nodes z ON z.id = dst),
+x AS (SELECT src AS id, an AS name, ak AS kind, 3 * n AS pos FROM b UNION ALL SELECT dst, zn, zk, 3 * n + 1 FROM b),
+l AS (SELECT 0 AS pos, 'graph TD' AS line UNION ALL SELECT min(pos), '  n_' || regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g') || '["' || replace(regexp_replace(name, '(["\\])', '\\\1', 'g'), chr(10), ' ') || ' (' || kind || ')"]' FROM x GROUP BY id, name, kind
+UNION ALL SELECT 3 * n + 2, '  n_' || regexp_replace(src, '[^a-zA-Z0-9_]', '_', 'g') || ' ' || CASE kind WHEN 'calls' THEN '-->' WHEN 'imports' THEN '-.->' ELSE '==>' END || '|"' || kind || '"| n_' || regexp_replace(dst, '[^a-zA-Z0-9_]', '_', 'g') FROM b)
+SELECT (row_number() OVER (ORDER BY pos) - 1)::INTEGER AS place, line FROM l""")
 def mermaid_lines(spark, d):
     return R.diagram_lines(nodes(spark, d), edges(spark, d))
 
 
-@query("mermaid_sanitize", FX + " SELECT id, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS safe FROM fx_nodes WHERE kind <> 'route'")
+@query("mermaid_sanitize", FX + r""" SELECT id, 'n_' || regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g') AS safe, replace(regexp_replace('"' || name || '\' || chr(10), '(["\\])', '\\\1', 'g'), chr(10), ' ') AS text FROM fx_nodes""")
 def mermaid_sanitize(spark, d):
-    return nodes(spark, d).filter("kind <> 'route'").select("id", X.diagram_id(F.col("id")).alias("safe"))
+    """Ids made safe, and names, in quotes and with a backslash and a line break, escaped."""
+    text = F.concat(F.lit('"'), "name", F.lit("\\\n"))
+    return nodes(spark, d).select("id", X.diagram_id(F.col("id")).alias("safe"), X.diagram_text(text).alias("text"))
 
 
-@query("identity_hash", FX + " SELECT id, 'node:' || sha256(concat_ws(chr(0), kind, name, path)) AS hashed FROM fx_nodes WHERE kind <> 'route'")
+@query("identity_hash", FX + " SELECT id, 'node:' || sha256(concat_ws(chr(0), kind, name, path)) AS hashed FROM fx_nodes")
 def identity_hash(spark, d):
-    return nodes(spark, d).filter("kind <> 'route'").select("id", X.identity("node:", F.col("kind"), F.col("name"), F.col("path")).alias("hashed"))
+    return nodes(spark, d).select("id", X.identity("node:", F.col("kind"), F.col("name"), F.col("path")).alias("hashed"))
 
 
 @query("health_score", FX + """, c AS (SELECT split_part(path, '/', 1) AS dir, count(DISTINCT path) AS files FROM fx_nodes WHERE path IS NOT NULL GROUP BY 1),
@@ -280,20 +380,3 @@ def health_score(spark, d):
     c = R.directory_files(nodes(spark, d))
     n = F.col("files")
     return c.select("dir", R.health(n, n % 2, n % 3, n % 5, n > 50_000).cast("int").alias("score"))
-
-
-@query("edge_rule_violations", """WITH e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'AMBIGUOUS' WHEN l_returnflag = 'R' THEN 'INFERRED' ELSE 'EXTRACTED' END AS provenance,
-CASE WHEN l_tax > 0.02 THEN 1 - l_discount END AS confidence, l_linenumber > 1 AS has_evidence FROM lineitem)
-SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN provenance = 'EXTRACTED' AND NOT has_evidence THEN 'evidence' END, CASE WHEN provenance = 'EXTRACTED' AND confidence <> 1 THEN 'extracted-confidence' END,
-CASE WHEN provenance <> 'EXTRACTED' AND (confidence IS NULL OR confidence = 1) THEN 'inferred-confidence' END]) AS rule FROM e) WHERE rule IS NOT NULL GROUP BY rule""")
-def edge_rule_violations(spark, d):
-    l = table(spark, d, "lineitem")
-    prov = F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("EXTRACTED")
-    e = l.select(prov.alias("provenance"), F.when(F.col("l_tax") > 0.02, 1 - F.col("l_discount")).alias("confidence"), (F.col("l_linenumber") > 1).alias("has_evidence"))
-    extracted = F.col("provenance") == "EXTRACTED"
-    rules = F.array(
-        F.when(extracted & ~F.col("has_evidence"), "evidence"),
-        F.when(extracted & (F.col("confidence") != 1), "extracted-confidence"),
-        F.when(~extracted & (F.col("confidence").isNull() | (F.col("confidence") == 1)), "inferred-confidence"),
-    )
-    return e.select(F.explode(rules).alias("rule")).filter("rule IS NOT NULL").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

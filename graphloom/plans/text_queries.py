@@ -93,12 +93,6 @@ def human_bytes(spark, d):
     return table(spark, d, "part").select("p_partkey", X.human_bytes(F.col("p_partkey") * F.col("p_size")).alias("size"))
 
 
-@query("iso_timestamp_check", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events")
-def iso_timestamp_check(spark, d):
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return table(spark, d, "events").select("event_id", iso.alias("iso"), F.substring(iso, 1, 10).alias("day"))
-
-
 @query("job_identity", "SELECT event_id, 'job_' || substr(sha256(event_type || chr(0) || user_id), 1, 32) AS job FROM events")
 def job_identity(spark, d):
     return table(spark, d, "events").select("event_id", X.identity("job_", F.col("event_type"), F.col("user_id").cast("string"), digits=32).alias("job"))
@@ -302,12 +296,6 @@ def finding_node_counts(spark, d):
     return f.join(n, "path", "left").select("path", "findings", F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
 
-@query("diagnostic_counts", "SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (regexp_matches(event_type, '^(view|click)$')) AS infos, count(*) FILTER (contains(props, '\"k\": 6')) AS sixes FROM events")
-def diagnostic_counts(spark, d):
-    t = F.col("event_type")
-    return table(spark, d, "events").agg(F.count_if(t == "error").alias("errors"), F.count_if(t.rlike("^(view|click)$")).alias("infos"), F.count_if(F.col("props").contains('"k": 6')).alias("sixes"))
-
-
 # --- admission and jobs ----------------------------------------------------------------------
 
 MANIFEST = "SELECT l_suppkey AS snapshot, printf('%08d-%d', l_orderkey, l_linenumber) AS path, (l_quantity * 100)::BIGINT AS size, l_returnflag <> 'R' AS ok FROM lineitem"
@@ -351,31 +339,12 @@ def latest_job_state(spark, d):
     return M.latest(e.select("user_id", "event_id", "event_type"), "user_id", ["event_id"]).join(moves, "user_id").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), "moves")
 
 
-@query("job_status_projection", "SELECT user_id AS job_id, CASE arg_max(event_type, event_id) WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS status FROM events GROUP BY 1")
-def job_status_projection(spark, d):
-    last = M.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"])
-    return last.select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("running").alias("status"))
-
-
-@query("job_state_violations", "SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'failed-without-error' ELSE 'progress-above-total' END AS rule FROM events WHERE (event_type = 'error' AND value > 50) OR (event_type <> 'error' AND value > 90)")
-def job_state_violations(spark, d):
-    failed = (F.col("event_type") == "error") & (F.col("value") > 50)
-    over = (F.col("event_type") != "error") & (F.col("value") > 90)
-    return table(spark, d, "events").select("event_id", F.when(failed, "failed-without-error").when(over, "progress-above-total").alias("rule")).filter("rule IS NOT NULL")
-
-
 @query("idempotent_create", "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1, 2")
 def idempotent_create(spark, d):
     there = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
     return table(spark, d, "events").join(there, "user_id", "left_anti").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("failure_mapping", "SELECT event_id, CASE WHEN value < 10 THEN 'rate_limited' WHEN value < 20 THEN 'repository_not_found' ELSE 'internal_error' END AS code, value < 10 OR value >= 20 AS retry FROM events WHERE event_type = 'error'")
-def failure_mapping(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", F.when(v < 10, "rate_limited").when(v < 20, "repository_not_found").otherwise("internal_error").alias("code"), ((v < 10) | (v >= 20)).alias("retry"))
-
-
 @query("usage_windows", "SELECT date_trunc('hour', ts) AS window_start, user_id, count(*) AS requests FROM events GROUP BY 1, 2")
 def usage_windows(spark, d):
     return J.usage_windows(table(spark, d, "events"))

@@ -1,18 +1,13 @@
 """Schemas, enumerations and limits of the code-graph model."""
 
-from pyspark.sql import types as T
-
 #: Fixed values of the model.
 NODE_KINDS = ("file", "symbol", "package", "route", "schema")
-EDGE_KINDS = ("contains", "declares", "imports", "requires", "exports", "calls", "references", "extends", "implements", "handles-route", "reads", "tests", "depends-on")
+EDGE_KINDS = ("contains", "declares", "imports", "requires", "references", "calls", "extends", "implements", "handles-route", "depends-on", "tests", "reads-schema", "writes-schema")
+#: Kinds of nodes that a query may ask for: those of the first version as well.
+ASKED_KINDS = (*NODE_KINDS, "document")
 IMPACT_KINDS = ("imports", "requires", "references", "calls", "tests")
 STRUCTURE_KINDS = ("contains", "declares")
 PROVENANCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 
 #: Default and largest budgets of a graph query.
 MAX_COST, MAX_RESULTS, MAX_DEPTH = (10_000, 50_000), (50, 500), (8, 20)
-
-LOCATION = T.StructType([T.StructField("path", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("startLine", "startColumn", "endLine", "endColumn")])
-EVIDENCE = T.StructType(LOCATION.fields + [T.StructField("excerptHash", T.StringType()), T.StructField("description", T.StringType())])
-MANIFEST = ("snapshot_id STRING, path STRING, kind STRING, mode STRING, gitObjectSha STRING, size BIGINT, eligibleForAnalysis BOOLEAN, exclusionReason STRING, contentKey STRING, contentSha256 STRING")
-DIAGNOSTIC = ("snapshot_id STRING, code STRING, severity STRING, message STRING, nodeId STRING, edgeId STRING, location STRUCT<path: STRING, startLine: INT, startColumn: INT, endLine: INT, endColumn: INT>")

@@ -127,3 +127,68 @@ BLOBS = Records(
     encoding="CASE p_size % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'base64' ELSE CASE WHEN p_size % 2 = 0 THEN 'base64' ELSE 'latin' END END",
     content="CASE p_partkey % 6 WHEN 0 THEN 'aGVsbG8=' WHEN 1 THEN 'aGVs' || chr(10) || 'bG8 =' WHEN 2 THEN 'aGVsbG8' WHEN 3 THEN 'aG=sbG8=' WHEN 4 THEN 'AAECAwQFBgc=' ELSE '' END",
 )
+
+#: Edges of order lines, of which many break a rule.
+LINES = Records(
+    "lineitem",
+    edge_id=f"'edge:' || {_KEY}",
+    src="'route:order/' || CAST(l_orderkey AS STRING)",
+    dst="'file:part/' || CAST(l_partkey AS STRING)",
+    kind=f"CASE {_L} WHEN 1 THEN 'imports' WHEN 2 THEN 'requires' WHEN 3 THEN 'exports' WHEN 4 THEN 'tests' ELSE 'references' END",
+    provenance="CASE WHEN l_partkey % 31 = 0 THEN 'GUESSED' WHEN l_returnflag = 'A' THEN 'AMBIGUOUS' WHEN l_returnflag = 'R' THEN 'INFERRED' ELSE 'EXTRACTED' END",
+    confidence="CASE WHEN l_orderkey % 13 = 0 THEN 1.5 WHEN l_tax > 0.02 THEN 1.0 - l_discount END",
+    evidence=f"{_L} - 1",
+    resolution=f"CASE WHEN {_L} IN (1, 2, 4) THEN CASE l_suppkey % 5 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'resolved' WHEN 3 THEN 'external' END END",
+    mode="CASE l_suppkey % 6 WHEN 0 THEN 'static' WHEN 1 THEN 'dynamic' WHEN 2 THEN 'require' WHEN 3 THEN 'eager' ELSE 'type' END",
+    specifier="CASE WHEN l_orderkey % 7 = 0 THEN ' lead' WHEN l_orderkey % 7 = 1 THEN '' WHEN l_orderkey % 7 = 2 THEN 'a' || chr(9) || 'b' ELSE './x/' || CAST(l_partkey AS STRING) END",
+    type_only="l_partkey % 2 = 0",
+    options="CASE l_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a.ts' WHEN 2 THEN 'b.ts,a.ts' ELSE 'a.ts,b.ts,a.ts' END",
+    path=f"CASE WHEN l_orderkey % 9 = 0 THEN 'a/./b' ELSE 'src/' || {_KEY} END",
+    start_line=f"CASE WHEN l_partkey % 5 <> 0 THEN {_L} - 1 END",
+    start_column="CASE WHEN l_partkey % 3 = 0 THEN l_suppkey % 9 END",
+    end_line=f"CASE WHEN l_partkey % 4 <> 0 THEN l_partkey % 6 END",
+    end_column="CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey % 9 END",
+    found="substr(CAST(l_shipdate AS STRING), 1, 10)",
+)
+
+#: Results with their snapshot, repository and graph, metrics and coverage, by supplier.
+RESULTS = Records(
+    "supplier",
+    s_suppkey="s_suppkey",
+    schema_version="CASE WHEN s_suppkey % 9 = 0 THEN '2.0' ELSE '1.0' END",
+    job_id="CASE WHEN s_suppkey % 11 = 0 THEN ' job' ELSE 'job_' || CAST(s_suppkey AS STRING) END",
+    analyzer="CASE WHEN s_suppkey % 12 = 0 THEN '' ELSE '1' END",
+    provider="CASE WHEN s_suppkey % 13 = 0 THEN 'gitlab' ELSE 'github' END",
+    repository_id="CASE WHEN s_suppkey % 7 = 0 THEN 'github:A/b' ELSE 'github:a/r' || CAST(s_suppkey % 5 AS STRING) END",
+    snapshot_repository_id="'github:a/r' || CAST(s_suppkey % 4 AS STRING)",
+    snapshot="'snap_' || CAST(s_suppkey AS STRING)",
+    graph_snapshot="CASE s_suppkey % 3 WHEN 0 THEN 'snap_' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'snap_other' END",
+    coverage="s_suppkey % 2",
+    snapshot_coverage="s_suppkey % 4",
+    commit_sha="sha1(CAST(s_nationkey AS STRING))",
+    tree_sha="sha1(s_name)",
+    requested_ref="CASE WHEN s_suppkey % 2 = 0 THEN 'main' ELSE 'dev' END",
+    total_files="s_suppkey % 8",
+    analyzed_files="s_suppkey % 9",
+    percentage="CASE WHEN s_suppkey % 8 = 0 THEN 1.0 WHEN s_suppkey % 5 = 0 THEN 1.25 ELSE CAST(s_suppkey % 9 AS DOUBLE) / CAST(s_suppkey % 8 AS DOUBLE) END",
+    node_count="s_suppkey % 6",
+    nodes="s_suppkey % 5",
+    edge_count="s_suppkey % 3",
+    edges="s_suppkey % 4",
+    discovered="s_suppkey % 8",
+    analyzed="s_suppkey % 7",
+    skipped="s_suppkey % 3",
+    bytes="s_suppkey % 50",
+    analyzed_bytes="s_suppkey % 60",
+)
+
+#: Graph queries as JSON, right and wrong.
+QUERIES = Records(
+    "events",
+    event_id="event_id",
+    body="""CASE event_id % 23 WHEN 0 THEN '{"type":"search","text":"a"}' WHEN 1 THEN '{"type":"search","text":""}' WHEN 2 THEN '{"type":"search","text":" a","cursor":-1}' WHEN 3 THEN '{"type":"search","text":"' || repeat('x', 257) || '"}'
+    WHEN 4 THEN '{"type":"search","text":"a","kinds":["file","document"],"cursor":50000}' WHEN 5 THEN '{"type":"search","text":"a","kinds":[]}' WHEN 6 THEN '{"type":"search","text":"a","kinds":["edge"],"cursor":"1"}' WHEN 7 THEN '{"type":"node","nodeId":"n' || CAST(user_id AS STRING) || '"}' WHEN 8 THEN '{"type":"node"}'
+    WHEN 9 THEN '{"type":"node","nodeId":"n","cursor":0}' WHEN 10 THEN '{"type":"neighbors","nodeId":"n","direction":"up"}' WHEN 11 THEN '{"type":"neighbors","nodeId":"n","direction":"both","edgeKinds":["calls","tests"],"budget":{"maxCost":50000,"maxResults":500,"maxTimeMs":2000}}' WHEN 12 THEN '{"type":"neighbors","nodeId":"n","edgeKinds":["exports"]}'
+    WHEN 13 THEN '{"type":"impact","nodeId":"n","maxDepth":20}' WHEN 14 THEN '{"type":"impact","nodeId":"n","maxDepth":21}' WHEN 15 THEN '{"type":"impact","nodeId":"n","maxDepth":0,"budget":{"maxCost":0}}' WHEN 16 THEN '{"type":"shortestPath","from":"a","to":"b"}' WHEN 17 THEN '{"type":"shortestPath","from":"a"}'
+    WHEN 18 THEN '{"type":"explain","nodeId":"n","direction":"both"}' WHEN 19 THEN '{"type":"walk"}' WHEN 20 THEN '{"text":"a"}' WHEN 21 THEN '{"type":"node","nodeId":"n","budget":{"maxRows":1}}' ELSE '{"type":"node","nodeId":"n","budget":{"maxResults":501}}' END""",
+)
