@@ -294,15 +294,6 @@ def merge_edges(spark, d):
     return R.merge_edges(line_edges(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("remap_diagnostics", """WITH e AS (SELECT event_type || ':' || user_id AS k, min(event_id) AS keep FROM events GROUP BY 1)
-SELECT DISTINCT event_type AS code, keep AS edge_id FROM events JOIN e ON e.k = event_type || ':' || user_id WHERE event_type IN ('error', 'view')""")
-def remap_diagnostics(spark, d):
-    """Diagnostics of merged rows point to the row that stays."""
-    ev = table(spark, d, "events")
-    keep = ev.groupBy("event_type", "user_id").agg(F.min("event_id").alias("edge_id"))
-    return ev.filter(F.col("event_type").isin("error", "view")).join(keep, ["event_type", "user_id"]).select(F.col("event_type").alias("code"), "edge_id").distinct()
-
-
 QUESTION = "Where is the nation_1 route of supplier handled?"
 FACTS = FX + """, t AS (SELECT unnest(['nation_1', 'route', 'supplier', 'handled']) AS w),
 h AS (SELECT id, kind, name, path, method, lower(concat_ws(' ', name, kind, path, symbol_kind, method)) AS hay FROM fx_nodes WHERE path IS NOT NULL),

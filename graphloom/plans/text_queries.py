@@ -139,6 +139,22 @@ def route_scan(spark, d):
     return E.routes(code(spark, d))
 
 
+@query("local_answer", f"""WITH {SYMBOLS}, {ROUTES.removeprefix(LINES + ", ")}, a AS (SELECT path || ':' || line AS e, path, line FROM sy WHERE regexp_matches(name || path, '(?i)auth|login|session')), t AS (SELECT name || ' — ' || path || ':' || line AS e, path, line FROM sy WHERE contains(lower(name || path), 'find') OR contains(lower(name || path), 'gizmo') OR contains(lower(name || path), 'the')),
+r AS (SELECT method || ' ' || route || ' — ' || path AS e, path, line FROM ro)
+SELECT 'login' AS asked, 0 AS place, 'No authentication implementation verified' AS title, NULL AS evidence WHERE NOT EXISTS (SELECT 1 FROM a)
+UNION ALL SELECT 'routes', (row_number() OVER (ORDER BY path, line, e))::INTEGER, (SELECT count(*) FROM r) || ' route definitions detected', e FROM r QUALIFY row_number() OVER (ORDER BY path, line, e) <= 10
+UNION ALL SELECT 'names', (row_number() OVER (ORDER BY path, line, e))::INTEGER, (SELECT least(count(*), 10) FROM t) || ' relevant definitions found', e FROM t QUALIFY row_number() OVER (ORDER BY path, line, e) <= 10""")
+def local_answer(spark, d):
+    """What the content model answers: to a question of login, one of routes and one of names."""
+    c = code(spark, d)
+    symbols, routes = E.symbols(c), E.routes(c)
+    out = None
+    for asked, question in (("login", "Where is login handled?"), ("routes", "Which API routes are there?"), ("names", "find the Gizmo")):
+        part = R.local_answer(question, symbols, routes).select(F.lit(asked).alias("asked"), "place", "title", "evidence")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("content_model", f"""WITH {IMPORTS}, {SYMBOLS.removeprefix(LINES + ", ")}, {ROUTES.removeprefix(LINES + ", ")}, se AS (SELECT DISTINCT title, path FROM ({FOUND.format(key="path")})),
 x AS (SELECT 'edges' AS list, path || ':' || line || ':' || specifier AS item FROM (SELECT * FROM im ORDER BY path, line, specifier LIMIT 800)
 UNION ALL SELECT 'symbols', path || ':' || line || ':' || name FROM (SELECT * FROM sy ORDER BY path, line LIMIT 1500) UNION ALL SELECT 'routes', path || ':' || line || ':' || route FROM (SELECT * FROM ro ORDER BY path, line LIMIT 300)
@@ -258,13 +274,15 @@ def next_route_path(spark, d):
     return table(spark, d, "part").select("p_partkey", E.next_route(path).alias("route"))
 
 
-@query("module_probe", """WITH f AS (SELECT p_brand || '/' || p_size || e AS path FROM part, (SELECT unnest(['.ts', '/index.js']) AS e) WHERE (e = '.ts' AND p_partkey % 2 = 0) OR (e = '/index.js' AND p_partkey % 3 = 0)),
-b AS (SELECT DISTINCT p_brand || '/' || p_size AS base FROM part), m AS (SELECT base, count(DISTINCT path) AS matches FROM b LEFT JOIN f ON path IN (base, base || '.ts', base || '.tsx', base || '.js', base || '.jsx', base || '/index.ts', base || '/index.js') GROUP BY base)
-SELECT base, matches, CASE WHEN matches > 1 THEN 'ambiguous' WHEN matches = 1 THEN 'resolved' ELSE 'unresolved' END AS status FROM m""")
+@query("module_probe", """WITH f AS (SELECT p_brand || '/' || p_size || e AS path FROM part, (SELECT unnest(['.ts', '/index.js', '.d.ts']) AS e) WHERE (e = '.ts' AND p_partkey % 2 = 0) OR (e = '/index.js' AND p_partkey % 3 = 0) OR (e = '.d.ts' AND p_partkey % 5 = 0)),
+b AS (SELECT DISTINCT p_brand || '/' || p_size || CASE WHEN p_size % 4 = 0 THEN '.mjs' ELSE '' END AS base, p_brand || '/' || p_size AS stem, p_size % 4 = 0 AS script FROM part),
+m AS (SELECT base, count(DISTINCT path) AS matches, coalesce(string_agg(DISTINCT path, ' ' ORDER BY path), '') AS candidates FROM b LEFT JOIN f ON path IN (stem || '.ts', stem || '.d.ts') OR (NOT script AND path = stem || '/index.js') GROUP BY base)
+SELECT base, matches, candidates, CASE WHEN matches > 1 THEN 'ambiguous' WHEN matches = 1 THEN 'resolved' ELSE 'unresolved' END AS status FROM m""")
 def module_probe(spark, d):
-    p = table(spark, d, "part").withColumn("base", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
-    files = p.filter("p_partkey % 2 = 0").select(F.concat("base", F.lit(".ts")).alias("path")).unionByName(p.filter("p_partkey % 3 = 0").select(F.concat("base", F.lit("/index.js")).alias("path")))
-    return M.probe(p, files)
+    p = table(spark, d, "part").withColumn("stem", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
+    file = lambda n, end: p.filter(f"p_partkey % {n} = 0").select(F.concat("stem", F.lit(end)).alias("path"))
+    bases = p.select(F.concat("stem", F.when(F.col("p_size") % 4 == 0, ".mjs").otherwise("")).alias("base"))
+    return M.probe(bases, file(2, ".ts").union(file(3, "/index.js")).union(file(5, ".d.ts"))).withColumn("candidates", F.array_join("candidates", " "))
 
 
 @query("alias_match", """WITH a AS (SELECT DISTINCT p_brand AS prefix, '' AS suffix FROM part UNION SELECT 'Brand#', 's'), s AS (SELECT DISTINCT p_brand || '/' || p_type AS specifier FROM part),

@@ -192,3 +192,21 @@ QUERIES = Records(
     WHEN 13 THEN '{"type":"impact","nodeId":"n","maxDepth":20}' WHEN 14 THEN '{"type":"impact","nodeId":"n","maxDepth":21}' WHEN 15 THEN '{"type":"impact","nodeId":"n","maxDepth":0,"budget":{"maxCost":0}}' WHEN 16 THEN '{"type":"shortestPath","from":"a","to":"b"}' WHEN 17 THEN '{"type":"shortestPath","from":"a"}'
     WHEN 18 THEN '{"type":"explain","nodeId":"n","direction":"both"}' WHEN 19 THEN '{"type":"walk"}' WHEN 20 THEN '{"text":"a"}' WHEN 21 THEN '{"type":"node","nodeId":"n","budget":{"maxRows":1}}' ELSE '{"type":"node","nodeId":"n","budget":{"maxResults":501}}' END""",
 )
+
+#: Deliveries of jobs' messages in their order, with what their handling ran into.
+MESSAGES = Records(
+    "events",
+    job_id="'job_' || CAST(user_id AS STRING)",
+    place="event_id",
+    stage="CASE event_id % 4 WHEN 0 THEN 'inventory' WHEN 3 THEN 'analyze' ELSE 'fetch-content' END",
+    cursor="CASE WHEN event_id % 4 IN (1, 2) AND event_id % 5 = 0 THEN CAST((event_id % 3) * 10 AS STRING) END",
+    total="user_id % 35",
+    fails="CASE WHEN event_id % 13 = 0 THEN 'again' WHEN event_id % 397 = 1 THEN 'analysis_failed' END",
+)
+
+#: What imports name, from files of brands' directories.
+SPECIFIERS = Records(
+    "part",
+    importer=f"p_brand || '/src/' || {_P} || '.ts'",
+    specifier=f"CASE p_partkey % 8 WHEN 0 THEN './' || CAST(p_size AS STRING) WHEN 1 THEN '../lib/' || CAST(p_size AS STRING) || '.js' WHEN 2 THEN '@ws/' || {_T1} WHEN 3 THEN '@ws/' || {_T1} || '/none' WHEN 4 THEN '~/' || CAST(p_size AS STRING) WHEN 5 THEN 'lib/' || CAST(p_size AS STRING) WHEN 6 THEN '../../../out' ELSE 'ext-' || {_T1} || '/sub' END",
+)
