@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker at most: texts' lengths vary widely, so rows alone bound nothing.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that task functions can be imported there by name."""
+    """Give executors this package, so that task functions can be imported there by name, and bound the
+    session's Arrow batches by bytes."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_graphloom_shipped", False):
         return
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
