@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-#: Vectors in a data block and queries in a query block.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors in a data block, blocks in a slice, and vectors in the largest block of queries.
+BLOCK, SLICE, QUERY_BLOCK = 4096, 64, 16_384
 #: Bits of a quantised component.
-BITS = 5
-#: Exact vectors read first, as a multiple of k.
-FIRST_READ = 2
-PAIR = "block long, q_block long, kind string, row_ids binary, body binary, low binary, step binary, dim int"
+BITS = 8
+#: Queries whose scores with a block are held at once.
+ROWS_AT_ONCE = 256
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -37,9 +36,8 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return materialise(rows.select("rid", "vec_id", "dim", packed("ints").alias("body")))
 
 
-def _blocks(rows: DataFrame, size: int, quantise: bool) -> DataFrame:
-    """Rows of one table as blocks of about `size` vectors of one dimension; as cells, if asked."""
-    n = rows.count()
+def _blocks(rows: DataFrame, n: int, size: int, quantise: bool) -> DataFrame:
+    """The n rows of a table as blocks of about `size` vectors of one dimension; as cells, if asked."""
 
     def build(batches):
         held: dict[int, list] = {}
@@ -50,7 +48,7 @@ def _blocks(rows: DataFrame, size: int, quantise: bool) -> DataFrame:
             low, step, body = np.zeros(dim, dtype="<i8"), np.ones(dim, dtype="<i8"), v
             if quantise:
                 low = v.min(axis=0)
-                step = np.maximum(-(-(v.max(axis=0) - low + 1) >> BITS), 1) if BITS else v.max(axis=0) - low + 1
+                step = -(-(v.max(axis=0) - low + 1) >> BITS)
                 body = ((v - low) // step).astype(np.uint8)
             return {"block": int(ids[0]), "dim": dim, "row_ids": ids.tobytes(), "body": body.tobytes(), "low": low.tobytes(), "step": step.tobytes()}
 
@@ -66,69 +64,110 @@ def _blocks(rows: DataFrame, size: int, quantise: bool) -> DataFrame:
         if held:
             yield pd.DataFrame([row(d, p) for d, p in held.items()])
 
-    spread = rows.select("rid", "dim", "body").repartition(max(1, math.ceil(n / size)))
+    spread = rows.select("rid", "dim", "body").repartition(max(1, math.ceil(n / size / 4)))
     return materialise(spread.mapInPandas(build, "block long, dim int, row_ids binary, body binary, low binary, step binary"))
 
 
-def _scan(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One query block against the cells of one data block: candidates with bounds of their scores."""
-    q, d = (rows[rows["kind"] == x].iloc[0] for x in ("query", "data"))
-    dim = int(d["dim"])
-    queries = np.frombuffer(q["body"], dtype="<i8").reshape(-1, dim).astype(np.float64)
-    cells = np.frombuffer(d["body"], dtype=np.uint8).reshape(-1, dim)
-    low, step = (np.frombuffer(d[x], dtype="<i8").astype(np.float64) for x in ("low", "step"))
-    half = (step - 1) / 2
-    middle = low + cells * step + half
-    q_ids, v_ids = np.frombuffer(q["row_ids"], dtype="<i8"), np.frombuffer(d["row_ids"], dtype="<i8")
-    slack = np.abs(queries) @ half + 1e-6 * (1 + np.abs(queries).sum(axis=1) * np.abs(middle).max(initial=0)) * 2**-20
-    guess = queries @ middle.T
-    guess[q_ids[:, None] == v_ids[None, :]] = -np.inf
-    n = guess.shape[1]
-    kth = np.partition(guess, n - k, axis=1)[:, n - k] if n > k else np.full(len(guess), -np.inf)
-    i, j = np.nonzero((guess >= (kth - 2 * slack)[:, None]) & np.isfinite(guess))
-    return pd.DataFrame({"q_rid": q_ids[i], "rid": v_ids[j], "least": guess[i, j] - slack[i], "most": guess[i, j] + slack[i]})
+def scan_cells(queries: np.ndarray, q_ids: np.ndarray, blocks: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Queries against the cells of a slice's blocks: candidates with bounds of their scores.
+
+    Of every query the k largest lower bounds met so far are kept; a candidate stays if its upper
+    bound reaches the smallest of those, at first as they stand and at last as they ended."""
+    queries = queries.astype(np.float64)
+    size = np.abs(queries).sum(axis=1)
+    best = np.full((len(queries), k), -np.inf)
+    kept: list[tuple[np.ndarray, ...]] = []
+    for b in blocks.itertuples():
+        dim = queries.shape[1]
+        cells = np.frombuffer(b.body, dtype=np.uint8).reshape(-1, dim)
+        low, step = (np.frombuffer(x, dtype="<i8").astype(np.float64) for x in (b.low, b.step))
+        half = (step - 1) / 2
+        middle = low + cells * step + half
+        v_ids = np.frombuffer(b.row_ids, dtype="<i8")
+        # the last term covers the rounding of sums in double precision
+        slack = np.abs(queries) @ half + 2**-40 * (1 + size * np.abs(middle).max(initial=0))
+        for at in range(0, len(queries), ROWS_AT_ONCE):
+            rows = slice(at, at + ROWS_AT_ONCE)
+            guess = queries[rows] @ middle.T
+            guess[q_ids[rows, None] == v_ids[None, :]] = -np.inf
+            most, least = guess + slack[rows, None], guess - slack[rows, None]
+            top = np.partition(least, least.shape[1] - k, axis=1)[:, -k:] if least.shape[1] > k else least
+            best[rows] = np.sort(np.hstack([best[rows], top]), axis=1)[:, -k:]
+            i, j = np.nonzero((most >= best[rows, :1]) & np.isfinite(guess))
+            kept.append((i + at, v_ids[j], least[i, j], most[i, j]))
+    i, v, least, most = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, int),) * 4
+    good = most >= best[i, 0]
+    return pd.DataFrame({"q_rid": q_ids[i[good]], "rid": v[good], "least": least[good], "most": most[good]})
+
+
+def inner_products(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Integer inner products of pairs of vectors, all of one length in one product."""
+    size = np.array([len(x) for x in left])
+    out = np.zeros(len(left), dtype=np.int64)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        a, b = (np.frombuffer(b"".join([side[i] for i in at]), dtype="<i8").reshape(len(at), -1) for side in (left, right))
+        out[at] = np.einsum("nd,nd->n", a, b)
+    return out
 
 
 def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by `every`, the k
     other rows with the largest integer inner product, ties to the smaller vec_id.
 
-    Phase one scans cells of BITS bits a component, block against block, and keeps for each
-    query what may be among its k best by the bounds.  Phase two reads exact vectors in the
-    order of their upper bounds: first FIRST_READ * k of them, whose kth score then settles
-    which others can still matter, and those.  Each block has a bounded size, and so has each
-    task, whatever a table's size.  Rows with the same vec_id are rows of their own; only
-    vectors of one dimension are compared; further columns are left aside; an empty table
-    gives an empty result."""
+    Phase one scans cells of BITS bits a component: blocks of queries against slices of SLICE blocks of
+    data.  A slice returns what may be among a query's k best by the bounds it has seen; the
+    query's kth largest lower bound over all slices then settles which of these stay.  Phase two
+    reads exact vectors in the order of their upper bounds, k at first and then twice as many each time,
+    until no unread upper bound of a query reaches its kth exact score.  Each block, slice and task has
+    a bounded size, whatever a table's size.  Rows with the same vec_id are rows of their own; null
+    vec_ids and vectors take no part; only vectors of one dimension are compared; further columns are
+    left aside; an empty table gives an empty result."""
     spark = vectors.sparkSession
     ship(spark)
     rows = integer_vectors(vectors, scale)
-    data = _blocks(rows, BLOCK, True)
-    queries = _blocks(rows.filter(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, False)
-    # the stated query set against all rows, in blocks
-    a, b = data.select("block", "dim"), queries.select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"))
-    pairs = materialise(a.join(b, F.col("dim") == F.col("q_dim")).select("block", "q_block"))
-    left = data.join(pairs, "block").withColumn("kind", F.lit("data"))
-    right = queries.withColumnRenamed("block", "q_block").join(pairs, "q_block").withColumn("kind", F.lit("query"))
-    both = left.unionByName(right)
-    found = materialise(both.groupBy("block", "q_block").applyInPandas(lambda rows: _scan(rows, k), "q_rid long, rid long, least double, most double"))
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    n, n_q = rows.count(), asked.count()
+    data = _blocks(rows, n, BLOCK, True)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    queries = _blocks(asked, n_q, min(QUERY_BLOCK, max(256, math.ceil(n_q / tasks))), False)
+    # the stated query set against all rows, in blocks: every data block goes once to each block of queries
+    slices = max(1, math.ceil(n / (BLOCK * SLICE)))
+    q_blocks = queries.select(F.col("block").alias("q_block"), "dim")  # 12 bytes for each block of queries
+    left = data.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices))).join(F.broadcast(q_blocks), "dim")
+    right = queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).withColumnRenamed("block", "q_block")
+
+    def scan(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({"q_rid": [], "rid": [], "least": [], "most": []}).astype({"q_rid": "int64", "rid": "int64"})
+        one = q.iloc[0]
+        body = np.frombuffer(one["body"], dtype="<i8").reshape(-1, int(one["dim"]))
+        return scan_cells(body, np.frombuffer(one["row_ids"], dtype="<i8"), d, k)
+
+    found = right.groupBy("q_block", "slice").cogroup(left.groupBy("q_block", "slice")).applyInPandas(scan, "q_rid long, rid long, least double, most double")
+    found = materialise(found)
     by_least = Window.partitionBy("q_rid").orderBy(F.desc("least"))
     bound = found.withColumn("place", F.row_number().over(by_least)).filter(F.col("place") == k).select("q_rid", F.col("least").alias("bound"))
     by_most = Window.partitionBy("q_rid").orderBy(F.desc("most"), "rid")
     left_over = found.join(bound, "q_rid", "left").filter(F.col("bound").isNull() | (F.col("most") >= F.col("bound")))
     left_over = materialise(left_over.withColumn("place", F.row_number().over(by_most)).select("q_rid", "rid", "most", "place"))
-    asked = rows.select(F.col("rid").alias("q_rid"), F.col("vec_id").alias("query_id"), F.col("body").alias("q_body"))
+    asked = asked.select(F.col("rid").alias("q_rid"), F.col("vec_id").alias("query_id"), F.col("body").alias("q_body"))
 
     @F.pandas_udf("long")
     def inner(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(x, dtype="<i8") @ np.frombuffer(y, dtype="<i8")) for x, y in zip(left, right)], dtype="int64")
+        return pd.Series(inner_products(left.tolist(), right.tolist()))
 
     def read(some: DataFrame) -> DataFrame:
         return some.join(asked, "q_rid").join(rows.select("rid", "vec_id", "body"), "rid").select("q_rid", "query_id", "vec_id", "rid", inner("q_body", "body").alias("score"))
 
     order = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    first = materialise(read(left_over.filter(F.col("place") <= FIRST_READ * k)))
-    kth = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("q_rid", F.col("score").alias("kth"))
-    rest = left_over.filter(F.col("place") > FIRST_READ * k).join(kth, "q_rid").filter(F.col("most") >= F.col("kth")).select("q_rid", "rid")
-    ranked = first.unionByName(read(rest)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best, done, upto, todo = None, 0, k, left_over
+    while True:
+        new = read(todo.filter((F.col("place") > done) & (F.col("place") <= upto)).select("q_rid", "rid"))
+        ranked = (new if best is None else best.drop("rank").unionByName(new)).withColumn("rank", F.row_number().over(order))
+        best = materialise(ranked.filter(F.col("rank") <= k))
+        done, upto = upto, 2 * upto
+        kth = best.filter(F.col("rank") == k).select("q_rid", F.col("score").alias("kth"))
+        todo = left_over.filter(F.col("place") > done).join(kth, "q_rid").filter(F.col("most") >= F.col("kth"))
+        if todo.isEmpty():
+            return best.select("query_id", "rank", "vec_id", "score")
