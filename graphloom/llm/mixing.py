@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, keyed, materialise
 
 #: Weights that sources take in turn, in code-point order of their names.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -13,6 +15,8 @@ SOURCE_WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: Most epochs of a source.
 MAX_EPOCHS = 2
+#: Documents in one range of the order in which prefix sums are taken, about.
+RANGE_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,13 +64,15 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, seed: str
     per input row: doc_id, source, size, source_size, target, copies, taken.
 
     A document's key is -ln(u)/weight.  Every source first gives its complete epochs; what
-    remains of its target is filled in key order.  The prefix sums are taken over buckets of
-    the key (about sqrt(n) of them for n documents), and inside one bucket, that where the
-    target is met, over documents; so a source with a third of all rows is no burden.  The
-    document on the edge counts if that brings the sum nearer to the target.  Null source: a
-    source of its own; null or empty text: size 0, never above 0 words; equal rows: each is
-    an entry of its own, with equal keys.  An empty table gives an empty result."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    remains of its target is filled in key order.  Documents are dealt into ranges of (source,
+    key, ...) of even size, whatever the weights; the words of a range come after those of the
+    source's ranges before, so a source with a third of all rows is many ranges.  The document on
+    the edge counts if that brings the sum nearer to the target.  Null source: a source of its
+    own; null or empty text: size 0, never above 0 words; equal rows: each is an entry of its own,
+    with equal keys.  A column __row, where docs has one, is passed on.  Further columns are left
+    aside, also if they are named as those above.  An empty table gives an empty result."""
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id().alias("__row")
+    base = docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size"))
     if quality is not None:
         per_doc = quality.groupBy("doc_id").agg(F.max("weight").alias("weight"))
         base = base.join(per_doc, "doc_id", "left")
@@ -74,26 +80,25 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, seed: str
         base = base.withColumn("weight", F.lit(1.0))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
     u = uniform(F.col("doc_id"), seed=seed)
-    base = materialise(base.select("doc_id", "source", "size", (-F.log(u) / weight).alias("key")))
+    base = materialise(base.select("__row", "doc_id", "source", "size", (-F.log(u) / weight).alias("key")))
+    order = ["key", "doc_id", "size", "__row"]
+    ranges = base.repartitionByRange(max(1, math.ceil(base.count() / RANGE_ROWS)), "source", *order)
+    rows = materialise(ranges.withColumn("part", F.spark_partition_id()))
     targets = source_targets(base, weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumn("buckets", F.ceil(F.sqrt("n_docs")))
-    targets = materialise(targets).withColumnRenamed("source", "t_source")
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1)
-    rows = base.join(targets, base.source.eqNullSafe(targets.t_source)).drop("t_source").withColumn("bucket", bucket)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("words").over(by_bucket))
-    edge = sums.filter(F.col("upto") >= F.col("rest")).groupBy(F.col("source").alias("e_source")).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("edge"))
-    rows = rows.join(edge, rows.source.eqNullSafe(edge.e_source), "left").drop("e_source")
-    e = F.col("edge.bucket")
-    clear = rows.filter(e.isNull() | (F.col("bucket") != e)).withColumn("extra", (e.isNull() | (F.col("bucket") < e)).cast("long"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("edge.before") + F.sum("size").over(order)
-    near = rows.filter(F.col("bucket") == e).withColumn("extra", (upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    out = clear.unionByName(near).withColumn("copies", F.col("epochs") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # one row for each source in each range: what the source's ranges before hold
+    sums = rows.groupBy("part", "source").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    named = targets.withColumnRenamed("source", "t_source")
+    sums = sums.join(named, sums.source.eqNullSafe(named.t_source)).select(F.col("part").alias("s_part"), F.col("source").alias("s_source"), "before", "source_size", "target", "epochs", "rest")
+    upto = F.sum("size").over(Window.partitionBy("part", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("upto", upto).join(sums, (F.col("part") == F.col("s_part")) & F.col("source").eqNullSafe(F.col("s_source")))
+    extra = (F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")
+    out = out.withColumn("copies", F.col("epochs") + extra)
+    kept = ["__row"] if "__row" in docs.columns else []
+    return out.select(*kept, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def quality_weights(labels: DataFrame, low: float = 0.25) -> DataFrame:
@@ -101,9 +106,12 @@ def quality_weights(labels: DataFrame, low: float = 0.25) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.when(F.col("quality") >= 1, 1.0).otherwise(low).alias("weight"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with the columns of docs."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__doc_id")
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs as often as mix_sources takes each, with the columns of docs.
+
+    Rows are told apart by a key of their own, so null and repeated ids are taken as often as was
+    decided for each row.  Documents without words are taken as the mix says: they count as 0."""
+    rows = keyed(docs)
+    copies = mix_sources(rows, quality, **options).filter(F.col("copies") > 0).select("__row", F.col("copies").alias("__copies"))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__time")
-    joined = docs.join(copies, docs.doc_id.eqNullSafe(copies["__doc_id"])).filter(F.col("__copies") > 0)
-    return joined.select(*[docs[c] for c in docs.columns], times).drop("__time")
+    return rows.join(copies, "__row").select(*docs.columns, times).drop("__time")
