@@ -12,19 +12,25 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, ship
 
-#: Vectors that cluster centres are fit on at most (expected): the sample's bound.
-SAMPLE = 20_000
-#: Vectors a shard should hold before overlap, centres at most, and vectors a graph is built over at most.
-SHARD, CENTRES, CAP = 800, 4_096, 3_000
-#: Shards that a vector belongs to at most, and how much further than the nearest centre they may be (radians).
-OVERLAP, REACH = 4, 0.35
+#: Vectors that cluster centres are fit on at most (expected), at first and for each shard split again.
+SAMPLE, SPLIT_SAMPLE = 20_000, 2_048
+#: Vectors a shard should hold before overlap, centres of the first level and of a shard that is split
+#: again, and vectors a graph is built over at most.
+SHARD, CENTRES, CHILDREN, CAP = 500, 1_024, 64, 4_000
+#: Shards that a vector belongs to at most on the first level and on those below, and how much further
+#: than the nearest centre they may be (radians).
+OVERLAP, BELOW, REACH = 4, 2, 0.35
+#: Share of a shard's pairs that link from which it is compared whole: there the links themselves are a
+#: fixed share of all pairs, so no search takes less.
+DENSE = 0.1
 #: Candidates and edges of a node, how eagerly an edge rules out others, and edges with those of others
 #: towards the node.
 POOL, DEGREE, ALPHA, FULL_DEGREE = 32, 16, 1.2, 48
 #: Width of the greedy search, and how far below the threshold the range search still expands.
 BEAM, SLACK = 24, 0.05
-#: Queries of the recall audit, and the recall below which shards overlap more.
-AUDIT, LEAST_RECALL = 256, 0.97
+#: Queries of each half of the recall audit, the recall below which shards overlap more, the searches
+#: that are tried, and the recall below which the last one is an error.
+AUDIT, WANTED_RECALL, TRIES, LEAST_RECALL = 256, 0.97, 3, 0.9
 
 
 def centres_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -112,7 +118,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> It
         beam[:, 0], sims[:, 0], done[:, 0] = medoid, x[q] @ x[medoid], False
         seen[:, medoid] = True
         active = rows
-        for _ in range(4 * BEAM):
+        while True:  # ends when every node of each beam was expanded
             todo = np.where(done[active], -np.inf, sims[active])
             pick = todo.argmax(axis=1)
             live = np.isfinite(todo[np.arange(len(active)), pick])
@@ -206,8 +212,49 @@ def _homes(column) -> np.ndarray:
 RESULT = "node long, links long, root long"
 
 
-def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: float) -> DataFrame:
-    """RESULT rows for classes(node, times, vector) of one dimension."""
+def _nearest(x: np.ndarray, centres: np.ndarray, overlap: int, reach: float) -> list[np.ndarray]:
+    """Of every row of x the nearest centre and up to overlap - 1 more that are little further."""
+    near = np.arccos(np.clip(x.astype(np.float32) @ centres.T, -1, 1))
+    k = min(overlap, near.shape[1])
+    best = np.argsort(near, axis=1, kind="stable")[:, :k]
+    low = near.min(axis=1)
+    return [b[near[i, b] <= low[i] + reach] for i, b in enumerate(best)]
+
+
+def _split(members: DataFrame, large: DataFrame, threshold: float, overlap: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Members of the shards in large(shard, size) dealt to shards below them, and the shards that
+    are dense instead.  Each is split around centres fit on a bounded sample of its own."""
+    some = members.join(large, "shard")
+    chosen = some.filter(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_000)) < F.lit(1e6 * SPLIT_SAMPLE) / F.col("size")).select("shard", "size", "vector")
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(list(rows["vector"]))
+        part = x[:1024]  # in no order: rows come by a hash
+        links = ((part @ part.T >= threshold).sum() - len(part)) / max(1, len(part) * (len(part) - 1))
+        k = min(CHILDREN, max(16, math.ceil(rows["size"].iloc[0] / SHARD)))
+        return pd.DataFrame({"shard": [key[0]], "size": [int(rows["size"].iloc[0])], "dense": [bool(links >= DENSE)], "centres": [centres_of(x, k).astype(np.float32).tobytes()]})
+
+    fitted = materialise(chosen.groupBy("shard").applyInPandas(fit, "shard long, size long, dense boolean, centres binary"))
+    sparse = fitted.filter("NOT dense").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / CAP).cast("long"))))
+    rows = some.join(fitted.filter("NOT dense").select("shard"), "shard", "left_semi").withColumn("salt", F.pmod(F.xxhash64("node"), F.floor(F.col("size") / CAP).cast("long") + 1))
+
+    def deal(rows: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(centre):
+            return pd.DataFrame({"node": [], "shard": []}).astype("int64")
+        x = _unit(list(rows["vector"]))
+        where = _nearest(x, np.frombuffer(centre["centres"].iloc[0], dtype=np.float32).reshape(-1, x.shape[1]), overlap, reach)
+        node = np.repeat(rows["node"].to_numpy(), [len(w) for w in where])
+        return pd.DataFrame({"node": node, "shard": (centre["shard"].iloc[0] + CENTRES) * CHILDREN + np.concatenate(where)})
+
+    dealt = rows.select("shard", "salt", "node", "vector").groupBy("shard", "salt").cogroup(sparse.groupBy("shard", "salt")).applyInPandas(deal, "node long, shard long")
+    return dealt, fitted.filter("dense").select("shard")
+
+
+def _shards(classes: DataFrame, n: int, threshold: float, overlap: int, below: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(node, shard) of overlapping shards of at most CAP vectors, and of dense shards of any size.
+
+    The first level's centres are fit on a bounded sample of all; a shard above CAP is split again, and so
+    on, so the number of centres grows with the table while each fit and each group stays bounded."""
     spark = classes.sparkSession
     share = min(1.0, SAMPLE / max(n, 1))
     sample = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share * 1e6).select("vector").toPandas()["vector"]
@@ -215,20 +262,39 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: fl
         sample = classes.select("vector").limit(1).toPandas()["vector"]
     centres = spark.sparkContext.broadcast(centres_of(_unit(list(sample)), min(CENTRES, math.ceil(n / SHARD))).astype(np.float32))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def homes(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        near = np.arccos(np.clip(_unit(list(vectors)).astype(np.float32) @ centres.value.T, -1, 1))
-        k = min(overlap, near.shape[1])
-        best = np.sort(np.argsort(near, axis=1, kind="stable")[:, :k], axis=1)
-        low = near.min(axis=1)
-        return pd.Series([b[near[i, b] <= low[i] + reach] for i, b in enumerate(best)])
-
-    held = materialise(classes.withColumn("homes", homes("vector")))
-    members = held.withColumn("shard", F.explode("homes"))
-    sizes = materialise(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")))
-    usual = members.join(sizes.filter(F.col("size") <= CAP).select("shard"), "shard")
+        return pd.Series(_nearest(_unit(list(vectors)), centres.value, overlap, reach) if len(vectors) else [], dtype=object)
+
+    placed = materialise(classes.select("node", F.explode(homes("vector")).alias("shard")))
+    done = dense = None
+    for _ in range(8):  # 64 centres a level: more than any table needs
+        sizes = materialise(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")))
+        large = sizes.filter(F.col("size") > CAP)
+        small = placed.join(large.select("shard"), "shard", "left_anti").select("node", "shard")
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            break
+        vectors = placed.join(large.select("shard"), "shard", "left_semi").join(classes.select("node", "vector"), "node")
+        dealt, whole = _split(vectors, large, threshold, below, reach)
+        kept = placed.join(whole, "shard", "left_semi").select("node", "shard")
+        done = done.unionByName(kept)
+        dense = whole if dense is None else dense.unionByName(whole)
+        placed = materialise(dealt)
+    else:
+        raise RuntimeError("shards stay above their bound")
+    empty = spark.createDataFrame([], "shard long")
+    return done, empty if dense is None else dense
+
+
+def _links(classes: DataFrame, n: int, threshold: float, overlap: int, below: int, reach: float) -> DataFrame:
+    """RESULT rows for classes(node, times, vector) of one dimension."""
+    placed, dense = _shards(classes, n, threshold, overlap, below, reach)
+    placed, dense = materialise(placed), materialise(dense)
+    homes = placed.groupBy("node").agg(F.collect_list("shard").alias("homes"))  # a few for each
+    members = materialise(placed.join(classes.join(homes, "node"), "node"))
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    usual = members.join(dense, "shard", "left_anti")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         x, node = _unit(list(rows["vector"])).astype(np.float32), rows["node"].to_numpy()
@@ -250,8 +316,8 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: fl
 
     found = usual.join(graph, "node", "left").groupBy("shard").applyInPandas(search, RESULT)
 
-    # shards above CAP, as around one very common vector: all pairs of bounded chunks, exactly
-    large = members.join(sizes.filter(F.col("size") > CAP), "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("size") / (CAP // 2))))
+    # dense shards, as around one very common vector: all pairs of bounded chunks, exactly
+    large = members.join(sizes.join(dense, "shard", "left_semi"), "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("size") / (CAP // 2))))
     last = (F.ceil(F.col("size") / (CAP // 2)) - 1).cast("long")
     sides = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
     large = large.withColumn("side", F.explode(sides)).select("shard", "side.i", "side.j", "chunk", "node", "times", "vector", "homes")
@@ -279,10 +345,14 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, reach: fl
 
 
 def audit_recall(classes: DataFrame, links: DataFrame, threshold: float, n: int, queries: int = AUDIT) -> float:
-    """Share of the true links of about `queries` classes, chosen by a hash, that were found.
-    The queries' vectors are broadcast (their number is bounded) and all classes scanned."""
-    share = min(1.0, queries / max(n, 1))
-    asked = classes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000_000)) < share * 1e9).select("node", "vector").toPandas()
+    """Share of the true links that were found, of about `queries` classes among all and as many among
+    those with links, chosen by a hash; the smaller of the share of all their links and the mean of
+    their shares.  The queries' vectors are broadcast (their number is bounded) and all classes scanned."""
+    linked = links.groupBy("node").agg(F.sum("links").alias("links")).filter("links > 0")
+    m = linked.count()
+    mark = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000_000))
+    some = classes.select("node").filter(mark < 1e9 * min(1.0, queries / max(n, 1))).union(linked.select("node").filter(mark < 1e9 * min(1.0, queries / max(m, 1)))).distinct()
+    asked = classes.select("node", "vector").join(some, "node").toPandas()
     if not len(asked):
         return 1.0
     spark = classes.sparkSession
@@ -300,24 +370,28 @@ def audit_recall(classes: DataFrame, links: DataFrame, threshold: float, n: int,
 
     truth = classes.mapInPandas(count, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
     got = truth.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    r = got.agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("g")).first()
-    return (r["g"] or 0) / r["t"] if r["t"] else 1.0
+    found = F.least("truth", F.coalesce("links", F.lit(0)))
+    r = got.filter("truth > 0").agg(F.sum("truth").alias("t"), F.sum(found).alias("g"), F.avg(found / F.col("truth")).alias("mean")).first()
+    return min(r["g"] / r["t"], r["mean"]) if r["t"] else 1.0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding).
 
     Equal vectors are one class with a number of copies.  Classes go to overlapping shards around
-    k-means centres that are fit on a bounded sample.  A graph is built on each shard, the
-    adjacency lists of a node are united over its shards, and every class is searched from the
-    medoid of each of its shards.  Links are verified in double precision and count once, in the
-    first shard that both ends share; a shard returns one row per member, never pairs.  Shards
-    above CAP are compared chunk by chunk instead.  The audit compares a bounded set of queries
-    with all rows; if recall is too low, shards overlap more and the search runs again.
+    k-means centres that are fit on bounded samples, level below level until a shard holds CAP vectors
+    at most.  A graph is built on each shard, the adjacency lists of a node are united over its
+    shards, and every class is searched from the medoid of each of its shards.  Links are verified
+    in double precision and count once, in the first shard that both ends share; a shard returns one
+    row per member, never pairs.  A shard above CAP in which a tenth of all pairs link can't be
+    searched for less than it is compared for, so it is compared whole, in chunks.  Each search is
+    audited: a bounded set of queries is compared with all rows; below WANTED_RECALL shards overlap
+    more and the search runs again; a last one below LEAST_RECALL is an error.
 
     Null, empty, all-zero vectors and those with null or non-finite components: n_links 0, a
     component of their own.  Vectors of different dimensions don't link.  Equal rows count as
-    rows; an empty table gives an empty result."""
+    rows; null vec_ids take part but name no component with other ids; further columns are left aside,
+    also if they are named as those above; an empty table gives an empty result."""
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("embedding")
@@ -328,12 +402,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = None
     for dim, n in classes.groupBy("dim").count().collect():
         part = classes.filter(F.col("dim") == dim).select("node", "times", "vector")
-        overlap, reach = OVERLAP, REACH
-        while True:
-            links = _links(part, n, threshold, overlap, reach)
-            if overlap >= 4 * OVERLAP or audit_recall(part, links, threshold, n) >= LEAST_RECALL:
+        overlap, below, reach = OVERLAP, BELOW, REACH
+        for _ in range(TRIES):
+            links = _links(part, n, threshold, overlap, below, reach)
+            recall = audit_recall(part, links, threshold, n)
+            if recall >= WANTED_RECALL:
                 break
-            overlap, reach = 2 * overlap, 1.5 * reach
+            overlap, below, reach = 2 * overlap, 2 * below, 1.5 * reach
+        if recall < LEAST_RECALL:
+            raise RuntimeError(f"the audit found a recall of {recall:.3f} only")
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = spark.createDataFrame([], RESULT)
