@@ -5,16 +5,18 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import math
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, ship
@@ -23,8 +25,14 @@ from .common import materialise, scratch, ship
 ARCHIVE_BYTES = 32 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
-#: Index entries that one merging task takes, about.
-MERGE_ROWS = 50_000
+#: Index entries that a run holds before it is written, and those of one block of a run.
+RUN_ROWS, RUN_BLOCK = 50_000, 512
+#: Runs that are merged at once; more take further passes.
+FAN_IN = 128
+#: Index entries that one merging task takes, about, and ranges at most; a task streams, so a range may be long.
+MERGE_ROWS, RANGES = 50_000, 1_024
+#: Bytes of an archive that are read at once.
+READ_BYTES = 1 << 20
 #: Time of page 0; every further page is a second later.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 END = b"\r\n\r\n"
@@ -140,35 +148,30 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_records(archive: str) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of an archive."""
+    """(offset, length, headers, block) of each record of an archive, read in parts: no more than one
+    record and READ_BYTES are held."""
     files, path = _files(archive)
     with files.open_input_stream(path, compression=None) as f:
-        data = f.read()
-    at = 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data[at:]) if len(data) - at < 1 << 16 else b""
-        if not member.eof:
-            member, parts, pos = zlib.decompressobj(31), [], at
+        at, data = 0, f.read(READ_BYTES)
+        while data:
+            member, parts, length = zlib.decompressobj(31), [], 0
             while not member.eof:
-                parts.append(member.decompress(data[pos : pos + (1 << 16)]))
-                pos += 1 << 16
-                if pos - (1 << 16) > len(data):
+                if not data:
                     raise ValueError(f"{archive} ends within a record")
-            raw = b"".join(parts)
-            length = min(pos, len(data)) - at - len(member.unused_data)
-        else:
-            length = len(data) - at - len(member.unused_data)
-        head, _, rest = raw.partition(END)
-        headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        yield at, length, headers, rest[: int(headers["Content-Length"])]
-        at += length
-
-
-def capture_run(archive: str) -> list[tuple]:
-    """Index entries of one archive, sorted: a run.  Digests and sizes of responses are those of
+                parts.append(member.decompress(data))
+                length += len(data)
+                data = member.unused_data if member.eof else f.read(READ_BYTES)
+            length -= len(data)
+            head, _, rest = b"".join(parts).partition(END)
+            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            yield at, length, headers, rest[: int(headers["Content-Length"])]
+            at += length
+            data = data or f.read(READ_BYTES)
+
+
+def captures(archive: str) -> Iterator[tuple]:
+    """Index entries of one archive in its order.  Digests and sizes of responses are those of
     the payload as read; a payload that doesn't match its header is an error."""
-    run = []
     for offset, length, h, block in read_records(archive):
         if h["WARC-Type"] == "warcinfo":
             continue
@@ -181,16 +184,14 @@ def capture_run(archive: str) -> list[tuple]:
                 raise ValueError(f"{archive} at {offset}: payload and digest differ")
         refers = _page(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
         stamp = "".join(c for c in h["WARC-Date"] if c.isdigit())
-        run.append((url_key(h["WARC-Target-URI"]), stamp, _page(h["WARC-Record-ID"]), archive, offset, length, h["WARC-Type"], size, digest, refers))
-    run.sort(key=_place)
-    return run
+        yield url_key(h["WARC-Target-URI"]), stamp, _page(h["WARC-Record-ID"]), archive, offset, length, h["WARC-Type"], size, digest, refers
 
 
 def _place(entry: tuple) -> tuple:
     return entry[0], entry[1], -1 if entry[2] is None else entry[2], entry[3], entry[4]
 
 
-def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple]:
+def merge_runs(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """k-way merge of sorted runs by a loser tree: each inner node holds the run that lost
     there, so the next entry takes one comparison a level."""
     feeds = [iter(r) for r in runs]
@@ -227,53 +228,194 @@ def merge_runs(runs: list[list[tuple]]) -> Iterator[tuple]:
         winner = cur
 
 
-def build_index(archives: DataFrame) -> DataFrame:
+#: A block of a sorted run: where it lies, and its first and last place in the order.
+BLOCK = "run long, file string, start long, size long, entries long, first binary, last binary"
+
+
+def _key(entry: tuple) -> bytes:
+    """An entry's place as bytes."""
+    return json.dumps(_place(entry)).encode()
+
+
+def _order(key: bytes) -> tuple:
+    return tuple(json.loads(key))
+
+
+class RunWriter:
+    """Writes sorted entries as compressed blocks of RUN_BLOCK into a new file, and notes each block."""
+
+    def __init__(self, folder: str, run: int):
+        files, base = _files(folder)
+        files.create_dir(base, recursive=True)
+        self.run, self.blocks, self.part, self.at = run, [], [], 0
+        self.file = f"{folder}/run-{uuid.uuid4().hex}"
+        self.out = files.open_output_stream(f"{base}/{self.file.rpartition('/')[2]}", compression=None)
+
+    def add(self, entry: tuple) -> None:
+        self.part.append(entry)
+        if len(self.part) == RUN_BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.part:
+            raw = zlib.compress(json.dumps(self.part).encode(), 1)
+            self.out.write(raw)
+            self.blocks.append((self.run, self.file, self.at, len(raw), len(self.part), _key(self.part[0]), _key(self.part[-1])))
+            self.at += len(raw)
+            self.part = []
+
+    def close(self) -> list[tuple]:
+        self._flush()
+        self.out.close()
+        return self.blocks
+
+
+def read_block(file: str, start: int, size: int) -> list[tuple]:
+    files, path = _files(file)
+    with files.open_input_file(path) as f:
+        return [tuple(e) for e in json.loads(zlib.decompress(f.read_at(size, start)))]
+
+
+def merged_range(blocks: list[tuple], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """Entries from low on and below high of several runs, in order.  blocks: (run, first, file, start,
+    size), those that may hold such entries; of each run one block is held at a time."""
+    runs: dict[int, list[tuple]] = {}
+    for run, first, file, start, size in blocks:
+        runs.setdefault(run, []).append((_order(first), file, start, size))
+
+    def feed(parts: list[tuple]) -> Iterator[tuple]:
+        for _, file, start, size in sorted(parts):
+            for entry in read_block(file, start, size):
+                place = _place(entry)
+                if high is not None and place >= high:
+                    return
+                if low is None or place >= low:
+                    yield entry
+
+    yield from merge_runs([feed(parts) for parts in runs.values()])
+
+
+def _ranged(blocks: DataFrame, fan_in: int, groups: int) -> tuple[DataFrame, list[tuple]]:
+    """blocks with group (of fan_in runs) and range, once for each range that they reach into, and the places
+    at which ranges end.  Those are drawn from a sample of blocks of a bounded size."""
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("entries").alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    ranges = min(RANGES, max(1, math.ceil((total["n"] or 0) / MERGE_ROWS)))
+    share = min(1.0, 16 * ranges / max(1, total["blocks"]))
+    firsts = sorted(_order(r["first"]) for r in blocks.filter(F.pmod(F.xxhash64("file", "start"), F.lit(1_000_000)) < share * 1e6).select("first").collect())
+    ends = sorted({firsts[len(firsts) * i // ranges] for i in range(1, ranges)} - {firsts[0]}) if firsts else []
+    shared = spark.sparkContext.broadcast(ends)
+
+    @F.pandas_udf("array<int>")
+    def reach(first: pd.Series, last: pd.Series) -> pd.Series:
+        spans = [range(bisect_right(shared.value, _order(a)), bisect_right(shared.value, _order(b)) + 1) for a, b in zip(first, last)]
+        return pd.Series([list(s) for s in spans], dtype=object)
+
+    out = blocks.withColumn("group", F.floor(F.col("run") / fan_in)).withColumn("range", F.explode(reach("first", "last")))
+    return out.repartition(groups * (len(ends) + 1), "group", "range").sortWithinPartitions("group", "range"), ends
+
+
+def _tasks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(group, range, blocks) of rows that come sorted by group and range; a range's block notes are
+    some ten bytes for each of its entries' blocks."""
+    now, blocks = None, []
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if now not in (None, (r.group, r.range)):
+                yield *now, blocks
+                blocks = []
+            now = (r.group, r.range)
+            blocks.append((r.run, r.first, r.file, r.start, r.size))
+    if now:
+        yield *now, blocks
+
+
+def build_index(archives: DataFrame, folder: str | None = None) -> DataFrame:
     """Globally ordered capture histories of archives(archive): INDEX columns, range and place.
 
-    One sorted run per archive is written; ranges of the key then take their slices of
-    all runs, and merge them with a loser tree.  The key ends with page and place, so a URL
-    that holds a third of all captures is cut into ranges like any other."""
+    Tasks read archives and write sorted runs as files of compressed blocks, of which a table notes the
+    first and last place.  Ranges of the order then stream their slices of all runs, a block of each run
+    at a time, through a loser tree; with more than FAN_IN runs, passes before that merge them in
+    groups, range by range as well.  The order ends with page and place, so a URL that holds a third of
+    all captures is cut into ranges like any other.  Files belong to the task attempt that the tables
+    name, so a lost executor costs its tasks alone."""
 
     spark = archives.sparkSession
     ship(spark)
+    folder = folder or scratch(spark)
     names = [f.split(" ")[0] for f in INDEX.split(", ")]
+    noted = [f.split(" ")[0] for f in BLOCK.split(", ")]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     def runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, part, done = TaskContext.get().partitionId() << 20, [], []
+
+        def write():
+            nonlocal number
+            part.sort(key=_place)
+            out = RunWriter(folder, number)
+            for entry in part:
+                out.add(entry)
+            done.extend(out.close())
+            number += 1
+            part.clear()
+
         for batch in batches:
             for archive in batch["archive"]:
-                yield frame(capture_run(archive))
+                for entry in captures(archive):
+                    part.append(entry)
+                    if len(part) >= RUN_ROWS:
+                        write()
+        if part:
+            write()
+        yield pd.DataFrame(done, columns=noted)
 
     n = archives.count()
-    entries = materialise(archives.select("archive").repartition(max(1, n)).mapInPandas(runs, INDEX))
-    ranges = max(1, math.ceil(entries.count() / MERGE_ROWS))
+    tasks = min(max(1, n), 4 * spark.sparkContext.defaultParallelism + n // 64)
+    blocks = materialise(archives.select("archive").repartition(tasks).mapInPandas(runs, BLOCK))
+    number = Window.orderBy("run")  # one row for each run
+    while True:
+        present = blocks.select("run").distinct()
+        groups = math.ceil(present.count() / FAN_IN)
+        if groups <= 1:
+            break
+        dense = present.select("run", (F.row_number().over(number) - 1).cast("long").alias("place"))
+        numbered = blocks.join(dense, "run").drop("run").withColumnRenamed("place", "run").select(*noted)
+        ranged, ends = _ranged(materialise(numbered), FAN_IN, groups)
+
+        def merge_group(batches: Iterable[pd.DataFrame], ends=ends) -> Iterator[pd.DataFrame]:
+            for group, k, parts in _tasks(batches):
+                out = RunWriter(folder, int(group))
+                for entry in merged_range(parts, ends[k - 1] if k else None, ends[k] if k < len(ends) else None):
+                    out.add(entry)
+                yield pd.DataFrame(out.close(), columns=noted)
+
+        blocks = materialise(ranged.mapInPandas(merge_group, BLOCK))
+    ranged, ends = _ranged(blocks, 1 << 62, 1)
 
     def merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slices: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for r in batch.astype({"page_id": object, "refers_to": object}).itertuples(index=False):
-                entry = tuple(None if i in (2, 9) and pd.isna(v) else int(v) if i in (2, 9) else v for i, v in enumerate(r))
-                slices.setdefault(r.archive, []).append(entry)
-        for part in slices.values():
-            part.sort(key=_place)  # blocks of one run may arrive in any order
-        out, place, number = [], 0, TaskContext.get().partitionId()
-        for entry in merge_runs(list(slices.values())):
-            out.append(entry)
-            if len(out) == 10_000:
-                yield frame(out).assign(range=number, place=range(place, place + len(out)))
-                place, out = place + len(out), []
-        yield frame(out).assign(range=number, place=range(place, place + len(out)))
-
-    return entries.repartitionByRange(ranges, *ORDER).mapInPandas(merge, INDEX + ", range int, place long")
+        for _, k, parts in _tasks(batches):
+            out, place = [], 0
+            for entry in merged_range(parts, ends[k - 1] if k else None, ends[k] if k < len(ends) else None):
+                out.append(entry)
+                if len(out) == 10_000:
+                    yield frame(out).assign(range=k, place=range(place, place + len(out)))
+                    place, out = place + len(out), []
+            if out:
+                yield frame(out).assign(range=k, place=range(place, place + len(out)))
+
+    return ranged.mapInPandas(merge, INDEX + ", range int, place long")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write pages(page_id, url, html) as WARC, read the archives back and return their index.
 
-    Null html: an empty payload; null url: an empty key; null page_id: kept as null.
-    Equal rows: a record each.  An empty table: no archive and no rows."""
+    Null html: an empty payload; null url: an empty key; null page_id: kept as null, and never the
+    response that others revisit unless alone.  Equal rows: a record each.  Very long payloads take
+    the memory of one record.  Further columns are left aside, also if they are named as those above.
+    An empty table: no archive and no rows."""
     folder = folder or scratch(pages.sparkSession)
     return build_index(write_archives(with_revisits(pages, least_bytes), folder))
