@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP_BYTES, WordIndex, held, ship
+from .common import KEEP_BYTES, WordIndex, held, materialise, ship
 
 #: Length of the longest n-grams.
 ORDER = 4
-#: Expected training rows a language at most: the bound of the sample that models are fit on.
-TRAIN_ROWS = 800
+#: Expected rows a language at most that models are fit on, and that rejection is calibrated on: the
+#: bounds of the two samples.
+TRAIN_ROWS, HELD_ROWS = 1_500, 3_000
+#: Languages up to which a table of one row for each is broadcast.
+FEW = 10_000
 #: Characters that a word's model reads; longer words count in parts of this length.
 WORD_PART = 40
-#: A text is rejected if its cross-entropy lies further above its language's training mean than this
-#: many standard deviations, those of texts of its length; and than any training text did.
-REJECT_SD = 20.0
-#: Characters at which a text's own variance equals that between texts; large, so that one odd word,
-#: such as a key or an address, doesn't reject a short text.
-SHORT = 800.0
+#: Held texts of a language in one band of lengths, about, and the place from above of the cross-entropy
+#: that counts as the band's largest, so that a junk text or two don't raise it.
+BAND, ROBUST = 375, 3
+#: A text is rejected if its cross-entropy lies this many times as far above its band's median as the
+#: band's largest does.
+REJECT = 2.0
 LETTER = r"\p{L}"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,9 +67,8 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: float
-    mean: float = 0.0
-    spread: float = 1.0
-    worst: float = np.inf
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))  # where bands of lengths begin, but the first
+    limits: np.ndarray = field(default_factory=lambda: np.array([np.inf]))  # cross-entropy to reject from, by band
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -172,53 +176,91 @@ class Scorer:
         # weights of evidence from at most 40 characters, so long texts don't all round to 1
         odds = np.exp2(-(entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, 40)[:, None])
         low = entropy[np.arange(len(best)), best]
-        mean, spread, worst = (np.array([getattr(m, k) for m in self.models])[best] for k in ("mean", "spread", "worst"))
-        z = (low - mean) / (spread * np.sqrt(1 + SHORT / n))
-        return pd.DataFrame({"lang": [self.names[i] for i in best], "score": 1 / odds.sum(axis=1), "entropy": low, "rejected": (z > REJECT_SD) & (z > worst)})
-
-
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER) -> dict[str, Model]:
-    """Models of every language in docs(doc_id, text, lang), from a sample of about `rows` rows each.
-
-    The sample takes rows by a hash of doc_id, so it is the same on every run.  Words are
-    counted on the executors; what comes back is bounded by the sample.  Four fifths of it
-    make a model and the rest calibrates rejection."""
+        limit = np.array([self.models[b].limits[np.searchsorted(self.models[b].lengths, k, side="right")] for b, k in zip(best, chars)])
+        return pd.DataFrame({"lang": [self.names[i] for i in best], "score": 1 / odds.sum(axis=1), "entropy": low, "rejected": low > limit})
+
+
+def limits(entropy: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where bands of lengths begin, but the first, and the cross-entropy to reject from in each: held
+    texts of one language, by length, in bands of equal numbers.  Fewer than 5 texts reject nothing."""
+    if len(entropy) < 5:
+        return np.zeros(0), np.array([np.inf])
+    order = np.argsort(chars, kind="stable")
+    bands = np.array_split(order, max(1, len(order) // BAND))
+    out = []
+    for band in bands:
+        e = np.sort(entropy[band])
+        middle = np.median(e)
+        out.append(middle + REJECT * max(e[-min(ROBUST, len(e))] - middle, 0.1))
+    return np.array([chars[band[0]] for band in bands[1:]], dtype=float), np.array(out)
+
+
+def _count_words(batches):
+    for batch in batches:
+        for lang, texts in batch.groupby("lang")["text"]:
+            words = Counter(w for t in texts for w in split_words(t))
+            yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, held_rows: int = HELD_ROWS, order: int = ORDER) -> dict[str, Model]:
+    """Models of every language in docs(doc_id, text, lang).
+
+    Two samples of about `rows` and `held_rows` rows a language are taken by a hash of doc_id and text, the
+    same on every run and apart from each other.  The first makes the models: its words are counted and each
+    language's model is fit on the executors.  The second calibrates rejection: executors measure its
+    cross-entropies.  To the driver go the models' n-gram tables and two numbers for each held text, no
+    text and no word.  Rows without text or lang take no part; repeated rows count as often as they are
+    drawn; an empty table gives no model."""
     spark = docs.sparkSession
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    ship(spark)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")))
+    langs = sizes.count()
+    if not langs:
+        return {}
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000_007)) / 1_000_000_007.0
+    place = u * F.col("__n")  # as if the language's rows stood in the order of their hashes
+    first = F.least(F.lit(float(rows)), 0.8 * F.col("__n"))
+    drawn = known.join(F.broadcast(sizes) if langs <= FEW else sizes, "lang").filter(place < first + held_rows)
+    drawn = drawn.select("lang", "text", (place >= first).alias("held"))
+    sample = materialise(drawn.repartition(spark.sparkContext.defaultParallelism))
+    words = sample.filter(~F.col("held")).select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long")
+
+    def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
+        model = fit(dict(zip(rows["word"], rows["n"])), order)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "model": [pickle.dumps(model)]})
+
+    fitted = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(fit_one, "lang string, model binary")
+    models = {r["lang"]: pickle.loads(r["model"]) for r in fitted.collect()}
+    if not models:
         return {}
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_000)) / 1e6
-    share = F.element_at(F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col("lang"))
-    sample = known.filter(u < share).select("lang", "text", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0).alias("held"))
-    sample = sample.repartition(spark.sparkContext.defaultParallelism).persist()
-    raw = sample.filter(~F.col("held")).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    counts = raw.filter(F.col("word") != "").groupBy("lang", F.substring("word", 1, WORD_PART).alias("word")).count()
-    words: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for lang, w, n in counts.toPandas().itertuples(index=False):
-        words[lang][w] = n
-    models = {k: fit(v, order) for k, v in words.items() if v}
-    scorer = Scorer(models) if models else None
-    for lang, part in sample.filter("held").select("lang", "text").toPandas().groupby("lang"):
-        if lang in models:
-            bits, chars = scorer.measure([t for t in part["text"]])
-            ok = chars > 0
-            if ok.sum() >= 5:
-                own, n = bits[ok, scorer.names.index(lang)] / chars[ok], chars[ok]
-                m = models[lang]
-                m.mean, m.spread = float(np.median(own)), float(max(1.4826 * np.median(np.abs(own - np.median(own))), 0.02))
-                m.worst = float(((own - m.mean) / (m.spread * np.sqrt(1 + SHORT / n))).max())
-    sample.unpersist()
+    shared = spark.sparkContext.broadcast(models)
+
+    def measure(batches):
+        loaded = shared.value
+        scorer = held(("language", id(loaded)), lambda: Scorer(loaded))
+        for batch in batches:
+            some = batch[batch["lang"].isin(scorer.names)]
+            for start in range(0, len(some), 500):
+                part = some.iloc[start : start + 500]
+                bits, chars = scorer.measure(part["text"].tolist())
+                own = bits[np.arange(len(part)), [scorer.names.index(k) for k in part["lang"]]]
+                yield pd.DataFrame({"lang": part["lang"], "entropy": own / np.maximum(chars, 1), "chars": chars})[chars > 0]
+
+    numbers = sample.filter("held").select("lang", "text").mapInPandas(measure, "lang string, entropy double, chars double").toPandas()
+    for lang, part in numbers.sort_values(["lang", "chars", "entropy"]).groupby("lang"):
+        models[lang].lengths, models[lang].limits = limits(part["entropy"].to_numpy(), part["chars"].to_numpy())
     return models
 
 
 def identify(docs: DataFrame, models: dict[str, Model], column: str = "__language") -> DataFrame:
     """docs with a struct column (lang, score, entropy, rejected) from its column text.
 
-    The lowest cross-entropy a character wins.  Null texts and texts without a letter:
-    lang `und`, score 0, rejected.  rejected also marks texts that lie further from
-    their language than its training texts do.  Without models all is `und`.  A scan
-    without a shuffle; equal rows get equal results."""
+    The lowest cross-entropy a character wins, ties to the first language by name.  Null texts and texts
+    without a letter: lang `und`, score 0, rejected.  rejected also marks texts that lie further from
+    their language than its held texts of that length do.  Very long texts count whole, long words
+    in parts.  Without models all is `und`.  A scan without a shuffle: equal rows get equal results,
+    an empty table gives an empty one; a column named as the new one is replaced, all others pass."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(models)
