@@ -8,15 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP_BYTES, WordIndex, held, ship
+from .common import KEEP_BYTES, WordIndex, held, materialise, ship
 
 #: Labelled rows of each class that the model is fit on at most (expected): the sample's bound.
 TRAIN_ROWS = 6_000
-#: Words in the model at most, by strength of evidence.
-MODEL_WORDS = 50_000
 #: Strength of the Dirichlet prior that a word takes from words with the same first letters.
 PRIOR = 3.0
 #: First letters that words share a prior by.
@@ -108,30 +106,34 @@ class ToxicScorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.model.slope * evidence + self.model.level))))
 
 
-def _log_odds(toxic: np.ndarray, clean: np.ndarray, prior_t, prior_c, n_t: float, n_c: float) -> tuple[np.ndarray, np.ndarray]:
+def _log_odds(prior_t: Column, prior_c: Column, n_t: float, n_c: float) -> tuple[Column, Column]:
     """Log-odds of the two classes' rates under Dirichlet priors, and the signed root of the
-    likelihood ratio, which is as many standard deviations."""
-    a, b = toxic + prior_t, clean + prior_c
-    delta = np.log(a / np.maximum(n_t - toxic, 1)) - np.log(b / np.maximum(n_c - clean, 1))
-    both, share = toxic + clean, n_t / (n_t + n_c)
-    gain = toxic * np.log(np.maximum(toxic, 1e-12) / (both * share)) + clean * np.log(np.maximum(clean, 1e-12) / (both * (1 - share)))
-    return delta, np.sign(toxic / both - share) * np.sqrt(2 * np.maximum(gain, 0))
+    likelihood ratio, which is as many standard deviations; from columns toxic and clean."""
+    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    delta = F.log((t + prior_t) / F.greatest(n_t - t, F.lit(1.0))) - F.log((c + prior_c) / F.greatest(n_c - c, F.lit(1.0)))
+    share = n_t / (n_t + n_c)
+    gain = t * F.log(F.greatest(t, F.lit(1e-12)) / ((t + c) * share)) + c * F.log(F.greatest(c, F.lit(1e-12)) / ((t + c) * (1 - share)))
+    return delta, F.signum(t / (t + c) - share) * F.sqrt(2 * F.greatest(gain, F.lit(0.0)))
+
 
+def fit_words(counts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Scores of words and stems from counts(word, toxic, clean), the documents of each class with a word.
 
-def _fit_words(counts: pd.DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    t, c = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    n_t, n_c = max(t.sum(), 1.0), max(c.sum(), 1.0)
+    Counting, priors and scores are Spark's; what comes back is the words and stems that score, and the
+    known words of scoring stems, which stand for themselves."""
+    counts = materialise(counts.withColumn("stem", F.substring("word", 1, STEM)))
+    total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+    n_t, n_c = max(float(total["t"] or 0), 1.0), max(float(total["c"] or 0), 1.0)
     share = n_t / (n_t + n_c)
-    stems = counts.assign(stem=counts["word"].str[:STEM]).groupby("stem")[["toxic", "clean"]].sum()
-    st, sc = stems["toxic"].to_numpy(float), stems["clean"].to_numpy(float)
-    delta, z = _log_odds(st, sc, PRIOR * share, PRIOR * (1 - share), n_t, n_c)
-    stem_rate = dict(zip(stems.index, (st + PRIOR * share) / (st + sc + PRIOR)))
-    stem_score = {k: float(d) for k, d, s in zip(stems.index, delta, z) if abs(s) >= STEM_Z}
-    rate = counts["word"].str[:STEM].map(stem_rate).to_numpy(float)
-    delta, z = _log_odds(t, c, PRIOR * rate, PRIOR * (1 - rate), n_t, n_c)
-    order = np.argsort(-np.abs(z), kind="stable")[:MODEL_WORDS]
-    words = {counts["word"].iat[i]: float(delta[i]) if abs(z[i]) >= LEAST_Z else 0.0 for i in order}
-    return words, stem_score
+    stems = counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    delta, z = _log_odds(F.lit(PRIOR * share), F.lit(PRIOR * (1 - share)), n_t, n_c)
+    rate = (F.col("toxic") + PRIOR * share) / (F.col("toxic") + F.col("clean") + PRIOR)
+    stems = materialise(stems.select("stem", rate.alias("rate"), F.when(F.abs(z) >= STEM_Z, delta).alias("stem_score")))
+    delta, z = _log_odds(PRIOR * F.col("rate"), PRIOR * (1 - F.col("rate")), n_t, n_c)
+    words = counts.join(stems, "stem").withColumn("score", F.when(F.abs(z) >= LEAST_Z, delta).otherwise(0.0))
+    words = words.filter((F.col("score") != 0) | F.col("stem_score").isNotNull()).select("word", "score")
+    found = {r["stem"]: r["stem_score"] for r in stems.filter("stem_score IS NOT NULL").collect()}
+    return {r["word"]: r["score"] for r in words.collect()}, found
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicModel:
@@ -139,9 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
 
     It is fit on about `rows` rows of each class, chosen by a hash of doc_id, so the sample has a
     documented bound and is broadcast; four fifths give the token counts and the rest
-    calibrates.  Counting runs on the executors.  A document with two labels counts
-    as toxic if one says so.  Without labels of both classes nothing scores above 0."""
+    calibrates.  All of it runs on the executors; numbers alone come back.  A document with two labels
+    counts as toxic if one says so; rows that share a doc_id share its label.  Null ids, labels and
+    texts take no part.  Without labels of both classes, as in an empty table, nothing scores above 0.5."""
     spark = docs.sparkSession
+    ship(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -150,31 +154,53 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicMo
     share = F.when(F.col("toxic") > 0, min(1.0, rows / sizes[1])).otherwise(min(1.0, rows / sizes[0]))
     chosen = known.filter(u < share).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)))
     sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.select("toxic", "part", "text").persist()
+    sample = materialise(sample.select((F.col("toxic") > 0).cast("int").alias("toxic"), "part", "text").repartition(spark.sparkContext.defaultParallelism))
     raw = sample.filter("part > 0").select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
     word = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word")
     # documents that hold a word, not its repeats: words cluster within documents
     counts = raw.select("row", "toxic", word).distinct().filter(F.col("word") != "").groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
-    words, stems = _fit_words(counts.filter("toxic + clean > 1").toPandas())
-    model = ToxicModel(words, stems)
-    held = sample.filter("part = 0").select("toxic", "text").toPandas()
-    sample.unpersist()
-    _calibrate(model, held, sizes)
+    model = ToxicModel(*fit_words(counts.filter("toxic + clean > 1")))
+    _calibrate(model, sample.filter("part = 0").select("toxic", "text"), sizes)
     return model
 
 
-def _calibrate(model: ToxicModel, held: pd.DataFrame, sizes: dict[int, int]) -> None:
-    """Extreme-value constants from clean texts, then a logistic curve over the evidence."""
-    scorer = ToxicScorer(model)
-    clean = [scorer.tokens(t) for t in held.loc[held["toxic"] == 0, "text"]]
-    chance = [s[2] for x in clean for s in maximal_segments(x)]
-    length = sum(map(len, clean))
+def _numbers(held_texts: DataFrame, model: ToxicModel, measure, schema: str) -> DataFrame:
+    """Numbers for each held text, measured on the executors by measure(scorer, text)."""
+    shared = held_texts.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches):
+        own = shared.value
+        scorer = held(("toxicity", id(own)), lambda: ToxicScorer(own))
+        for batch in batches:
+            yield pd.DataFrame([(c, *measure(scorer, t)) for c, t in zip(batch["toxic"], batch["text"])], columns=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return held_texts.mapInPandas(each, schema)
+
+
+def chance_passages(scorer: ToxicScorer, text: str) -> tuple[int, float, int]:
+    """Number and summed scores of a text's segments, and its tokens."""
+    tokens = scorer.tokens(text)
+    found = maximal_segments(tokens)
+    return len(found), float(sum(s[2] for s in found)), len(tokens)
+
+
+def _calibrate(model: ToxicModel, held_texts: DataFrame, sizes: dict[int, int]) -> None:
+    """Extreme-value constants from clean texts, then a logistic curve over the evidence.  Sums and one
+    number a text (of a bounded number of texts) come to the driver."""
+    clean = _numbers(held_texts.filter("toxic = 0"), model, chance_passages, "toxic int, n int, s double, tokens long")
+    r = clean.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("tokens").alias("tokens")).first()
+    n, total, length = r["n"] or 0, r["s"] or 0.0, r["tokens"] or 0
     # passages of a clean text: K n exp(-lambda s) of them score s or more; half a passage is added
     # to the count and one of score 1 to the sum, so that a sample without any still has a law
-    model.rate = float(np.clip((len(chance) + 1) / (sum(chance) + 1), 0.1, 1.0))
-    model.scale = (len(chance) + 0.5) / max(length, 1)
-    evidence = np.array([scorer.passages(t)[1] for t in held["text"]])
-    truth = (held["toxic"].to_numpy() > 0).astype(float)
+    model.rate = float(np.clip((n + 1) / (total + 1), 0.1, 1.0))
+    model.scale = (n + 0.5) / max(length, 1)
+    rows = _numbers(held_texts, model, lambda scorer, text: (scorer.passages(text)[1],), "toxic int, evidence double").toPandas()
+    rows = rows.sort_values(["toxic", "evidence"])
+    model.slope, model.level = logistic(rows["evidence"].to_numpy(), rows["toxic"].to_numpy().astype(float), sizes)
+
+
+def logistic(evidence: np.ndarray, truth: np.ndarray, sizes: dict[int, int]) -> tuple[float, float]:
+    """Slope and level of the curve that fits the truth best, each class weighing as in the whole table."""
     weight = np.where(truth > 0, sizes[1] / max(truth.sum(), 1), sizes[0] / max((1 - truth).sum(), 1))
     weight = weight / weight.sum() if len(weight) else weight
     x = np.clip(evidence, -1, 15)
@@ -185,14 +211,16 @@ def _calibrate(model: ToxicModel, held: pd.DataFrame, sizes: dict[int, int]) ->
             loss = float(np.sum(weight * (np.logaddexp(0, m) - truth * m))) + 1e-4 * (slope - 1) ** 2 + 1e-5 * level**2
             if best is None or loss < best[0]:
                 best = loss, float(slope), float(level)
-    model.slope, model.level = best[1:]
+    return best[1:]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, column: str = "__toxicity") -> DataFrame:
     """docs with a struct column (score, passages) from its column text.
 
     score: 0 to 1; passages: every significant passage as (first token, last token + 1, score).
-    Null and empty texts score as a text without evidence.  A scan without a shuffle."""
+    Null and empty texts score as a text without evidence; very long texts count whole.  A scan
+    without a shuffle: equal rows get equal results, an empty table gives an empty one; a column named
+    as the new one is replaced, all others pass."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
