@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,49 @@ SENTENCES = (
     "you may obtain a copy of the license at",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "see the license for the specific language governing permissions and limitations under the license",
+    "licensed under the mit license",
+    "licensed under the bsd 2 clause license",
+    "licensed under the bsd 3 clause license",
+    "this work is licensed under the gnu general public license version 2",
+    "this work is licensed under a creative commons attribution 4 0 international license",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "this is free and unencumbered software released into the public domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "this software is provided as is without any express or implied warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "distributed under the boost software license version 1 0",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "licensed under the european union public licence version 1 2",
+)
+#: Licences that a tag names by its short identifier alone, beyond those above.
+SHORT = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+_NOTICES = len(SENTENCES)
+SENTENCES += tuple("spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for name in SHORT)
 #: Licence, and the sentence identifiers that must follow one another.
 RULES = (
     ("Apache-2.0", (1,)),
@@ -45,9 +89,32 @@ RULES = (
     ("MIT", (2,)),
     ("MIT", (7,)),
     ("MIT", (10, 11, 12)),
-)
-#: Every known sentence holds one of these, so texts without any are settled at once.
-ANCHORS = ("licen", "permi", "copyright", "warrant", "redistribut")
+    ("GPL-3.0-or-later", (19,)),
+    ("GPL-2.0-or-later", (21,)),
+    ("GPL-2.0-only", (22,)),
+    ("GPL-3.0-only", (23,)),
+    ("AGPL-3.0-or-later", (24,)),
+    ("LGPL-2.1-or-later", (25,)),
+    ("LGPL-3.0-or-later", (26,)),
+    ("MPL-2.0", (28,)),
+    ("ISC", (30,)),
+    ("MIT", (37,)),
+    ("BSD-2-Clause", (38,)),
+    ("BSD-3-Clause", (39,)),
+    ("GPL-2.0-only", (40,)),
+    ("CC-BY-4.0", (41,)),
+    ("CC-BY-SA-4.0", (42,)),
+    ("CC-BY-NC-4.0", (43,)),
+    ("CC-BY-ND-4.0", (44,)),
+    ("CC-BY-NC-SA-4.0", (45,)),
+    ("CC0-1.0", (46,)),
+    ("Unlicense", (47,)),
+    ("Zlib", (49, 50)),
+    ("BSL-1.0", (51,)),
+    ("WTFPL", (52,)),
+    ("EPL-2.0", (53,)),
+    ("EUPL-1.2", (54,)),
+) + tuple((name, (i,)) for i, name in enumerate(SHORT, _NOTICES + 1))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Other forms of a sentence in the usual notices, and the sentence's identifier.
 VARIANTS = {
@@ -57,12 +124,33 @@ VARIANTS = {
     "this work is licensed under cc by sa 4 0": 6,
     "you may obtain a copy of the license at http www apache org licenses license 2 0": 18,
     "you may obtain a copy of the license at https www apache org licenses license 2 0": 18,
+    "this source code form is subject to the terms of the mozilla public license v": 28,
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": 29,
+    "this project is licensed under the mit license": 37,
+    "this software is licensed under the mit license": 37,
 }
+
+
+def _anchors(sentences) -> tuple[str, ...]:
+    """A few words of which every sentence holds one, taken greedily: a text without any of them holds no
+    known sentence, whatever the table, and needs no closer look."""
+    left, out = set(sentences), []
+    words = sorted({w for s in sentences for w in s.split() if len(w) > 3})
+    while left:
+        best = max(words, key=lambda w: (sum(w in s for s in left), len(w), w))
+        out.append(best)
+        left = {s for s in left if best not in s}
+    return tuple(out)
+
+
+#: Words of which every known sentence holds one; found from the table itself.
+ANCHORS = _anchors((*SENTENCES, *VARIANTS))
 #: Marks put where a sentence ends (HARD) and where it may end or go on (SOFT).
 HARD, SOFT = "\x01", "\x02"
-#: What becomes which mark, in this order: ; or : before white space or the end; the same with . ! or ?
+#: What becomes which mark, in this order: the end of a comment; ; or : before white space or the end; the same with . ! or ?
 #: among the signs; lines without letters and digits; other line breaks.
 ENDS = (
+    (r"\*/|-->", HARD),
     (r"(?<![.!?;:])[;:]++(?=[ \t\r\n]|\z)", SOFT),
     (r"(?<![.!?;:])[.!?;:]++(?=[ \t\r\n]|\z)", HARD),
     (r"(?>\r\n|\r|\n)[^a-z0-9\x01]*[\r\n]", HARD),
@@ -112,8 +200,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, licenses for every row of docs(doc_id, text).
 
     One pass without a shuffle, so skew is of no matter.  Null or empty text: no sentences, no
-    licences.  Equal rows give equal rows; further columns are left aside; an empty table
-    gives an empty result."""
+    licences.  Very long texts are read whole.  Equal rows give equal rows; further columns are left
+    aside, also if they are named as those above; an empty table gives an empty result.  A tag
+    counts with one licence; expressions of several are not taken apart."""
     rows = docs.select("doc_id", sentence_ids(F.col("text")).alias("sentence_ids"))
     rows = rows.withColumn("sentence_ids", F.coalesce("sentence_ids", F.array().cast("array<int>")))
     return rows.withColumn("licenses", license_names(F.col("sentence_ids")))

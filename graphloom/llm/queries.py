@@ -86,17 +86,34 @@ def queries() -> dict:
 
 
 def _op6_sql() -> str:
-    known = ", ".join(f"('{s}', {i})" for i, s in enumerate(licenses.SENTENCES, 1))
-    rules = ", ".join(f"('{name}', ',{','.join(map(str, seq))},')" for name, seq in licenses.RULES)
+    """Sentences stand between hard ends (. ! ?, blank lines, ends of comments) and may run over soft ones
+    (; : and line breaks): parts between soft ends are joined and looked up, the longest from each start."""
+    number = {**{s: i for i, s in enumerate(licenses.SENTENCES, 1)}, **licenses.VARIANTS}
+    known = ", ".join(f"('{s}', {i})" for s, i in number.items())
+    marks = [(name, f",{','.join(map(str, seq))},") for name, seq in licenses.RULES]
+    rules = []
+    for name, mark in marks:
+        line = "',' || ids || ','"
+        for other, longer in marks:
+            if other != name and longer != mark and longer.startswith(mark):
+                line = f"replace({line}, '{longer}', ',')"
+        rules.append(f"CASE WHEN contains({line}, '{mark}') THEN '{name}' END")
     return rf"""
 WITH known(sentence, sid) AS (VALUES {known}),
-rules(name, mark) AS (VALUES {rules}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, translate(text, '{licenses.UPPER}', '{licenses.LOWER}') AS t FROM documents),
-parts AS (SELECT r, unnest(string_split_regex(t, '[.!?;:]+(?:[ \t\r\n]+|\z)|[\r\n]+')) AS s, unnest(range(length(string_split_regex(t, '[.!?;:]+(?:[ \t\r\n]+|\z)|[\r\n]+')))) AS pos FROM docs),
-hits AS (SELECT r, pos, sid FROM parts JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = sentence),
-seqs AS (SELECT r, string_agg(sid::VARCHAR, ',' ORDER BY pos) AS ids FROM hits GROUP BY r),
-cut AS (SELECT r, name, mark, CASE WHEN mark = ',13,14,15,' THEN replace(',' || ids || ',', ',13,14,15,16,', ',') ELSE ',' || ids || ',' END AS line FROM seqs, rules),
-named AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM cut WHERE contains(line, mark) GROUP BY r)
+docs AS (SELECT row_number() OVER () AS r, doc_id, translate(text, '{licenses.UPPER}' || chr(1) || chr(2), '{licenses.LOWER}  ') AS t FROM documents),
+a AS (SELECT r, regexp_replace(regexp_replace(t, '\*/|-->', chr(1), 'g'), '\r\n', chr(10), 'g') AS t FROM docs),
+b AS (SELECT r, regexp_replace(t, '[;:]*[.!?][.!?;:]*([ \t\r\n]|\z)', chr(1) || '\1', 'g') AS t FROM a),
+c AS (SELECT r, regexp_replace(t, '[;:]+([ \t\r\n]|\z)', chr(2) || '\1', 'g') AS t FROM b),
+d AS (SELECT r, regexp_replace(regexp_replace(t, '[\r\n][^a-z0-9\x01]*[\r\n]', chr(1), 'g'), '[\r\n]+', chr(2), 'g') AS t FROM c),
+u AS (SELECT r, unnest(string_split(t, chr(1))) AS s, unnest(range(length(t) - length(replace(t, chr(1), '')) + 1)) AS u FROM d),
+p AS (SELECT r, u, list_transform(string_split(s, chr(2)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS ps FROM u),
+i AS (SELECT r, u, ps, unnest(range(1, len(ps) + 1)) AS i FROM p),
+e AS (SELECT r, u, i, sentence, sid, list_position(list_transform(range(i, len(ps) + 1), lambda j: array_to_string(list_filter(ps[i:j], lambda x: x <> ''), ' ')), sentence) AS k
+      FROM i JOIN known ON ps[i] <> '' AND (sentence = ps[i] OR starts_with(sentence, ps[i] || ' '))),
+f AS (SELECT r, u, i, max_by(sid, length(sentence)) AS sid, max_by(i + k, length(sentence)) AS stop FROM e WHERE k > 0 GROUP BY r, u, i),
+g AS (SELECT *, max(stop) OVER (PARTITION BY r, u ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM f),
+seqs AS (SELECT r, string_agg(sid::VARCHAR, ',' ORDER BY u, i) AS ids FROM g WHERE upto IS NULL OR i >= upto GROUP BY r),
+named AS (SELECT r, array_to_string(list_sort(list_distinct(list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL))), ',') AS names FROM seqs)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(names, '') AS licenses
 FROM docs LEFT JOIN seqs USING (r) LEFT JOIN named USING (r)"""
 
