@@ -2,8 +2,10 @@
 nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, langid, licenses, mixing, packing, tokencount, topk, toxicity, vectordedup, warc
+from graphloom.llm.common import materialise
 from graphloom.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n int, size long, key double, rank int, node long, slot int"
@@ -187,8 +190,17 @@ def test_mixing(spark, rows):
     for s, t in target.items():
         assert per.loc[per.index.isna() if s is None else per.index == s, "target"].iloc[0] == pytest.approx(t)
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
-    copies = mixing.repeated(docs, mixing.mix_sources(docs))
+    copies = mixing.mixed_documents(docs, mixing.quality_weights(labels))
     assert copies.columns == docs.columns
+    many = lambda d: sorted((-1 if pd.isna(i) else i, t or "", n) for (i, t), n in d.items())
+    seen, want = {}, {}
+    for r in copies.collect():
+        seen[r["doc_id"], r["text"]] = seen.get((r["doc_id"], r["text"]), 0) + 1
+    for (i, text, *_), in zip(rows):
+        n = one.loc[one["doc_id"].isna() if i is None else one["doc_id"] == i, "copies"]
+        if n.sum():
+            want[i, text] = int(n.sum())
+    assert many(seen) == many(want)
 
 
 def test_licenses(spark):
@@ -212,32 +224,76 @@ def test_language(spark):
     assert langid.identify(docs_of(spark, tests), {}).count() == len(tests)
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.fit({"abab": 5, "abba": 3, "bb": 2, "ca": 1}, 3)
-    for start in ("", "a", "ab", "ba", "q"):
-        total = 0.0
-        for c in "abc ":
-            word = start + c if c != " " else start
-            chars, owner = langid._codes([start + ("" if c == " " else c)])
-            full, part = langid.word_bits(model, [word])[0], None
-            total += 2 ** -_last_bits(model, start, c)
-        assert total <= 1.0 + 1e-9
-        assert total > 0.7
-
-
-def _last_bits(model, start, c):
-    """Bits of the character c after start: the difference of two words' bits without their ends."""
-    def prefix_bits(text):
-        chars = np.array([ord(x) for x in " " + text], dtype=np.uint64)
-        owner = np.zeros(len(chars), dtype=np.int64)
-        old = langid._codes
-        langid._codes = lambda words: (chars, owner)
-        try:
-            return langid.word_bits(model, ["x"])[0]
-        finally:
-            langid._codes = old
-
-    return prefix_bits(start + c) - (prefix_bits(start) if start else 0.0)
+def naive_kneser_ney(words, order):
+    """Interpolated Kneser-Ney by its definition: probability of a character after a context."""
+    grams = [Counter() for _ in range(order + 1)]
+    for w, n in words.items():
+        line = f" {w} "
+        for k in range(1, order + 1):
+            for end in range(max(2, k), len(line) + 1):  # the leading blank is only context
+                grams[k][line[end - k : end]] += n
+    counts = [None, *grams[1:]]
+    for k in range(1, order):
+        seen = Counter(g[1:] for g in grams[k + 1])
+        counts[k] = {g: max(seen.get(g, 0), 1) for g in grams[k]}
+    size = len(grams[1]) + 1
+    discount = [0.0]
+    for k in range(1, order + 1):
+        ones, twos = (sum(c == n for c in counts[k].values()) for n in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(c, context):
+        k = len(context) + 1
+        below = p(c, context[1:]) if context else 1 / size
+        same = [n for g, n in counts[k].items() if g[:-1] == context]
+        if not same:
+            return below
+        mine = counts[k].get(context + c)
+        rest = discount[k] * len(same) / sum(same)
+        return (max(mine - discount[k], 0) / sum(same) if mine else 0.0) + rest * below
+
+    return p
+
+
+def test_kneser_ney_against_definition():
+    words = {"abab": 5, "abba": 3, "bb": 2, "ca": 1, "bac": 4, "x" * 9: 1}
+    for order in (1, 2, 3, 4):
+        model, p = langid.fit(words, order), naive_kneser_ney(words, order)
+        for word in ("abab", "cab", "q", "baq", "xxx", "bb"):
+            line = f" {word} "
+            want = -sum(math.log2(p(c, line[max(0, i - order + 1) : i])) for i, c in enumerate(line) if i)
+            assert langid.word_bits(model, [word])[0] == pytest.approx(want, abs=1e-9)
+        total = sum(p(c, " ab"[-(order - 1) :] if order > 1 else "") for c in "abcx ")
+        assert total <= 1 + 1e-9
+
+
+def test_rejection_by_bands():
+    rng = np.random.default_rng(3)
+    chars = rng.integers(10, 4000, 3000).astype(float)
+    entropy = 2 + rng.normal(size=3000) * (0.05 + 2 / np.sqrt(chars))
+    entropy[:2] = 9  # junk among the held texts
+    lengths, limit = langid.limits(entropy, chars)
+    assert len(limit) == len(lengths) + 1 == 8 and (np.diff(lengths) > 0).all()
+    bound = limit[np.searchsorted(lengths, chars, side="right")]
+    assert (entropy[2:] <= bound[2:]).all() and limit.max() < 6 and limit[-1] < limit[0]
+    assert langid.limits(entropy[:3], chars[:3])[1].tolist() == [np.inf]
+
+
+def test_other_languages_and_noise_are_rejected(spark):
+    rnd = random.Random(12)
+    train = [(i, prose(rnd, rnd.randint(3, 120)), "aa", None) for i in range(400)]
+    docs = docs_of(spark, train + [(0, None, "aa", None), (None, "ba ce", "aa", None), (1, "x", None, None)])
+    models = langid.train(docs, 200, 200)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [(1000 + n, " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(n)), None, None) for n in (4, 15, 60, 300, 3000)]
+    other = [(2000 + n, prose(rnd, n, "zo xy wib tra vul quo zan".split()), None, None) for n in (4, 15, 60, 300)]
+    fine = [(i, prose(rnd, rnd.randint(3, 120)), None, None) for i in range(3000, 3200)]
+    fine += [(4000, prose(rnd, 4000), None, None), fine[0]]
+    got = langid.identify(docs_of(spark, noise + other + fine), models)
+    rejected = [r["doc_id"] for r in got.filter("__language.rejected").collect()]
+    assert sorted(rejected) == sorted(i for i, *_ in noise + other)
+    assert langid.identify(docs_of(spark, []), models).count() == 0
+    assert langid.identify(got.limit(2), models).columns == got.columns
 
 
 def brute_segments(s):
@@ -285,6 +341,67 @@ def test_toxicity(spark):
     assert toxicity.train(docs_of(spark, []), table.limit(0)).words == {}
 
 
+def test_toxicity_against_definition(spark):
+    """Words, stems, evidence and score by plain Python, for texts and their repeats."""
+    rnd = random.Random(16)
+    rows = []
+    for i in range(600):
+        w = prose(rnd, 30).split()
+        if i % 3 == 0:
+            for k in rnd.sample(range(30), 5):
+                w[k] = rnd.choice(["vile", "vileness", "rotten,", "(rotten"])
+        rows.append((i % 3 == 0, " ".join(w)))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "row long, text string")
+    seen = {True: Counter(), False: Counter()}
+    for toxic, text in rows:
+        seen[toxic].update({toxicity.EDGE.sub("", w) for w in text.lower().split()})
+    counts = spark.createDataFrame([(w, seen[True][w], seen[False][w]) for w in seen[True] | seen[False]], "word string, toxic long, clean long")
+    words, stems = toxicity.fit_words(counts)
+    n = {k: sum(v.values()) for k, v in seen.items()}
+    share = n[True] / (n[True] + n[False])
+
+    def odds(t, c, prior_t, prior_c):
+        delta = math.log((t + prior_t) / max(n[True] - t, 1)) - math.log((c + prior_c) / max(n[False] - c, 1))
+        gain = t * math.log(max(t, 1e-12) / ((t + c) * share)) + c * math.log(max(c, 1e-12) / ((t + c) * (1 - share)))
+        return delta, math.copysign(math.sqrt(2 * max(gain, 0)), t / (t + c) - share)
+
+    per_stem = {}
+    for w in seen[True] | seen[False]:
+        t, c = per_stem.get(w[: toxicity.STEM], (0, 0))
+        per_stem[w[: toxicity.STEM]] = t + seen[True][w], c + seen[False][w]
+    want_stems = {}
+    for stem, (t, c) in per_stem.items():
+        delta, z = odds(t, c, toxicity.PRIOR * share, toxicity.PRIOR * (1 - share))
+        if abs(z) >= toxicity.STEM_Z:
+            want_stems[stem] = delta
+    want_words = {}
+    for w in seen[True] | seen[False]:
+        t, c = per_stem[w[: toxicity.STEM]]
+        rate = (t + toxicity.PRIOR * share) / (t + c + toxicity.PRIOR)
+        delta, z = odds(seen[True][w], seen[False][w], toxicity.PRIOR * rate, toxicity.PRIOR * (1 - rate))
+        if abs(z) >= toxicity.LEAST_Z or w[: toxicity.STEM] in want_stems:
+            want_words[w] = delta if abs(z) >= toxicity.LEAST_Z else 0.0
+    assert stems == pytest.approx(want_stems) and words == pytest.approx(want_words) and want_stems and words["rotten"] > 0
+    model = toxicity.ToxicModel(words, stems, 0.4, 0.02, 1.5, -2.0)
+    some = [t for _, t in rows[:60]] + [rows[0][1], "", None, "Vile! " * 500]
+    got = toxicity.score_toxicity(docs_of(spark, [(i, t, None, None) for i, t in enumerate(some)]), model)
+    for r in got.collect():
+        tokens = (r["text"] or "").lower().split()
+        clean = [toxicity.EDGE.sub("", w) for w in tokens]
+        scores = [want_words.get(w, want_stems.get(w[: toxicity.STEM], 0.0) if len(w) > toxicity.STEM else 0.0) - toxicity.DRIFT for w in clean]
+        if len(scores) > 100:
+            found = [(0, len(scores), sum(scores))]
+        else:
+            found = brute_segments(scores)
+        rare = [(a, b, x, 0.4 * x - math.log(0.02 * max(len(tokens), 1))) for a, b, x in found]
+        strong = [x for x in rare if x[3] >= -math.log(toxicity.LEAST_E)]
+        evidence = sum(x[3] for x in strong) if strong else max((min(max(x[3], 0), -math.log(toxicity.LEAST_E)) for x in rare), default=-1.0)
+        assert r["__toxicity"]["score"] == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, 1.5 * evidence - 2)))))
+        assert [(p["first"], p["last"]) for p in r["__toxicity"]["passages"]] == [x[:2] for x in strong]
+    assert toxicity.score_toxicity(docs_of(spark, []), model).count() == 0
+    assert toxicity.score_toxicity(got, model).columns == got.columns
+
+
 VECTOR = "vec_id long, embedding array<float>, score long, rank int, node long"
 
 
@@ -317,7 +434,8 @@ def test_top_k(spark, vectors):
 
 @pytest.mark.parametrize("cap", [6000, 60])
 def test_near_vectors(spark, vectors, cap, monkeypatch):
-    monkeypatch.setattr(vectordedup, "CAP", cap)  # the small one sends all to the exact chunks
+    monkeypatch.setattr(vectordedup, "CAP", cap)  # the small one splits shards again and compares dense ones whole
+    monkeypatch.setattr(vectordedup, "SHARD", 500 if cap > 100 else 20)
     got = {r["vec_id"]: r for r in vectordedup.near_vectors(vectors_of(spark, vectors[:-1])).collect()}
     good = {i: np.array(v, dtype=np.float32).astype(float) for i, v in vectors[:-1] if v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)}
     truth = {i: [j for j in good if j != i and len(good[j]) == len(good[i]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= 0.9] for i in good}
@@ -327,6 +445,56 @@ def test_near_vectors(spark, vectors, cap, monkeypatch):
     assert got[130]["component_id"] == min([1, *truth[1]]) and vectordedup.near_vectors(vectors_of(spark, [])).count() == 0
 
 
+def arc(n, spread):
+    """Unit vectors along an arc: each links with its neighbours on both sides."""
+    return [(i, [math.cos(i * spread), math.sin(i * spread)]) for i in range(n)]
+
+
+def test_overlap_grows_until_the_audit_is_content(spark, monkeypatch):
+    for k, v in {"SHARD": 40, "OVERLAP": 1, "REACH": 0.5}.items():
+        monkeypatch.setattr(vectordedup, k, v)
+    seen, audit = [], vectordedup.audit_recall
+    monkeypatch.setattr(vectordedup, "audit_recall", lambda *a: seen.append(audit(*a)) or seen[-1])
+    rows = arc(400, 0.012)
+    got = {r["vec_id"]: r for r in vectordedup.near_vectors(vectors_of(spark, rows + [rows[3], (None, rows[5][1])])).collect()}
+    assert len(seen) > 1 and seen[0] < vectordedup.WANTED_RECALL <= seen[-1]
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert sum(min(got[i]["n_links"], truth[i]) for i in range(400)) >= 0.95 * truth.sum()
+    assert all(got[i]["component_id"] == 0 for i in range(400))
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    for k, v in {"SHARD": 10, "OVERLAP": 1, "REACH": 0.0, "TRIES": 1}.items():
+        monkeypatch.setattr(vectordedup, k, v)
+    with pytest.raises(RuntimeError, match="recall"):
+        vectordedup.near_vectors(vectors_of(spark, arc(300, 0.01))).count()
+
+
+def test_index_in_several_passes(spark, tmp_path, monkeypatch):
+    for k, v in {"RUN_ROWS": 7, "FAN_IN": 2, "MERGE_ROWS": 9, "ARCHIVE_BYTES": 900}.items():
+        monkeypatch.setattr(warc, k, v)
+    rnd = random.Random(3)
+    rows = [(i if i % 9 else None, rnd.choice(["http://hot.org/", f"http://b.org/{i}", None]), "x" * rnd.randint(0, 2000)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    archives = warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w"), 900)
+    want = sorted(warc._place(e) for r in archives.collect() for e in warc.captures(r["archive"]))
+    got = [warc._place((r["url_key"], r["timestamp"], r["page_id"], r["archive"], r["offset"])) for r in warc.build_index(archives, str(tmp_path / "runs")).orderBy("range", "place").collect()]
+    assert got == want and len(got) == 120
+
+
+def test_records_are_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    pages = spark.createDataFrame([(1, "u", "abc" * 9000), (2, "v", "é\r\n\r\n" * 50)], "page_id long, url string, html string").coalesce(1)
+    archive = warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w")).first()["archive"]
+    found = list(warc.read_records(archive))
+    assert [h["WARC-Type"] for _, _, h, _ in found] == ["warcinfo", "response", "response"]
+    assert sorted(b.partition(warc.END)[2] for _, _, _, b in found[1:]) == [b"abc" * 9000, ("é\r\n\r\n" * 50).encode()]
+    raw = open(archive.removeprefix("file://"), "rb").read()
+    assert b"".join(raw[a : a + n] for a, n, _, _ in found) == raw
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://www.b.org/x", "a" * 1500), (2, "https://a.org/", "a" * 1500), (3, None, big), (4, "http://b.org/x#f", big), (5, "u", None), (6, "u", "small"), (7, "u", "small"), (8, "u\nv", "\r\n\r\n" * 400), (None, None, "z"), (9, "http://b.org/x", "q" * 300_000)]
@@ -351,16 +519,79 @@ def test_loser_tree():
         assert list(warc.merge_runs(runs)) == sorted(sum(runs, []))
 
 
+def naive_copies(rows, weights, share=1.5):
+    """How often each row is taken, by a plain loop over each source's rows in key order."""
+    size = [len((t or "").encode().split()) for _, t, *_ in rows]
+    names = sorted({r[3] for r in rows if r[3] is not None}) + ([None] if any(r[3] is None for r in rows) else [])
+    total = {s: sum(n for n, r in zip(size, rows) if r[3] == s) for s in names}
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), share * sum(total.values())
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = {s for s in free if level * w[s] > 2 * total[s]}
+        for s in full or free:
+            target[s] = 2.0 * total[s] if full else level * w[s]
+        left, free = left - sum(2 * total[s] for s in full), free - full if full else set()
+    out = [0] * len(rows)
+    for s in names:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        place = []
+        for k, r in enumerate(rows):
+            if r[3] == s:
+                name = "mix" if r[0] is None else f"{r[0]}/mix"
+                u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                place.append((-math.log(u) / weights.get(r[0], 1.0), -1 if r[0] is None else r[0], size[k], k))
+        upto = 0
+        for *_, n, k in sorted(place):
+            upto += n
+            out[k] = epochs + (upto - n / 2 <= target[s] - epochs * total[s])
+    return out
+
+
 def test_pipeline(spark, rows, tmp_path):
+    """Each stage against plain Python on the rows that it was given."""
     import corpus_pipeline
 
     columns = ["doc_id", "text", "lang", "source"]
-    docs_of(spark, rows).select(columns).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rnd = random.Random(21)
+    more = [(1000 + i, prose(rnd, 40) + (" vile rotten vile" if i % 4 == 0 else ""), "aa", f"s{i % 4}") for i in range(200)]
+    more += [(3000, " ".join("".join(rnd.choices("qxzjkvw", k=7)) for _ in range(300)), None, "s1")]
+    docs_of(spark, rows + more).select(columns).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1000 + i, i % 2, int(i % 4 == 0)) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    given = sorted(map(tuple, docs.collect()), key=key)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == columns, name
-    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert out["length"].max() <= 2048 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
-    assert len(out["doc_id"].unique()) >= 30
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns, name
+        out = materialise(out)
+        got = sorted(map(tuple, out.collect()), key=key)
+        if name == "language_id":
+            scorer = langid.Scorer(langid.train(docs))
+            want = [r for r in given if r[1] and any(c.isalpha() for c in r[1]) and not scorer.predict([r[1]])["rejected"][0]]
+            assert got == want and len(want) < len(given) and not any(r[0] == 3000 for r in got)
+        elif name == "toxicity":
+            scorer = toxicity.ToxicScorer(toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))))
+            want = [r for r in given if scorer.probability(scorer.passages(r[1] or "")[1]) < corpus_pipeline.TOXIC]
+            assert got == want and len(want) < len(given)
+        elif name == "ngram_jaccard_join":
+            label = brute_labels(given, 5, 80)
+            kept = [min(k for k, v in enumerate(label) if v == c) for c in sorted(set(label))]
+            assert len(got) == len(kept) < len(given)
+            assert {label[given.index(r)] for r in got} == set(label)
+        elif name == "source_mixing":
+            weights = {i: 1.0 if q else 0.25 for i, q, _ in labels}
+            assert got == sorted([r for r, n in zip(given, naive_copies(given, weights)) for _ in range(n)], key=key)
+        docs, given = out, got
+    enc = packing.encoder(vocabulary("byte_bpe_50k.json")).model
+    want = Counter()
+    for i, text, *_ in given:
+        n = len(enc.encode(text, add_special_tokens=False).ids) + 1
+        want[i] += n
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    assert out.groupby("doc_id")["length"].sum().to_dict() == {k: v for k, v in want.items() if k is not None}
+    by = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")["length"]
+    assert by.sum().max() <= 2048 and (out.sort_values(["sequence_id", "offset"])["offset"] == by.cumsum() - out.sort_values(["sequence_id", "offset"])["length"]).all()
+    whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert sorted(whole[["length", "ids_crc32"]].itertuples(index=False)) == sorted(out[["length", "ids_crc32"]].itertuples(index=False))
