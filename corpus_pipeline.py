@@ -36,7 +36,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeated(docs, mixing.mix_sources(docs, mixing.quality_weights(table(spark, sf_dir, "labels"))))
+    return mixing.mixed_documents(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
