@@ -317,12 +317,23 @@ def admission(entries: DataFrame, max_files: int, max_bytes: int, by=None) -> Da
 
 def greedy_budget(entries: DataFrame, by: str, budget: int) -> DataFrame:
     """Entries(by, path, size) taken in path order while they fit what is left of a byte budget; one
-    that doesn't fit is passed over.  A fold over each snapshot's entries, whose number has a bound."""
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<path:string,taken:boolean>>").alias("out"))
-
-    def step(acc, e):
-        fits = acc["sum"] + e["size"] <= budget
-        return F.struct((acc["sum"] + F.when(fits, e["size"]).otherwise(0)).cast("long").alias("sum"), F.concat(acc["out"], F.array(F.struct(e["path"].alias("path"), fits.alias("taken")))).alias("out"))
-
-    rows = entries.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("path", F.col("size").cast("long").alias("size")))).alias("e"))
-    return rows.select(by, F.inline(F.aggregate("e", zero, step)["out"]))
+    that doesn't fit is passed over.
+
+    A snapshot's choice hangs on each choice before, so its entries are streamed in order with one running
+    sum; snapshots are dealt out, and none is ever gathered."""
+    kind = entries.schema[by].dataType.simpleString()
+
+    def take(batches):
+        now, used = object(), 0
+        for batch in batches:
+            taken = []
+            for key, size in zip(batch[by].astype(object).where(batch[by].notna(), None), batch["size"]):
+                if key != now:
+                    now, used = key, 0
+                fits = used + size <= budget
+                used += size if fits else 0
+                taken.append(bool(fits))
+            yield batch[[by, "path"]].assign(taken=taken)
+
+    rows = entries.select(by, "path", F.col("size").cast("long").alias("size")).repartition(by).sortWithinPartitions(by, "path", "size")
+    return rows.mapInPandas(take, f"{by} {kind}, path string, taken boolean")
