@@ -66,19 +66,19 @@ def graph_shortest_path(spark, d):
 
 RANKED = FX + """, re AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) - 1 AS pos FROM fx_edges), rn AS (SELECT *, row_number() OVER (ORDER BY id || '"') - 1 AS pos FROM fx_nodes),
 tot AS (SELECT (SELECT count(*) FROM fx_edges) AS e, (SELECT count(*) FROM fx_nodes) AS n),
-near AS (SELECT next, pos, row_number() OVER (ORDER BY pos) AS r FROM (SELECT CASE WHEN src = 'file:nation/3' THEN dst ELSE src END AS next, min(pos) AS pos FROM re WHERE pos < 10000 AND src <> dst AND (src = 'file:nation/3' OR dst = 'file:nation/3') GROUP BY 1))"""
+near AS (SELECT next, pos, row_number() OVER (ORDER BY pos) AS r FROM (SELECT CASE WHEN src = 'file:nation/3' THEN dst ELSE src END AS next, min(pos) AS pos FROM re WHERE pos < 5000 AND src <> dst AND (src = 'file:nation/3' OR dst = 'file:nation/3') GROUP BY 1))"""
 
 
 @query("graph_impact_budget", RANKED + " SELECT 'file:nation/3' AS id, 0 AS depth UNION ALL SELECT next, 1 FROM near WHERE r < 50")
 def graph_impact_budget(spark, d):
-    """The budget of 10,000 scans is spent at the first node, as there are more edges."""
-    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4, 10_000, 50)[0].select("id", "depth")
+    """The budget of 5,000 scans is spent at the first node, as there are more edges."""
+    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4, 5_000, 50)[0].select("id", "depth")
 
 
 @query("impact_tree", RANKED + " SELECT src, dst, kind FROM near JOIN re USING (pos) WHERE r < 50")
 def impact_tree(spark, d):
     """Edges by which a bounded impact met its nodes."""
-    return G.answer_impact(nodes(spark, d), edges(spark, d), FAR, "both", None, 4)[1]
+    return G.answer_impact(nodes(spark, d), edges(spark, d), FAR, "both", None, 4, 5_000)[1]
 
 
 NEAR = """hit AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM re WHERE pos < 10000 AND (src = 'file:nation/3' OR dst = 'file:nation/3') AND kind IN ('contains', 'declares')),
@@ -100,7 +100,7 @@ SELECT 'search' AS query, n AS nodes, 0::BIGINT AS edges, NULL::VARCHAR AS path,
 UNION ALL SELECT 'node', 1, 0, NULL, 1, false, NULL, NULL
 UNION ALL SELECT 'neighbors', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM ends)), (SELECT count(*) FROM page), NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 8 END FROM no
 UNION ALL SELECT 'explain', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM xe)), n, NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 50 END FROM xo
-UNION ALL SELECT 'impact', n + 1, n, NULL, coalesce(over + 1, 10000), true, CASE WHEN over IS NOT NULL THEN 'results' ELSE 'cost' END, NULL FROM io
+UNION ALL SELECT 'impact', n + 1, n, NULL, coalesce(over + 1, 5000), true, CASE WHEN over IS NOT NULL THEN 'results' ELSE 'cost' END, NULL FROM io
 UNION ALL SELECT 'shortestPath', 2, 1, 'file:part/1 > ' || t, pos + 1, false, NULL, NULL FROM pt""")
 def query_envelope(spark, d):
     """Envelopes of every kind of query under its budget: counts, path, cost, truncation and next cursor."""
@@ -111,7 +111,7 @@ def query_envelope(spark, d):
         G.answer_node(n, FAR)[-1],
         G.answer_neighbors(n, e, FAR, "both", ("contains", "declares"), 1, max_results=7)[-1],
         G.answer_explain(n, e, START)[-1],
-        G.answer_impact(n, e, FAR, "both", None, 4)[-1],
+        G.answer_impact(n, e, FAR, "both", None, 4, 5_000)[-1],
         G.answer_path(n, e, START, far, "outgoing", None, 4)[-1],
     ]
     rows = out[0]
