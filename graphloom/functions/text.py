@@ -89,3 +89,11 @@ def human_bytes(value: Column) -> Column:
 
     small = F.concat(value.cast("long").cast("string"), F.lit(" B"))
     return F.when(value < 1024, small).when(value < 1024**2, scaled(1, "KB")).when(value < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+
+
+def position(content: Column, offset: Column) -> Column:
+    """Line and column (struct, both from 1) of the character at an offset from 0."""
+    before = F.substring(content, F.lit(1), offset)
+    line = F.regexp_count(before, F.lit("\n")) + 1
+    column = F.length(F.substring_index(before, "\n", -1)) + 1
+    return F.struct(line.alias("line"), column.alias("column"))

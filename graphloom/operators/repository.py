@@ -173,3 +173,9 @@ def search_paths(files: DataFrame, text: str) -> DataFrame:
     hit = F.lower("path").contains(needle)
     parents = tree.filter(hit & F.col("path").contains("/")).select("repo", F.regexp_replace("path", r"/[^/]*\z", "").alias("path"), F.lit("folder").alias("kind"))
     return tree.filter(hit).unionByName(tree.join(parents.distinct(), ["repo", "path", "kind"], "left_semi")).distinct()
+
+
+def analyzed_files(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """repo, path, pos of the files(repo, path, pos) that entries(repo, path) list; of several with one path the last."""
+    last = files.groupBy("repo", "path").agg(F.max("pos").alias("pos"))
+    return last.join(entries.select("repo", "path").distinct(), ["repo", "path"])

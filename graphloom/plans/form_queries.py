@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as X
 from graphloom.operators import canonical as K
 from graphloom.operators import export as O
 from graphloom.operators import extract as E
+from graphloom.operators import repository as P
 from graphloom.operators import resolve as M
 from graphloom.plans.graph_queries import FILES
 from graphloom.sources.fixture import SQL as FX
@@ -14,7 +16,8 @@ from graphloom.plans.registry import query
 from graphloom.sources import artifacts as A
 from graphloom.sources import local as L
 from graphloom.sources.fixture import edges, nodes, table
-from graphloom.sources.records import CODE, LINES, MESSAGES, RESULTS, SPECIFIERS
+from graphloom.sources.records import CODE, ENTRIES, LINES, MESSAGES, SPECIFIERS
+from graphloom.sources.records import FILES as FILE_LIST
 from graphloom.sources.shared import shared_folder
 from graphloom.streaming import jobs as J
 
@@ -287,8 +290,8 @@ def resolve_names(spark, d):
     p, n = table(spark, d, "part"), table(spark, d, "nation")
     symbols = p.select(F.col("p_brand").alias("path"), F.col("p_type").alias("name"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("place"))
     names = p.select(F.col("p_type").alias("name")).distinct()
-    files = n.select(F.col("n_nationkey").cast("string").alias("path"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 25 + 1).cast("string")).alias("target"), F.explode(F.array(*[F.lit(i) for i in range(1)])).alias("one"))
-    uses = files.select("path", F.lit(1).alias("one")).join(names.withColumn("one", F.lit(1)), "one").select("path", "name")  # 25 files by the few types
+    files = n.select(F.col("n_nationkey").cast("string").alias("path"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 25 + 1).cast("string")).alias("target"), F.lit(1).alias("one"))
+    uses = files.select("path", "one").join(names.withColumn("one", F.lit(1)), "one").select("path", "name")  # 25 files by the few types
     imports = files.filter("cast(path AS int) % 3 <> 0").select("path", "target", F.lit(1).alias("one")).join(names.withColumn("one", F.lit(1)), "one").select("path", "name", "target", F.col("name").alias("imported"))
     return M.resolve_names(uses, imports, symbols)
 
@@ -306,3 +309,33 @@ SELECT job_id, status, stage, cursor, done, total, moves FROM w QUALIFY row_numb
 def job_replay(spark, d):
     """Where each job ends after all of its deliveries, in order: compare and set by stage and cursor."""
     return J.replay(MESSAGES.read(spark, d))
+
+
+# --- navigation ------------------------------------------------------------------------------
+
+@query("remote_payload", f"SELECT snapshot, path FROM ({ENTRIES.sql}) WHERE kind = 'blob'")
+def remote_payload(spark, d):
+    """What a client gets of a manifest: paths of its files."""
+    return ENTRIES.read(spark, d).filter("kind = 'blob'").select("snapshot", "path")
+
+
+@query("analyzed_files", f"SELECT repo, path, max(pos) AS pos FROM ({FILE_LIST.sql}) WHERE (repo, path) IN (SELECT repo, path FROM ({FILE_LIST.sql}) WHERE pos % 3 <> 0) GROUP BY repo, path")
+def analyzed_files(spark, d):
+    f = FILE_LIST.read(spark, d)
+    return P.analyzed_files(f.filter("pos % 3 <> 0"), f)
+
+
+@query("job_navigation", "SELECT o_orderkey AS job, c_custkey AS snapshot, n_name AS repository FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus <> 'F'")
+def job_navigation(spark, d):
+    """Jobs that haven't ended, with their snapshot and its repository, by foreign keys."""
+    o = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("job"), F.col("o_custkey").alias("snapshot"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("snapshot"), F.col("c_nationkey").alias("n"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("repository"))
+    return o.join(c, "snapshot").join(n, "n").select("job", "snapshot", "repository")
+
+
+@query("text_positions", "SELECT doc_id, (length(b) - length(replace(b, chr(10), '')) + 1)::INTEGER AS line, (length(string_split(b, chr(10))[-1]) + 1)::INTEGER AS column FROM (SELECT doc_id, text[1:(length(text) * 2) // 3] AS b FROM documents WHERE text IS NOT NULL)")
+def text_positions(spark, d):
+    """Line and column of the place two thirds into each text."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", X.position(F.col("text"), F.floor(F.length("text") * 2 / 3).cast("int")).alias("p")).select("doc_id", "p.line", "p.column")
