@@ -11,6 +11,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
+    # tables are tiny here: compiling each plan would take longer than running it
+    builder = builder.config("spark.sql.codegen.wholeStage", "false")
     for k, v in {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
