@@ -25,8 +25,8 @@ WORD_PART = 40
 #: Held texts of a language in one band of lengths, about, and the place from above of the cross-entropy
 #: that counts as the band's largest, so that a junk text or two don't raise it.
 BAND, ROBUST = 375, 3
-#: A text is rejected if its cross-entropy lies this many times as far above its band's median as the
-#: band's largest does.
+#: A text is rejected if its cross-entropy, without its most surprising word, lies this many times as far above
+#: its band's median as the band's largest does.
 REJECT = 2.0
 LETTER = r"\p{L}"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -155,8 +155,8 @@ class Scorer:
     def reset(self) -> None:
         self.index, self.bits = WordIndex(), np.zeros((len(self.names) + 1, 0))
 
-    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by text and language, and characters by text."""
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text as columns of bits."""
         if self.index.bytes + self.bits.nbytes > KEEP_BYTES:
             self.reset()
         lookup = self.index.__getitem__
@@ -165,11 +165,32 @@ class Scorer:
             new, self.index.new = self.index.new, []
             got = np.vstack([*(word_bits(m, new) for m in self.models), [len(w) + 1.0 for w in new]])
             self.bits = np.hstack([self.bits, got])
+        return rows
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by text and language, and characters by text."""
+        return self.sums(self.rows(texts))
+
+    def sums(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.array([self.bits[:, r].sum(axis=1) for r in rows]).reshape(len(rows), len(self.names) + 1)
         return sums[:, :-1], sums[:, -1]
 
+    def steady(self, rows: list[np.ndarray], languages) -> np.ndarray:
+        """Cross-entropy of each text in a language without its most surprising word, so that one key, address or
+        slip doesn't speak for a short text."""
+        out = np.zeros(len(rows))
+        for i, (r, k) in enumerate(zip(rows, languages)):
+            bits, chars = self.bits[k, r], self.bits[-1, r]
+            j = bits.argmax() if len(r) > 1 else None
+            total, n = bits.sum(), chars.sum()
+            if j is not None:
+                total, n = total - bits[j], n - chars[j]
+            out[i] = total / max(n, 1.0)
+        return out
+
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        bits, chars = self.measure(texts)
+        rows = self.rows(texts)
+        bits, chars = self.sums(rows)
         n = np.maximum(chars, 1)
         entropy = bits / n[:, None]
         best = entropy.argmin(axis=1)
@@ -177,7 +198,7 @@ class Scorer:
         odds = np.exp2(-(entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, 40)[:, None])
         low = entropy[np.arange(len(best)), best]
         limit = np.array([self.models[b].limits[np.searchsorted(self.models[b].lengths, k, side="right")] for b, k in zip(best, chars)])
-        return pd.DataFrame({"lang": [self.names[i] for i in best], "score": 1 / odds.sum(axis=1), "entropy": low, "rejected": low > limit})
+        return pd.DataFrame({"lang": [self.names[i] for i in best], "score": 1 / odds.sum(axis=1), "entropy": low, "rejected": self.steady(rows, best) > limit})
 
 
 def limits(entropy: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +264,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, held_rows: int = HELD_ROWS, o
             some = batch[batch["lang"].isin(scorer.names)]
             for start in range(0, len(some), 500):
                 part = some.iloc[start : start + 500]
-                bits, chars = scorer.measure(part["text"].tolist())
-                own = bits[np.arange(len(part)), [scorer.names.index(k) for k in part["lang"]]]
-                yield pd.DataFrame({"lang": part["lang"], "entropy": own / np.maximum(chars, 1), "chars": chars})[chars > 0]
+                words = scorer.rows(part["text"].tolist())
+                own, chars = scorer.steady(words, [scorer.names.index(k) for k in part["lang"]]), scorer.sums(words)[1]
+                yield pd.DataFrame({"lang": part["lang"], "entropy": own, "chars": chars})[chars > 0]
 
     numbers = sample.filter("held").select("lang", "text").mapInPandas(measure, "lang string, entropy double, chars double").toPandas()
     for lang, part in numbers.sort_values(["lang", "chars", "entropy"]).groupby("lang"):
