@@ -218,7 +218,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             sequence[at], offset[at] = to[i] + r[at] - first[i], place[i]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = pieces.join(per.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("place"))
+    # merged, not broadcast: per grows with the tasks that wrote the pieces
+    ranked = pieces.join(per.select("length", "part", "base").hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("place"))
     out = ranked.withColumn("slot", slot("length", "rank"))
     return out.select(*[c for c in pieces.columns if c not in ("part", "place")], "slot.sequence_id", "slot.offset")
 
