@@ -43,25 +43,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the folder that the cluster shares (spark.checkpoint.dir);
-    a temporary folder of this machine only where that setting is absent, as in tests."""
+    """A new folder name under the folder that the cluster shares (spark.checkpoint.dir).  Without that setting
+    a folder of this machine serves a local session alone, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate tables that this driver had written and not yet deleted.
+_tables: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and every later
     use reads one fixed version even if an executor is lost."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_result(spark: SparkSession, build) -> DataFrame:
+    """materialise(build()), and delete the intermediate tables that this took."""
+    begun = len(_tables)
+    out = materialise(build())
+    for path in _tables[begun:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _tables[begun:-1]
+    return out
+
+
 #: Bytes, about, that a Python worker keeps of what it computed for words or pieces.
 KEEP_BYTES = 40 << 20
 #: What an entry of such a dictionary takes besides the characters of its key.
