@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, langid, mixing, packing, toxicity
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import only_result, table
 from graphloom.llm.queries import vocabulary
 
 #: Score from which the toxicity stage rejects a document.
@@ -18,29 +18,44 @@ TOXIC = 0.7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; models are fit on a bounded sample of docs with a lang."""
+    """Documents whose language is recognised; models are fit on a bounded sample of docs with a lang.
+
+    Null, empty and blank texts and those without a letter go; very long ones are read whole; repeated rows go
+    or stay together; an empty table stays empty; columns of any name pass."""
     models = langid.train(docs)
     return langid.identify(docs, models, "__language").filter(~F.col("__language.rejected")).drop("__language")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic; the model is fit on a bounded sample of labelled ones."""
+    """Documents that don't score as toxic; the model is fit on a bounded sample of labelled ones.
+
+    Null and empty texts stay; very long ones are read whole; repeated rows go or stay together; without labels of
+    both classes all stay; an empty table stays empty; columns of any name pass."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model, "__toxicity").filter(F.col("__toxicity.score") < TOXIC).drop("__toxicity")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Null, empty and blank texts link with nothing and stay, each row; repeated rows, null ids and one id on
+    different texts keep one row a group; an empty table stays empty; columns of any name pass."""
     return jaccard.one_of_each(docs, 5, 80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, each row by itself.
+
+    A null source is one of its own; texts without words take no part of a target, and rows of one key are taken
+    in a fixed order; an empty table stays empty; columns of any name pass."""
     return mixing.mixed_documents(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in sequences of 2048 tokens."""
+    """Pieces of the documents with their place in sequences of 2048 tokens.
+
+    Null and empty texts are a document of the end alone; long ones are cut in pieces; repeated rows are packed each
+    for itself; an empty table gives no piece."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -59,5 +74,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = only_result(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
