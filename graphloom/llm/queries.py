@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, packing, tokencount, topk, toxicity, vectordedup, warc
+from . import chat, jaccard, langid, licenses, mixing, packing, periodic, tokencount, topk, toxicity, vectordedup, warc
 from .common import table
 
 
@@ -70,6 +70,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.periodic_runs(periodic.with_cycles(table(spark, sf_dir, "documents"))))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    two = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(two)))
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1,
@@ -82,6 +93,8 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8,
         "op9_warc": op9,
         "op10_source_mixing": op10,
+        "op12_periodic_runs": op12,
+        "op13_chat_formatting": op13,
     }
 
 
@@ -161,6 +174,29 @@ p AS (SELECT doc_id, size, source_size, target, epochs, sum(size) OVER (PARTITIO
 SELECT doc_id, size, source_size, target, ((epochs + (CASE WHEN upto - size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END)) * size)::BIGINT AS taken FROM p"""
 
 
+#: Turns with their tokens and formatted length; windows by the running sum of tokens, then what each repeats.
+OP13_SQL = rf"""
+WITH raw AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+             UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, md5(text) AS digest, len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.MARKS} AS tokens,
+             length(regexp_replace(role, '([<\[])(\\*)({chat._REST})', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)({chat._REST})', '\1\\\2\3', 'g'))
+             + {len(chat.BEGIN + chat.MIDDLE + chat.END)} AS chars FROM raw),
+o AS (SELECT *, row_number() OVER w AS nr, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before FROM m
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn IS NULL, turn, role, digest)),
+t AS (SELECT *, floor(before / {chat.BUDGET - chat.HISTORY - chat.RETAINED}.0)::BIGINT AS cell, nr = 1 AND role = '{chat.SYSTEM}' AND tokens <= {chat.RETAINED} AS system FROM o),
+c AS (SELECT *, count(*) OVER k AS n, sum(tokens) OVER k AS cell_tokens, max(nr) OVER k AS last_nr, max(before + tokens) OVER k AS stop FROM t WINDOW k AS (PARTITION BY conv_id, cell)),
+h AS (SELECT *, CASE WHEN nr = last_nr AND n > 1 AND stop > (cell + 1) * {chat.BUDGET - chat.HISTORY - chat.RETAINED} AND cell_tokens > {chat.BUDGET - chat.HISTORY - chat.RETAINED} THEN 1 ELSE 0 END AS half FROM c),
+s AS (SELECT conv_id, cell, half, min(before) AS start, sum(tokens) AS tokens FROM h GROUP BY conv_id, cell, half),
+y AS (SELECT conv_id AS y_id, tokens AS y_tokens FROM t WHERE system),
+r AS (SELECT s.conv_id, s.start, greatest(0, least({chat.HISTORY}, {chat.BUDGET} - s.tokens - CASE WHEN s.start > 0 THEN coalesce(y_tokens, 0) ELSE 0 END)) AS room
+      FROM s LEFT JOIN y ON y_id IS NOT DISTINCT FROM s.conv_id),
+again AS (SELECT r.conv_id, sum(t.chars) AS chars FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.before < r.start AND (t.system OR t.before >= r.start - r.room) GROUP BY r.conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+             coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = '{chat.TARGET}'), '') AS loss, sum(chars)::BIGINT AS chars FROM t GROUP BY conv_id)
+SELECT d.conv_id, d.n_turns, d.turns_sha256, length(d.loss) AS loss_chars, sha256(d.loss) AS loss_sha256, (d.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
+FROM d LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_topk": OP3_SQL,
@@ -168,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": _op6_sql(),
         "op9_warc": OP9_SQL,
         "op10_source_mixing": OP10_SQL,
+        "op13_chat_formatting": OP13_SQL,
     }
