@@ -133,9 +133,9 @@ class Recent(dict):
     """Values computed for keys in bulk, of which the recently used are kept: when KEEP_BYTES are held,
     those not asked for since half as many were are let go.  Forgetting only costs time."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, entry_bytes: int = ENTRY_BYTES):
         super().__init__()
-        self.compute, self.older, self.bytes = compute, {}, 0
+        self.compute, self.entry_bytes, self.older, self.bytes = compute, entry_bytes, {}, 0
 
     def need(self, keys: set) -> None:
         """Hold all of keys from now until the next call."""
@@ -145,7 +145,7 @@ class Recent(dict):
         new = keys.difference(self)
         if not new:
             return
-        self.bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.bytes += sum(map(len, new)) + self.entry_bytes * len(new)
         if self.older:
             again = new.intersection(self.older)
             self.update(zip(again, map(self.older.__getitem__, again)))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, licenses, mixing, packing, periodic, tokencount, topk, toxicity, vectordedup, warc
+from . import alignment, chat, jaccard, langid, licenses, mixing, packing, periodic, tokencount, topk, toxicity, vectordedup, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(periodic.periodic_runs(periodic.with_cycles(table(spark, sf_dir, "documents"))))
 
@@ -93,6 +97,7 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8,
         "op9_warc": op9,
         "op10_source_mixing": op10,
+        "op11_token_alignment": op11,
         "op12_periodic_runs": op12,
         "op13_chat_formatting": op13,
     }
