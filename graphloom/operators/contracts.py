@@ -190,17 +190,6 @@ def stored_job_rules() -> dict[str, Column]:
     }
 
 
-MESSAGE = "schemaVersion string, jobId string, expectedStage string, cursor string"
-
-
-def messages(deliveries: DataFrame, body: str = "body") -> DataFrame:
-    """deliveries with message, a struct (job_id, stage, cursor), null where the body is no well-formed message."""
-    m = F.from_json(F.col(body), MESSAGE, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys(F.when(F.get_json_object(body, "$").isNotNull() & F.col(body).rlike(r"\A\s*\{"), F.col(body)))
-    known = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in ("schemaVersion", "jobId", "expectedStage", "cursor")]))) == 0
-    cursor = ~F.array_contains(keys, "cursor") | required_text(m["cursor"])
-    good = known & (m["schemaVersion"] == "1.0") & required_text(m["jobId"]) & m["expectedStage"].isin(*STAGES[:3]) & cursor
-    return deliveries.withColumn("message", F.when(F.coalesce(good, F.lit(False)), F.struct(m["jobId"].alias("job_id"), m["expectedStage"].alias("stage"), m["cursor"].alias("cursor"))))
 
 
 def failure(code: Column) -> Column:
@@ -302,50 +291,3 @@ def result_rules() -> dict[str, Column]:
         "graph-match": F.col("graph_snapshot").isNotNull() & (F.col("graph_snapshot") != F.col("snapshot")),
         "coverage-match": F.col("coverage") != F.col("snapshot_coverage"),
     }
-
-
-def query_violations(queries: DataFrame, key: str, body: str) -> DataFrame:
-    """key, rule: what graph queries, as JSON, break.  Kinds and their keys, texts, lists of kinds, directions, and
-    numbers within their bounds."""
-    q = F.col(body)
-    at = lambda p: F.get_json_object(q, f"$.{p}")
-    has = lambda p: F.array_contains(F.col("__keys"), p)
-    type_ = at("type")
-    allowed, must = F.lit(None), F.lit(None)
-    for name, (needs, may) in QUERY_KEYS.items():
-        allowed = F.when(type_ == name, F.array(*[F.lit(k) for k in ("type", "budget", *needs, *may)])).otherwise(allowed)
-        must = F.when(type_ == name, F.array(*[F.lit(k) for k in needs])).otherwise(must)
-    rows = queries.withColumn("__keys", F.json_object_keys(q))
-    quoted = lambda p: q.rlike(rf'"{p}"\s*:\s*"')
-
-    def number(p: str, low: int, high: int, inside: str | None = None) -> Column:
-        v = at(f"{inside}.{p}" if inside else p)
-        there = v.isNotNull() | (has(p) if not inside else F.lit(False))
-        return there & ~F.coalesce(v.rlike(r"\A-?\d+\z") & ~quoted(p) & v.cast("long").between(low, high), F.lit(False))
-
-    def listed(p: str, known) -> Column:
-        items = F.from_json(at(p), "array<string>")
-        return has(p) & ~F.coalesce((F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(x.isin(*known), F.lit(False))), F.lit(False))
-
-    def text(p: str, most: int) -> Column:
-        return has(p) & ~(quoted(p) & strict_text(at(p), most))
-
-    budget = F.json_object_keys(at("budget"))
-    return broken(
-        rows,
-        [key],
-        {
-            "type": ~F.coalesce(type_.isin(*QUERY_KEYS), F.lit(False)),
-            "unknown-key": F.size(F.array_except("__keys", allowed)) > 0,
-            "missing-key": F.size(F.array_except(must, "__keys")) > 0,
-            "text": text("text", SEARCH_LENGTH),
-            "node-id": text("nodeId", TEXT_LENGTH) | text("from", TEXT_LENGTH) | text("to", TEXT_LENGTH),
-            "kinds": listed("kinds", S.ASKED_KINDS),
-            "edge-kinds": listed("edgeKinds", S.EDGE_KINDS),
-            "direction": has("direction") & ~F.coalesce(at("direction").isin("incoming", "outgoing", "both"), F.lit(False)),
-            "cursor": number("cursor", 0, S.MAX_COST[1]),
-            "depth": number("maxDepth", 1, S.MAX_DEPTH[1]),
-            "budget-key": has("budget") & F.coalesce(F.size(F.array_except(budget, F.array(F.lit("maxCost"), F.lit("maxResults"), F.lit("maxTimeMs")))) > 0, F.lit(True)),
-            "budget": number("maxCost", 1, S.MAX_COST[1], "budget") | number("maxResults", 1, S.MAX_RESULTS[1], "budget") | number("maxTimeMs", 1, MAX_TIME[1], "budget"),
-        },
-    )

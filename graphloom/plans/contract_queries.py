@@ -8,7 +8,7 @@ from graphloom.operators import contracts as C
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
 from graphloom.sources.fixture import edges, nodes
-from graphloom.sources.records import DELIVERIES, ENTRIES, INPUTS, JOBS, LINES, QUERIES, RESULTS
+from graphloom.sources.records import ENTRIES, INPUTS, JOBS, LINES, RESULTS
 
 
 def rules_sql(rows: str, keys: str, rules: dict[str, str]) -> str:
@@ -117,13 +117,6 @@ def job_status_projection(spark, d):
     return out.withColumn("error", F.concat("error.code", F.lit(": "), "error.message", F.when(F.col("error.retryable"), " (again)").otherwise("")))
 
 
-@query("queue_messages", f"""SELECT event_id, CASE WHEN k IN (0, 1, 7) THEN 'job_' || user_id END AS job_id, CASE k WHEN 0 THEN 'inventory' WHEN 1 THEN 'fetch-content' WHEN 7 THEN 'analyze' END AS stage, CASE WHEN k = 1 THEN (event_id % 40)::VARCHAR END AS cursor
-FROM (SELECT event_id, user_id, event_id % 9 AS k FROM events)""")
-def queue_messages(spark, d):
-    """Messages of deliveries; what is no message is null, as it is acknowledged and dropped."""
-    return C.messages(DELIVERIES.read(spark, d)).select("event_id", "message.job_id", "message.stage", "message.cursor")
-
-
 @query("failure_mapping", f"""SELECT event_id, CASE code WHEN 'not_found' THEN 'repository_not_found' WHEN 'rate_limited' THEN 'rate_limited' WHEN 'invalid_response' THEN 'invalid_provider_response' WHEN 'invalid_path' THEN 'invalid_provider_response' ELSE CASE WHEN code IS NULL THEN 'analysis_failed' END END AS code,
 CASE WHEN code IN ('aborted', 'network', 'server_error') THEN NULL ELSE false END AS retry, code IN ('aborted', 'network', 'server_error') AND code IS NOT NULL AS again FROM ({INPUTS.sql})""")
 def failure_mapping(spark, d):
@@ -216,15 +209,6 @@ def graph_violations(spark, d):
     return C.graph_violations(nodes(spark, d).filter("kind <> 'schema'"), e)
 
 
-_Q = {1: ["text"], 2: ["text", "cursor"], 3: ["text"], 5: ["kinds"], 6: ["kinds", "cursor"], 8: ["missing-key"], 9: ["unknown-key"], 10: ["direction"], 12: ["edge-kinds"], 14: ["depth"], 15: ["depth", "budget"], 17: ["missing-key"], 18: ["unknown-key"], 19: ["type"], 20: ["type"], 21: ["budget-key"], 22: ["budget"]}
-
-
-@query("query_violations", " UNION ALL ".join(f"SELECT event_id, '{rule}' AS rule FROM events WHERE event_id % 23 = {k}" for k, rules in _Q.items() for rule in rules))
-def query_violations(spark, d):
-    """What graph queries break; the check says it by each form of query that the records have."""
-    return C.query_violations(QUERIES.read(spark, d), "event_id", "body")
-
-
 @query("diagnostic_counts", f"""SELECT count(*) FILTER (regexp_matches(diagnostic, '(?i)SYNTAX|PARSE')) AS syntax, count(*) FILTER (regexp_matches(diagnostic, '(?i)IMPORT|UNRESOLVED|MISSING_MODULE|MODULE_NOT_FOUND')) AS unresolved, count(*) FILTER (regexp_matches(diagnostic, '(?i)UNSUPPORTED|FILE_TYPE')) AS unsupported FROM ({INPUTS.sql})""")
 def diagnostic_counts(spark, d):
     from graphloom.operators import reports as R

@@ -74,16 +74,6 @@ JOBS = Records(
     idem="'key-' || CAST(event_id % 1000 AS STRING)",
 )
 
-#: Queue deliveries as text, well formed and not.
-DELIVERIES = Records(
-    "events",
-    event_id="event_id",
-    body="""CASE event_id % 9 WHEN 0 THEN '{"schemaVersion":"1.0","jobId":"job_' || CAST(user_id AS STRING) || '","expectedStage":"inventory"}'
-    WHEN 1 THEN '{"schemaVersion":"1.0","jobId":"job_' || CAST(user_id AS STRING) || '","expectedStage":"fetch-content","cursor":"' || CAST(event_id % 40 AS STRING) || '"}'
-    WHEN 2 THEN '{"schemaVersion":"1.0","jobId":"","expectedStage":"inventory"}' WHEN 3 THEN '{"schemaVersion":"2.0","jobId":"j","expectedStage":"inventory"}' WHEN 4 THEN '{"schemaVersion":"1.0","jobId":"j","expectedStage":"complete"}'
-    WHEN 5 THEN 'not json' WHEN 6 THEN '{"schemaVersion":"1.0","jobId":"j"}' WHEN 7 THEN '{"schemaVersion":"1.0","jobId":"job_' || CAST(user_id AS STRING) || '","expectedStage":"analyze"}' ELSE '{"schemaVersion":"1.0","jobId":"j","expectedStage":"analyze","cursor":""}' END""",
-)
-
 #: References, addresses and repository ids as users type them.
 INPUTS = Records(
     "events",
@@ -182,16 +172,132 @@ RESULTS = Records(
     analyzed_bytes="s_suppkey % 60",
 )
 
-#: Graph queries as JSON, right and wrong.
-QUERIES = Records(
-    "events",
-    event_id="event_id",
-    body="""CASE event_id % 23 WHEN 0 THEN '{"type":"search","text":"a"}' WHEN 1 THEN '{"type":"search","text":""}' WHEN 2 THEN '{"type":"search","text":" a","cursor":-1}' WHEN 3 THEN '{"type":"search","text":"' || repeat('x', 257) || '"}'
-    WHEN 4 THEN '{"type":"search","text":"a","kinds":["file","document"],"cursor":50000}' WHEN 5 THEN '{"type":"search","text":"a","kinds":[]}' WHEN 6 THEN '{"type":"search","text":"a","kinds":["edge"],"cursor":"1"}' WHEN 7 THEN '{"type":"node","nodeId":"n' || CAST(user_id AS STRING) || '"}' WHEN 8 THEN '{"type":"node"}'
-    WHEN 9 THEN '{"type":"node","nodeId":"n","cursor":0}' WHEN 10 THEN '{"type":"neighbors","nodeId":"n","direction":"up"}' WHEN 11 THEN '{"type":"neighbors","nodeId":"n","direction":"both","edgeKinds":["calls","tests"],"budget":{"maxCost":50000,"maxResults":500,"maxTimeMs":2000}}' WHEN 12 THEN '{"type":"neighbors","nodeId":"n","edgeKinds":["exports"]}'
-    WHEN 13 THEN '{"type":"impact","nodeId":"n","maxDepth":20}' WHEN 14 THEN '{"type":"impact","nodeId":"n","maxDepth":21}' WHEN 15 THEN '{"type":"impact","nodeId":"n","maxDepth":0,"budget":{"maxCost":0}}' WHEN 16 THEN '{"type":"shortestPath","from":"a","to":"b"}' WHEN 17 THEN '{"type":"shortestPath","from":"a"}'
-    WHEN 18 THEN '{"type":"explain","nodeId":"n","direction":"both"}' WHEN 19 THEN '{"type":"walk"}' WHEN 20 THEN '{"text":"a"}' WHEN 21 THEN '{"type":"node","nodeId":"n","budget":{"maxRows":1}}' ELSE '{"type":"node","nodeId":"n","budget":{"maxResults":501}}' END""",
+
+def texts_of(forms: tuple[str, ...], key: str = "event_id") -> str:
+    """SQL of one text a row, the forms in turn.  NUMBER in a form stands for the key; back slashes and quotes are
+    written so that Spark and the SQL checks read the same."""
+    def quoted(form: str) -> str:
+        parts = form.replace("'", "''").split("\\")
+        return "'" + "' || chr(92) || '".join(parts).replace("NUMBER", f"' || CAST({key} AS STRING) || '") + "'"
+
+    cases = " ".join(f"WHEN {i} THEN {quoted(f)}" for i, f in enumerate(forms))
+    return f"CASE {key} % {len(forms)} {cases} END"
+
+
+#: Graph queries as clients send them: nested and repeated names, numbers in quotes, fractions, nulls, lists out of
+#: order, escapes, blanks of all kinds, and text that isn't JSON.
+QUERY_FORMS = (
+    '{"type":"search","text":"aNUMBER"}',
+    '{"type":"search","text":5,"x":{"text":"y"}}',
+    '{"type":"node","nodeId":7,"budget":{"nodeId":"z"}}',
+    '{"type":"search","text":""}',
+    '{"type":"search","text":" a","cursor":-1}',
+    '{"type":"search","text":"a\u00a0","cursor":5.0}',
+    '{"type":"search","text":"' + "x" * 256 + '","cursor":50000}',
+    '{"type":"search","text":"' + "x" * 257 + '","cursor":50001}',
+    '{"type":"search","text":"' + "😀" * 128 + '"}',
+    '{"type":"search","text":"' + "😀" * 129 + '"}',
+    '{"type":"search","text":"a\tb"}',
+    '{"type":"search","text":"a","kinds":["symbol","file","symbol"],"cursor":1e2}',
+    '{"type":"search","text":"a","kinds":[]}',
+    '{"type":"search","text":"a","kinds":["edge"],"cursor":"1"}',
+    '{"type":"search","text":"a","kinds":["file",5]}',
+    '{"type":"search","text":"a","kinds":"file"}',
+    '{"type":"search","text":"a","kinds":null,"cursor":null}',
+    '{"kinds":["package"],"text":"a b","cursor":0,"budget":{"maxTimeMs":1},"type":"search"}',
+    '{"type":"node","nodeId":"nNUMBER"}',
+    '{"type":"node"}',
+    '{"type":"node","nodeId":null}',
+    '{"type":"node","nodeId":"n","cursor":0}',
+    '{"type":"node","nodeId":"n","budget":{"maxRows":1}}',
+    '{"type":"node","nodeId":"n","budget":{"maxResults":501}}',
+    '{"type":"node","nodeId":"n","budget":{"maxResults":500,"maxCost":1,"maxTimeMs":2000}}',
+    '{"type":"node","nodeId":"n","budget":null}',
+    '{"type":"node","nodeId":"n","budget":[1]}',
+    '{"type":"node","nodeId":"n","budget":{"maxCost":"5"}}',
+    '{"type":"explain","nodeId":"n","budget":{}}',
+    '{"type":"explain","nodeId":"n","direction":"both"}',
+    '{"type":"neighbors","nodeId":"n","direction":"up"}',
+    '{"type":"neighbors","nodeId":"n","direction":null}',
+    '{"type":"neighbors","nodeId":"n","edgeKinds":["tests","calls","tests"],"budget":{"maxCost":50000}}',
+    '{"type":"neighbors","nodeId":"n","edgeKinds":["exports"],"cursor":0.5}',
+    '{"type":"impact","nodeId":"n","maxDepth":20,"direction":"incoming"}',
+    '{"type":"impact","nodeId":"n","maxDepth":21}',
+    '{"type":"impact","nodeId":"n","maxDepth":0,"budget":{"maxCost":0}}',
+    '{"type":"impact","nodeId":"n","maxDepth":true}',
+    '{"type":"shortestPath","from":"a","to":"b"}',
+    '{"type":"shortestPath","from":"a","to":{"to":"b"}}',
+    '{"type":"shortestPath","from":"a"}',
+    '{"type":"walk"}',
+    '{"type":["node"],"nodeId":"n"}',
+    '{"text":"a"}',
+    '[{"type":"node","nodeId":"n"}]',
+    '"node"',
+    "null",
+    "not json",
+    '{"type":"node","nodeId":"n"',
+    "",
+    '{"type":"explain","nodeId":"it\u0027s"}',
+)
+QUERIES = Records("events", event_id="event_id", body=texts_of(QUERY_FORMS))
+
+#: Requests for jobs, of the service to the store, results that come back and messages, well formed and not.
+REQUEST_FORMS = {
+    "create": (
+        '{"repositoryUrl":"https://github.com/acme/tool-NUMBER"}',
+        '{"ref":"main","repositoryUrl":"https://github.com/Acme/Tool.git"}',
+        '{"repositoryUrl":"HTTPS://GitHub.com:443/acme/tool?"}',
+        '{"repositoryUrl":"http://github.com/acme/tool"}',
+        '{"repositoryUrl":"https://u@github.com/acme/tool"}',
+        '{"repositoryUrl":"https://github.com/acme/tool?x=1","ref":""}',
+        '{"repositoryUrl":"https://github.com/acme/tool/tree","ref":null}',
+        '{"repositoryUrl":"https://github.com/-acme/tool","branch":"x"}',
+        '{"repositoryUrl":" https://github.com/acme/tool"}',
+        '{"repositoryUrl":{"repositoryUrl":"https://github.com/acme/tool"}}',
+        '{"x":{"repositoryUrl":"https://github.com/acme/tool"}}',
+        "[]",
+    ),
+    "input": (
+        '{"analyzerVersion":"1","idempotencyKey":"kNUMBER","repositoryId":"github:acme/tool","requestedRef":"main"}',
+        '{"analyzerVersion":"1","idempotencyKey":"k","repositoryId":"github:Acme/tool","requestedRef":"main"}',
+        '{"analyzerVersion":1,"idempotencyKey":"k","repositoryId":"github:acme/tool","requestedRef":"main"}',
+        '{"analyzerVersion":"1","idempotencyKey":" k","repositoryId":null,"requestedRef":"main"}',
+        '{"analyzerVersion":"1","idempotencyKey":"k","repositoryId":"github:acme/tool","nested":{"requestedRef":"main"}}',
+    ),
+    "response": (
+        '{"jobId":"job_NUMBER","status":"succeeded","result":{"graph":{}}}',
+        '{"jobId":"job_1","status":"failed","result":{}}',
+        '{"jobId":"","status":"succeeded","result":[]}',
+        '{"jobId":"job_1","status":"succeeded","result":null,"error":{}}',
+        '{"result":{"jobId":"job_1","status":"succeeded"}}',
+    ),
+    "message": (
+        '{"schemaVersion":"1.0","jobId":"job_NUMBER","expectedStage":"inventory"}',
+        '{"schemaVersion":"1.0","jobId":"job_NUMBER","expectedStage":"fetch-content","cursor":"10"}',
+        '{"schemaVersion":"1.0","jobId":"","expectedStage":"inventory"}',
+        '{"schemaVersion":"2.0","jobId":"j","expectedStage":"inventory"}',
+        '{"schemaVersion":1.0,"jobId":"j","expectedStage":"inventory"}',
+        '{"schemaVersion":"1.0","jobId":"j","expectedStage":"complete"}',
+        '{"schemaVersion":"1.0","jobId":"j","expectedStage":"analyze","cursor":""}',
+        '{"schemaVersion":"1.0","jobId":"j","expectedStage":"analyze","cursor":10}',
+        '{"schemaVersion":"1.0","jobId":"j","body":{"expectedStage":"analyze"}}',
+        '{"schemaVersion":"1.0","jobId":"job_NUMBER","expectedStage":"analyze"}',
+        "not json",
+    ),
+}
+REQUESTS = {kind: Records("events", event_id="event_id", body=texts_of(forms)) for kind, forms in REQUEST_FORMS.items()}
+
+#: JSON of any nesting, keys in any order.
+DOCUMENT_FORMS = (
+    '{"b":[{"z":NUMBER,"a":null}],"a":true}',
+    '{ "k" : { "y" : { "d" : [ ] , "c" : { } } , "x" : "it\u0027s" } , "e" : -5 }',
+    '[{"b":1,"a":[{"d":0,"c":[{"f":1,"e":2}]}]},"t",false]',
+    '{"key two":"NUMBER","Key":"A","key":"a","_":"\u00e9"}',
+    '"text"',
+    '{"open":[1,2}',
+    "plain",
 )
+DOCUMENTS = Records("events", event_id="event_id", body=texts_of(DOCUMENT_FORMS))
 
 #: Deliveries of jobs' messages in their order, with what their handling ran into.
 MESSAGES = Records(

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from graphloom.operators.contracts import STAGES, messages
+from graphloom.operators.contracts import STAGES
+from graphloom.operators.requests import messages
 
 #: Files of eligible entries that a job fetches at once, and deliveries of a message at most.
 BATCH, ATTEMPTS = 10, 3
