@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import contracts as C
 from graphloom.operators.extract import admissible_bytes
+from graphloom.sources.shared import written
 
 
 def folder_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,12 +31,13 @@ def tree_entries(tree: DataFrame) -> DataFrame:
 
 def joined_tree(subtrees: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
     """path, mode, type, sha, size of everything below a root, from subtrees(tree, name, mode, type, sha, size) that each
-    list one level: names are joined to the paths of the trees that hold them, level by level."""
+    list one level: names are joined to the paths of the trees that hold them, level by level.  Each level is
+    written once, so none is worked out again for those below it."""
     spark = subtrees.sparkSession
     level = spark.createDataFrame([(root, "")], "tree string, prefix string")
     out = None
     for _ in range(max_depth):
-        here = level.join(subtrees, "tree").withColumn("path", F.concat("prefix", "name"))
+        here = written(level.join(subtrees, "tree").withColumn("path", F.concat("prefix", "name")))
         part = here.select("path", "mode", "type", "sha", "size")
         out = part if out is None else out.unionByName(part)
         level = here.filter("type = 'tree'").select(F.col("sha").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
