@@ -40,13 +40,6 @@ def artifact_put(spark, d):
     return E.put_outcomes(writes, "key", "doc_id", "text").select("doc_id", "key", "outcome")
 
 
-@query("manifest_write_once", "SELECT user_id AS snapshot, min(event_id) AS event_id, arg_min(event_type, event_id) AS manifest_key, count(*) - 1 AS refused FROM events GROUP BY 1")
-def manifest_write_once(spark, d):
-    """The first finalisation of a snapshot stands; later ones are refused."""
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("snapshot"))
-    return e.agg(F.min("event_id").alias("event_id"), F.min_by("event_type", "event_id").alias("manifest_key"), (F.count(F.lit(1)) - 1).alias("refused"))
-
-
 @query("node_rule_violations", FX + """, l AS (SELECT 'route:order/' || l_orderkey AS id, l_linenumber AS start_line, CASE WHEN l_quantity > 2 THEN l_quantity::INTEGER END AS end_line FROM lineitem),
 r AS (SELECT id, unnest([CASE WHEN kind NOT IN ('file', 'symbol', 'package', 'route', 'schema') THEN 'kind' END, CASE WHEN coalesce(name, '') = '' THEN 'name' END,
   CASE WHEN kind = 'file' AND path IS NULL THEN 'file-path' END, CASE WHEN regexp_matches(path, '^/|\\\\|(^|/)\\.\\.?(/|$)|[#]') THEN 'path' END]) AS rule FROM fx_nodes

@@ -160,15 +160,6 @@ def artifact_readback(spark, d):
     return store.get(writes.select("key")).select("key", "hash", "intact")
 
 
-@query("insert_if_absent", "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY user_id")
-def insert_if_absent(spark, d):
-    """Rows that a table of customers lacked, appended once for each key."""
-    folder = shared_folder(spark)
-    have = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.lit(0).cast("long").alias("event_id"))
-    A.insert_absent(spark, folder, have, "user_id", "event_id")
-    return A.insert_absent(spark, folder, table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
-
-
 @query("artifact_keys", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'manifest/s' || user_id || '/inventory.json' WHEN 1 THEN 'manifest/s' || user_id || '/inventory.json' WHEN 2 THEN 'manifest/s' || user_id || '/progress-' || event_id || '.json' END AS checkpoint, CASE event_id % 4 WHEN 0 THEN 'result/r' || user_id WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE NULL END AS result FROM events")
 def artifact_keys(spark, d):
     """Keys of checkpoints and results; unsafe identities have none."""

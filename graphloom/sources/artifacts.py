@@ -1,4 +1,4 @@
-"""A content-addressed store as a table, and tables that take each key once."""
+"""A content-addressed store as a table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.export import put_outcomes
-from graphloom.sources.shared import written
+from graphloom.sources.commits import CommittedTable
 
 #: Kinds of artifacts.
 KINDS = ("manifest", "blob", "result")
@@ -31,51 +31,36 @@ def hash_of(body: Column) -> Column:
     return F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256)
 
 
-class ArtifactTable:
-    """Artifacts in a folder that a cluster shares.  One writer at a time, as of any table of files."""
+class ArtifactTable(CommittedTable):
+    """Artifacts in a folder that a cluster shares; any number of writers at once."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        spark.createDataFrame([], ARTIFACT).write.mode("append").parquet(folder)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(ARTIFACT).parquet(self.folder)
+        super().__init__(spark, folder, ARTIFACT, "key")
 
     def put(self, writes: DataFrame, key: str, order: str, body: str) -> DataFrame:
         """Store writes and return their outcomes: a key that is there with equal content, or that is written
         twice with it, is the `same`, with other content a `conflict`; what was stored is read back and
         compared, and is an error if it differs."""
-        told = put_outcomes(writes, key, order, body)
-        there = self.read().select(F.col("key").alias("__key"), F.col("hash").alias("__there"))
-        told = told.join(there, F.col(key) == F.col("__key"), "left").withColumn("__new", hash_of(F.col(body)))
-        outcome = F.when(F.col("__there").isNull(), F.col("outcome")).when(F.col("__there") == F.col("__new"), "same").otherwise("conflict")
-        told = written(told.withColumn("outcome", outcome).drop("__key", "__there"))
-        stored = told.filter("outcome = 'stored'").select(F.col(key).alias("key"), F.col("__new").alias("hash"), F.col(body).alias("body"))
-        stored.write.mode("append").parquet(self.folder)
-        back = self.get(stored.select("key"))
-        if not back.filter("NOT intact").isEmpty():
+        told = put_outcomes(writes, key, order, body).withColumn("__new", hash_of(F.col(body)))
+
+        def build(current: DataFrame):
+            there = current.select(F.col("key").alias("__key"), F.col("hash").alias("__there"), F.lit(True).alias("__have"))
+            both = told.join(there, F.col(key).eqNullSafe(F.col("__key")), "left")
+            outcome = F.when(F.col("__have").isNull(), F.col("outcome")).when(F.col("__there") == F.col("__new"), "same").otherwise("conflict")
+            both = both.withColumn("outcome", outcome)
+            stored = both.filter("outcome = 'stored'").select(F.col(key).alias("key"), F.col("__new").alias("hash"), F.col(body).alias("body"))
+            return stored, both.select(*writes.columns, "outcome")
+
+        outcomes = self.change(build)
+        if not self.get(outcomes.filter("outcome = 'stored'").select(F.col(key).alias("key"))).filter("NOT intact").isEmpty():
             raise RuntimeError("an artifact reads back otherwise than it was written")
-        return told.drop("__new")
+        return outcomes
 
     def get(self, keys: DataFrame) -> DataFrame:
         """key, hash, body, intact of keys(key) that are there."""
         return self.read().join(keys.distinct(), "key", "left_semi").withColumn("intact", hash_of(F.col("body")) == F.col("hash"))
 
 
-def insert_absent(spark: SparkSession, folder: str, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Append the first row of each key that the table in folder lacks, and return what was appended."""
-    first = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-    try:
-        there = spark.read.schema(rows.schema).parquet(folder)
-        first = first.join(there.select(key), key, "left_anti").select(rows.columns)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    first = written(first)
-    first.write.mode("append").parquet(folder)
-    return first
-
-
 def results(index: DataFrame, artifacts: DataFrame, schema: str) -> DataFrame:
     """job_id, state, result for index(job_id, status, result_key, result_hash): the parsed result of each job that
     succeeded with a result that is there, intact and its own; state says what else is the matter."""

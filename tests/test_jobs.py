@@ -74,14 +74,6 @@ def test_artifacts(spark):
         A.artifact_key("other", F.lit("x"))
 
 
-def test_insert_absent(spark):
-    folder = shared_folder(spark)
-    rows = lambda *r: spark.createDataFrame(r, "k int, n int")
-    assert sorted(map(tuple, A.insert_absent(spark, folder, rows((1, 2), (1, 1), (2, 5)), "k", "n").collect())) == [(1, 1), (2, 5)]
-    assert sorted(map(tuple, A.insert_absent(spark, folder, rows((1, 0), (3, 1)), "k", "n").collect())) == [(3, 1)]
-    assert spark.read.parquet(folder).count() == 3
-
-
 def test_folder(spark, tmp_path):
     import hashlib
 
