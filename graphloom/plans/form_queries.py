@@ -20,6 +20,7 @@ from graphloom.sources.records import CODE, ENTRIES, LINES, MESSAGES, SPECIFIERS
 from graphloom.sources.records import FILES as FILE_LIST
 from graphloom.sources.shared import shared_folder
 from graphloom.streaming import jobs as J
+from graphloom.streaming import stateful as ST
 
 
 def line_edges(spark, d):
@@ -289,19 +290,51 @@ def resolve_names(spark, d):
 
 # --- jobs ------------------------------------------------------------------------------------
 
-@query("job_replay", f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY place) AS n FROM ({MESSAGES.sql})),
-w AS (SELECT DISTINCT job_id, 0::BIGINT AS n, 'queued' AS status, 'inventory' AS stage, NULL::VARCHAR AS cursor, 0::BIGINT AS done, 0::BIGINT AS total, 0 AS moves FROM m
-UNION ALL SELECT job_id, n, CASE what WHEN 'failed' THEN 'failed' WHEN 'inv' THEN 'running' WHEN 'more' THEN 'running' WHEN 'last' THEN 'running' WHEN 'end' THEN 'succeeded' ELSE status END,
-CASE what WHEN 'inv' THEN 'fetch-content' WHEN 'last' THEN 'analyze' WHEN 'end' THEN 'complete' ELSE stage END, CASE what WHEN 'inv' THEN '0' WHEN 'more' THEN least(total, done + 10)::VARCHAR WHEN 'last' THEN least(total, done + 10)::VARCHAR ELSE cursor END,
-CASE what WHEN 'inv' THEN 0 WHEN 'more' THEN least(total, done + 10) WHEN 'last' THEN least(total, done + 10) ELSE done END, CASE what WHEN 'inv' THEN fresh ELSE total END, moves + CASE WHEN what IN ('inv', 'more', 'last', 'end', 'failed') THEN 1 ELSE 0 END
-FROM (SELECT w.job_id, m.n, w.status, w.stage, w.cursor, w.done, w.total, w.moves, m.total AS fresh, CASE WHEN w.status IN ('succeeded', 'failed') THEN 'ended' WHEN w.stage <> m.stage OR (m.cursor IS NOT NULL AND w.cursor IS DISTINCT FROM m.cursor) THEN 'stale' WHEN m.fails = 'again' AND w.moves < 3 THEN 'retry' WHEN m.fails IS NOT NULL THEN 'failed'
-WHEN m.stage = 'inventory' THEN 'inv' WHEN m.stage = 'analyze' THEN 'end' WHEN least(w.total, w.done + 10) >= w.total THEN 'last' ELSE 'more' END AS what FROM w JOIN m ON m.job_id = w.job_id AND m.n = w.n + 1))
+#: Deliveries in each job's order folded one by one; what: what each came to, given the state before it.
+REPLAY = f"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY place) AS n FROM ({MESSAGES.sql})),
+w AS (
+  SELECT DISTINCT job_id, 0::BIGINT AS n, 'queued' AS status, 'inventory' AS stage, NULL::VARCHAR AS cursor, 0::BIGINT AS done, 0::BIGINT AS total, 0 AS moves, NULL::VARCHAR AS what, NULL::BIGINT AS place, NULL::VARCHAR AS came FROM m
+  UNION ALL
+  SELECT job_id, n,
+         CASE what WHEN 'failed' THEN 'failed' WHEN 'inv' THEN 'running' WHEN 'more' THEN 'running' WHEN 'last' THEN 'running' WHEN 'end' THEN 'succeeded' ELSE status END,
+         CASE what WHEN 'inv' THEN 'fetch-content' WHEN 'last' THEN 'analyze' WHEN 'end' THEN 'complete' ELSE stage END,
+         CASE what WHEN 'inv' THEN '0' WHEN 'more' THEN least(total, done + 10)::VARCHAR WHEN 'last' THEN least(total, done + 10)::VARCHAR ELSE cursor END,
+         CASE what WHEN 'inv' THEN 0 WHEN 'more' THEN least(total, done + 10) WHEN 'last' THEN least(total, done + 10) ELSE done END,
+         CASE what WHEN 'inv' THEN fresh ELSE total END,
+         moves + CASE WHEN what IN ('inv', 'more', 'last', 'end', 'failed') THEN 1 ELSE 0 END, what, place, came
+  FROM (SELECT w.job_id, m.n, m.place, w.status, w.stage, w.cursor, w.done, w.total, w.moves, m.total AS fresh, m.cursor AS came,
+               CASE WHEN w.status IN ('succeeded', 'failed') THEN 'ended' WHEN w.stage <> m.stage OR (m.cursor IS NOT NULL AND w.cursor IS DISTINCT FROM m.cursor) THEN 'stale'
+                    WHEN m.fails = 'again' AND w.moves < 3 THEN 'retry' WHEN m.fails IS NOT NULL THEN 'failed' WHEN m.stage = 'inventory' THEN 'inv' WHEN m.stage = 'analyze' THEN 'end'
+                    WHEN least(w.total, w.done + 10) >= w.total THEN 'last' ELSE 'more' END AS what
+        FROM w JOIN m ON m.job_id = w.job_id AND m.n = w.n + 1))"""
+
+
+@query("job_replay", REPLAY + """
 SELECT job_id, status, stage, cursor, done, total, moves FROM w QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1""")
 def job_replay(spark, d):
     """Where each job ends after all of its deliveries, in order: compare and set by stage and cursor."""
     return J.replay(MESSAGES.read(spark, d))
 
 
+@query("job_stream", REPLAY + """
+SELECT job_id, place, CASE WHEN what IN ('inv', 'more', 'last', 'end') THEN 'moved' ELSE what END AS outcome, status, stage, cursor, done, total,
+       CASE WHEN status IN ('queued', 'running') THEN stage END AS send_stage,
+       CASE WHEN what = 'retry' THEN came WHEN status = 'running' AND stage = 'fetch-content' THEN cursor END AS send_cursor
+FROM w WHERE n > 0""")
+def job_stream(spark, d):
+    """What became of each delivery and which message it sends: the next one, or, after a stale or repeated delivery, the
+    job's continuation.  A stream with typed state, stopped and started again twice."""
+    m = MESSAGES.read(spark, d)
+    base = shared_folder(spark)
+    cuts = [float("-inf"), *m.agg(F.percentile_approx("place", [0.3, 0.7])).first()[0], float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        m.filter((F.col("place") > low) & (F.col("place") <= high)).write.mode("append").parquet(f"{base}/in")
+        ST.run_to_end(ST.job_stream(spark.readStream.schema(m.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/state")
+    out = spark.read.parquet(f"{base}/out").filter("what = 'delivery'")
+    return out.select("job_id", "place", "outcome", "status", "stage", "cursor", "done", "total", "send_stage", "send_cursor")
+
+
 # --- navigation ------------------------------------------------------------------------------
 
 @query("remote_payload", f"SELECT snapshot, path FROM ({ENTRIES.sql}) WHERE kind = 'blob'")

@@ -32,8 +32,8 @@ def apply(state: tuple, stage: str, cursor: str | None, total: int, fails: str |
 
     A message counts if its stage, and its cursor where it has one, are the job's: compare and set.  Others are
     stale or repeats and change nothing, but the job's own continuation is sent again.  A failure that doesn't
-    pass ends the job; one that does is delivered again, and ends it once the job has moved as often as there are
-    attempts."""
+    pass ends the job; one that does sends the message again as it came, and ends the job once it has moved as often
+    as there are attempts."""
     status, at, where, done, all_, moves = state
     if status in ("succeeded", "failed", "cancelled"):
         return state, "ended", (None, None)
@@ -41,7 +41,7 @@ def apply(state: tuple, stage: str, cursor: str | None, total: int, fails: str |
         return state, "stale", (at, (where or "0") if at == "fetch-content" else None)
     if fails is not None:
         if fails == "again" and moves < ATTEMPTS:
-            return state, "retry", (at, where)
+            return state, "retry", (stage, cursor)
         return ("failed", at, where, done, all_, moves + 1), "failed", (None, None)
     if stage == "inventory":
         return ("running", "fetch-content", "0", 0, total, moves + 1), "moved", ("fetch-content", "0")
