@@ -64,6 +64,16 @@ SENTENCES = (
     "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
     "licensed under the european union public licence version 1 2",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "no express or implied licenses to any party s patent rights are granted by this license",
+    "further conditions of a redistribution notice",
+    "apache license version 2 0 january 2004",
+    "gnu general public license version 3 29 june 2007",
+    "gnu general public license version 2 june 1991",
+    "gnu lesser general public license version 3 29 june 2007",
+    "gnu affero general public license version 3 19 november 2007",
+    "gnu lesser general public license version 2 1 february 1999",
+    "mozilla public license version 2 0",
 )
 #: Licences that a tag names by its short identifier alone, beyond those above.
 SHORT = (
@@ -114,7 +124,19 @@ RULES = (
     ("WTFPL", (52,)),
     ("EPL-2.0", (53,)),
     ("EUPL-1.2", (54,)),
+    ("BSD-4-Clause", (13, 14, 15, 55, 16)),
+    ("BSD-3-Clause-Clear", (13, 14, 15, 16, 56)),
+    ("LicenseRef-BSD-like", (13, 14, 15, 57)),
+    ("Apache-2.0", (58,)),
+    ("GPL-3.0-only", (59,)),
+    ("GPL-2.0-only", (60,)),
+    ("LGPL-3.0-only", (61,)),
+    ("AGPL-3.0-only", (62,)),
+    ("LGPL-2.1-only", (63,)),
+    ("MPL-2.0", (64,)),
 ) + tuple((name, (i,)) for i, name in enumerate(SHORT, _NOTICES + 1))
+#: Marks put where a sentence ends (HARD) and where it may end or go on (SOFT).
+HARD, SOFT = "\x01", "\x02"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Other forms of a sentence in the usual notices, and the sentence's identifier.
 VARIANTS = {
@@ -128,7 +150,55 @@ VARIANTS = {
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": 29,
     "this project is licensed under the mit license": 37,
     "this software is licensed under the mit license": 37,
+    "mit licensed": 37,
+}
+#: Mark of a sentence whose slots are filled, until all are.
+FILLED = "\x03"
+#: A blank between words of a sentence, and some words with the blanks behind them.
+_GAP, _WORDS = r"[ \x02]+", r"(?:[a-z0-9]+[ \x02]+)"
+
+
+def _spaced(sentence: str) -> str:
+    return sentence.replace(" ", _GAP)
+
+
+_START = r"(\A|[\x01\x02]) *(?:[a-z0-9]{1,3} )?"
+#: Sentences with slots: what is matched in a text whose words are set apart, and what it becomes, in this order.
+#: Conditions may be lettered; a holder's name stands in the third condition of a redistribution notice and in its disclaimer; a notice may begin
+#: with the kind of thing that is licensed; and words between the second condition and the disclaimer that are no known
+#: sentence are conditions that we don't know.
+SLOTS = (
+    (rf"(\A|[\x01\x02]) *(?:[a-z]|[ivx]{{1,4}}|[0-9]{{1,2}}){_GAP}(redistributions{_GAP}(?:of|in){_GAP})", r"\1\2"),
+    (
+        rf"(\A|[\x01\x02]) *{_WORDS}{{0,6}}?(?:neither|nor|the[ \x02]+names?|names?){_GAP}{_WORDS}{{0,60}}?" + _spaced("endorse or promote products derived from this software without ") + rf"(?:specific{_GAP})?" + _spaced("prior written permission"),
+        rf"\1{FILLED}" + SENTENCES[15],
+    ),
+    (_START + _spaced(SENTENCES[54]), rf"\1{FILLED}" + SENTENCES[54]),
+    (
+        _START + _spaced("this software is provided by ") + rf"{_WORDS}{{1,20}}?" + _spaced("as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+        rf"\1{FILLED}" + SENTENCES[33],
+    ),
+    (
+        f"({_spaced(SENTENCES[14])} *[\x01\x02])[ \x01\x02]*(?:[a-z0-9]+[ \x01\x02]+){{3,400}}?({FILLED}{SENTENCES[33]})",
+        rf"\1{SENTENCES[56]}{HARD}\2",
+    ),
+    (FILLED, ""),
+    (
+        rf"(\A|[\x01\x02]) *(?:this|the){_GAP}(?:project|software|file|package|library|code|program|module|repository){_GAP}(?:is|was){_GAP}(?:released|licensed|distributed|made{_GAP}available|available){_GAP}under{_GAP}(?:the{_GAP}terms{_GAP}of{_GAP})?the{_GAP}",
+        r"\1licensed under the ",
+    ),
+)
+#: Identifiers that an expression may hold besides those of rules, and what they stand for.
+OLD_NAMES = {
+    "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later", "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later",
+    "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later", "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "BSD-2-Clause-FreeBSD": "BSD-2-Clause",
 }
+#: Names in lower case -> the licence that an expression means by them.
+EXPRESSED = {n.lower(): n for n, _ in RULES if not n.startswith("LicenseRef")} | {old.lower(): new for old, new in OLD_NAMES.items()}
+#: A tag with its expression; what parts expressions; an address of a Creative Commons licence.
+TAG = r"spdx-license-identifier:[ \t]*([^\r\n]*)"
+PARTS = r"[ \t]+(?:or|and)[ \t]+|[()]"
+COMMONS = r"creativecommons\.org/(licenses/by(?:-nc)?(?:-sa|-nd)?/4\.0|publicdomain/zero/1\.0)"
 
 
 def _anchors(sentences) -> tuple[str, ...]:
@@ -145,8 +215,6 @@ def _anchors(sentences) -> tuple[str, ...]:
 
 #: Words of which every known sentence holds one; found from the table itself.
 ANCHORS = _anchors((*SENTENCES, *VARIANTS))
-#: Marks put where a sentence ends (HARD) and where it may end or go on (SOFT).
-HARD, SOFT = "\x01", "\x02"
 #: What becomes which mark, in this order: the end of a comment; ; or : before white space or the end; the same with . ! or ?
 #: among the signs; lines without letters and digits; other line breaks.
 ENDS = (
@@ -158,27 +226,63 @@ ENDS = (
 )
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def lowered(text: Column) -> Column:
+    """ASCII letters in lower case; marks of our own become blanks."""
+    return F.translate(text, UPPER + HARD + SOFT, LOWER + "  ")
+
+
+def has_anchor(text: Column) -> Column:
+    out = F.lit(False)
+    for word in ANCHORS:
+        out = out | text.contains(word)
+    return out
+
+
 def sentence_ids(text: Column, sentences=SENTENCES, variants=VARIANTS) -> Column:
     """Identifiers of a text's known sentences in their order; empty for null.
 
     A sentence reads from one mark to another, over any soft marks between: wrapped lines and the
-    ; and : within a sentence join, and a line or a part before ; or : counts alone as well.  Of
-    the sentences that begin at one mark the longest is taken."""
+    ; and : within a sentence join, and a line or a part before ; or : counts alone as well.  Slots
+    are filled first.  Of the sentences that begin at one mark the longest is taken."""
     ids = {**variants, **{s: i for i, s in enumerate(sentences, 1)}}
     known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    plain = F.translate(text, UPPER + HARD + SOFT, LOWER + "  ")
-    marked = plain
-    for pattern, mark in ENDS:
-        marked = F.regexp_replace(marked, pattern, mark)
-    marked = F.regexp_replace(marked, r"[^a-z0-9\x01\x02]+", " ")
     longest = sorted(ids, key=len, reverse=True)
-    pattern = r"(?:\A|[\x01\x02]) *(" + "|".join(s.replace(" ", r"[ \x02]+") for s in longest) + r")(?= *(?:[\x01\x02]|\z))"
-    hits = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
-    found = F.transform(hits, lambda s: F.try_element_at(known, F.regexp_replace(s, r"[ \x02]+", " ")))
-    anchored = F.lit(False)
-    for word in ANCHORS:
-        anchored = anchored | plain.contains(word)
-    return F.when(anchored, found).otherwise(F.array().cast("array<int>"))
+    pattern = r"(?:\A|[\x01\x02]) *(" + "|".join(map(_spaced, longest)) + r")(?= *(?:[\x01\x02]|\z))"
+
+    def found(plain: Column) -> Column:
+        marked = plain
+        for ends, mark in ENDS:
+            marked = F.regexp_replace(marked, ends, mark)
+        marked = F.regexp_replace(marked, r"[^a-z0-9\x01\x02]+", " ")
+        for slot, filled in SLOTS:
+            marked = F.regexp_replace(marked, slot, re.sub(r"\\(\d)", r"$\1", filled))
+        # parts between hard marks without an anchor hold no known sentence
+        marked = F.array_join(F.filter(F.split(marked, HARD), has_anchor), HARD)
+        hits = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
+        return F.transform(hits, lambda s: F.try_element_at(known, F.regexp_replace(s, r"[ \x02]+", " ")))
+
+    return _once(lowered(text), lambda plain: F.when(has_anchor(plain), found(plain)).otherwise(F.array().cast("array<int>")))
+
+
+def expressed_names(text: Column) -> Column:
+    """Licences of a text's tags, whose expressions may hold several, and of its Creative Commons addresses; null for
+    null.  `with` and what follows it in a part is left aside, as are names that no rule has."""
+    names = F.create_map(*[F.lit(x) for pair in EXPRESSED.items() for x in pair])
+
+    def found(plain: Column) -> Column:
+        parts = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(TAG), F.lit(1)), lambda e: F.split(e, PARTS)))
+        tags = F.transform(parts, lambda p: F.try_element_at(names, F.regexp_extract(p, r"\A[ \t]*([a-z0-9.+-]+)", 1)))
+        places = F.regexp_extract_all(plain, F.lit(COMMONS), F.lit(1))
+        word = lambda p: F.upper(F.regexp_extract(p, r"licenses/([a-z-]+)/", 1))
+        commons = F.transform(places, lambda p: F.when(p.startswith("public"), "CC0-1.0").otherwise(F.concat(F.lit("CC-"), word(p), F.lit("-4.0"))))
+        return F.array_compact(F.concat(tags, commons))
+
+    return _once(lowered(text), lambda plain: F.when(plain.contains("spdx-license-identifier:") | plain.contains("creativecommons.org/"), found(plain)).otherwise(F.array().cast("array<string>")))
 
 
 def license_names(ids: Column, rules=RULES) -> Column:
@@ -201,8 +305,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     One pass without a shuffle, so skew is of no matter.  Null or empty text: no sentences, no
     licences.  Very long texts are read whole.  Equal rows give equal rows; further columns are left
-    aside, also if they are named as those above; an empty table gives an empty result.  A tag
-    counts with one licence; expressions of several are not taken apart."""
-    rows = docs.select("doc_id", sentence_ids(F.col("text")).alias("sentence_ids"))
+    aside, also if they are named as those above; an empty table gives an empty result.  A tag's
+    expression counts with every licence in it, without its exceptions."""
+    ids, names = sentence_ids(F.col("text")), expressed_names(F.col("text"))
+    rows = docs.select("doc_id", ids.alias("sentence_ids"), names.alias("expressed"))
     rows = rows.withColumn("sentence_ids", F.coalesce("sentence_ids", F.array().cast("array<int>")))
-    return rows.withColumn("licenses", license_names(F.col("sentence_ids")))
+    told = F.concat(license_names(F.col("sentence_ids")), F.coalesce("expressed", F.array().cast("array<string>")))
+    return rows.select("doc_id", "sentence_ids", F.array_sort(F.array_distinct(told)).alias("licenses"))

@@ -116,6 +116,9 @@ def _op6_sql() -> str:
             if other != name and longer != mark and longer.startswith(mark):
                 line = f"replace({line}, '{longer}', ',')"
         rules.append(f"CASE WHEN contains({line}, '{mark}') THEN '{name}' END")
+    steps = [f"n{k} AS (SELECT r, regexp_replace(t, '{slot}', '{filled}', 'g') AS t FROM n{k - 1})," for k, (slot, filled) in enumerate(licenses.SLOTS, 1)]
+    slots = "\n".join(steps)
+    names = ", ".join(f"('{old}', '{new}')" for old, new in licenses.EXPRESSED.items())
     return rf"""
 WITH known(sentence, sid) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, translate(text, '{licenses.UPPER}' || chr(1) || chr(2), '{licenses.LOWER}  ') AS t FROM documents),
@@ -123,7 +126,9 @@ a AS (SELECT r, regexp_replace(regexp_replace(t, '\*/|-->', chr(1), 'g'), '\r\n'
 b AS (SELECT r, regexp_replace(t, '[;:]*[.!?][.!?;:]*([ \t\r\n]|\z)', chr(1) || '\1', 'g') AS t FROM a),
 c AS (SELECT r, regexp_replace(t, '[;:]+([ \t\r\n]|\z)', chr(2) || '\1', 'g') AS t FROM b),
 d AS (SELECT r, regexp_replace(regexp_replace(t, '[\r\n][^a-z0-9\x01]*[\r\n]', chr(1), 'g'), '[\r\n]+', chr(2), 'g') AS t FROM c),
-u AS (SELECT r, unnest(string_split(t, chr(1))) AS s, unnest(range(length(t) - length(replace(t, chr(1), '')) + 1)) AS u FROM d),
+n0 AS (SELECT r, regexp_replace(t, '[^a-z0-9\x01\x02]+', ' ', 'g') AS t FROM d),
+{slots}
+u AS (SELECT r, unnest(string_split(t, chr(1))) AS s, unnest(range(length(t) - length(replace(t, chr(1), '')) + 1)) AS u FROM n{len(licenses.SLOTS)}),
 p AS (SELECT r, u, list_transform(string_split(s, chr(2)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS ps FROM u),
 i AS (SELECT r, u, ps, unnest(range(1, len(ps) + 1)) AS i FROM p),
 e AS (SELECT r, u, i, sentence, sid, list_position(list_transform(range(i, len(ps) + 1), lambda j: array_to_string(list_filter(ps[i:j], lambda x: x <> ''), ' ')), sentence) AS k
@@ -131,9 +136,16 @@ e AS (SELECT r, u, i, sentence, sid, list_position(list_transform(range(i, len(p
 f AS (SELECT r, u, i, max_by(sid, length(sentence)) AS sid, max_by(i + k, length(sentence)) AS stop FROM e WHERE k > 0 GROUP BY r, u, i),
 g AS (SELECT *, max(stop) OVER (PARTITION BY r, u ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM f),
 seqs AS (SELECT r, string_agg(sid::VARCHAR, ',' ORDER BY u, i) AS ids FROM g WHERE upto IS NULL OR i >= upto GROUP BY r),
-named AS (SELECT r, array_to_string(list_sort(list_distinct(list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL))), ',') AS names FROM seqs)
+named AS (SELECT r, unnest(list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL)) AS name FROM seqs),
+meant(old, name) AS (VALUES {names}),
+tags AS (SELECT r, unnest(regexp_extract_all(t, '{licenses.TAG}', 1)) AS e FROM docs),
+parts AS (SELECT r, regexp_extract(unnest(string_split_regex(e, '{licenses.PARTS}')), '\A[ \t]*([a-z0-9.+-]+)', 1) AS old FROM tags),
+places AS (SELECT r, unnest(regexp_extract_all(t, '{licenses.COMMONS}', 1)) AS p FROM docs),
+told AS (SELECT r, name FROM named UNION SELECT r, name FROM parts JOIN meant USING (old)
+         UNION SELECT r, CASE WHEN starts_with(p, 'public') THEN 'CC0-1.0' ELSE 'CC-' || upper(regexp_extract(p, 'licenses/([a-z-]+)/', 1)) || '-4.0' END FROM places),
+lists AS (SELECT r, string_agg(name, ',' ORDER BY name) AS names FROM told GROUP BY r)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(names, '') AS licenses
-FROM docs LEFT JOIN seqs USING (r) LEFT JOIN named USING (r)"""
+FROM docs LEFT JOIN seqs USING (r) LEFT JOIN lists USING (r)"""
 
 
 OP3_SQL = """

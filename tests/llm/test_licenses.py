@@ -14,6 +14,7 @@ BSD = [
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
 ]
+GIVEN = 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
 FREE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; {}."
 HOPE = "This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -56,6 +57,16 @@ NOTICES = [
     ([52], "WTFPL", ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."]),
     ([53], "EPL-2.0", ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0;"]),
     ([54], "EUPL-1.2", ["Licensed under the European Union Public Licence, Version 1.2."]),
+    ([13, 14, 15, 55, 16], "BSD-4-Clause", [*BSD[:4], "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.", BSD[4].replace("3.", "4.")]),
+    ([13, 14, 15, 16, 56], "BSD-3-Clause-Clear", [*BSD, "NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE."]),
+    ([13, 14, 15, 57, 34], "LicenseRef-BSD-like", [*BSD[:4], "3. Redistributions of any kind must retain a list of all that was changed, with dates.", GIVEN.format("THE COPYRIGHT HOLDERS AND CONTRIBUTORS")]),
+    ([58], "Apache-2.0", ["Apache License Version 2.0, January 2004"]),
+    ([59], "GPL-3.0-only", ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
+    ([60], "GPL-2.0-only", ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"]),
+    ([61], "LGPL-3.0-only", ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
+    ([62], "AGPL-3.0-only", ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"]),
+    ([63], "LGPL-2.1-only", ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"]),
+    ([64], "MPL-2.0", ["Mozilla Public License Version 2.0"]),
     ([10, 11, 12], "MIT", ["Copyright (c) 2020 A. Person", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", PROVIDED]),
 ]
 
