@@ -168,6 +168,16 @@ both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, both_ways.y FROM reach JOIN both_ways ON reach.b = both_ways.x)
 SELECT n.doc_id, n.n AS n_shingles, c.m AS component_id FROM n JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) AS c ON c.a = n.doc_id"""
 
+OP8_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings),
+v AS (SELECT r, vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM g
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM v AS a JOIN v AS b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.9 * a.size * b.size),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+reach(a, b) AS (SELECT r, r FROM g UNION SELECT reach.a, l.y FROM reach JOIN l ON reach.b = l.x),
+c AS (SELECT a, min(vec_id) AS m FROM reach JOIN g ON g.r = reach.b GROUP BY a)
+SELECT g.vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, coalesce(g.vec_id = c.m, false) AS kept FROM g JOIN c ON c.a = g.r LEFT JOIN n ON n.x = g.r"""
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS b, sha1(h) AS g, max(page_id) OVER (PARTITION BY h) AS last FROM p)
@@ -219,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": OP3_SQL,
         "op5_ngram_jaccard_join": OP5_SQL,
         "op6_license_scan": _op6_sql(),
+        "op8_embedding_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
         "op10_source_mixing": OP10_SQL,
         "op13_chat_formatting": OP13_SQL,

@@ -29,7 +29,7 @@ POOL, DEGREE, ALPHA, FULL_DEGREE = 32, 16, 1.2, 48
 #: Width of the greedy search, and how far below the threshold the range search still expands.
 BEAM, SLACK = 24, 0.05
 #: Queries of each half of the recall audit, the recall below which shards overlap more, the searches
-#: that are tried, and the recall below which the last one is an error.
+#: that are tried, and the recall below which the last one gives way to an exact comparison in blocks.
 AUDIT, WANTED_RECALL, TRIES, LEAST_RECALL = 256, 0.97, 3, 0.9
 
 
@@ -250,6 +250,46 @@ def _split(members: DataFrame, large: DataFrame, threshold: float, overlap: int,
     return dealt, fitted.filter("dense").select("shard")
 
 
+def sizes_of(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _compared(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """RESULT rows of the shards in sizes(shard, size), of any size: all pairs of bounded chunks, exactly.  A task
+    holds two chunks, and returns a row per member."""
+    chunks = F.ceil(F.col("size") / (CAP // 2))
+    rows = members.join(sizes, "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks))
+    sides = F.transform(F.sequence(F.lit(0).cast("long"), (chunks - 1).cast("long")), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
+    rows = rows.withColumn("side", F.explode(sides)).select("shard", "side.i", "side.j", "chunk", "node", "times", "vector", "homes")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        shard, i, j = key
+        x = _unit(list(rows["vector"]))
+        chunk = rows["chunk"].to_numpy()
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        qs, vs = [], []
+        for s in range(0, len(left), 512):
+            part = left[s : s + 512]
+            a, b = np.nonzero(x[part] @ x[right].T >= threshold)
+            qs.append(part[a])
+            vs.append(right[b])
+        qs, vs = np.concatenate(qs or [left]), np.concatenate(vs or [left])
+        keep = qs != vs
+        qs, vs = qs[keep], vs[keep]
+        if i != j:
+            qs, vs = np.r_[qs, vs], np.r_[vs, qs]
+        return _summary(rows["node"].to_numpy(), rows["times"].to_numpy(), _homes(rows["homes"]), shard, x, [(qs, vs)], threshold)
+
+    return rows.groupBy("shard", "i", "j").applyInPandas(compare, RESULT)
+
+
+def _all_compared(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """RESULT rows of classes without any index: the exact way where searches find too little."""
+    members = classes.withColumn("shard", F.lit(0).cast("long")).withColumn("homes", F.array(F.lit(0).cast("long")))
+    sizes = classes.sparkSession.range(1).select(F.lit(0).cast("long").alias("shard"), F.lit(n).cast("long").alias("size"))
+    return materialise(_compared(members, sizes, threshold))
+
+
 def _shards(classes: DataFrame, n: int, threshold: float, overlap: int, below: int, reach: float) -> tuple[DataFrame, DataFrame]:
     """(node, shard) of overlapping shards of at most CAP vectors, and of dense shards of any size.
 
@@ -269,8 +309,7 @@ def _shards(classes: DataFrame, n: int, threshold: float, overlap: int, below: i
     placed = materialise(classes.select("node", F.explode(homes("vector")).alias("shard")))
     done = dense = None
     for _ in range(8):  # 64 centres a level: more than any table needs
-        sizes = materialise(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")))
-        large = sizes.filter(F.col("size") > CAP)
+        large = materialise(sizes_of(placed)).filter(F.col("size") > CAP)
         small = placed.join(large.select("shard"), "shard", "left_anti").select("node", "shard")
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
@@ -281,8 +320,10 @@ def _shards(classes: DataFrame, n: int, threshold: float, overlap: int, below: i
         done = done.unionByName(kept)
         dense = whole if dense is None else dense.unionByName(whole)
         placed = materialise(dealt)
-    else:
-        raise RuntimeError("shards stay above their bound")
+    else:  # what no centres take apart, as vectors of one direction, is compared whole
+        whole = sizes_of(placed).filter(F.col("size") > CAP).select("shard")
+        done = done.unionByName(placed.select("node", "shard"))
+        dense = whole if dense is None else dense.unionByName(whole)
     empty = spark.createDataFrame([], "shard long")
     return done, empty if dense is None else dense
 
@@ -293,7 +334,7 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, below: in
     placed, dense = materialise(placed), materialise(dense)
     homes = placed.groupBy("node").agg(F.collect_list("shard").alias("homes"))  # a few for each
     members = materialise(placed.join(classes.join(homes, "node"), "node"))
-    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes_of(members)
     usual = members.join(dense, "shard", "left_anti")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -316,31 +357,8 @@ def _links(classes: DataFrame, n: int, threshold: float, overlap: int, below: in
 
     found = usual.join(graph, "node", "left").groupBy("shard").applyInPandas(search, RESULT)
 
-    # dense shards, as around one very common vector: all pairs of bounded chunks, exactly
-    large = members.join(sizes.join(dense, "shard", "left_semi"), "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.ceil(F.col("size") / (CAP // 2))))
-    last = (F.ceil(F.col("size") / (CAP // 2)) - 1).cast("long")
-    sides = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    large = large.withColumn("side", F.explode(sides)).select("shard", "side.i", "side.j", "chunk", "node", "times", "vector", "homes")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shard, i, j = key
-        x = _unit(list(rows["vector"]))
-        chunk = rows["chunk"].to_numpy()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        qs, vs = [], []
-        for s in range(0, len(left), 512):
-            part = left[s : s + 512]
-            a, b = np.nonzero(x[part] @ x[right].T >= threshold)
-            qs.append(part[a])
-            vs.append(right[b])
-        qs, vs = np.concatenate(qs or [left]), np.concatenate(vs or [left])
-        keep = qs != vs
-        qs, vs = qs[keep], vs[keep]
-        if i != j:
-            qs, vs = np.r_[qs, vs], np.r_[vs, qs]
-        return _summary(rows["node"].to_numpy(), rows["times"].to_numpy(), _homes(rows["homes"]), shard, x, [(qs, vs)], threshold)
-
-    exact = large.groupBy("shard", "i", "j").applyInPandas(compare, RESULT)
+    # dense shards, as around one very common vector
+    exact = _compared(members, sizes.join(dense, "shard", "left_semi"), threshold)
     return materialise(found.unionByName(exact))
 
 
@@ -386,7 +404,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     row per member, never pairs.  A shard above CAP in which a tenth of all pairs link can't be
     searched for less than it is compared for, so it is compared whole, in chunks.  Each search is
     audited: a bounded set of queries is compared with all rows; below WANTED_RECALL shards overlap
-    more and the search runs again; a last one below LEAST_RECALL is an error.
+    more and the search runs again; where the last one stays below LEAST_RECALL all are compared in blocks.
 
     Null, empty, all-zero vectors and those with null or non-finite components: n_links 0, a
     component of their own.  Vectors of different dimensions don't link.  Equal rows count as
@@ -410,7 +428,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 break
             overlap, below, reach = 2 * overlap, 2 * below, 1.5 * reach
         if recall < LEAST_RECALL:
-            raise RuntimeError(f"the audit found a recall of {recall:.3f} only")
+            links = _all_compared(part, n, threshold)
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = spark.createDataFrame([], RESULT)

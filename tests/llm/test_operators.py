@@ -595,3 +595,24 @@ def test_pipeline(spark, rows, tmp_path):
     assert by.sum().max() <= 2048 and (out.sort_values(["sequence_id", "offset"])["offset"] == by.cumsum() - out.sort_values(["sequence_id", "offset"])["length"]).all()
     whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(whole[["length", "ids_crc32"]].itertuples(index=False)) == sorted(out[["length", "ids_crc32"]].itertuples(index=False))
+
+
+def test_near_vectors_where_searches_find_nothing(spark, vectors, monkeypatch):
+    """Where every search stays below the least recall, the exact comparison gives all links."""
+    monkeypatch.setattr(vectordedup, "CAP", 40)  # several blocks
+    monkeypatch.setattr(vectordedup, "audit_recall", lambda *_: 0.0)
+    monkeypatch.setattr(vectordedup, "TRIES", 1)
+    monkeypatch.setattr(vectordedup, "_links", lambda classes, *_: classes.sparkSession.createDataFrame([], vectordedup.RESULT))
+    got = {r["vec_id"]: r["n_links"] for r in vectordedup.near_vectors(vectors_of(spark, vectors[:-1])).collect()}
+    good = {i: np.array(v, dtype=np.float32).astype(float) for i, v in vectors[:-1] if v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)}
+    for i, x in good.items():
+        assert got[i] == sum(j != i and len(y) == len(x) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9 for j, y in good.items())
+
+
+def test_one_direction(spark, monkeypatch):
+    """Vectors of one direction, which no centres take apart, are compared whole."""
+    monkeypatch.setattr(vectordedup, "CAP", 60)
+    monkeypatch.setattr(vectordedup, "SHARD", 20)
+    rows = [(i, [float(i + 1), 0.0, 0.0]) for i in range(150)] + [(200, [0.0, 1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectordedup.near_vectors(vectors_of(spark, rows)).collect()}
+    assert got == {**{i: (149, 0) for i in range(150)}, 200: (0, 200)}
