@@ -162,12 +162,21 @@ def unsupported(files: DataFrame) -> DataFrame:
     return files.filter(~path.rlike(SUPPORTED) & ~path.rlike(CONFIGURES)).select(F.lit("SOURCE_FILE_UNSUPPORTED").alias("code"), F.lit("warning").alias("severity"), message.alias("message"), "path")
 
 
+#: Paths of pages and handlers below app, and of handlers below pages/api, whatever their case.
+APP_ROUTE = r"(?i)(?:\A|/)app(?:/(.*))?/(route|page)\.[cm]?[jt]sx?\z"
+PAGES_ROUTE = r"(?i)(?:\A|/)pages/api/(.+)\.[cm]?[jt]sx?\z"
+
+
 def next_route(path: Column) -> Column:
-    """Route of a page or handler file by its path; null for other files.  Groups in brackets and
-    slots with @ are no part of it."""
-    app = F.regexp_extract(path, r"(?:\A|/)app/(.*?)/?(?:page|route)\.[jt]sx?\z", 1)
-    parts = F.filter(F.split(app, "/"), lambda s: (s != "") & ~s.rlike(r"\A\(.*\)\z") & ~s.startswith("@"))
-    return F.when(path.rlike(r"(?:\A|/)app/(.*/)?(?:page|route)\.[jt]sx?\z"), F.concat(F.lit("/"), F.array_join(parts, "/")))
+    """Route of a page or handler file by its path, as struct of route, api and page; null for other files.  Groups in
+    brackets and slots with @ are no part of it, nor is a last /index."""
+    parts = F.filter(F.split(F.regexp_extract(path, APP_ROUTE, 1), "/"), lambda s: (s != "") & ~s.rlike(r"\A\(.+\)\z") & ~s.rlike(r"\A@."))
+    app = F.regexp_replace(F.concat(F.lit("/"), F.array_join(parts, "/")), r"/index\z", "")
+    what = F.regexp_extract(path, APP_ROUTE, 2)
+    pages = F.regexp_replace(F.concat(F.lit("/api/"), F.regexp_extract(path, PAGES_ROUTE, 1)), r"/index\z", "")
+    shape = lambda route, api, page: F.struct(route.alias("route"), api.alias("api"), page.alias("page"))
+    in_app = shape(F.when(app == "", "/").otherwise(app), what == "route", what == "page")
+    return F.when(path.rlike(APP_ROUTE), in_app).when(path.rlike(PAGES_ROUTE), shape(pages, F.lit(True), F.lit(False)))
 
 
 def admissible(content: Column) -> Column:

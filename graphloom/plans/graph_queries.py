@@ -65,20 +65,57 @@ def graph_shortest_path(spark, d):
 
 
 RANKED = FX + """, re AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) - 1 AS pos FROM fx_edges), rn AS (SELECT *, row_number() OVER (ORDER BY id || '"') - 1 AS pos FROM fx_nodes),
-tot AS (SELECT (SELECT count(*) FROM fx_edges) AS e, (SELECT count(*) FROM fx_nodes) AS n),
-near AS (SELECT next, pos, row_number() OVER (ORDER BY pos) AS r FROM (SELECT CASE WHEN src = 'file:nation/3' THEN dst ELSE src END AS next, min(pos) AS pos FROM re WHERE pos < 5000 AND src <> dst AND (src = 'file:nation/3' OR dst = 'file:nation/3') GROUP BY 1))"""
+tot AS (SELECT (SELECT count(*) FROM fx_edges) AS e, (SELECT count(*) FROM fx_nodes) AS n)"""
+
+
+def walked(of: str, start: str, depth: int, cost: int, results: int) -> str:
+    """CTEs of a walk in both directions over ranked edges (of) under its budgets, level by level: seen{k} has the nodes
+    met up to level k with the scan and the edge that met each; end{k} what is spent and whether it goes on.  The node
+    of rank r in a level scans the edge at pos as number base + r * edges + pos."""
+    out = [f"""
+hops AS (SELECT src AS from_id, dst AS to_id, pos FROM {of} UNION ALL SELECT dst, src, pos FROM {of} WHERE src <> dst), edges_n AS (SELECT count(*) AS e FROM {of}),
+front0 AS (SELECT '{start}' AS id, 0::BIGINT AS rank), seen0 AS (SELECT '{start}' AS id, -1::BIGINT AS s, 0 AS depth, NULL::BIGINT AS pos),
+end0 AS (SELECT 0::BIGINT AS base, 1::BIGINT AS size, true AS goes, 0::BIGINT AS cost, NULL::VARCHAR AS reason)"""]
+    for k in range(1, depth + 1):
+        out.append(f"""
+met{k} AS (SELECT to_id AS id, min(base + rank * e + pos) AS s, arg_min(pos, base + rank * e + pos) AS pos FROM front{k - 1} JOIN hops ON from_id = id, end{k - 1}, edges_n
+  WHERE goes AND base + rank * e + pos < {cost} AND to_id NOT IN (SELECT id FROM seen{k - 1}) GROUP BY to_id),
+rank{k} AS (SELECT *, row_number() OVER (ORDER BY s) - 1 AS rank FROM met{k}),
+over{k} AS (SELECT min(s) AS s FROM rank{k}, end{k - 1} WHERE rank = {results} - size),
+kept{k} AS (SELECT rank{k}.* FROM rank{k}, end{k - 1} WHERE rank < {results} - size),
+front{k} AS (SELECT id, rank FROM kept{k}), seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT id, s, {k}, pos FROM kept{k}),
+full{k} AS (SELECT end{k - 1}.*, coalesce(over{k}.s + 1, base + (SELECT count(*) FROM front{k - 1}) * e) AS f, over{k}.s IS NOT NULL AS ran_over FROM end{k - 1}, over{k}, edges_n),
+end{k} AS (SELECT f AS base, (SELECT count(*) FROM seen{k}) AS size, goes AND f <= {cost} AND NOT ran_over AND (SELECT count(*) FROM front{k}) > 0 AS goes,
+  CASE WHEN goes THEN least(f, {cost}) ELSE cost END AS cost, CASE WHEN NOT goes THEN reason WHEN f > {cost} THEN 'cost' WHEN ran_over THEN 'results' END AS reason FROM full{k})""")
+    return ",".join(out)
+
+
+#: The whole graph under the default budget: there are more edges than it has scans, but on the smallest tables.
+WHOLE = RANKED + "," + walked("re", "file:nation/3", 4, 10_000, 50)
+#: Kinds of edges between places and what is in them: few enough that a walk gets beyond its first level.
+PLACES = ("contains", "declares", "depends-on")
+PLACE_WALK = FX + """, pe AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) - 1 AS pos FROM fx_edges WHERE kind IN ('contains', 'declares', 'depends-on')),""" + walked("pe", "file:nation/3", 4, 10_000, 500)
+
+
+@query("graph_impact_budget", WHOLE + " SELECT id, depth FROM seen4")
+def graph_impact_budget(spark, d):
+    """An impact over the whole graph under the default budget of scans."""
+    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4)[0].select("id", "depth")
 
 
-@query("graph_impact_budget", RANKED + " SELECT 'file:nation/3' AS id, 0 AS depth UNION ALL SELECT next, 1 FROM near WHERE r < 50")
-def graph_impact_budget(spark, d):
-    """The budget of 5,000 scans is spent at the first node, as there are more edges."""
-    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4, 5_000, 50)[0].select("id", "depth")
+@query("graph_impact_levels", PLACE_WALK + " SELECT seen4.id, seen4.depth, pe.src, pe.dst, pe.kind, end4.cost, end4.reason FROM end4, seen4 LEFT JOIN pe USING (pos)")
+def graph_impact_levels(spark, d):
+    """An impact over places and what is in them: levels, the edge that met each node, cost, and why it stopped, which is
+    within the second level or later."""
+    seen, first, meta = G.budgeted_levels(edges(spark, d).filter(F.col("kind").isin(*PLACES)), FAR, "both", None, 4, max_results=500)
+    out = seen.select("id", "depth", "pos").join(first.select("pos", "src", "dst", "kind"), "pos", "left").drop("pos")
+    return out.withColumn("cost", F.lit(meta["cost"]).cast("long")).withColumn("reason", F.lit(meta["truncationReason"]).cast("string"))
 
 
-@query("impact_tree", RANKED + " SELECT src, dst, kind FROM near JOIN re USING (pos) WHERE r < 50")
+@query("impact_tree", WHOLE + " SELECT src, dst, kind FROM seen4 JOIN re USING (pos)")
 def impact_tree(spark, d):
     """Edges by which a bounded impact met its nodes."""
-    return G.answer_impact(nodes(spark, d), edges(spark, d), FAR, "both", None, 4, 5_000)[1]
+    return G.answer_impact(nodes(spark, d), edges(spark, d), FAR, "both", None, 4)[1]
 
 
 NEAR = """hit AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM re WHERE pos < 10000 AND (src = 'file:nation/3' OR dst = 'file:nation/3') AND kind IN ('contains', 'declares')),
@@ -91,16 +128,16 @@ def neighbor_nodes(spark, d):
     return G.answer_neighbors(nodes(spark, d), edges(spark, d), FAR, "both", ("contains", "declares"), 1, max_results=7)[0].select("id", "kind", "name")
 
 
-@query("query_envelope", RANKED + f""", {NEAR},
+@query("query_envelope", WHOLE + f""", {NEAR},
 sm AS (SELECT pos, row_number() OVER (ORDER BY pos) AS r FROM rn WHERE pos < 10000 AND kind IN ('file', 'symbol') AND contains(lower(concat_ws(chr(0), id, name, kind, path, symbol_kind, method)), 'nation_1')),
 so AS (SELECT min(pos) FILTER (r = 8) AS over, count(*) FILTER (r > 2 AND r <= 7) AS n FROM sm), no AS (SELECT min(pos) FILTER (r = 9) AS over FROM hit),
 xm AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM re WHERE pos < 10000 AND (src = 'file:part/1' OR dst = 'file:part/1')), xo AS (SELECT min(pos) FILTER (r = 51) AS over, count(*) FILTER (r <= 50) AS n FROM xm),
-xe AS (SELECT src AS id FROM xm WHERE r <= 50 UNION SELECT dst FROM xm WHERE r <= 50 UNION SELECT 'file:part/1'), io AS (SELECT count(*) FILTER (r < 50) AS n, min(pos) FILTER (r = 50) AS over FROM near), pt AS (SELECT min_by(dst, pos) AS t, min(pos) AS pos FROM re WHERE src = 'file:part/1' AND dst = (SELECT min(dst) FROM fx_edges WHERE src = 'file:part/1'))
+xe AS (SELECT src AS id FROM xm WHERE r <= 50 UNION SELECT dst FROM xm WHERE r <= 50 UNION SELECT 'file:part/1'), pt AS (SELECT min_by(dst, pos) AS t, min(pos) AS pos FROM re WHERE src = 'file:part/1' AND dst = (SELECT min(dst) FROM fx_edges WHERE src = 'file:part/1'))
 SELECT 'search' AS query, n AS nodes, 0::BIGINT AS edges, NULL::VARCHAR AS path, coalesce(over + 1, least((SELECT n FROM tot), 10000)) AS cost, over IS NOT NULL OR (SELECT n FROM tot) > 10000 AS truncated, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT n FROM tot) > 10000 THEN 'cost' END AS truncation_reason, CASE WHEN over IS NOT NULL THEN 7 END::BIGINT AS next_cursor FROM so
 UNION ALL SELECT 'node', 1, 0, NULL, 1, false, NULL, NULL
 UNION ALL SELECT 'neighbors', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM ends)), (SELECT count(*) FROM page), NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 8 END FROM no
 UNION ALL SELECT 'explain', (SELECT count(*) FROM fx_nodes WHERE id IN (SELECT id FROM xe)), n, NULL, coalesce(over + 1, least((SELECT e FROM tot), 10000)), over IS NOT NULL OR (SELECT e FROM tot) > 10000, CASE WHEN over IS NOT NULL THEN 'results' WHEN (SELECT e FROM tot) > 10000 THEN 'cost' END, CASE WHEN over IS NOT NULL THEN 50 END FROM xo
-UNION ALL SELECT 'impact', n + 1, n, NULL, coalesce(over + 1, 5000), true, CASE WHEN over IS NOT NULL THEN 'results' ELSE 'cost' END, NULL FROM io
+UNION ALL SELECT 'impact', size, size - 1, NULL, cost, reason IS NOT NULL, reason, NULL FROM end4
 UNION ALL SELECT 'shortestPath', 2, 1, 'file:part/1 > ' || t, pos + 1, false, NULL, NULL FROM pt""")
 def query_envelope(spark, d):
     """Envelopes of every kind of query under its budget: counts, path, cost, truncation and next cursor."""
@@ -111,7 +148,7 @@ def query_envelope(spark, d):
         G.answer_node(n, FAR)[-1],
         G.answer_neighbors(n, e, FAR, "both", ("contains", "declares"), 1, max_results=7)[-1],
         G.answer_explain(n, e, START)[-1],
-        G.answer_impact(n, e, FAR, "both", None, 4, 5_000)[-1],
+        G.answer_impact(n, e, FAR, "both", None, 4)[-1],
         G.answer_path(n, e, START, far, "outgoing", None, 4)[-1],
     ]
     rows = out[0]

@@ -11,7 +11,7 @@ from graphloom.operators import resolve as M
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
 from graphloom.sources.fixture import edges, nodes, table
-from graphloom.sources.records import BLOBS, CODE, FILES, KNOWLEDGE
+from graphloom.sources.records import BLOBS, CODE, FILES, KNOWLEDGE, ROUTE_FILES
 from graphloom.streaming import jobs as J
 
 PATHS = FX + ", p AS (SELECT DISTINCT path FROM fx_nodes WHERE path IS NOT NULL)"
@@ -268,10 +268,18 @@ def text_admission(spark, d):
     return table(spark, d, "documents").select("doc_id", E.admissible(F.col("text")).alias("admitted"))
 
 
-@query("next_route_path", """SELECT p_partkey, '/' || lower(p_type) || CASE WHEN p_size % 2 = 0 THEN '/' || p_partkey ELSE '' END AS route FROM part""")
+@query("next_route_path", rf"""
+WITH p AS ({ROUTE_FILES.sql}),
+m AS (SELECT p_partkey, path, regexp_extract(path, '(?i)(?:^|/)app((?:/.*)?)/(?:route|page)\.[cm]?[jt]sx?$', 1) AS below, regexp_extract(path, '(?i)(?:^|/)app(?:/.*)?/(route|page)\.[cm]?[jt]sx?$', 1) AS what,
+             '/api' || nullif(regexp_extract(path, '(?i)(?:^|/)pages/api(/.+)\.[cm]?[jt]sx?$', 1), '') AS pages FROM p),
+s AS (SELECT *, array_to_string(list_filter(string_split(below, '/'), lambda x: NOT (x = '' OR x[1] = '@' AND length(x) > 1 OR x[1] = '(' AND x[-1] = ')' AND length(x) > 2)), '/') AS app FROM m)
+SELECT p_partkey, path, CASE WHEN what <> '' THEN CASE WHEN app = 'index' THEN '/' WHEN suffix(app, '/index') THEN '/' || app[:-7] ELSE '/' || app END
+                             WHEN pages IS NOT NULL THEN CASE WHEN suffix(pages, '/index') THEN pages[:-7] ELSE pages END END AS route,
+       CASE WHEN what <> '' THEN what = 'route' WHEN pages IS NOT NULL THEN true END AS api, CASE WHEN what <> '' THEN what = 'page' WHEN pages IS NOT NULL THEN false END AS page FROM s""")
 def next_route_path(spark, d):
-    path = F.concat(F.lit("src/app/(site)/@main/"), F.lower("p_type"), F.lit("/"), F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_partkey").cast("string"), F.lit("/"))).otherwise(""), F.lit("page.tsx"))
-    return table(spark, d, "part").select("p_partkey", E.next_route(path).alias("route"))
+    """Routes of files by their paths: pages and handlers in all forms, groups, slots, letters of either case."""
+    p = ROUTE_FILES.read(spark, d).withColumn("r", E.next_route(F.col("path")))
+    return p.select("p_partkey", "path", "r.route", "r.api", "r.page")
 
 
 @query("module_probe", """WITH f AS (SELECT p_brand || '/' || p_size || e AS path FROM part, (SELECT unnest(['.ts', '/index.js', '.d.ts']) AS e) WHERE (e = '.ts' AND p_partkey % 2 = 0) OR (e = '/index.js' AND p_partkey % 3 = 0) OR (e = '.d.ts' AND p_partkey % 5 = 0)),

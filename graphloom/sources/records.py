@@ -316,3 +316,33 @@ SPECIFIERS = Records(
     importer=f"p_brand || '/src/' || {_P} || '.ts'",
     specifier=f"CASE p_partkey % 8 WHEN 0 THEN './' || CAST(p_size AS STRING) WHEN 1 THEN '../lib/' || CAST(p_size AS STRING) || '.js' WHEN 2 THEN '@ws/' || {_T1} WHEN 3 THEN '@ws/' || {_T1} || '/none' WHEN 4 THEN '~/' || CAST(p_size AS STRING) WHEN 5 THEN 'lib/' || CAST(p_size AS STRING) WHEN 6 THEN '../../../out' ELSE 'ext-' || {_T1} || '/sub' END",
 )
+
+#: Paths of pages, handlers and other files of an application's folders; NUMBER stands for the part's key.
+ROUTE_FORMS = (
+    "app/page.tsx",
+    "app/route.ts",
+    "src/app/(site)/@main/shop/NUMBER/page.tsx",
+    "App/Shop/Page.TSX",
+    "app/a/route.mts",
+    "app/a/ROUTE.CTS",
+    "app/b/index/page.jsx",
+    "app/index/route.cjs",
+    "app/(a)/(b)/page.mjs",
+    "app/()/@/page.js",
+    "web/app/x/app/y/page.ts",
+    "app/docs/[...slug]/page.tsx",
+    "app/api/users/[id]/route.ts",
+    "pages/api/users/index.ts",
+    "src/pages/api/NUMBER.ts",
+    "pages/api/index.js",
+    "Pages/API/Deep/x.MTS",
+    "pages/api/a.b.test.ts",
+    "pages/about.tsx",
+    "pages/api/readme.md",
+    "myapp/page.tsx",
+    "app/page.tsx.bak",
+    "app/pages/api/v1/page.ts",
+    "app/layout.tsx",
+    "application/route.ts",
+)
+ROUTE_FILES = Records("part", p_partkey="p_partkey", path=texts_of(ROUTE_FORMS, "p_partkey"))
