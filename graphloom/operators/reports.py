@@ -41,6 +41,16 @@ def directory_files(nodes: DataFrame) -> DataFrame:
     return files.groupBy(X.top_directory(F.col("path")).alias("dir")).agg(F.countDistinct("path").alias("files"))
 
 
+def directory_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """dir, files, fan_in, fan_out of every top directory: its files, and the edges between files of different
+    directories that enter and leave it."""
+    flows = directory_flows(nodes, edges, None)
+    side = lambda dir_, i, o: F.struct(F.col(dir_).alias("dir"), (F.col("edges") * i).alias("i"), (F.col("edges") * o).alias("o"))
+    fan = flows.select(F.explode(F.array(side("to_dir", 1, 0), side("from_dir", 0, 1))).alias("f")).groupBy("f.dir").agg(F.sum("f.i").alias("fan_in"), F.sum("f.o").alias("fan_out"))
+    none = F.lit(0).cast("long")
+    return directory_files(nodes).join(fan, "dir", "left").select("dir", "files", F.coalesce("fan_in", none).alias("fan_in"), F.coalesce("fan_out", none).alias("fan_out"))
+
+
 def file_relationships(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """Edges that leave or enter a file, with the node at the far end; outgoing where both hold."""
     own = nodes.filter(F.col("path") == path).select("id")
@@ -72,6 +82,30 @@ def change_impact(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_de
     return levels(edges.filter(~F.col("kind").isin(*STRUCTURE_KINDS)), direct, "incoming", None, max_depth).select("id", "depth")
 
 
+def transitive_impacts(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: int = 4) -> DataFrame:
+    """node_id, kind, name, path, distance, via_edge_kind of the nodes that change_impact reaches beyond the changed
+    files; via_edge_kind is that of the edge by which a queue meets the node first.
+
+    A queue takes nodes in the order in which they came, and each one's edges in theirs.  That order is the order of
+    trails, the lists of steps that led to a node, so a node's first edge is the smallest trail's: one aggregate a
+    level, without numbering a level's nodes."""
+    start = nodes.join(changes.select("path").distinct(), "path", "left_semi").select("id")
+    hops = edges.filter(~F.col("kind").isin(*STRUCTURE_KINDS)).groupBy(F.col("dst").alias("at"), F.col("src").alias("to")).agg(F.min("kind").alias("kind"))
+    hops = written(hops)
+    none = F.lit(None).cast("string")
+    last = written(start.distinct().select("id", F.array("id").alias("trail"), none.alias("via"), F.lit(0).alias("distance")))
+    seen = last
+    for distance in range(1, max_depth + 1):
+        found = hops.join(last.select(F.col("id").alias("at"), "trail"), "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
+        first = found.groupBy("to").agg(F.min(F.struct(F.concat("trail", F.array("to")).alias("trail"), "kind")).alias("b"))
+        last = written(first.select(F.col("to").alias("id"), "b.trail", F.col("b.kind").alias("via"), F.lit(distance).alias("distance")))
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    met = seen.filter("distance > 0").select("id", "distance", F.col("via").alias("via_edge_kind"))
+    return nodes.join(met, "id").select(F.col("id").alias("node_id"), "kind", "name", "path", "distance", "via_edge_kind")
+
+
 def risk_level(score: Column) -> Column:
     return F.when(score >= 70, "critical").when(score >= 45, "high").when(score >= 20, "medium").otherwise("low")
 
@@ -95,6 +129,26 @@ def change_risk(nodes: DataFrame, changes: DataFrame, reached: DataFrame) -> Dat
     return one.withColumn("score", F.least(score, F.lit(100)).cast("long")).withColumn("level", risk_level(F.col("score")))
 
 
+def risk_factors(nodes: DataFrame, changes: DataFrame, reached: DataFrame, order: str = "place") -> DataFrame:
+    """place, title, score, reason of what makes up a change set's risk; scores are capped each, not as a whole.
+    Deleted files are named up to three, in order."""
+    risk = change_risk(nodes, changes, reached)
+    first = changes.filter("status = 'deleted'").orderBy(order, "path").limit(3).agg(F.array_sort(F.collect_list(F.struct(order, "path"))).alias("gone"))
+    row = risk.crossJoin(first)  # one row each
+    said = lambda text, n: F.format_string(text, n)
+    gone = F.array_join(F.col("gone")["path"], ", ")
+    # Titles and reasons.
+    factors = [
+        (F.when(F.col("files") > 15, "Large PR Scope").when(F.col("files") > 5, "Moderate PR Scope"), F.when(F.col("files") > 15, 25).otherwise(15), said("%d files modified in PR", "files")),
+        (F.when(F.col("deletions") > 0, "File Deletions"), F.least(10 * F.col("deletions"), F.lit(30)), F.concat(said("%d file(s) deleted: ", "deletions"), gone)),
+        (F.when(F.col("exports") > 0, "Exported Interface Changes"), F.least(10 * F.col("exports"), F.lit(30)), said("%d exported symbol(s) modified", "exports")),
+        (F.when(F.col("routes") > 0, "API Endpoint Impact"), F.least(15 * F.col("routes"), F.lit(30)), said("%d HTTP route(s) in blast radius", "routes")),
+        (F.when(F.col("transitive") > 20, "High Transitive Blast Radius").when(F.col("transitive") > 5, "Moderate Blast Radius"), F.when(F.col("transitive") > 20, 20).otherwise(10), said("%d dependent graph nodes impacted", "transitive")),
+    ]
+    rows = [F.struct(F.lit(i).alias("place"), title.alias("title"), score.cast("long").alias("score"), reason.alias("reason")) for i, (title, score, reason) in enumerate(factors, 1)]
+    return row.select(F.inline(F.array(*rows))).filter("title IS NOT NULL")
+
+
 def diff_nodes(base: DataFrame, target: DataFrame) -> DataFrame:
     """Nodes of one graph alone, by kind, path and name: change, kind, path, name."""
     key = lambda g: g.select("kind", F.coalesce("path", F.lit("")).alias("path"), "name").distinct()

@@ -100,7 +100,7 @@ PLACE_WALK = FX + """, pe AS (SELECT *, row_number() OVER (ORDER BY src, dst, ki
 @query("graph_impact_budget", WHOLE + " SELECT id, depth FROM seen4")
 def graph_impact_budget(spark, d):
     """An impact over the whole graph under the default budget of scans."""
-    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4)[0].select("id", "depth")
+    return G.budgeted_levels(edges(spark, d), FAR, "both", None, 4, max_results=50)[0].select("id", "depth")
 
 
 @query("graph_impact_levels", PLACE_WALK + " SELECT seen4.id, seen4.depth, pe.src, pe.dst, pe.kind, end4.cost, end4.reason FROM end4, seen4 LEFT JOIN pe USING (pos)")
@@ -169,6 +169,15 @@ def dir_flows(spark, d):
     return R.directory_flows(nodes(spark, d), edges(spark, d))
 
 
+@query("top_directories", FILES + """,
+c AS (SELECT split_part(from_path, '/', 1) AS f, split_part(to_path, '/', 1) AS t FROM fe WHERE split_part(from_path, '/', 1) <> split_part(to_path, '/', 1)),
+n AS (SELECT split_part(path, '/', 1) AS dir, count(DISTINCT path) AS files FROM fx_nodes WHERE path IS NOT NULL GROUP BY 1)
+SELECT dir, files, (SELECT count(*) FROM c WHERE t = dir) AS fan_in, (SELECT count(*) FROM c WHERE f = dir) AS fan_out FROM n""")
+def top_directories(spark, d):
+    """Top directories with their files, and the edges between files that enter and leave each."""
+    return R.directory_summary(nodes(spark, d), edges(spark, d))
+
+
 @query("dir_file_counts", FX + " SELECT split_part(path, '/', 1) AS dir, count(DISTINCT path) AS files FROM fx_nodes WHERE path IS NOT NULL GROUP BY 1")
 def dir_file_counts(spark, d):
     return R.directory_files(nodes(spark, d))
@@ -203,11 +212,11 @@ def changes(spark, d):
     l, p = table(spark, d, "labels"), table(spark, d, "part")
     path = F.concat(F.lit("catalog/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".js"))
     status = F.when(F.col("toxic") == 1, "deleted").when(F.col("quality") == 1, "modified").otherwise("added")
-    return l.join(p, F.col("doc_id") == F.col("p_partkey")).select(path.alias("path"), status.alias("status"))
+    return l.join(p, F.col("doc_id") == F.col("p_partkey")).select(F.col("doc_id").alias("place"), path.alias("path"), status.alias("status"))
 
 
 CHANGES = FX + """,
-ch AS (SELECT 'catalog/' || p_brand || '/' || p_type || '/' || p_partkey || '.js' AS path, CASE WHEN toxic = 1 THEN 'deleted' WHEN quality = 1 THEN 'modified' ELSE 'added' END AS status
+ch AS (SELECT 'catalog/' || p_brand || '/' || p_type || '/' || p_partkey || '.js' AS path, CASE WHEN toxic = 1 THEN 'deleted' WHEN quality = 1 THEN 'modified' ELSE 'added' END AS status, doc_id AS place
        FROM labels JOIN part ON doc_id = p_partkey),
 near AS (SELECT src, dst FROM fx_edges WHERE kind NOT IN ('contains', 'declares')),
 walk(id, depth) AS (SELECT id, 0 FROM fx_nodes WHERE path IN (SELECT path FROM ch) UNION SELECT near.src, depth + 1 FROM walk JOIN near ON near.dst = walk.id WHERE depth < 4),
@@ -231,6 +240,25 @@ def pr_affected(spark, d):
     return R.affected(nodes(spark, d), R.change_impact(nodes(spark, d), edges(spark, d), changes(spark, d)))
 
 
+def first_steps(depth: int) -> str:
+    """CTEs of the nodes that each level of a change set's walk meets first: trail{k} has each node's trail, the list of
+    its steps, whose order is that in which a queue would meet nodes."""
+    out = ["t0 AS (SELECT id, [id] AS trail, NULL::VARCHAR AS via, 0 AS depth FROM fx_nodes WHERE path IN (SELECT path FROM ch))"]
+    near = "(SELECT src, dst, min(kind) AS kind FROM fx_edges WHERE kind NOT IN ('contains', 'declares') GROUP BY src, dst)"
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT id FROM t{j}" for j in range(k))
+        out.append(f"""c{k} AS (SELECT src AS id, list_append(trail, src) AS trail, e.kind AS via FROM t{k - 1} JOIN {near} AS e ON e.dst = t{k - 1}.id WHERE src NOT IN ({before})),
+t{k} AS (SELECT id, min(trail) AS trail, arg_min(via, trail) AS via, {k} AS depth FROM c{k} GROUP BY id)""")
+    return ",\n".join(out)
+
+
+@query("pr_transitive_impacts", CHANGES + "," + first_steps(4) + """
+SELECT id AS node_id, kind, name, path, t.depth AS distance, via AS via_edge_kind FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4) AS t JOIN fx_nodes USING (id)""")
+def pr_transitive_impacts(spark, d):
+    """Nodes that a change set reaches, with the kind of the edge by which each is met first."""
+    return R.transitive_impacts(nodes(spark, d), edges(spark, d), changes(spark, d))
+
+
 RISK = CHANGES + """,
 a AS (SELECT count(*) FILTER (depth = 0 AND kind = 'symbol' AND coalesce(exported, false)) AS exports, count(*) FILTER (kind = 'route') AS routes, count(*) FILTER (depth > 0) AS transitive FROM reached JOIN fx_nodes USING (id)),
 f AS (SELECT count(*) AS files, count(*) FILTER (status = 'deleted') AS deletions FROM ch),
@@ -244,6 +272,20 @@ def pr_summary(spark, d):
     return R.change_summary(n, c, R.change_impact(n, edges(spark, d), c))
 
 
+@query("pr_risk_factors", RISK + """,
+gone AS (SELECT string_agg(path, ', ' ORDER BY place, path) AS paths FROM (SELECT * FROM ch WHERE status = 'deleted' ORDER BY place, path LIMIT 3)),
+x AS (SELECT 1 AS place, CASE WHEN files > 15 THEN 'Large PR Scope' WHEN files > 5 THEN 'Moderate PR Scope' END AS title, CASE WHEN files > 15 THEN 25 ELSE 15 END AS score, files || ' files modified in PR' AS reason FROM rs
+UNION ALL SELECT 2, CASE WHEN deletions > 0 THEN 'File Deletions' END, least(10 * deletions, 30), deletions || ' file(s) deleted: ' || paths FROM rs, gone
+UNION ALL SELECT 3, CASE WHEN exports > 0 THEN 'Exported Interface Changes' END, least(10 * exports, 30), exports || ' exported symbol(s) modified' FROM rs
+UNION ALL SELECT 4, CASE WHEN routes > 0 THEN 'API Endpoint Impact' END, least(15 * routes, 30), routes || ' HTTP route(s) in blast radius' FROM rs
+UNION ALL SELECT 5, CASE WHEN transitive > 20 THEN 'High Transitive Blast Radius' WHEN transitive > 5 THEN 'Moderate Blast Radius' END, CASE WHEN transitive > 20 THEN 20 ELSE 10 END, transitive || ' dependent graph nodes impacted' FROM rs)
+SELECT place, title, score::BIGINT AS score, reason FROM x WHERE title IS NOT NULL""")
+def pr_risk_factors(spark, d):
+    """What makes up a change set's risk, each with its score and reason."""
+    c = changes(spark, d)
+    return R.risk_factors(nodes(spark, d), c, R.change_impact(nodes(spark, d), edges(spark, d), c))
+
+
 @query("pr_risk", RISK + " SELECT * FROM rs")
 def pr_risk(spark, d):
     c = changes(spark, d)
