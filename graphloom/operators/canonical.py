@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranks import first_n
+
 
 def stable_json(**fields: Column) -> Column:
     """JSON with keys in order and without nulls; whole numbers have no fraction."""
@@ -78,11 +80,12 @@ def unique_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def capped(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, max_diagnostics: int = 10_000, diagnostics: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A graph cut to its limits in canonical order: nodes, edges whose ends both stayed, and diagnostics, of which
     one more says that the graph was cut."""
-    n = nodes.orderBy(F.concat("id", F.lit('"'))).limit(max_nodes)
+    n = first_n(nodes, [F.concat("id", F.lit('"'))], max_nodes)
     ends = n.select("id")
-    e = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").orderBy("src", "dst", "kind").limit(max_edges)
+    e = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = first_n(e, [F.col("src"), F.col("dst"), F.col("kind")], max_edges)
     cut = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(edges.agg(F.count(F.lit(1)).alias("e"))).filter((F.col("n") > max_nodes) | (F.col("e") > max_edges))
     said = cut.select(F.lit("GRAPH_TRUNCATED").alias("code"), F.lit("warning").alias("severity"))
     if diagnostics is not None:
-        said = diagnostics.select("code", "severity").orderBy("code", "severity").limit(max_diagnostics - 1).unionByName(said)
+        said = first_n(diagnostics.select("code", "severity"), [F.col("code"), F.col("severity")], max_diagnostics - 1).unionByName(said)
     return n, e, said

@@ -83,7 +83,7 @@ def html_document(nodes: DataFrame, edges: DataFrame, repository: str, commit: s
 
 
 def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The canonical graph as JSON, a node or an edge on a line, in order of their JSON."""
+    """The canonical graph as JSON, a node or an edge on a line, in order of their JSON, each once."""
 
     def listed(rows: DataFrame, section: int) -> DataFrame:
         last = rows.agg(F.max("json").alias("last"))
@@ -92,7 +92,7 @@ def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     e = K.stable_json(**{"from": F.col("src"), "to": F.col("dst"), "kind": F.col("kind")})
     marks = [(0, 0, '{"nodes":['), (2, 0, '],"edges":['), (4, 0, "]}")]
-    return _fixed(nodes, marks).unionByName(listed(K.canonical_nodes(nodes).select("json"), 1)).unionByName(listed(edges.select(e.alias("json")), 3))
+    return _fixed(nodes, marks).unionByName(listed(K.canonical_nodes(nodes).select("json").distinct(), 1)).unionByName(listed(edges.select(e.alias("json")).distinct(), 3))
 
 
 def export(nodes: DataFrame, edges: DataFrame, format: str, analysis: str, **about) -> tuple[DataFrame, str, str]:

@@ -153,6 +153,18 @@ def resolve_names(uses: DataFrame, imports: DataFrame, symbols: DataFrame) -> Da
     return uses.join(own, ["path", "name"], "left").join(far, ["path", "name"], "left").select("path", "name", F.coalesce("own", "far").alias("id"))
 
 
+def resolve_members(uses: DataFrame, namespaces: DataFrame, symbols: DataFrame) -> DataFrame:
+    """uses(path, qualifier, name) of names behind a namespace, as in `api.load`, to symbols: path, qualifier, name, id.
+
+    namespaces(path, name, target) are the imports that give a file a namespace of everything in another; of several
+    of one name the last target counts.  The member is the target's first symbol(path, name, id, place, parent) of that
+    name that isn't part of another; null where there is none, or no such namespace."""
+    first = symbols.filter("parent IS NULL").groupBy("path", "name").agg(F.min_by("id", "place").alias("id"))
+    at = namespaces.groupBy("path", F.col("name").alias("qualifier")).agg(F.max("target").alias("target"))
+    members = uses.join(at, ["path", "qualifier"], "left").join(first.withColumnRenamed("path", "target"), ["target", "name"], "left")
+    return members.select("path", "qualifier", "name", "id")
+
+
 def dispatch(files: DataFrame, parsers: dict[str, str]) -> str:
     """Id of the one parser, of id to the pattern of paths it reads, that reads any of files(path); the only one even
     if it reads none.  None or several are errors."""

@@ -288,6 +288,23 @@ def resolve_names(spark, d):
     return M.resolve_names(uses, imports, symbols)
 
 
+@query("resolve_members", """
+WITH s AS (SELECT p_brand AS path, p_type AS name, min(p_partkey) FILTER (p_size % 3 <> 0) AS id FROM part GROUP BY 1, 2),
+u AS (SELECT DISTINCT n_nationkey AS n, p_type AS name FROM nation, part)
+SELECT n::VARCHAR AS path, 'brand' AS qualifier, u.name, s.id::VARCHAR AS id FROM u LEFT JOIN s ON n % 3 <> 0 AND s.path = 'Brand#' || (11 + n % 5) AND s.name = u.name""")
+def resolve_members(spark, d):
+    """Members of a namespace that nations' files use; a third has no such namespace, and parts of other symbols are no
+    members."""
+    p, n = table(spark, d, "part"), table(spark, d, "nation")
+    parent = F.when(F.col("p_size") % 3 == 0, "other")
+    symbols = p.select(F.col("p_brand").alias("path"), F.col("p_type").alias("name"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("place"), parent.alias("parent"))
+    names = p.select(F.col("p_type").alias("name")).distinct().withColumn("one", F.lit(1))
+    files = n.select(F.col("n_nationkey").cast("string").alias("path"), F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 5 + 11).cast("string")).alias("target"), F.lit(1).alias("one"))
+    uses = files.join(names, "one").select("path", F.lit("brand").alias("qualifier"), "name")  # 25 files by the few types
+    namespaces = files.filter("cast(path AS int) % 3 <> 0").select("path", F.lit("brand").alias("name"), "target")
+    return M.resolve_members(uses, namespaces, symbols)
+
+
 # --- jobs ------------------------------------------------------------------------------------
 
 #: Deliveries in each job's order folded one by one; what: what each came to, given the state before it.

@@ -8,6 +8,7 @@ from graphloom.functions import text as X
 from graphloom.operators import extract as E
 from graphloom.operators import reports as R
 from graphloom.operators import resolve as M
+from graphloom.operators import tree as T
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
 from graphloom.sources.fixture import edges, nodes, table
@@ -62,6 +63,25 @@ def tree_rollup(spark, d):
     return folders.filter("folder <> ''").groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("ordered_tree", PATHS + """,
+x AS (SELECT DISTINCT string_split(path, '/') AS s FROM p),
+y AS (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM x),
+t AS (SELECT DISTINCT s[1:n] AS s, n = len(s) AS is_file FROM y),
+k AS (SELECT array_to_string(s, '/') AS path, s[-1] AS name, CASE WHEN is_file THEN 'file' ELSE 'folder' END AS kind, len(s) AS depth,
+             list_append(list_transform(s[1:len(s) - 1], lambda v: '0' || v), CASE WHEN is_file THEN '1' ELSE '0' END || s[-1]) AS key FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS place FROM k),
+inside AS (SELECT array_to_string(s[1:m], '/') AS path, count(*) FILTER (is_file) AS files, count(*) AS nodes FROM (SELECT s, is_file, unnest(range(1, len(s))) AS m FROM t) GROUP BY 1)
+SELECT r.path, name, kind, depth::INTEGER AS depth, CASE WHEN kind = 'file' THEN 1 ELSE files END AS files, place, place + coalesce(nodes, 0) AS last FROM r LEFT JOIN inside ON inside.path = r.path AND kind = 'folder'""")
+def ordered_tree(spark, d):
+    """The tree as it is shown: folders first, each before what is in it, with counts and the places of what is in it."""
+    return T.ordered_tree(paths(spark, d)).select("path", "name", "kind", "depth", "files", "place", "last")
+
+
+@query("tree_match_count", PATHS + " SELECT count(*) FILTER (contains(lower(path), 'brass')) AS matches, count(*) AS files FROM p")
+def tree_match_count(spark, d):
+    return T.matches(paths(spark, d), "Brass")
+
+
 @query("path_neighbors", PATHS + " SELECT path FROM p WHERE (split_part(path, '/', 1) = 'orders' OR split_part(split_part(path, '/', -1), '.', 1) = '1995') AND path <> 'orders/1995.ts' ORDER BY path LIMIT 20")
 def path_neighbors(spark, d):
     return M.path_neighbors(paths(spark, d), "orders/1995.ts")
