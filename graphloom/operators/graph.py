@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.order import order_key
 from graphloom.functions.text import NUL
 from graphloom.schema import MAX_COST, MAX_RESULTS
 from graphloom.sources.shared import shared_folder, written
 
 
-def search(nodes: DataFrame, text: str, kinds=None, cursor: int = 0, max_results: int | None = None) -> DataFrame:
-    """Nodes whose id, name, kind, path or details hold the text, whatever its case, in id order,
-    from the match after `cursor`.  Ranking touches only the matches."""
+def search(nodes: DataFrame, text: str, kinds=None, cursor: int = 0, max_results: int | None = None, mode: str = "binary") -> DataFrame:
+    """Nodes whose id, name, kind, path or details hold the text, whatever its case, in id order (by code point or as
+    a locale has it), from the match after `cursor`.  Ranking touches only the matches."""
     hay = F.lower(F.concat_ws(NUL, "id", "name", "kind", "path", "symbol_kind", "method"))
     found = nodes.filter(F.col("kind").isin(list(kinds)) if kinds else F.lit(True)).filter(hay.contains(text.lower()))
-    return page(found, [F.col("id")], cursor, max_results)
+    return page(found, order_key("id", mode=mode), cursor, max_results)
 
 
 def page(rows: DataFrame, order: list[Column], cursor: int, size: int | None) -> DataFrame:
@@ -30,12 +31,12 @@ def permits(node_id: Column, direction: str) -> Column:
     return {"outgoing": out, "incoming": into, "both": out | into}[direction]
 
 
-def neighbors(edges: DataFrame, node_id: str, direction: str = "both", kinds=None, cursor: int = 0, max_results: int | None = None) -> DataFrame:
-    """Edges at a node in key order, paged; other is the far end."""
+def neighbors(edges: DataFrame, node_id: str, direction: str = "both", kinds=None, cursor: int = 0, max_results: int | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Edges at a node, paged; other is the far end.  order: as edge_order() gives it, else ends and kind."""
     at = edges.filter(permits(F.lit(node_id), direction))
     at = at.filter(F.col("kind").isin(list(kinds))) if kinds else at
     other = F.when(F.col("src") == node_id, F.col("dst")).otherwise(F.col("src"))
-    return page(at.withColumn("other", other), [F.col("src"), F.col("dst"), F.col("kind")], cursor, max_results)
+    return page(at.withColumn("other", other), order or [F.col("src"), F.col("dst"), F.col("kind")], cursor, max_results)
 
 
 def steps(edges: DataFrame, direction: str, kinds=None) -> DataFrame:
@@ -99,7 +100,7 @@ def ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 EDGE_ORDER = ("src", "dst", "kind")
 
 
-def budgeted_levels(edges: DataFrame, source: str, direction: str, kinds, max_depth: int, max_cost: int = MAX_COST[0], max_results: int | None = None, target: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+def budgeted_levels(edges: DataFrame, source: str, direction: str, kinds, max_depth: int, max_cost: int = MAX_COST[0], max_results: int | None = None, target: str | None = None, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Breadth-first levels under a budget of scans, with joins: every node in turn looks at all edges in their
     order, at a cost of 1 each, and a node counts if it is met before the cost is spent.
 
@@ -109,7 +110,7 @@ def budgeted_levels(edges: DataFrame, source: str, direction: str, kinds, max_de
     edges, and the outcome."""
     spark = edges.sparkSession
     total = edges.count()
-    first = written(ranked(edges, [F.col(c) for c in EDGE_ORDER], max_cost))
+    first = written(ranked(edges, order or [F.col(c) for c in EDGE_ORDER], max_cost))
     e = first.filter(F.col("kind").isin(list(kinds))) if kinds else first
     out = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "pos")
     back = e.filter("src <> dst" if direction == "both" else "true").select(F.col("dst").alias("at"), F.col("src").alias("to"), "pos")
@@ -186,11 +187,11 @@ def answer_node(nodes: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:
     return found, _envelope(nodes.sparkSession, "node", found.count(), 0, None, {"cost": 1, "truncated": False, "truncationReason": None})
 
 
-def answer_neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", kinds=None, cursor: int = 0, max_cost: int = MAX_COST[0], max_results: int = MAX_RESULTS[0], name: str = "neighbors") -> tuple[DataFrame, DataFrame, DataFrame]:
+def answer_neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", kinds=None, cursor: int = 0, max_cost: int = MAX_COST[0], max_results: int = MAX_RESULTS[0], name: str = "neighbors", order: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and envelope: a page of the edges at a node in their order, and the nodes at their ends with
     the node itself.  An unknown node has none of either."""
     hit = permits(F.lit(node_id), direction) & (F.col("kind").isin(list(kinds)) if kinds else F.lit(True))
-    found, meta, following = _scanned(edges, [F.col(c) for c in EDGE_ORDER], hit, cursor, max_cost, max_results)
+    found, meta, following = _scanned(edges, order or [F.col(c) for c in EDGE_ORDER], hit, cursor, max_cost, max_results)
     ids = found.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(edges.sparkSession.createDataFrame([(node_id,)], "id string")).distinct()
     ends = nodes.join(F.broadcast(ids), "id", "left_semi")  # at most twice the results and one
     return ends, found, _envelope(edges.sparkSession, name, ends.count(), found.count(), None, meta, following)
@@ -205,12 +206,12 @@ def _known(nodes: DataFrame, ids: list[str]) -> bool:
     return nodes.filter(F.col("id").isin(ids)).select("id").distinct().count() == len(set(ids))
 
 
-def answer_impact(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", kinds=None, max_depth: int = 8, max_cost: int = MAX_COST[0], max_results: int = MAX_RESULTS[0]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def answer_impact(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", kinds=None, max_depth: int = 8, max_cost: int = MAX_COST[0], max_results: int = MAX_RESULTS[0], order: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes met from a node with itself, the edges that led to each, and the envelope."""
     spark = nodes.sparkSession
     if not _known(nodes, [node_id]):
         return nodes.limit(0), edges.limit(0), _envelope(spark, "impact", 0, 0, None, {"cost": 1, "truncated": False, "truncationReason": None})
-    seen, first, meta = budgeted_levels(edges, node_id, direction, kinds, max_depth, max_cost, max_results)
+    seen, first, meta = budgeted_levels(edges, node_id, direction, kinds, max_depth, max_cost, max_results, order=order)
     tree = first.join(F.broadcast(seen.filter("pos IS NOT NULL").select("pos", "s")), "pos").orderBy("s").select(*EDGE_ORDER)
     met = nodes.join(F.broadcast(seen.select("id")), "id", "left_semi")
     return met, tree, _envelope(spark, "impact", met.count(), tree.count(), None, meta)

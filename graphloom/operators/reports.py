@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.order import order_key
 from graphloom.operators.graph import levels
+from graphloom.operators.ranks import RankIndex
 from graphloom.schema import IMPACT_KINDS, STRUCTURE_KINDS
 from graphloom.sources.shared import written
 
@@ -61,6 +63,36 @@ def file_relationships(nodes: DataFrame, edges: DataFrame, path: str) -> DataFra
     return out.unionByName(into).join(far, "other").select("direction", "kind", "other", "other_name", "other_path").distinct()
 
 
+def file_details(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "binary") -> DataFrame:
+    """What a file's page shows, in order: place, what (symbol, route or relationship), id, kind, direction, name, path,
+    line.  edges: id, src, dst, kind, line (of the first evidence).
+
+    A relationship is an edge between the file's nodes and others, outgoing where both ends are the file's; repeated
+    edges stay, each with its id.  Symbols and routes come in id order, relationships by direction, kind, path, name and
+    id."""
+    own = nodes.filter(F.col("path") == path)
+    ids = F.broadcast(own.select("id", F.lit(True).alias("own"))) if own.limit(OWN_NODES + 1).count() <= OWN_NODES else own.select("id", F.lit(True).alias("own"))
+    e = edges.filter(~F.col("kind").isin(*STRUCTURE_KINDS))
+    e = e.join(ids.select(F.col("id").alias("src"), F.col("own").alias("leaves")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.col("own").alias("enters")), "dst", "left")
+    e = e.filter(F.coalesce("leaves", F.lit(False)) != F.coalesce("enters", F.lit(False)))
+    out = F.col("leaves").isNotNull()
+    e = e.select(F.lit("relationship").alias("what"), "id", "kind", F.when(out, "outgoing").otherwise("incoming").alias("direction"), F.when(out, F.col("dst")).otherwise(F.col("src")).alias("other"), "line")
+    far = nodes.select(F.col("id").alias("other"), "name", "path")
+    related = e.join(far, "other").select("what", "id", "kind", "direction", "name", "path", "line")
+    none = F.lit(None)
+    shown = own.filter(F.col("kind").isin("symbol", "route")).select(F.col("kind").alias("what"), "id", "kind", none.cast("string").alias("direction"), "name", "path", none.cast("int").alias("line"))
+    rows = shown.unionByName(related)
+    first = F.when(F.col("what") == "symbol", 0).when(F.col("what") == "route", 1).otherwise(2)
+    keys = order_key("direction", "kind", "path", "name", "id", mode=mode)
+    key = [F.when(first == 2, k) for k in keys]
+    order = [first, *key, *order_key("id", mode=mode)]
+    return RankIndex(rows, order).page().withColumn("place", F.col("pos") + 1).drop("pos")
+
+
+#: Nodes of one file that are sent to every task; a file with more is joined.
+OWN_NODES = 10_000
+
+
 def impacted_files(nodes: DataFrame, edges: DataFrame, path: str, max_depth: int = 3, max_results: int | None = 50) -> DataFrame:
     """Files that reach a file over impact edges: path, depth and the kinds of the edges into the level before;
     the first max_results by depth and path."""

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.order import order_key
 from graphloom.operators import contracts as C
 from graphloom.operators import graph as G
 from graphloom.operators import reports as R
+from graphloom.operators.ranks import RankIndex
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
 from graphloom.sources.fixture import edges, ident, nodes, table
+from graphloom.sources.records import LINES
 
 #: File edges in SQL, as several checks need them.
 FILES = FX + """,
@@ -191,6 +194,34 @@ def file_relationships(spark, d):
     return R.file_relationships(nodes(spark, d), edges(spark, d), "geo/EUROPE/NATION_3.ts")
 
 
+DETAILED = f"""SELECT edge_id AS id, src, dst, kind, start_line AS line FROM ({LINES.sql})"""
+
+
+@query("file_details", FX + f""", e AS ({DETAILED}), own AS (SELECT id FROM fx_nodes WHERE path = 'orders/1995.ts'),
+r AS (SELECT 'relationship' AS what, id, kind, CASE WHEN src IN (SELECT id FROM own) THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN src IN (SELECT id FROM own) THEN dst ELSE src END AS other, line
+      FROM e WHERE kind NOT IN ('contains', 'declares') AND (src IN (SELECT id FROM own)) <> (dst IN (SELECT id FROM own))),
+x AS (SELECT what, r.id, r.kind, direction, name, path, line FROM r JOIN fx_nodes AS n ON n.id = other
+      UNION ALL SELECT kind, id, kind, NULL, name, path, NULL FROM fx_nodes WHERE path = 'orders/1995.ts' AND kind IN ('symbol', 'route'))
+SELECT row_number() OVER (ORDER BY CASE what WHEN 'symbol' THEN 0 WHEN 'route' THEN 1 ELSE 2 END, CASE WHEN what = 'relationship' THEN concat_ws(chr(0), direction, kind, coalesce(path, ''), name, id) END NULLS FIRST, id) AS place,
+       what, id, kind, direction, name, path, line FROM x""")
+def file_details(spark, d):
+    """Symbols, routes and relationships of a file, each edge with its id and first line."""
+    e = LINES.read(spark, d).select(F.col("edge_id").alias("id"), "src", "dst", "kind", F.col("start_line").alias("line"))
+    return R.file_details(nodes(spark, d), e, "orders/1995.ts")
+
+
+@query("locale_order", """
+WITH t AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name[1]) || p_name[2:] ELSE p_name END || ' ' || (p_partkey % 3) AS name FROM part)
+SELECT p_partkey, row_number() OVER (ORDER BY lower(name), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'), p_partkey) - 1 AS place FROM t""")
+def locale_order(spark, d):
+    """Names in a dictionary's order, capitals beside small letters; places by ranges."""
+    big = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, big).otherwise(F.col("p_name")), F.lit(" "), (F.col("p_partkey") % 3).cast("string"))
+    rows = table(spark, d, "part").select("p_partkey", name.alias("name"))
+    index = RankIndex(rows, [*order_key("name", mode="locale"), F.col("p_partkey")])
+    return index.page().select("p_partkey", F.col("pos").alias("place"))
+
+
 @query("related_nodes", FX + " SELECT id, kind, name FROM fx_nodes WHERE path = 'geo/EUROPE/NATION_3.ts'")
 def related_nodes(spark, d):
     return nodes(spark, d).filter(F.col("path") == "geo/EUROPE/NATION_3.ts").select("id", "kind", "name")

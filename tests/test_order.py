@@ -111,3 +111,39 @@ def test_members_of_namespaces(spark):
     uses = spark.createDataFrame([("a", "ns", "f"), ("a", "ns", "g"), ("a", "no", "f"), ("b", "ns", "f"), ("c", "ns", "f")], "path string, qualifier string, name string")
     got = {(r["path"], r["qualifier"], r["name"]): r["id"] for r in M.resolve_members(uses, spaces, symbols).collect()}
     assert got == {("a", "ns", "f"): "1", ("a", "ns", "g"): None, ("a", "no", "f"): None, ("b", "ns", "f"): "9", ("c", "ns", "f"): None}
+
+
+def test_orders_of_text(spark):
+    from graphloom.functions.order import edge_order, order_key
+
+    rows = spark.createDataFrame([(x,) for x in ["_z", "-a", ".a", "a", "A", "b", "B", "á", "a b", "ab", "1", "10", "2"]], "x string").repartition(3)
+    told = lambda mode: [r["x"] for r in rows.orderBy(*order_key("x", mode=mode)).collect()]
+    assert told("binary") == sorted(r["x"] for r in rows.collect())
+    assert told("locale") == ["_z", "-a", ".a", "1", "10", "2", "a", "A", "á", "a b", "ab", "b", "B"]
+    edges = spark.createDataFrame([("e2", "a", "b"), ("E1", "z", "b"), ("e10", "b", "b"), (None, "e1", "c")], "id string, src string, dst string").withColumn("kind", F.lit("calls"))
+    by = lambda mode, e=edges: [r["src"] for r in e.orderBy(*edge_order(e, mode)).collect()]
+    assert by("binary") == ["z", "e1", "b", "a"] and by("locale") == ["z", "b", "e1", "a"]
+    assert by("binary", edges.drop("id")) == ["a", "b", "e1", "z"]
+
+
+def test_pages_and_budgets_in_other_orders(spark):
+    from graphloom.functions.order import edge_order
+    from graphloom.operators import graph as G
+
+    edges = spark.createDataFrame([("e2", "a", "x"), ("E1", "b", "x"), ("e1", "c", "x"), ("e3", "x", "d")], "id string, src string, dst string").withColumn("kind", F.lit("calls"))
+    page = lambda **k: [r["id"] for r in G.neighbors(edges, "x", **k).collect()]
+    assert page() == ["e2", "E1", "e1", "e3"] and page(order=edge_order(edges, "locale"), cursor=1, max_results=2) == ["E1", "e2"]
+    met = lambda **k: {r["id"] for r in G.budgeted_levels(edges, "x", "both", None, 1, max_cost=2, **k)[0].collect()}
+    assert met() == {"x", "a", "b"} and met(order=edge_order(edges, "locale")) == {"x", "b", "c"}
+
+
+def test_file_details(spark):
+    nodes = spark.createDataFrame([("s", "symbol", "S", "f"), ("r", "route", "R", "f"), ("t", "symbol", "T", "g"), ("p", "package", "P", None)], "id string, kind string, name string, path string")
+    edges = spark.createDataFrame(
+        [("e1", "s", "t", "calls", 3), ("e2", "s", "t", "calls", 4), ("e3", "t", "r", "tests", None), ("e4", "s", "r", "calls", 1), ("e5", "t", "s", "declares", 1), ("e6", "r", "p", "imports", 9), ("e7", "s", "gone", "calls", 1)],
+        "id string, src string, dst string, kind string, line int",
+    )
+    got = [tuple(r[c] for c in ("what", "id", "direction", "name", "line")) for r in reports.file_details(nodes, edges, "f").orderBy("place").collect()]
+    want = [("symbol", "s", None, "S", None), ("route", "r", None, "R", None), ("relationship", "e3", "incoming", "T", None), ("relationship", "e1", "outgoing", "T", 3), ("relationship", "e2", "outgoing", "T", 4), ("relationship", "e6", "outgoing", "P", 9)]
+    assert got == want
+    assert reports.file_details(nodes, edges, "none").count() == 0
