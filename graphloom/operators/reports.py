@@ -272,6 +272,19 @@ def health(total_files: Column, syntax: Column, unresolved: Column, skipped: Col
     return F.when(syntax == 0, 40).otherwise(0) + F.when(ratio < 0.05, 30).otherwise(0) + F.when(skipped == 0, 20).otherwise(0) + F.when(~truncated, 10).otherwise(0)
 
 
+def graph_health(coverage: DataFrame, diagnostics: DataFrame, key: str) -> DataFrame:
+    """Of each graph in coverage(key, total_files, analyzed_files, truncated): its diagnostics by class, the files that
+    were skipped, and its health score.  diagnostics(key, code) of graphs without coverage are left aside; a graph without
+    diagnostics has none of any class."""
+    counts = diagnostic_counts(diagnostics, key)
+    none = F.lit(0).cast("long")
+    out = coverage.join(counts, key, "left")
+    n = {c: F.coalesce(c, none) for c in ("syntax", "unresolved", "unsupported")}
+    skipped = F.col("total_files") - F.col("analyzed_files")
+    score = health(F.col("total_files"), n["syntax"], n["unresolved"], skipped, F.col("truncated"))
+    return out.select(key, *[c.alias(name) for name, c in n.items()], "total_files", "analyzed_files", skipped.alias("skipped_files"), "truncated", score.cast("int").alias("score"))
+
+
 #: Words of questions that don't count.
 STOP_WORDS = ("and", "are", "does", "from", "how", "repository", "the", "this", "what", "where", "which", "with")
 ABOUT_ROUTES = r"(?i)\b(api|endpoint|request|route)\b"

@@ -9,11 +9,13 @@ from graphloom.functions.order import order_key
 from graphloom.operators import contracts as C
 from graphloom.operators import graph as G
 from graphloom.operators import reports as R
+from graphloom.operators.extract import SUPPORTED
 from graphloom.operators.ranks import RankIndex
 from graphloom.plans.registry import query
 from graphloom.sources.fixture import SQL as FX
 from graphloom.sources.fixture import edges, ident, nodes, table
-from graphloom.sources.records import LINES
+from graphloom.sources.records import FILES as FILES_OF
+from graphloom.sources.records import LINES, REPOSITORY_DIAGNOSTICS
 
 #: File edges in SQL, as several checks need them.
 FILES = FX + """,
@@ -474,10 +476,13 @@ def identity_hash(spark, d):
     return nodes(spark, d).select("id", X.identity("node:", F.col("kind"), F.col("name"), F.col("path")).alias("hashed"))
 
 
-@query("health_score", FX + """, c AS (SELECT split_part(path, '/', 1) AS dir, count(DISTINCT path) AS files FROM fx_nodes WHERE path IS NOT NULL GROUP BY 1),
-x AS (SELECT dir, files, files % 2 AS syntax, files % 3 AS unresolved, files % 5 AS skipped FROM c)
-SELECT dir, (CASE WHEN syntax = 0 THEN 40 ELSE 0 END + CASE WHEN unresolved / files < 0.05 THEN 30 ELSE 0 END + CASE WHEN skipped = 0 THEN 20 ELSE 0 END + CASE WHEN files <= 50000 THEN 10 ELSE 0 END)::INTEGER AS score FROM x""")
+@query("health_score", f"""
+WITH c AS (SELECT repo, count(*) AS total_files, count(*) FILTER (regexp_matches(path, '{SUPPORTED}')) AS analyzed_files, count(*) > 80 AS truncated FROM ({FILES_OF.sql}) GROUP BY repo),
+d AS (SELECT repo, count(*) FILTER (code = 'TS_PARSE_ERROR') AS syntax, count(*) FILTER (code = 'MODULE_UNRESOLVED') AS unresolved, count(*) FILTER (code = 'SOURCE_FILE_UNSUPPORTED') AS unsupported FROM ({REPOSITORY_DIAGNOSTICS.sql}) GROUP BY repo),
+x AS (SELECT repo, coalesce(syntax, 0) AS syntax, coalesce(unresolved, 0) AS unresolved, coalesce(unsupported, 0) AS unsupported, total_files, analyzed_files, total_files - analyzed_files AS skipped_files, truncated FROM c LEFT JOIN d USING (repo))
+SELECT *, (CASE WHEN syntax = 0 THEN 40 ELSE 0 END + CASE WHEN unresolved / total_files < 0.05 THEN 30 ELSE 0 END + CASE WHEN skipped_files = 0 THEN 20 ELSE 0 END + CASE WHEN truncated THEN 0 ELSE 10 END)::INTEGER AS score FROM x""")
 def health_score(spark, d):
-    c = R.directory_files(nodes(spark, d))
-    n = F.col("files")
-    return c.select("dir", R.health(n, n % 2, n % 3, n % 5, n > 50_000).cast("int").alias("score"))
+    """Health of every repository from its files' coverage and its diagnostics."""
+    read = F.count_if(F.col("path").rlike(SUPPORTED))
+    coverage = FILES_OF.read(spark, d).groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"), read.alias("analyzed_files"), (F.count(F.lit(1)) > 80).alias("truncated"))
+    return R.graph_health(coverage, REPOSITORY_DIAGNOSTICS.read(spark, d), "repo")

@@ -346,3 +346,10 @@ ROUTE_FORMS = (
     "application/route.ts",
 )
 ROUTE_FILES = Records("part", p_partkey="p_partkey", path=texts_of(ROUTE_FORMS, "p_partkey"))
+
+#: Diagnostics of the repositories that FILES has; some have no syntax errors, some no unresolved imports.
+REPOSITORY_DIAGNOSTICS = Records(
+    "events",
+    repo="'Brand#' || CAST(1 + user_id % 5 AS STRING) || CAST(1 + CAST((user_id % 25 - user_id % 5) / 5 AS INT) AS STRING)",
+    code="CASE WHEN user_id % 5 < 2 AND event_id % 9 = 0 THEN 'TS_PARSE_ERROR' WHEN user_id % 25 > 14 AND event_id % 4 = 1 THEN 'MODULE_UNRESOLVED' WHEN event_id % 5 = 2 THEN 'SOURCE_FILE_UNSUPPORTED' ELSE 'GRAPH_TRUNCATED' END",
+)
