@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import contracts as C
 from graphloom.operators.ranks import first_n
 
 
@@ -53,6 +54,28 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
     return both.select("id", "e.src", "e.dst", "e.kind", json.alias("json"))
 
 
+def fingerprint(rows: DataFrame, what: str) -> DataFrame:
+    """One row: what, n, total, mixed of rows(json): a count and two sums over digests, which no order of rows or
+    partitions changes, in one aggregate.  Two sets of different rows with one fingerprint are as good as impossible."""
+    part = lambda at, n: F.conv(F.substring(F.md5("json"), at, n), 16, 10).cast("long")
+    none = F.lit(0).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part(1, 6)), none).alias("total"), F.coalesce(F.bit_xor(part(7, 8)), none).alias("mixed")).select(F.lit(what).alias("what"), "n", "total", "mixed")
+
+
+def assemble(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonical nodes and edges of a graph put together from files in any order, with repeats, and a report: what was
+    broken before and after (rule, n) and the fingerprints.
+
+    Validated, made canonical and validated again.  The same rows in another order, or twice, give the same graph."""
+    before = C.graph_violations(nodes, edges)
+    one = nodes.withColumn("json", node_json(nodes)).dropDuplicates(["json"])
+    merged = canonical_edges(edges)
+    after = C.graph_violations(one, merged)
+    told = lambda v, when: v.select(F.concat(F.lit(f"{when} "), "rule").alias("what"), F.col("n"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("mixed"))
+    report = told(before, "before").unionByName(told(after, "after")).unionByName(fingerprint(one, "nodes")).unionByName(fingerprint(merged, "edges"))
+    return one, merged, report
+
+
 def surviving_ids(edges: DataFrame) -> DataFrame:
     """old, id: the edge that each edge became."""
     e = with_identity(edges).select(F.col("id").alias("old"), "identity")

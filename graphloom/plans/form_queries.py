@@ -48,6 +48,21 @@ def canonical_nodes(spark, d):
     return K.canonical_nodes(nodes(spark, d))
 
 
+@query("assembled_graph", FX + f""", {NODES}, {EDGES},
+f AS (SELECT 'nodes' AS what, json FROM cn UNION ALL SELECT 'edges', json FROM ce),
+v AS (SELECT 'before' AS w, 2 AS times, src, dst, kind FROM m UNION ALL SELECT 'after', 1, src, dst, kind FROM ce)
+SELECT what, count(*) AS n, sum(('0x' || md5(json)[1:6])::BIGINT)::BIGINT AS total, bit_xor(('0x' || md5(json)[7:14])::BIGINT) AS mixed FROM f GROUP BY what
+UNION ALL SELECT 'before duplicate-id', count(*), NULL, NULL FROM fx_nodes
+UNION ALL SELECT w || ' src', sum(times)::BIGINT, NULL, NULL FROM v WHERE src NOT IN (SELECT id FROM fx_nodes) GROUP BY w
+UNION ALL SELECT w || ' dst', sum(times)::BIGINT, NULL, NULL FROM v WHERE dst NOT IN (SELECT id FROM fx_nodes) GROUP BY w""")
+def assembled_graph(spark, d):
+    """A graph put together from every row twice, in another order: what was broken before and after, and fingerprints of
+    the canonical form, which are those of the rows taken once."""
+    n, e = nodes(spark, d), line_edges(spark, d)
+    twice = lambda df: df.unionByName(df.repartition(7, F.rand(3)))
+    return K.assemble(twice(n), twice(e))[-1]
+
+
 @query("surviving_ids", f"WITH {EDGES} SELECT m.id AS old, c.id AS id FROM m JOIN c ON m.src = c.src AND m.dst = c.dst AND m.kind = c.kind AND m.provenance = c.provenance AND m.confidence IS NOT DISTINCT FROM c.confidence AND m.meta IS NOT DISTINCT FROM c.meta")
 def surviving_ids(spark, d):
     return K.surviving_ids(line_edges(spark, d))

@@ -147,3 +147,26 @@ def test_file_details(spark):
     want = [("symbol", "s", None, "S", None), ("route", "r", None, "R", None), ("relationship", "e3", "incoming", "T", None), ("relationship", "e1", "outgoing", "T", 3), ("relationship", "e2", "outgoing", "T", 4), ("relationship", "e6", "outgoing", "P", 9)]
     assert got == want
     assert reports.file_details(nodes, edges, "none").count() == 0
+
+
+def test_assembly_is_stable(spark):
+    """The same graph from any order of its rows, and from rows that come twice; another graph has another fingerprint."""
+    from graphloom.operators import canonical as K
+
+    rnd = random.Random(4)
+    nodes = [(f"n{i}", "file", f"N{i}", f"p{i}", None, None, None) for i in range(40)]
+    shape = "id string, kind string, name string, path string, symbol_kind string, exported boolean, method string"
+    edges = [(f"e{i}", f"n{i % 7}", f"n{i % 5}", "calls", "EXTRACTED", 1.0, [f"x{i % 3}"], None, None, None, None, []) for i in range(60)]
+    edge = "id string, src string, dst string, kind string, provenance string, confidence double, evidence array<string>, mode string, specifier string, type_only boolean, resolution string, candidates array<string>"
+
+    def report(n, e, parts):
+        one, merged, told = K.assemble(spark.createDataFrame(n, shape).repartition(parts), spark.createDataFrame(e, edge).repartition(parts))
+        return {r["what"]: (r["n"], r["total"], r["mixed"]) for r in told.collect()}
+
+    plain = report(nodes, edges, 1)
+    assert set(plain) == {"nodes", "edges"} and plain["nodes"][0] == 40 and plain["edges"][0] == 35
+    mixed = rnd.sample(nodes, 40) + nodes[:9], rnd.sample(edges, 60) + edges[5:30]
+    again = report(*mixed, 5)
+    assert again.pop("before duplicate-id")[0] == 9 and again == plain
+    assert report(nodes, edges[:-1] + [(*edges[-1][:3], "tests", *edges[-1][4:])], 3)["edges"] != plain["edges"]
+    assert report(nodes[:-36], edges, 2)["after src"][0] > 0
