@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom import schema as S
 from graphloom.operators import export as E
 from graphloom.plans.graph_queries import FILES
 from graphloom.plans.registry import query
@@ -38,24 +37,3 @@ def artifact_put(spark, d):
     key = F.concat_ws("/", "source", F.floor(F.col("n_chars") / 50).cast("string"))
     writes = table(spark, d, "documents").select("doc_id", key.alias("key"), "text")
     return E.put_outcomes(writes, "key", "doc_id", "text").select("doc_id", "key", "outcome")
-
-
-@query("node_rule_violations", FX + """, l AS (SELECT 'route:order/' || l_orderkey AS id, l_linenumber AS start_line, CASE WHEN l_quantity > 2 THEN l_quantity::INTEGER END AS end_line FROM lineitem),
-r AS (SELECT id, unnest([CASE WHEN kind NOT IN ('file', 'symbol', 'package', 'route', 'schema') THEN 'kind' END, CASE WHEN coalesce(name, '') = '' THEN 'name' END,
-  CASE WHEN kind = 'file' AND path IS NULL THEN 'file-path' END, CASE WHEN regexp_matches(path, '^/|\\\\|(^|/)\\.\\.?(/|$)|[#]') THEN 'path' END]) AS rule FROM fx_nodes
-  UNION ALL SELECT id, CASE WHEN end_line IS NULL THEN 'line-missing' WHEN end_line < start_line THEN 'line-order' END FROM l JOIN fx_nodes USING (id))
-SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule""")
-def node_rule_violations(spark, d):
-    n = nodes(spark, d)
-    path = F.col("path")
-    rules = F.array(
-        F.when(~F.col("kind").isin(*S.NODE_KINDS), "kind"),
-        F.when(F.coalesce("name", F.lit("")) == "", "name"),
-        F.when((F.col("kind") == "file") & path.isNull(), "file-path"),
-        F.when(path.rlike(r"^/|\\|(^|/)\.\.?(/|$)|[#]"), "path"),
-    )
-    own = n.select(F.explode(rules).alias("rule"))
-    end = F.when(F.col("l_quantity") > 2, F.col("l_quantity").cast("int"))
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("route:order/"), F.col("l_orderkey").cast("string")).alias("id"), F.when(end.isNull(), "line-missing").when(end < F.col("l_linenumber"), "line-order").alias("rule"))
-    lines = lines.filter("rule IS NOT NULL").join(n.select("id"), "id").select("rule")
-    return own.filter("rule IS NOT NULL").unionByName(lines).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.operators import contracts as C
+from graphloom.operators import node_rules as N
 from graphloom.operators import requests as R
 from graphloom.plans.registry import query
-from graphloom.sources.records import DOCUMENTS, QUERIES, REQUESTS
+from graphloom.sources.records import DOCUMENTS, NODE_MANIFEST, NODE_TEXTS, QUERIES, REQUESTS
 
 _BLANK = R.BLANK.replace(r"\x{0B}", r"\v")
 
@@ -207,3 +208,72 @@ def _canonical_sql() -> str:
 def canonical_json(spark, d):
     """JSON of any nesting with its keys in order."""
     return DOCUMENTS.read(spark, d).select("event_id", R.canonical_json(F.col("body")).alias("canonical"))
+
+
+def _safe(t: str) -> str:
+    return f"{_trimmed(t)} AND NOT regexp_matches({t}, '[\\x00-\\x1F\\x7F]|^/|/$|\\\\|//|(^|/)\\.\\.?(/|$)')"
+
+
+def _strict_text(t: str) -> str:
+    return f"coalesce({_trimmed(t)} AND NOT regexp_matches({t}, '[\\x00-\\x1F\\x7F]'), false)"
+
+
+def _has(key: str) -> str:
+    return f"list_contains(mine, '{key}') AND list_contains(may, '{key}')"
+
+
+def _items(key: str) -> str:
+    """Whether a field of the metadata is a list of texts with something in them."""
+    types, texts = f"json_type(m, '$.{key}[*]')", f"json_extract_string(m, '$.{key}[*]')"
+    return f"json_type(m, '$.{key}') = 'ARRAY' AND len(list_filter({types}, lambda x: x <> 'VARCHAR')) = 0 AND len(list_filter({texts}, lambda x: trim(x) = '')) = 0"
+
+
+def _node_sql() -> str:
+    shapes = ", ".join(f"('{k}', {_names(needs)}, {_names((*needs, *may))})" for k, (needs, may) in N.METADATA.items())
+    texts = " OR ".join(f"({_has(k)} AND NOT {_strict_text('(' + _text(k, 'm') + ')')})" for k in N.TEXTS)
+    flags = " OR ".join(f"({_has(k)} AND json_type(m, '$.{k}') <> 'BOOLEAN')" for k in ("exported", "async"))
+    lists = " OR ".join(f"({_has(k)} AND NOT coalesce({_items(k)}, false))" for k in ("methods", "fields"))
+    numbers = " OR ".join(f"(list_contains(place, '{k}') AND NOT coalesce(({_number(k, 'l')}) >= 1, false))" for k in N.PLACES)
+    visible = ", ".join(f"'{x}'" for x in N.VISIBILITIES)
+    tests = {
+        "object": "own IS NULL",
+        "unknown-key": f"NOT list_has_all({_names(('id', 'kind', 'name', 'metadata', 'location'))}, own)",
+        "missing-key": f"NOT list_has_all(own, {_names(('id', 'kind', 'name', 'metadata'))})",
+        "kind": "own IS NOT NULL AND may IS NULL",
+        "id": f"list_contains(own, 'id') AND NOT {_strict_text('id')}",
+        "name": f"list_contains(own, 'name') AND NOT {_strict_text('name')}",
+        "metadata": "list_contains(own, 'metadata') AND mine IS NULL",
+        "metadata-unknown-key": "NOT list_has_all(may, mine)",
+        "metadata-missing-key": "NOT list_has_all(mine, needs)",
+        "metadata-text": f"{texts} OR (kind = 'route' AND {_has('path')} AND NOT {_strict_text('path')})",
+        "metadata-path": f"(kind = 'file' AND {_has('path')} AND NOT coalesce({_safe('path')}, false)) OR ({_has('workspacePath')} AND NOT coalesce({_safe('workspace')}, false))",
+        "metadata-manifest": f"kind = 'file' AND coalesce({_safe('path')}, false) AND path NOT IN (SELECT path FROM manifest)",
+        "size": f"{_has('sizeBytes')} AND NOT coalesce(({_number('sizeBytes', 'm')}) >= 0, false)",
+        "sha256": f"{_has('contentSha256')} AND NOT coalesce(regexp_matches({_text('contentSha256', 'm')}, '{C.SHA256}'), false)",
+        "visibility": f"{_has('visibility')} AND NOT coalesce(({_text('visibility', 'm')}) IN ({visible}), false)",
+        "flag": flags,
+        "list": lists,
+        "location": "list_contains(own, 'location') AND place IS NULL",
+        "location-key": f"NOT list_has_all({_names(('path', *N.PLACES))}, place) OR NOT list_contains(place, 'path')",
+        "location-path": f"list_contains(place, 'path') AND NOT coalesce({_safe('at_path')}, false)",
+        "location-manifest": f"list_contains(place, 'path') AND coalesce({_safe('at_path')}, false) AND at_path NOT IN (SELECT path FROM manifest)",
+        "location-number": numbers,
+        "location-start": "(list_has_any(place, ['startColumn', 'endColumn', 'endLine']) AND NOT list_contains(place, 'startLine')) OR (list_contains(place, 'endColumn') AND NOT list_contains(place, 'endLine'))",
+        "location-order": f"({_number('endLine', 'l')}) < ({_number('startLine', 'l')}) OR (({_number('endLine', 'l')}) = ({_number('startLine', 'l')}) AND ({_number('endColumn', 'l')}) < coalesce({_number('startColumn', 'l')}, 1))",
+    }
+    rules = " UNION ALL ".join(f"SELECT p_partkey, '{rule}' AS rule FROM g WHERE {test}" for rule, test in tests.items())
+    return f"""
+WITH manifest AS ({NODE_MANIFEST}), shapes(k, needs, may) AS (VALUES {shapes}),
+r AS (SELECT p_partkey, CASE WHEN json_valid(body) THEN body::JSON END AS v FROM ({NODE_TEXTS.sql})),
+o AS (SELECT p_partkey, CASE WHEN json_type(v) = 'OBJECT' THEN v END AS j FROM r),
+f AS (SELECT p_partkey, j, json_keys(j) AS own, {_text("kind")} AS kind, {_text("id")} AS id, {_text("name")} AS name,
+             CASE WHEN json_type(j, '$.metadata') = 'OBJECT' THEN json_extract(j, '$.metadata') END AS m, CASE WHEN json_type(j, '$.location') = 'OBJECT' THEN json_extract(j, '$.location') END AS l FROM o),
+g AS (SELECT f.*, needs, may, json_keys(m) AS mine, json_keys(l) AS place, {_text("path", "m")} AS path, {_text("workspacePath", "m")} AS workspace, {_text("path", "l")} AS at_path FROM f LEFT JOIN shapes ON k = kind)
+{rules}"""
+
+
+@query("node_rule_violations", _node_sql())
+def node_rule_violations(spark, d):
+    """Rules that nodes break: kinds, metadata of each kind, locations, files that no manifest has."""
+    manifest = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 2 = 0").selectExpr("'src/' || CAST(p_partkey AS STRING) || '.ts' AS path")
+    return N.node_violations(NODE_TEXTS.read(spark, d), manifest, "p_partkey", "body")

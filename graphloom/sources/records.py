@@ -353,3 +353,33 @@ REPOSITORY_DIAGNOSTICS = Records(
     repo="'Brand#' || CAST(1 + user_id % 5 AS STRING) || CAST(1 + CAST((user_id % 25 - user_id % 5) / 5 AS INT) AS STRING)",
     code="CASE WHEN user_id % 5 < 2 AND event_id % 9 = 0 THEN 'TS_PARSE_ERROR' WHEN user_id % 25 > 14 AND event_id % 4 = 1 THEN 'MODULE_UNRESOLVED' WHEN event_id % 5 = 2 THEN 'SOURCE_FILE_UNSUPPORTED' ELSE 'GRAPH_TRUNCATED' END",
 )
+
+#: Nodes of a graph as JSON; the manifest holds every file src/NUMBER.ts of an even key.
+NODE_FORMS = (
+    '{"id":"nNUMBER","kind":"file","name":"a","metadata":{"path":"src/NUMBER.ts"}}',
+    '{"id":"n","kind":"file","name":"a","metadata":{"path":"src/NUMBER.ts","language":"ts","sizeBytes":0,"module":"m"},"location":{"path":"src/NUMBER.ts","startLine":1}}',
+    '{"id":"n","kind":"file","name":"a","metadata":{"path":"../x","sizeBytes":-1,"contentSha256":"AB"}}',
+    '{"id":"n","kind":"file","name":"a","metadata":{"language":" ts","sizeBytes":1.5}}',
+    '{"id":" n","kind":"symbol","name":"","metadata":{"symbolKind":"class","visibility":"open","exported":"yes"}}',
+    '{"id":"n","kind":"symbol","name":"S","metadata":{"symbolKind":"class","visibility":"private","exported":true,"async":false,"signature":"()"}}',
+    '{"id":"n","kind":"symbol","name":"S","metadata":{"kind":"class"}}',
+    '{"id":"n","kind":"package","name":"p","metadata":{"packageName":"p","version":"1","workspacePath":"a/../b"}}',
+    '{"id":"n","kind":"package","name":"p","metadata":{"packageName":"p","manager":5,"workspacePath":"lib/p"}}',
+    '{"id":"n","kind":"route","name":"r","metadata":{"path":"/r","methods":["GET","POST"],"framework":"x"}}',
+    '{"id":"n","kind":"route","name":"r","metadata":{"path":"/r ","methods":["GET",""]}}',
+    '{"id":"n","kind":"route","name":"r","metadata":{"path":"/r","methods":"GET"}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"table","fields":[]}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"table","fields":[1]},"extra":1}',
+    '{"id":"n","kind":"document","name":"d","metadata":{}}',
+    '{"id":"n","kind":"schema","name":"s"}',
+    '{"id":"n","kind":"schema","name":"s","metadata":[],"location":null}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"t"},"location":{"path":"src/NUMBER.ts","startColumn":2}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"t"},"location":{"path":"src/NUMBER.ts","startLine":5,"endLine":4,"endColumn":1}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"t"},"location":{"path":"src/NUMBER.ts","startLine":5,"startColumn":9,"endLine":5,"endColumn":8}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"t"},"location":{"startLine":0,"file":"x"}}',
+    '{"id":"n","kind":"schema","name":"s","metadata":{"schemaKind":"t"},"location":{"path":"/abs","startLine":"1"}}',
+    "[]",
+    "no json",
+)
+NODE_TEXTS = Records("part", p_partkey="p_partkey", body=texts_of(NODE_FORMS, "p_partkey"))
+NODE_MANIFEST = "SELECT 'src/' || CAST(p_partkey AS STRING) || '.ts' AS path FROM part WHERE p_partkey % 2 = 0"
