@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
