@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, langid, mixing, packing, toxicity
-from graphloom.llm.common import only_result, table
+from graphloom.llm.common import only_result, sparing, table
 from graphloom.llm.queries import vocabulary
 
 #: Score from which the toxicity stage rejects a document.
 TOXIC = 0.7
 
 
+@sparing
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models are fit on a bounded sample of docs with a lang.
 
@@ -26,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, models, "__language").filter(~F.col("__language.rejected")).drop("__language")
 
 
+@sparing
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic; the model is fit on a bounded sample of labelled ones.
 
@@ -35,6 +37,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, "__toxicity").filter(F.col("__toxicity.score") < TOXIC).drop("__toxicity")
 
 
+@sparing
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
@@ -43,6 +46,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return jaccard.one_of_each(docs, 5, 80)
 
 
+@sparing
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, each row by itself.
 
@@ -51,6 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
+@sparing
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of 2048 tokens.
 

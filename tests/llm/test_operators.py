@@ -3,6 +3,7 @@ nulls, empty and very long texts, ties, repeated rows, empty tables, clashing co
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard, langid, licenses, mixing, packing, tokencount, topk, toxicity, vectordedup, warc
-from graphloom.llm.common import materialise
+from graphloom.llm.common import materialise, ship, sparing
 from graphloom.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n int, size long, key double, rank int, node long, slot int"
@@ -555,6 +556,42 @@ def naive_copies(rows, weights, share=1.5):
     return out
 
 
+def test_pipeline_stages_are_sparing(spark, tmp_path):
+    """Readers and batches of every stage are small, and its workers give memory back; single operators are as before."""
+    import corpus_pipeline
+
+    arrow, readers, malloc = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "MALLOC_TRIM_THRESHOLD_"
+    usual, environment = spark.conf.get(readers), dict(spark.sparkContext.environment)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('ba ce di fo ', 500) AS text", "'aa' AS lang", "'s' AS source")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def probe(spark, docs):
+        ship(spark)
+
+        def sizes(batches):
+            for b in batches:
+                yield pd.DataFrame({"bytes": [int(b["text"].str.len().sum())], "malloc": [os.environ.get(malloc)]})
+
+        return docs.select("text").mapInPandas(sizes, "bytes long, malloc string")
+
+    alone = probe(spark, docs).toPandas()
+    assert alone["bytes"].max() > 3 << 20 and alone["malloc"].isna().all()
+    got = sparing(probe)(spark, docs).toPandas()
+    assert got["bytes"].sum() == alone["bytes"].sum() and got["bytes"].max() <= (2 << 20) + 6000 and got["malloc"].notna().all()
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(readers)
+            ship(spark)
+            stage(spark, docs.limit(3), str(tmp_path))
+            assert int(spark.conf.get(readers)) <= 512, name
+            assert name == "source_mixing" or int(spark.conf.get(arrow)) <= 2 << 20, name
+            assert spark.sparkContext.environment == environment, name
+        ship(spark)
+        assert int(spark.conf.get(arrow)) == 8 << 20
+    finally:
+        spark.conf.set(readers, usual)
+
+
 def test_pipeline(spark, rows, tmp_path):
     """Each stage against plain Python on the rows that it was given."""
     import corpus_pipeline
