@@ -34,6 +34,14 @@ def canonical_json(body: Column) -> Column:
     return F.to_json(parsed(body))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column whose value is worked out once a row.
+
+    It comes out of a generator, which filters aren't moved across: they would otherwise repeat the whole expression,
+    and with it the parsing, in every place that names the column."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def keys(value: Column) -> Column:
     """Names of an object's own fields; null for anything but an object."""
     return F.map_keys(value.try_cast("map<string, variant>"))
@@ -157,17 +165,21 @@ def graph_queries(queries: DataFrame, key: str, body: str) -> DataFrame:
     given), cursor, max_depth, max_cost, max_results, max_time; fields that its type lacks are null, all others
     have their defaults.  Null bodies, text that isn't JSON and values other than objects break the rule `object`."""
     v = F.col("__value")
-    rows = queries.withColumn("__value", parsed(F.col(body))).withColumn("__type", text_at(v, "type"))
-    type_, own, budget = F.col("__type"), keys(v), field(v, "budget")
-    allowed = _by_type(type_, lambda needs, may: ("type", "budget", *needs, *may))
-    has = lambda k: F.array_contains(own, k) & F.array_contains(allowed, k)
-    budget_has = lambda k: F.array_contains(keys(budget), k)
+    # dealt by rows, as they take far more work than their bytes say
+    rows = once(queries.select(key, body).repartition(key, body), "__value", parsed(F.col(body)))
+    rows = once(rows, "__of", F.struct(text_at(v, "type").alias("type"), keys(v).alias("own"), field(v, "budget").alias("budget")))
+    type_, own, budget = F.col("__of.type"), F.col("__of.own"), F.col("__of.budget")
+    allowed, limits = _by_type(type_, lambda needs, may: ("type", "budget", *needs, *may)), keys(budget)
+    rows = once(rows, "__has", F.struct(F.array_intersect(own, allowed).alias("keys"), limits.alias("limits")))
+    has = lambda k: F.array_contains("__has.keys", k)
+    limits = F.col("__has.limits")
+    budget_has = lambda k: F.array_contains(limits, k)
     fails = {
         "object": own.isNull(),
         "type": own.isNotNull() & ~F.coalesce(type_.isin(*C.QUERY_KEYS), F.lit(False)),
         "unknown-key": F.size(F.array_except(own, allowed)) > 0,
         "missing-key": F.size(F.array_except(_by_type(type_, lambda needs, may: ("type", *needs)), own)) > 0,
-        "budget-key": F.array_contains(own, "budget") & F.coalesce(F.size(F.array_except(keys(budget), F.array(*[F.lit(k) for k in _BUDGET]))) > 0, F.lit(True)),
+        "budget-key": F.array_contains(own, "budget") & F.coalesce(F.size(F.array_except(limits, F.array(*[F.lit(k) for k in _BUDGET]))) > 0, F.lit(True)),
         "budget": _any(*[_number(k, 1, high) for k, (_, high) in _BUDGET.items()])(budget, budget_has),
     }
     tests = [(name, F.coalesce(fail, F.lit(False))) for name, fail in fails.items()]
@@ -192,8 +204,8 @@ def graph_queries(queries: DataFrame, key: str, body: str) -> DataFrame:
         limit("maxResults").alias("max_results"),
         limit("maxTimeMs").alias("max_time"),
     )
-    rows = rows.select(key, found.alias("violations"), query.alias("__query"))
-    return rows.select(key, "violations", F.when(F.size("violations") == 0, F.col("__query")).alias("query"))
+    rows = once(rows, "violations", found)
+    return once(rows, "query", F.when(F.size("violations") == 0, query)).select(key, "violations", "query")
 
 
 def query_violations(queries: DataFrame, key: str, body: str) -> DataFrame:
