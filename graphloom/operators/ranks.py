@@ -52,11 +52,10 @@ class RankIndex:
         stop = self.total if size is None else min(self.total, cursor + size)
         first, last = max(bisect_right(self.starts, cursor) - 1, 0), bisect_right(self.starts, stop - 1)
         met = list(zip(self.parts, self.starts))[first:last] if cursor < stop else []
-        base = F.lit(0).cast("long")
-        for part, start in met:
-            base = F.when(F.col("__part") == part, F.lit(start).cast("long")).otherwise(base)
-        rows = self._table().filter(F.col("__part").isin([p for p, _ in met])).withColumn("pos", base + F.col("__at"))
-        return rows.filter((F.col("pos") >= cursor) & (F.col("pos") < stop)).drop("__part", "__at")
+        starts = self.spark.createDataFrame(met, "__part int, __start long")  # a row per range: an expression per range would be too deep
+        some = F.col("__part").between(met[0][0], met[-1][0]) if met else F.lit(False)
+        rows = self._table().filter(some).join(F.broadcast(starts), "__part").withColumn("pos", F.col("__start") + F.col("__at"))
+        return rows.filter((F.col("pos") >= cursor) & (F.col("pos") < stop)).drop("__part", "__at", "__start")
 
 
 def first_n(rows: DataFrame, order: list[Column], n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
