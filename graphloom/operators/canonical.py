@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import contracts as C
 from graphloom.operators.ranks import first_n
 
 
@@ -36,30 +35,33 @@ def with_identity(edges: DataFrame) -> DataFrame:
     """edges(id, src, dst, kind, provenance, confidence, evidence, mode, specifier, type_only, resolution, candidates)
     with metadata, its candidates as a sorted set and null for edges that are no imports, and identity."""
     metadata = F.when(F.col("resolution").isNotNull(), F.struct(F.array_sort(F.array_distinct("candidates")).alias("candidates"), "mode", "resolution", "specifier", F.col("type_only").alias("typeOnly")))
-    e = edges.withColumn("metadata", metadata)
+    e = edges.withColumn("metadata", metadata).withColumn("confidence", F.col("confidence") + F.lit(0.0))  # -0 is 0
     parts = stable_json(**{"from": F.col("src"), "to": F.col("dst"), "kind": F.col("kind"), "provenance": F.col("provenance"), "confidence": F.col("confidence"), "metadata": F.col("metadata")})
     return e.withColumn("identity", F.sha2(parts, 256))
 
 
+def merged_edges(edges: DataFrame) -> DataFrame:
+    """id, src, dst, kind, json, times: canonical edges with the number of rows that each was made of.
+
+    One shuffle by the fields that make an edge's identity, which are its contents, so neither a digest nor a copy of
+    them goes along; each task gathers its evidence as a set first, so repeats of a hot edge don't add up."""
+    e = with_identity(edges).select(*IDENTITY, "id", F.posexplode_outer("evidence").alias("at", "x"))
+    times = F.count_if(F.coalesce("at", F.lit(0)) == 0)
+    both = e.groupBy(*IDENTITY).agg(F.min("id").alias("id"), F.sort_array(F.collect_set("x")).alias("evidence"), times.alias("times"))
+    json = stable_json(**{"id": F.col("id"), "from": F.col("src"), "to": F.col("dst"), **{k: F.col(k) for k in ("kind", "provenance", "confidence", "metadata", "evidence")}})
+    return both.select("id", "src", "dst", "kind", json.alias("json"), "times")
+
+
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """id, src, dst, kind, json: edges of one identity become one, with the smallest id and the sorted set of their
-    evidence; json is the key of their order.
-
-    Evidence is made distinct before it is gathered, so repeats of a hot edge don't add up."""
-    e = with_identity(edges)
-    first = e.groupBy("identity").agg(F.min("id").alias("id"), F.first(F.struct(*IDENTITY)).alias("e"))
-    seen = e.select("identity", F.explode("evidence").alias("x")).groupBy("identity").agg(F.sort_array(F.collect_set("x")).alias("evidence"))
-    both = first.join(seen, "identity", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
-    json = stable_json(**{"id": F.col("id"), "from": F.col("e.src"), "to": F.col("e.dst"), "kind": F.col("e.kind"), "provenance": F.col("e.provenance"), "confidence": F.col("e.confidence"), "metadata": F.col("e.metadata"), "evidence": F.col("evidence")})
-    return both.select("id", "e.src", "e.dst", "e.kind", json.alias("json"))
+    evidence; json is the key of their order."""
+    return merged_edges(edges).drop("times")
 
 
-def fingerprint(rows: DataFrame, what: str) -> DataFrame:
-    """One row: what, n, total, mixed of rows(json): a count and two sums over digests, which no order of rows or
-    partitions changes, in one aggregate.  Two sets of different rows with one fingerprint are as good as impossible."""
-    part = lambda at, n: F.conv(F.substring(F.md5("json"), at, n), 16, 10).cast("long")
-    none = F.lit(0).cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part(1, 6)), none).alias("total"), F.coalesce(F.bit_xor(part(7, 8)), none).alias("mixed")).select(F.lit(what).alias("what"), "n", "total", "mixed")
+def marks(json: Column) -> tuple[Column, Column]:
+    """Two numbers of a row's digest: a fingerprint adds up the first and takes the exclusive or of the second."""
+    part = lambda at, n: F.conv(F.substring(F.md5(json), at, n), 16, 10).cast("long")
+    return part(1, 6), part(7, 8)
 
 
 def assemble(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,13 +69,45 @@ def assemble(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     broken before and after (rule, n) and the fingerprints.
 
     Validated, made canonical and validated again.  The same rows in another order, or twice, give the same graph."""
-    before = C.graph_violations(nodes, edges)
-    one = nodes.withColumn("json", node_json(nodes)).dropDuplicates(["json"])
-    merged = canonical_edges(edges)
-    after = C.graph_violations(one, merged)
-    told = lambda v, when: v.select(F.concat(F.lit(f"{when} "), "rule").alias("what"), F.col("n"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("mixed"))
-    report = told(before, "before").unionByName(told(after, "after")).unionByName(fingerprint(one, "nodes")).unionByName(fingerprint(merged, "edges"))
-    return one, merged, report
+    with_json = nodes.withColumn("json", node_json(nodes))
+    return with_json.dropDuplicates(["json"]), canonical_edges(edges), report(with_json, edges)
+
+
+def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what, n, total, mixed: how often a rule of C.graph_violations was broken before and after nodes(id, kind, json)
+    and edges became one of each, and the fingerprints of both: a count and two sums over digests, which no order of
+    rows or partitions changes.  Two sets of different rows with one fingerprint are as good as impossible.
+
+    Equal rows are counted where they become one, so what was broken before is read off the same rows.  Nodes and the
+    ends of edges then meet in one aggregate by id, which has no joins and reads each side once."""
+    one = F.lit(1).cast("long")
+    node = nodes.groupBy("json", "id", "kind").agg(F.count(F.lit(1)).alias("times"))
+    end = F.explode(F.array(F.struct(F.col("src").alias("key"), F.lit("src").alias("as")), F.struct(F.col("dst").alias("key"), F.lit("dst").alias("as"))))
+    (nt, nm), (et, em) = marks(F.col("json")), marks(F.col("json"))
+    node = node.select(F.col("id").alias("key"), F.lit("node").alias("as"), (F.col("kind") != "file").alias("flag"), "times", nt.alias("total"), nm.alias("mixed"))
+    edge = merged_edges(edges).select("src", "dst", F.col("kind").isin("imports", "requires").alias("flag"), "times", et.alias("total"), em.alias("mixed"))
+    edge = edge.select(end.alias("end"), "flag", "times", "total", "mixed").select("end.key", "end.as", "flag", "times", "total", "mixed")
+    when = lambda cond, value: F.coalesce(F.sum(F.when(cond, value)), F.lit(0).cast("long"))
+    is_, flag = lambda x: F.col("as") == x, F.col("flag")
+    sums = {f"{when_} {what}": when(cond, n) for when_, n in (("before", F.col("times")), ("after", one)) for what, cond in (("node", is_("node")), ("src", is_("src")), ("import", is_("src") & flag), ("dst", is_("dst")))}
+    sums |= {f"{x} total": when(is_(at), F.col("total")) for x, at in (("nodes", "node"), ("edges", "src"))}
+    sums |= {f"{x} mixed": F.coalesce(F.bit_xor(F.when(is_(at), F.col("mixed"))), F.lit(0).cast("long")) for x, at in (("nodes", "node"), ("edges", "src"))}
+    sums["other"] = F.coalesce(F.max(is_("node") & flag), F.lit(False))
+    ids = node.unionByName(edge).groupBy("key").agg(*[c.alias(name) for name, c in sums.items()])
+    unknown = F.col("key").isNull() | (F.col("after node") == 0)
+    broken = {"src": (unknown, "src"), "dst": (unknown, "dst"), "import-source": (~unknown & F.col("other"), "import")}
+    found = {f"{w} {rule}": when(cond, F.col(f"{w} {of}")) for w in ("before", "after") for rule, (cond, of) in broken.items()}
+    found |= {f"{w} duplicate-id": when(F.col(f"{w} node") > 1, one) for w in ("before", "after")}
+    prints = {"nodes": "after node", "edges": "after src"}
+    for what, count in prints.items():
+        mixed = F.coalesce(F.bit_xor(F.col(f"{what} mixed")), F.lit(0).cast("long"))
+        found |= {f"{what} n": when(F.lit(True), F.col(count)), f"{what} total": when(F.lit(True), F.col(f"{what} total")), f"{what} mixed": mixed}
+    told = ids.agg(*[c.alias(name) for name, c in found.items()])
+    none = F.lit(None).cast("long")
+    shown = [F.struct(F.lit(name).alias("what"), F.col(name).alias("n"), none.alias("total"), none.alias("mixed")) for name in found if name.split()[0] in ("before", "after")]
+    kept = F.filter(F.array(*shown), lambda r: r["n"] > 0)
+    own = [F.struct(F.lit(x).alias("what"), F.col(f"{x} n").alias("n"), F.col(f"{x} total").alias("total"), F.col(f"{x} mixed").alias("mixed")) for x in prints]
+    return told.select(F.inline(F.concat(kept, F.array(*own))))
 
 
 def surviving_ids(edges: DataFrame) -> DataFrame:
